@@ -2,78 +2,83 @@
 
 Places are JSON pointers (``/a/b``); the step into array items is written
 ``~i`` for rules, which no property name can produce because ``~`` is escaped.
-Everything here stays inside one row: no shuffle and no Python worker.
+Everything here stays inside one row: no shuffle and no Python worker. The
+expressions are SQL texts, which the session parses in one go.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ITEM_STEP = "~i"
 
-_DEFINITION_NODE = "array<struct<path:string,name:string,needed:boolean,depth:int,v:variant>>"
-_RECORD_NODE = "array<struct<path:string,rule:string,kind:string,v:variant>>"
+_DEFINITION_NODES = (
+    "array<struct<path:string,name:string,needed:boolean,depth:int,v:variant>>"
+)
+_RECORD_NODES = "array<struct<path:string,rule:string,kind:string,v:variant>>"
 
 
-def as_map(v: Column, path: str = "$") -> Column:
-    """Members of a variant object, NULL when it is something else."""
-    return F.try_variant_get(v, path, "map<string,variant>")
-
-
-def as_array(v: Column, path: str = "$") -> Column:
-    """Elements of a variant array, NULL when it is something else."""
-    return F.try_variant_get(v, path, "array<variant>")
-
-
-def json_kind(v: Column) -> Column:
+def kind(v: str) -> str:
     """JSON Schema type of a variant.
 
     A number written with a fraction is a ``number`` even when the fraction is
-    zero, because records keep their reals as exact decimals.
+    zero, because records keep their reals as exact decimals; integers too long
+    for 64 bits arrive as decimals of scale zero.
     """
-    t = F.schema_of_variant(v)
-    return (
-        F.when(t == "STRING", "string")
-        .when(t == "BIGINT", "integer")
-        .when(t == "BOOLEAN", "boolean")
-        .when(t == "VOID", "null")
-        .when(t.startswith("OBJECT"), "object")
-        .when(t.startswith("ARRAY"), "array")
-        # Integers too long for 64 bits arrive as decimals of scale zero.
-        .when(t.rlike(r"^DECIMAL\((19|2[0-9]|3[0-8]),0\)$"), "integer")
-        .when(t.isNotNull(), "number")
-    )
+    return f"""get(transform(array(schema_of_variant({v})), t -> CASE
+        WHEN t = 'STRING' THEN 'string'
+        WHEN t = 'BIGINT' THEN 'integer'
+        WHEN t = 'BOOLEAN' THEN 'boolean'
+        WHEN t = 'VOID' THEN 'null'
+        WHEN startswith(t, 'OBJECT') THEN 'object'
+        WHEN startswith(t, 'ARRAY') THEN 'array'
+        WHEN t rlike '^DECIMAL[(](19|2[0-9]|3[0-8]),0[)]$' THEN 'integer'
+        WHEN t IS NOT NULL THEN 'number' END), 0)"""
+
+
+def members(v: str, path: str = "$") -> str:
+    """Members of a variant object, NULL when it is something else."""
+    return f"try_variant_get({v}, '{path}', 'map<string,variant>')"
 
 
-def escape_step(name: Column) -> Column:
-    return F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+def elements(v: str, path: str = "$") -> str:
+    """Elements of a variant array, NULL when it is something else."""
+    return f"try_variant_get({v}, '{path}', 'array<variant>')"
 
 
-def unescape_step(step: Column) -> Column:
-    return F.replace(F.replace(step, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+def step(name: str) -> str:
+    return f"replace(replace({name}, '~', '~0'), '/', '~1')"
 
 
-def nesting(definition: Column) -> Column:
-    """Deepest bracket level of a JSON text, strings ignored."""
-    bare = F.regexp_replace(definition, r'"[^"\\]*(?:\\.[^"\\]*)*"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+def types(v: str) -> str:
+    """``type`` of a schema node as a list, NULL when any type is allowed."""
+    one = f"try_variant_get({v}, '$.type', 'string')"
+    return f"""coalesce(try_variant_get({v}, '$.type', 'array<string>'),
+        CASE WHEN {one} IS NOT NULL THEN array({one}) END)"""
 
-    def step(acc: Column, mark: Column) -> Column:
-        now = acc["now"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
 
-    return F.aggregate(marks, start, step)["top"]
+def options(v: str) -> str:
+    """``enum`` of a schema node as canonical JSON texts."""
+    return f"transform({elements(v, '$.enum')}, o -> to_json(o))"
+
 
+_NESTING = r"""aggregate(
+    split(regexp_replace(regexp_replace({definition},
+        r'"[^"\\]*(?:\\.[^"\\]*)*"', ''), r'[^\[\]{{}}]', ''), ''),
+    named_struct('now', 0, 'top', 0),
+    (acc, mark) -> named_struct(
+        'now', acc.now + CASE WHEN mark IN ('{{', '[') THEN 1 WHEN mark = '' THEN 0 ELSE -1 END,
+        'top', greatest(acc.top, acc.now + CASE WHEN mark IN ('{{', '[') THEN 1 ELSE 0 END))
+).top"""
 
-def field_levels(definition: Column) -> Column:
+
+def field_levels(definition: str) -> str:
     """Upper bound for the depth of fields a definition declares: each level of
     ``properties`` opens two brackets, each level of ``items`` one."""
-    top = nesting(definition)
-    return F.when(definition.contains('"items"'), top - 2).otherwise(F.floor((top - 1) / 2)).cast(
-        "int"
-    )
+    top = _NESTING.format(definition=definition)
+    return f"""CASE WHEN contains({definition}, '"items"') THEN {top} - 2
+        ELSE cast(floor(({top} - 1) / 2) AS int) END"""
 
 
 def measured_levels(schemas: DataFrame, definition: str = "schema_definition") -> int:
@@ -81,111 +86,62 @@ def measured_levels(schemas: DataFrame, definition: str = "schema_definition") -
 
     Validation then unrolls exactly that many levels, so no nested rule is cut.
     """
-    deepest = schemas.agg(F.max(field_levels(F.col(definition)))).first()[0]
+    deepest = schemas.agg(F.expr(f"max({field_levels(definition)})")).first()[0]
     return max(int(deepest or 0), 1)
 
 
-def _declared(node: Column) -> Column:
-    """Direct sub-schemas of a definition node: its properties and its items."""
-    required = F.coalesce(
-        F.try_variant_get(node["v"], "$.required", "array<string>"), F.array().cast("array<string>")
-    )
-    properties = F.transform(
-        F.map_entries(as_map(node["v"], "$.properties")),
-        lambda e: F.struct(
-            F.concat(node["path"], F.lit("/"), escape_step(e["key"])).alias("path"),
-            e["key"].alias("name"),
-            F.array_contains(required, e["key"]).alias("needed"),
-            (node["depth"] + 1).alias("depth"),
-            e["value"].alias("v"),
-        ),
-    )
-    items = F.try_variant_get(node["v"], "$.items", "variant")
-    item_node = F.struct(
-        F.concat(node["path"], F.lit(f"/{ITEM_STEP}")).alias("path"),
-        F.lit(ITEM_STEP).alias("name"),
-        F.lit(False).alias("needed"),
-        (node["depth"] + 1).alias("depth"),
-        items.alias("v"),
-    )
-    nothing = F.array().cast(_DEFINITION_NODE)
-    return F.concat(
-        F.coalesce(properties.cast(_DEFINITION_NODE), nothing),
-        F.when(items.isNotNull(), F.array(item_node).cast(_DEFINITION_NODE)).otherwise(nothing),
-    )
-
-
-def _unroll(df: DataFrame, root: Column, grow, levels: int, out: str) -> DataFrame:
+_DECLARED = f"""concat(
+    coalesce(transform(map_entries({members('n.v', '$.properties')}), e -> named_struct(
+        'path', concat(n.path, '/', {step('e.key')}),
+        'name', e.key,
+        'needed', array_contains(
+            coalesce(try_variant_get(n.v, '$.required', 'array<string>'),
+                cast(array() AS array<string>)), e.key),
+        'depth', n.depth + 1,
+        'v', e.value)), cast(array() AS {_DEFINITION_NODES})),
+    coalesce(transform(
+        filter(array(try_variant_get(n.v, '$.items', 'variant')), i -> i IS NOT NULL),
+        i -> named_struct(
+            'path', concat(n.path, '/{ITEM_STEP}'),
+            'name', '{ITEM_STEP}',
+            'needed', false,
+            'depth', n.depth + 1,
+            'v', i)), cast(array() AS {_DEFINITION_NODES})))"""
+
+_GROWN = f"""CASE
+    WHEN n.kind = 'object' THEN transform(map_entries({members('n.v')}), e -> named_struct(
+        'path', concat(n.path, '/', {step('e.key')}),
+        'rule', concat(n.rule, '/', {step('e.key')}),
+        'kind', {kind('e.value')},
+        'v', e.value))
+    WHEN n.kind = 'array' THEN transform({elements('n.v')}, (x, i) -> named_struct(
+        'path', concat(n.path, '/', i),
+        'rule', concat(n.rule, '/{ITEM_STEP}'),
+        'kind', {kind('x')},
+        'v', x))
+    ELSE cast(array() AS {_RECORD_NODES}) END"""
+
+
+def _unroll(df: DataFrame, root: str, grow: str, levels: int, out: str) -> DataFrame:
     """Breadth-first expansion, one projection per level."""
-    df = df.withColumn("_n0", root)
+    df = df.withColumn("_n0", F.expr(root))
     for level in range(levels):
-        df = df.withColumn(f"_n{level + 1}", F.flatten(F.transform(f"_n{level}", grow)))
+        df = df.withColumn(
+            f"_n{level + 1}", F.expr(f"flatten(transform(_n{level}, n -> {grow}))")
+        )
     names = [f"_n{level}" for level in range(levels + 1)]
     return df.withColumn(out, F.concat(*names)).drop(*names)
 
 
-def with_definition_nodes(df: DataFrame, v: Column, levels: int, out: str) -> DataFrame:
-    """Add every (sub-)schema of a definition, the root first."""
-    root = F.array(
-        F.struct(
-            F.lit("").alias("path"),
-            F.lit("").alias("name"),
-            F.lit(True).alias("needed"),
-            F.lit(0).alias("depth"),
-            v.alias("v"),
-        )
-    ).cast(_DEFINITION_NODE)
-    return _unroll(df, root, _declared, levels, out)
-
-
-def with_record_nodes(df: DataFrame, v: Column, levels: int, out: str) -> DataFrame:
-    """Add every value of a record down to ``levels``, the root first."""
-    root = F.array(
-        F.struct(
-            F.lit("").alias("path"),
-            F.lit("").alias("rule"),
-            json_kind(v).alias("kind"),
-            v.alias("v"),
-        )
-    ).cast(_RECORD_NODE)
-
-    def grow(node: Column) -> Column:
-        members = F.transform(
-            F.map_entries(as_map(node["v"])),
-            lambda e: F.struct(
-                F.concat(node["path"], F.lit("/"), escape_step(e["key"])).alias("path"),
-                F.concat(node["rule"], F.lit("/"), escape_step(e["key"])).alias("rule"),
-                json_kind(e["value"]).alias("kind"),
-                e["value"].alias("v"),
-            ),
-        ).cast(_RECORD_NODE)
-        elements = F.transform(
-            as_array(node["v"]),
-            lambda x, i: F.struct(
-                F.concat(node["path"], F.lit("/"), i.cast("string")).alias("path"),
-                F.concat(node["rule"], F.lit(f"/{ITEM_STEP}")).alias("rule"),
-                json_kind(x).alias("kind"),
-                x.alias("v"),
-            ),
-        ).cast(_RECORD_NODE)
-        return (
-            F.when(node["kind"] == "object", members)
-            .when(node["kind"] == "array", elements)
-            .otherwise(F.array().cast(_RECORD_NODE))
-        )
-
-    return _unroll(df, root, grow, levels, out)
-
+def with_definition_nodes(df: DataFrame, v: str, levels: int, out: str) -> DataFrame:
+    """Add every (sub-)schema of the definition ``v``, the root first."""
+    root = f"""cast(array(named_struct('path', '', 'name', '', 'needed', true, 'depth', 0,
+        'v', {v})) AS {_DEFINITION_NODES})"""
+    return _unroll(df, root, _DECLARED, levels, out)
 
-def declared_types(v: Column) -> Column:
-    """``type`` of a schema node as a list, NULL when any type is allowed."""
-    one = F.try_variant_get(v, "$.type", "string")
-    return F.coalesce(
-        F.try_variant_get(v, "$.type", "array<string>"),
-        F.when(one.isNotNull(), F.array(one)),
-    )
 
-
-def declared_enum(v: Column) -> Column:
-    """``enum`` of a schema node as canonical JSON texts."""
-    return F.transform(as_array(v, "$.enum"), lambda x: F.to_json(x))
+def with_record_nodes(df: DataFrame, v: str, levels: int, out: str) -> DataFrame:
+    """Add every value of the record ``v`` down to ``levels``, the root first."""
+    root = f"""cast(array(named_struct('path', '', 'rule', '', 'kind', {kind(v)},
+        'v', {v})) AS {_RECORD_NODES})"""
+    return _unroll(df, root, _GROWN, levels, out)

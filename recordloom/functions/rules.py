@@ -7,93 +7,65 @@ and a schema that owns a third of all records costs nothing extra.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import jsontree
 
 VIOLATIONS = "array<struct<path:string,check:string,detail:string>>"
 
+_RULES = f"""map_from_entries(transform(_nodes, n -> struct(n.path, named_struct(
+    'types', {jsontree.types('n.v')},
+    'options', {jsontree.options('n.v')},
+    'required', try_variant_get(n.v, '$.required', 'array<string>'),
+    'closed', coalesce(NOT try_variant_get(n.v, '$.additionalProperties', 'boolean'), false),
+    'declared', coalesce(map_keys({jsontree.members('n.v', '$.properties')}), cast(array() AS array<string>))))))"""
+
 
 def compile_rules(schemas: DataFrame, levels: int, key: tuple[str, ...]) -> DataFrame:
     """(key..., rules): pointer of each (sub-)schema -> its constraints."""
     nodes = jsontree.with_definition_nodes(
-        schemas, F.try_parse_json("schema_definition"), levels, "_nodes"
-    )
-    rules = F.map_from_entries(
-        F.transform(
-            "_nodes",
-            lambda n: F.struct(
-                n["path"].alias("key"),
-                F.struct(
-                    jsontree.declared_types(n["v"]).alias("types"),
-                    jsontree.declared_enum(n["v"]).alias("options"),
-                    F.try_variant_get(n["v"], "$.required", "array<string>").alias("required"),
-                    F.coalesce(
-                        ~F.try_variant_get(n["v"], "$.additionalProperties", "boolean"),
-                        F.lit(False),
-                    ).alias("closed"),
-                    F.coalesce(
-                        F.map_keys(jsontree.as_map(n["v"], "$.properties")),
-                        F.array().cast("array<string>"),
-                    ).alias("declared"),
-                ).alias("value"),
-            ),
-        )
+        schemas, "try_parse_json(schema_definition)", levels, "_nodes"
     )
-    return nodes.select(*key, rules.alias("rules"))
+    return nodes.select(*key, F.expr(_RULES).alias("rules"))
 
 
-def _violation(node: Column, check: str, detail: Column) -> Column:
-    return F.struct(
-        node["path"].alias("path"), F.lit(check).alias("check"), detail.alias("detail")
-    )
+def _found(check: str, condition: str, details: str) -> str:
+    """Violations of one kind: one per element of the ``details`` list."""
+    return f"""CASE WHEN {condition} THEN transform({details}, d -> named_struct(
+        'path', x.n.path, 'check', '{check}', 'detail', d))
+        ELSE cast(array() AS {VIOLATIONS}) END"""
 
 
-def _judge(node: Column, rule: Column) -> Column:
-    keys = F.map_keys(jsontree.as_map(node["v"]))
-    is_object = node["kind"] == "object"
-    fits = F.array_contains(rule["types"], node["kind"]) | (
-        (node["kind"] == "integer") & F.array_contains(rule["types"], F.lit("number"))
-    )
-    type_error = F.when(
-        rule["types"].isNotNull() & ~fits, F.array(_violation(node, "type", node["kind"]))
-    )
-    text = F.to_json(node["v"])
-    enum_error = F.when(
-        rule["options"].isNotNull() & ~F.array_contains(rule["options"], text),
-        F.array(_violation(node, "enum", text)),
-    )
-    missing = F.transform(
-        F.array_except(rule["required"], keys), lambda k: _violation(node, "required", k)
-    )
-    extra = F.transform(
-        F.array_except(keys, rule["declared"]), lambda k: _violation(node, "extra", k)
-    )
-    nothing = F.array().cast(VIOLATIONS)
+_KEYS = f"map_keys({jsontree.members('x.n.v')})"
 
-    def part(condition: Column | None, found: Column) -> Column:
-        found = found.cast(VIOLATIONS)
-        if condition is not None:
-            found = F.when(condition, found)
-        return F.coalesce(found, nothing)
-
-    return F.concat(
-        part(None, type_error),
-        part(None, enum_error),
-        part(is_object & rule["required"].isNotNull(), missing),
-        part(is_object & rule["closed"], extra),
-    )
+_JUDGED = f"""concat(
+    {_found(
+        "type",
+        "x.r.types IS NOT NULL AND NOT array_contains(x.r.types, x.n.kind) AND NOT "
+        "(x.n.kind = 'integer' AND array_contains(x.r.types, 'number'))",
+        "array(x.n.kind)")},
+    {_found(
+        "enum",
+        "x.r.options IS NOT NULL AND NOT array_contains(x.r.options, to_json(x.n.v))",
+        "array(to_json(x.n.v))")},
+    {_found(
+        "required",
+        "x.n.kind = 'object' AND x.r.required IS NOT NULL",
+        f"array_except(x.r.required, {_KEYS})")},
+    {_found(
+        "extra",
+        "x.n.kind = 'object' AND x.r.closed",
+        f"array_except({_KEYS}, x.r.declared)")})"""
 
 
 def with_violations(
-    df: DataFrame, record: Column, levels: int, rules: str = "rules", out: str = "violations"
+    df: DataFrame, record: str, levels: int, rules: str = "rules", out: str = "violations"
 ) -> DataFrame:
     """Add every violation of a parsed record against the rules in its row."""
     df = jsontree.with_record_nodes(df, record, levels, "_values")
-    ruled = F.transform(
-        "_values", lambda n: F.struct(n.alias("n"), F.try_element_at(F.col(rules), n["rule"]).alias("r"))
-    )
-    df = df.withColumn("_ruled", F.filter(ruled, lambda x: x["r"].isNotNull()))
-    found = F.flatten(F.transform("_ruled", lambda x: _judge(x["n"], x["r"])))
-    return df.withColumn(out, found).drop("_values", "_ruled")
+    ruled = f"""filter(
+        transform(_values, n -> named_struct('n', n, 'r', try_element_at({rules}, n.rule))),
+        x -> x.r IS NOT NULL)"""
+    found = f"flatten(transform({ruled}, x -> {_JUDGED}))"
+    return df.withColumn(out, F.expr(found).cast(VIOLATIONS)).drop("_values")

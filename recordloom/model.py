@@ -33,6 +33,7 @@ REQUEST_DOES_NOT_EXIST = ("RequestDoesNotExist", "Request does not exist.")
 INVALID_MIME_TYPE = ("InvalidMimeType", "Invalid MIME type.")
 INVALID_DATA = ("InvalidData", "Data does not match schema")
 JSON_DECODE_ERROR = ("JSONDecodeError", "Output is not one JSON object")
+DECODE_ERROR = ("Error", "Content is not base64")
 VALIDATION_ERROR = "ValidationError"
 SCHEMA_ERROR = "SchemaError"
 TOO_LARGE = "SchemaDefinitionTooLarge"

@@ -64,52 +64,19 @@ def quoted(value: Column) -> Column:
     return F.to_json(value.cast("variant"))
 
 
-def _mark(node: Column, field_rules: Sequence[FieldRule]) -> Column:
-    """Placeholder of the first rule whose cue and type fit the field."""
-    v = node["v"]
-    hints = F.lower(
-        F.concat_ws(
-            " ",
-            F.replace(node["name"], F.lit("_"), F.lit(" ")),
-            F.try_variant_get(v, "$.format", "string"),
-            F.try_variant_get(v, "$.description", "string"),
-        )
+def _mark(field_rules: Sequence[FieldRule]) -> str:
+    """Placeholder of the first rule whose cue and type fit the field ``n``."""
+    types = f"coalesce({jsontree.types('n.v')}, array('string'))"
+    hints = """lower(concat_ws(' ', replace(n.name, '_', ' '),
+        try_variant_get(n.v, '$.format', 'string'),
+        try_variant_get(n.v, '$.description', 'string')))"""
+    numeric = f"arrays_overlap({types}, array('number', 'integer'))"
+    cases = " ".join(
+        f"WHEN {numeric if rule.number else f"array_contains({types}, 'string')"} "
+        f"AND {hints} rlike r'{rule.cue}' THEN '{rule.mark}'"
+        for rule in field_rules
     )
-    types = F.coalesce(jsontree.declared_types(v), F.array(F.lit("string")))
-    numeric = F.array_contains(types, "number") | F.array_contains(types, "integer")
-    found = F.when(F.array_contains(types, "array"), "[]").otherwise("null")
-    for rule in reversed(field_rules):
-        fits = numeric if rule.number else F.array_contains(types, "string")
-        found = F.when(fits & hints.rlike(rule.cue), rule.mark).otherwise(found)
-    return found
-
-
-def _at_depth(depth: int):
-    return lambda node: node["depth"] == depth
-
-
-def _renderer(below: Column | None, field_rules: Sequence[FieldRule]):
-    """JSON text of a node; members come from the level ``below``, done before."""
-
-    def record(node: Column) -> Column:
-        members = F.filter(
-            below, lambda c: (c["parent"] == node["path"]) & (c["name"] != jsontree.ITEM_STEP)
-        )
-        pairs = F.transform(members, lambda c: F.concat(quoted(c["name"]), F.lit(":"), c["body"]))
-        return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-
-    def render(node: Column) -> Column:
-        body = _mark(node, field_rules)
-        if below is not None:
-            has_members = jsontree.as_map(node["v"], "$.properties").isNotNull()
-            body = F.when(has_members, record(node)).otherwise(body)
-        return F.struct(
-            F.regexp_replace(node["path"], "/[^/]*$", "").alias("parent"),
-            node["name"].alias("name"),
-            body.alias("body"),
-        )
-
-    return render
+    return f"CASE {cases} WHEN array_contains({types}, 'array') THEN '[]' ELSE 'null' END"
 
 
 def compile_templates(
@@ -118,18 +85,26 @@ def compile_templates(
     """Add ``template``: the JSON record of a schema with a mark per rule kind.
 
     A text is later turned into a record by replacing the few marks, whatever
-    the number of schemas and fields.
+    the number of schemas and fields. Members are rendered before the objects
+    that hold them, one projection per level.
     """
     df = jsontree.with_definition_nodes(
-        schemas, F.try_parse_json("schema_definition"), levels, "_nodes"
+        schemas, "try_parse_json(schema_definition)", levels, "_nodes"
     )
+    leaf = _mark(field_rules)
     for depth in range(levels, -1, -1):
-        below = F.col(f"_t{depth + 1}") if depth < levels else None
-        here = F.filter("_nodes", _at_depth(depth))
-        df = df.withColumn(f"_t{depth}", F.transform(here, _renderer(below, field_rules)))
-    return df.select(
-        *schemas.columns, F.get(F.col("_t0"), F.lit(0))["body"].alias("template")
-    )
+        body = leaf
+        if depth < levels:
+            has_members = f"{jsontree.members('n.v', '$.properties')} IS NOT NULL"
+            body = f"""CASE WHEN {has_members} THEN concat('{{', array_join(transform(
+                filter(_t{depth + 1},
+                    c -> c.parent = n.path AND c.name != '{jsontree.ITEM_STEP}'),
+                c -> concat(to_json(cast(c.name AS variant)), ':', c.body)), ','), '}}')
+                ELSE {leaf} END"""
+        rendered = f"""transform(filter(_nodes, n -> n.depth = {depth}), n -> named_struct(
+            'parent', regexp_replace(n.path, '/[^/]*$', ''), 'name', n.name, 'body', {body}))"""
+        df = df.withColumn(f"_t{depth}", F.expr(rendered))
+    return df.select(*schemas.columns, F.expr("get(_t0, 0).body").alias("template"))
 
 
 def fill_template(
@@ -139,7 +114,9 @@ def fill_template(
     out = template
     for rule in field_rules:
         match = F.nullif(F.regexp_extract(content, rule.pattern, rule.group), F.lit(""))
-        value = F.replace(match, F.lit(","), F.lit("")) if rule.number else quoted(match)
+        # JSON numbers have no thousands separators and no leading zeros.
+        digits = F.regexp_replace(F.replace(match, F.lit(","), F.lit("")), "^0+([0-9])", "$1")
+        value = digits if rule.number else quoted(match)
         filled = F.replace(out, F.lit(rule.mark), F.coalesce(value, F.lit("null")))
         out = F.when(template.contains(rule.mark), filled).otherwise(out)
     return out
@@ -258,7 +235,7 @@ def judge(answers: DataFrame, levels: int) -> DataFrame:
     invalid data.
     """
     df = answers.withColumn("_record", text.parse_object(text.json_span(F.trim("content"))))
-    df = rules.with_violations(df, F.col("_record"), levels)
+    df = rules.with_violations(df, "_record", levels)
     decode_name, decode_message = model.JSON_DECODE_ERROR
     data_name, data_message = model.INVALID_DATA
     called = F.col("call_error").isNull()

@@ -93,8 +93,12 @@ def decoded(column: str = "content") -> Column:
 def decode_content(requests: DataFrame) -> DataFrame:
     """D3: add ``bytes`` for media requests and an error for undecodable ones."""
     media = mime_kind().isin("pdf", "image")
-    return requests.withColumn("bytes", F.when(media, decoded())).withColumn(
-        "error_name", F.when(media & F.col("bytes").isNull(), "Error")
+    name, message = model.DECODE_ERROR
+    failed = media & F.col("bytes").isNull()
+    return (
+        requests.withColumn("bytes", F.when(media, decoded()))
+        .withColumn("error_name", F.when(failed, name))
+        .withColumn("error_message", F.when(failed, message))
     )
 
 
@@ -214,12 +218,19 @@ def unresolved(requests: DataFrame, schemas: DataFrame, allow_deleted: bool = Tr
 
 
 def prepare(resolved: DataFrame, splitter: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Add text_data and image_list (object keys in page order)."""
+    """Add text_data and image_list (object keys in page order).
+
+    Media that cannot be decoded carries an error, see ``valid`` and ``invalid``.
+    """
     paged = page_arrays(resolved, splitter)
     keys = F.transform("pages", lambda page: object_key(F.col("request_id"), page))
+    undecodable = mime_kind().isin("pdf", "image") & decoded().isNull()
+    name, message = model.DECODE_ERROR
     return (
         paged.withColumn("text_data", text_payload())
         .withColumn("image_list", keys)
+        .withColumn("error_name", F.when(undecodable, name))
+        .withColumn("error_message", F.when(undecodable, message))
         .drop("pages", "page_mime", "content")
     )
 

@@ -32,48 +32,47 @@ def length_problem(column: str, bounds: tuple[int, int]) -> Column:
     )
 
 
-def _member_is(v: Column, name: str, *kinds: str) -> Column:
-    member = F.try_variant_get(v, f"$.{name}", "variant")
-    return member.isNull() | jsontree.json_kind(member).isin(*kinds)
-
-
-def _node_problems(node: Column) -> Column:
-    """Broken meta-schema rules of one (sub-)schema."""
-    v, place = node["v"], node["path"]
-    kind = jsontree.json_kind(v)
-    types = jsontree.declared_types(v)
-    required = jsontree.as_array(v, "$.required")
-    names = F.transform(required, lambda x: F.to_json(x))
-    rules = {
-        "schema must be an object or a boolean": ~kind.isin("object", "boolean"),
-        "type must be a name or a list of distinct names": types.isNotNull()
-        & (
-            (F.size(types) == 0)
-            | (F.size(F.array_distinct(types)) != F.size(types))
-            | (F.size(F.array_except(types, F.array(*map(F.lit, model.JSON_TYPES)))) > 0)
-        ),
-        "required must be a list of distinct strings": ~_member_is(v, "required", "array")
-        | (
-            required.isNotNull()
-            & (
-                F.exists(required, lambda x: jsontree.json_kind(x) != "string")
-                | (F.size(F.array_distinct(names)) != F.size(names))
-            )
-        ),
-        "enum must be a list": ~_member_is(v, "enum", "array"),
-        "properties must be an object": ~_member_is(v, "properties", "object"),
-        "items must be a schema": ~_member_is(v, "items", "object", "boolean"),
-        "additionalProperties must be a schema": ~_member_is(
-            v, "additionalProperties", "object", "boolean"
-        ),
-        "title must be a string": ~_member_is(v, "title", "string"),
-        "description must be a string": ~_member_is(v, "description", "string"),
-        "format must be a string": ~_member_is(v, "format", "string"),
-    }
-    found = [
-        F.when(broken, F.concat(place, F.lit(f": {rule}"))) for rule, broken in rules.items()
-    ]
-    return F.array_compact(F.array(*found))
+def _member_is(name: str, *kinds: str) -> str:
+    member = f"try_variant_get(n.v, '$.{name}', 'variant')"
+    wanted = ", ".join(f"'{k}'" for k in kinds)
+    return f"({member} IS NULL OR {jsontree.kind(member)} IN ({wanted}))"
+
+
+_TYPE_NAMES = "array(" + ", ".join(f"'{t}'" for t in model.JSON_TYPES) + ")"
+_TYPES = jsontree.types("n.v")
+_REQUIRED = jsontree.elements("n.v", "$.required")
+
+# Meta-schema rules: message -> condition under which a (sub-)schema ``n`` breaks it.
+_META_RULES = {
+    "schema must be an object or a boolean": f"{jsontree.kind('n.v')} NOT IN ('object', 'boolean')",
+    "type must be a name or a list of distinct names": (
+        f"{_TYPES} IS NOT NULL AND (size({_TYPES}) = 0 "
+        f"OR size(array_distinct({_TYPES})) != size({_TYPES}) "
+        f"OR size(array_except({_TYPES}, {_TYPE_NAMES})) > 0)"
+    ),
+    "required must be a list of distinct strings": (
+        f"NOT {_member_is('required', 'array')} OR ({_REQUIRED} IS NOT NULL AND ("
+        f"exists({_REQUIRED}, q -> {jsontree.kind('q')} != 'string') "
+        f"OR size(array_distinct(transform({_REQUIRED}, q -> to_json(q)))) != size({_REQUIRED})))"
+    ),
+    "enum must be a list": f"NOT {_member_is('enum', 'array')}",
+    "properties must be an object": f"NOT {_member_is('properties', 'object')}",
+    "items must be a schema": f"NOT {_member_is('items', 'object', 'boolean')}",
+    "additionalProperties must be a schema": (
+        f"NOT {_member_is('additionalProperties', 'object', 'boolean')}"
+    ),
+    "title must be a string": f"NOT {_member_is('title', 'string')}",
+    "description must be a string": f"NOT {_member_is('description', 'string')}",
+    "format must be a string": f"NOT {_member_is('format', 'string')}",
+}
+_NODE_PROBLEMS = (
+    "array_compact(array("
+    + ", ".join(
+        f"CASE WHEN {broken} THEN concat(n.path, ': {rule}') END"
+        for rule, broken in _META_RULES.items()
+    )
+    + "))"
+)
 
 
 def check_definitions(schemas: DataFrame, levels: int | None = None) -> DataFrame:
@@ -81,16 +80,12 @@ def check_definitions(schemas: DataFrame, levels: int | None = None) -> DataFram
     if levels is None:
         levels = jsontree.measured_levels(schemas)
     df = schemas.withColumn("_v", F.try_parse_json("schema_definition"))
-    df = jsontree.with_definition_nodes(df, F.col("_v"), levels, "_nodes")
-    problems = (
-        F.when(F.col("_v").isNull(), F.array(F.lit(": definition is not JSON")))
-        .when(
-            jsontree.json_kind(F.col("_v")) != "object",
-            F.array(F.lit(": definition must be an object")),
-        )
-        .otherwise(F.flatten(F.transform("_nodes", _node_problems)))
-    )
-    return df.withColumn("problems", problems).drop("_v", "_nodes")
+    df = jsontree.with_definition_nodes(df, "_v", levels, "_nodes")
+    problems = f"""CASE
+        WHEN _v IS NULL THEN array(': definition is not JSON')
+        WHEN {jsontree.kind("_v")} != 'object' THEN array(': definition must be an object')
+        ELSE flatten(transform(_nodes, n -> {_NODE_PROBLEMS})) END"""
+    return df.withColumn("problems", F.expr(problems)).drop("_v", "_nodes")
 
 
 def count_tokens(
@@ -256,25 +251,21 @@ def schema_fields(schemas: DataFrame, levels: int | None = None) -> DataFrame:
     if levels is None:
         levels = jsontree.measured_levels(schemas)
     df = jsontree.with_definition_nodes(
-        schemas, F.try_parse_json("schema_definition"), levels, "_nodes"
+        schemas, "try_parse_json(schema_definition)", levels, "_nodes"
     )
-    node = F.col("_node")
-    v = node["v"]
-    types = jsontree.declared_types(v)
-    return (
-        df.select(*KEY, F.explode(F.filter("_nodes", lambda n: n["depth"] > 0)).alias("_node"))
-        .select(
-            *KEY,
-            node["path"].alias("path"),
-            node["name"].alias("field_name"),
-            node["depth"].alias("depth"),
-            types.alias("types"),
-            F.coalesce(F.array_contains(types, "null"), F.lit(False)).alias("nullable"),
-            F.try_variant_get(v, "$.format", "string").alias("format"),
-            jsontree.declared_enum(v).alias("options"),
-            node["needed"].alias("required"),
-            F.try_variant_get(v, "$.description", "string").alias("description"),
-        )
+    types = jsontree.types("n.v")
+    fields = df.select(*KEY, F.expr("explode(filter(_nodes, n -> n.depth > 0)) AS n"))
+    return fields.selectExpr(
+        *KEY,
+        "n.path AS path",
+        "n.name AS field_name",
+        "n.depth AS depth",
+        f"{types} AS types",
+        f"coalesce(array_contains({types}, 'null'), false) AS nullable",
+        "try_variant_get(n.v, '$.format', 'string') AS format",
+        f"{jsontree.options('n.v')} AS options",
+        "n.needed AS required",
+        "try_variant_get(n.v, '$.description', 'string') AS description",
     )
 
 
@@ -380,9 +371,9 @@ def typed_records(results: DataFrame, definition: str | dict, column: str = "res
 
 def tool_specs(schemas: DataFrame) -> DataFrame:
     """Function-calling specification of each schema."""
-    members = F.map_filter(
-        jsontree.as_map(F.try_parse_json("schema_definition")),
-        lambda k, v: ~k.isin("description", "$schema"),
+    members = F.expr(
+        f"map_filter({jsontree.members('try_parse_json(schema_definition)')}, "
+        "(k, v) -> k NOT IN ('description', '$schema'))"
     )
     spec = F.struct(
         F.lit("function").alias("type"),

@@ -60,8 +60,14 @@ def _good_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.valid(intake.check_requests(view(spark, sf_dir, "requests")))
 
 
-def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = intake.resolve(_good_requests(spark, sf_dir), view(spark, sf_dir, "doc_schemas"))
+def _registry(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A registry derived from documents, stored once: it is read several times."""
+    return materialise(view(spark, sf_dir, name), name)
+
+
+def _prepared(spark: SparkSession, sf_dir: str, schemas: DataFrame | None = None) -> DataFrame:
+    schemas = schemas or view(spark, sf_dir, "doc_schemas")
+    resolved = intake.resolve(_good_requests(spark, sf_dir), schemas)
     return intake.prepare(resolved, intake.split_text_pages(PAGE_BREAK))
 
 
@@ -158,6 +164,7 @@ def d10_unresolved(spark, sf_dir):
 def d11_prepare(spark, sf_dir):
     return _prepared(spark, sf_dir).select(
         "request_id",
+        "error_name",
         F.md5("text_data").alias("text_digest"),
         F.md5(F.array_join("image_list", ",")).alias("image_digest"),
         _long(F.size("image_list")).alias("images"),
@@ -379,17 +386,23 @@ def e2_model(spark, sf_dir):
     return rows.select("request_id", "mime_type", "model")
 
 
-def _extracted(spark, sf_dir):
-    schemas = view(spark, sf_dir, "doc_schemas")
+def _extracted(spark, sf_dir, schemas=None):
+    """(judged answers, failures before extraction): one lookup brings each
+    request its definition, rules and template."""
+    schemas = schemas or _registry(spark, sf_dir, "doc_schemas")
     levels = measured_levels(schemas)
-    compiled = extraction.compile_schemas(schemas, levels).drop("schema_definition")
-    rows = extraction.attach_schemas(_prepared(spark, sf_dir), compiled)
-    return extraction.extract(prompting.with_prompt(rows), extraction.RuleExtractor(), levels)
+    compiled = extraction.compile_schemas(schemas, levels)
+    prepared = _prepared(spark, sf_dir, compiled)
+    judged = extraction.extract(
+        prompting.with_prompt(intake.valid(prepared)), extraction.RuleExtractor(), levels
+    )
+    return judged, extraction.failures(intake.invalid(prepared))
 
 
 @query
 def e3_rule_extract(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("request_id", "schema_name", "content")
+    judged, _ = _extracted(spark, sf_dir)
+    return judged.select("request_id", "schema_name", "content")
 
 
 @query
@@ -427,7 +440,7 @@ def e6_parse(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    schemas = view(spark, sf_dir, "answer_schemas")
+    schemas = _registry(spark, sf_dir, "answer_schemas")
     levels = measured_levels(schemas)
     compiled = extraction.compile_schemas(schemas, levels, with_templates=False)
     rows = view(spark, sf_dir, "answers").withColumn("call_error", F.lit(None).cast("string"))
@@ -492,7 +505,7 @@ class ScriptedExtractor:
 
 
 def _retried(spark, sf_dir):
-    schemas = view(spark, sf_dir, "answer_schemas")
+    schemas = _registry(spark, sf_dir, "answer_schemas")
     levels = measured_levels(schemas)
     compiled = extraction.compile_schemas(schemas, levels, with_templates=False)
     expected = F.concat(
@@ -541,10 +554,10 @@ def e9_result(spark, sf_dir):
 @query
 def e10_failure(spark, sf_dir):
     requests = view(spark, sf_dir, "requests")
-    checked = intake.invalid(intake.check_requests(requests))
-    failed = extraction.failures(checked)
-    extracted = extraction.assemble(_extracted(spark, sf_dir))
-    rows = extraction.all_results(extracted.drop("violations"), failed)
+    refused = extraction.failures(intake.invalid(intake.check_requests(requests)))
+    judged, undecodable = _extracted(spark, sf_dir)
+    results = extraction.assemble(judged).drop("violations")
+    rows = extraction.all_results(results, refused.unionByName(undecodable))
     return rows.select(
         "request_id",
         F.col("error.error_name").alias("error_name"),
@@ -584,12 +597,14 @@ def extract_documents(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = view(spark, sf_dir, "requests")
-    schemas = view(spark, sf_dir, "doc_schemas")
-    failed = extraction.failures(intake.invalid(intake.check_requests(requests)))
-    good = _good_requests(spark, sf_dir)
-    unknown = extraction.failures(intake.unresolved(good, schemas))
-    results = extraction.assemble(_extracted(spark, sf_dir)).drop("violations")
-    rows = extraction.all_results(extraction.all_results(results, failed), unknown)
+    schemas = _registry(spark, sf_dir, "doc_schemas")
+    refused = extraction.failures(intake.invalid(intake.check_requests(requests)))
+    unknown = extraction.failures(intake.unresolved(_good_requests(spark, sf_dir), schemas))
+    judged, undecodable = _extracted(spark, sf_dir, schemas)
+    results = extraction.assemble(judged).drop("violations")
+    rows = extraction.all_results(
+        results, refused.unionByName(unknown).unionByName(undecodable)
+    )
     name, message = F.col("error.error_name"), F.col("error.error_message")
     return rows.select(
         "request_id",
@@ -693,10 +708,12 @@ def _messages(spark, sf_dir):
 
 @query
 def t1_enqueue(spark, sf_dir):
-    bodies, _ = _messages(spark, sf_dir)
+    bodies, transitions, _ = _messages(spark, sf_dir)
     folder = new_folder(spark, "queue")
     queue.send(bodies, folder)
-    return queue.read_all(spark, folder).select(
+    sent = queue.read_all(spark, folder)
+    status = transitions.select("request_id", "status")
+    return status.join(sent, "request_id", "left").select(
         "request_id",
         "key.schema_name",
         "key.schema_version",
@@ -704,16 +721,16 @@ def t1_enqueue(spark, sf_dir):
         _long(F.size("payload.image_list")).alias("images"),
         _long(F.char_length("payload.schema_definition")).alias("definition_length"),
         _stamp("created_at").alias("created_at"),
-        F.lit(model.QUEUED).alias("status"),
+        "status",
     )
 
 
 def _run_queue(spark, sf_dir) -> str:
     """Send every request twice, run the queue until it is empty."""
-    bodies, _ = _messages(spark, sf_dir)
+    bodies, _, _ = _messages(spark, sf_dir)
     folder, out = new_folder(spark, "queue"), new_folder(spark, "run")
     queue.send(bodies.union(bodies), folder)
-    schemas = view(spark, sf_dir, "doc_schemas")
+    schemas = _registry(spark, sf_dir, "doc_schemas")
     levels = measured_levels(schemas)
     compiled = materialise(extraction.compile_schemas(schemas, levels), "compiled")
     stream = runner.run_queue(

@@ -14,22 +14,31 @@ from recordloom.sources import queue, tables
 RETENTION = f"{model.RETENTION_DAYS} days"
 
 
-def enqueue(requests: DataFrame, schemas: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(queue messages, QUEUED states) of the requests that may go on.
+def enqueue(requests: DataFrame, schemas: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queue messages, state rows, result rows of requests that failed).
 
-    The QUEUED time is the request's own time, before any RUNNING time.
+    The QUEUED time is the request's own time, before any RUNNING time. A
+    request without a schema leaves nothing here (see ``intake.unresolved``).
     """
     checked = intake.valid(intake.check_requests(requests))
     prepared = intake.prepare(intake.resolve(checked, schemas))
-    queued = states.state_rows(prepared, model.QUEUED, F.col("created_at"))
-    return queue.event_body(prepared), queued
+    status = F.when(F.col("error_name").isNull(), model.QUEUED).otherwise(model.FAILED)
+    return (
+        queue.event_body(intake.valid(prepared)),
+        states.state_rows(prepared, status, F.col("created_at")),
+        extraction.failures(intake.invalid(prepared)),
+    )
 
 
 def first_of_each(events: DataFrame) -> DataFrame:
     """T5, T6 on a stream: a redelivered event within the retention period is
     dropped, and state older than that is released by the watermark."""
-    return events.withWatermark("created_at", RETENTION).dropDuplicatesWithinWatermark(
-        ["request_id"]
+    moment = F.to_utc_timestamp(F.col("created_at"), "UTC")
+    return (
+        events.withColumn("_moment", moment)
+        .withWatermark("_moment", RETENTION)
+        .dropDuplicatesWithinWatermark(["request_id"])
+        .drop("_moment")
     )
 
 
