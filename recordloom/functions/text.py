@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,17 +38,20 @@ def json_span(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
+_END = "\ue000end\ue001"
+
+
 def parse_object(span: Column) -> Column:
     """The single JSON object in ``span`` as a variant, NULL when there is none.
 
-    Reading the span as a list shows whether it is one value with nothing after
-    it; raw control characters inside strings are accepted, ``NaN`` and the
-    infinities are not. The variant is read from the span itself, which keeps
-    reals exact; only a text with raw control characters takes the reader's
-    re-escaped copy.
+    The span is read as the first of two list elements: only when the mark
+    behind it is read as the second one is the span one whole value. Raw control
+    characters inside strings are accepted, ``NaN`` and the infinities are not.
+    The variant is read from the span itself, which keeps reals exact; only a
+    text with raw control characters takes the reader's re-escaped copy.
     """
     values = F.from_json(
-        F.concat(F.lit("["), span, F.lit("]")),
+        F.concat(F.lit("["), span, F.lit(f',"{_END}"]')),
         "array<string>",
         {
             "allowUnquotedControlChars": "true",
@@ -52,9 +59,9 @@ def parse_object(span: Column) -> Column:
             "allowSingleQuotes": "false",
         },
     )
+    whole = (F.size(values) == 2) & (F.get(values, F.lit(1)) == _END) & ~span.contains(_END)
     return F.when(
-        F.size(values) == 1,
-        F.coalesce(F.try_parse_json(span), F.try_parse_json(F.get(values, F.lit(0)))),
+        whole, F.coalesce(F.try_parse_json(span), F.try_parse_json(F.get(values, F.lit(0))))
     )
 
 
@@ -77,11 +84,6 @@ def exact_tokens(vocabulary_file: str, split_pattern: str):
     The rank file must be readable on every executor (ship it with
     ``spark.files`` or keep it on shared storage).
     """
-    import json
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
@@ -109,6 +111,11 @@ def exact_tokens(vocabulary_file: str, split_pattern: str):
     return count
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 on one line, whatever line length the session encodes with."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def short_id(*parts: Column) -> Column:
     """Ten letters or digits that depend on nothing but ``parts``, so a rerun
     writes the same key again (about 60 bits)."""

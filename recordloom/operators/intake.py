@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recordloom import model
 from recordloom.functions.joins import lookup_join
+from recordloom.functions.text import base64_text
 from recordloom.operators.registry import KEY, length_problem
 
 PAGE_BREAK = "\f"
@@ -126,7 +127,8 @@ def page_arrays(requests: DataFrame, splitter: Callable[[Column], Column] | None
     data = decoded()
     split = (splitter or split_text_pages())(data)
     nothing = F.array().cast("array<binary>")
-    pages = F.when(kind == "pdf", split).when(kind == "image", F.array(data)).otherwise(nothing)
+    one = F.when(data.isNotNull(), F.array(data))
+    pages = F.when(kind == "pdf", split).when(kind == "image", one).otherwise(nothing)
     return requests.withColumn("pages", F.coalesce(pages, nothing)).withColumn(
         "page_mime",
         F.when(kind == "pdf", model.PAGE_IMAGE_MIME).otherwise(F.col("mime_type")),
@@ -250,6 +252,6 @@ def page_requests(
     return pages.select(
         F.concat_ws("-", "request_id", "page_no").alias("request_id"),
         *KEY,
-        F.base64("page").alias("content"),
+        base64_text(F.col("page")).alias("content"),
         "mime_type",
     )

@@ -278,6 +278,9 @@ NEEDS = {
 }
 
 
+_SPARK_BASE64 = r"translate(base64(encode(\1, 'UTF-8')), concat(chr(13), chr(10)), '')"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -306,7 +309,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             table(spark, sf_dir, needed).createOrReplaceTempView(needed)
         else:
             body = VIEWS[needed].replace("TS0", "TIMESTAMP_NTZ '2024-01-01 00:00:00'")
-            body = re.sub(r"B64\((\w+)\)", r"base64(encode(\1, 'UTF-8'))", body)
+            body = re.sub(r"B64\((\w+)\)", _SPARK_BASE64, body)
             parts.append(f"{needed} AS ({body.replace('STRING_', 'STRING')})")
     return spark.sql(f"WITH {', '.join(parts)} SELECT * FROM {name}")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom import model
+from recordloom.functions.text import base64_text
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -22,8 +23,7 @@ def text_file_stream(spark: SparkSession, path: str, files_per_trigger: int = 10
     """D1 as a stream of newly arriving files."""
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
-        .option("wholetext", "true")
-        .text(path)
+        .text(path, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("document_id"),
             F.col("value").alias("content"),
@@ -45,10 +45,10 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     """Files as base64 text, the form in which requests carry media."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select(
-        F.col("path").alias("document_id"), F.base64("content").alias("content"), "length"
+        F.col("path").alias("document_id"), base64_text(F.col("content")).alias("content"), "length"
     )
 
 
 def encoded(table: DataFrame, column: str) -> DataFrame:
     """D2 for bytes or text held in a table."""
-    return table.withColumn("content", F.base64(F.col(column).cast("binary")))
+    return table.withColumn("content", base64_text(F.col(column).cast("binary")))
