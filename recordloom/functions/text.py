@@ -113,7 +113,7 @@ def exact_tokens(vocabulary_file: str, split_pattern: str):
 
 def base64_text(data: Column) -> Column:
     """Base64 on one line, whatever line length the session encodes with."""
-    return F.translate(F.base64(data), "\r\n", "")
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
 
 
 def short_id(*parts: Column) -> Column:

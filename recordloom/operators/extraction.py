@@ -116,9 +116,10 @@ def fill_template(
         match = F.nullif(F.regexp_extract(content, rule.pattern, rule.group), F.lit(""))
         # JSON numbers have no thousands separators and no leading zeros.
         digits = F.regexp_replace(F.replace(match, F.lit(","), F.lit("")), "^0+([0-9])", "$1")
-        value = digits if rule.number else quoted(match)
-        filled = F.replace(out, F.lit(rule.mark), F.coalesce(value, F.lit("null")))
-        out = F.when(template.contains(rule.mark), filled).otherwise(out)
+        value = F.coalesce(digits if rule.number else quoted(match), F.lit("null"))
+        # The text is only searched when the schema asks for this kind.
+        wanted = F.when(template.contains(rule.mark), value).otherwise("")
+        out = F.replace(out, F.lit(rule.mark), wanted)
     return out
 
 
@@ -234,7 +235,8 @@ def judge(answers: DataFrame, levels: int) -> DataFrame:
     not one JSON object is a decode error, a record that breaks its schema is
     invalid data.
     """
-    df = answers.withColumn("_record", text.parse_object(text.json_span(F.trim("content"))))
+    df = answers.withColumn("_span", text.json_span(F.trim("content")))
+    df = df.withColumn("_record", text.parse_object(F.col("_span"))).drop("_span")
     df = rules.with_violations(df, "_record", levels)
     decode_name, decode_message = model.JSON_DECODE_ERROR
     data_name, data_message = model.INVALID_DATA

@@ -104,16 +104,17 @@ def decode_content(requests: DataFrame) -> DataFrame:
 
 
 def split_text_pages(page_break: str = PAGE_BREAK) -> Callable[[Column], Column]:
-    """Built-in page splitter: text pages divided by a literal separator.
+    """Built-in page splitter: pages divided by a literal ASCII separator.
 
     A custom splitter is any function from the document's bytes to an array of
     page bytes; ``pages_with`` takes the ones that need a Python library.
     """
 
     def split(data: Column) -> Column:
-        whole = F.decode(data, "UTF-8")
+        # One character per byte: any bytes pass through unchanged.
+        whole = F.decode(data, "ISO-8859-1")
         parts = F.split(whole, r"\Q" + page_break + r"\E", -1)
-        return F.transform(parts, lambda page: F.encode(page, "UTF-8"))
+        return F.transform(parts, lambda page: F.encode(page, "ISO-8859-1"))
 
     return split
 

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.session import configure
+from recordloom.sources.documents import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -278,12 +279,17 @@ NEEDS = {
 }
 
 
-_SPARK_BASE64 = r"translate(base64(encode(\1, 'UTF-8')), concat(chr(13), chr(10)), '')"
+_SPARK_BASE64 = r"replace(base64(encode(\1, 'UTF-8')), concat(chr(13), chr(10)), '')"
+
+
+# Tables whose rows cost much work each, and the key that spreads them.
+_HEAVY = {"documents": "doc_id", "part": "p_partkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, _HEAVY[name]) if name in _HEAVY else rows
 
 
 def _closure(names: tuple[str, ...]) -> list[str]:

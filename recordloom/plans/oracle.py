@@ -325,14 +325,11 @@ ORACLE: dict[str, str] = {
         CASE WHEN undecodable THEN 'Error' END AS error_name, md5(text_data) AS text_digest,
         md5(array_to_string(image_list, ',')) AS image_digest, len(image_list) AS images,
         length(schema_definition) AS definition_length FROM prepared"""),
-    "d12_page_requests": _with("requests", f"""docs AS (
-        SELECT *, {KIND} AS kind FROM requests),
-        bodies AS (SELECT request_id, string_split(decode(from_base64(content)), chr(10)) AS pages
-          FROM docs WHERE try(from_base64(content)) IS NOT NULL)""",
-        """SELECT concat(request_id, '-', i) AS request_id, 'doc_en' AS schema_name,
-        '0123456789' AS schema_version, 'image/png' AS mime_type,
+    "d12_page_requests": """SELECT concat(doc_id, '-', i) AS request_id,
+        'doc_en' AS schema_name, '0123456789' AS schema_version, 'image/png' AS mime_type,
         md5(to_base64(encode(pages[i]))) AS digest
-        FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i FROM bodies)"""),
+        FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS pages FROM documents))""",
     "s1_register": _with("registrations", f"{PROBLEMS}, {COUNTED}, bad AS ("
         "SELECT p_partkey, bool_or(problem LIKE ': definition%') AS no_object FROM problems "
         "GROUP BY p_partkey), verdicts AS (SELECT c.*, CASE "

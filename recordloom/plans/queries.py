@@ -174,7 +174,11 @@ def d11_prepare(spark, sf_dir):
 
 @query
 def d12_page_requests(spark, sf_dir):
-    pdfs = view(spark, sf_dir, "requests").withColumn("mime_type", F.lit(model.PDF_MIME))
+    pdfs = documents.encoded(table(spark, sf_dir, "documents"), "text").select(
+        F.col("doc_id").cast("string").alias("request_id"),
+        "content",
+        F.lit(model.PDF_MIME).alias("mime_type"),
+    )
     pages = intake.page_requests(
         pdfs, "doc_en", "0123456789", intake.split_text_pages(PAGE_BREAK)
     )

@@ -9,6 +9,15 @@ from recordloom import model
 from recordloom.functions.text import base64_text
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table just read that came in fewer splits than there
+    are cores. A large table has more splits than that and is left alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """Each text file is one document, its content passed on as it is."""
     files = spark.read.text(path, wholetext=True)

@@ -82,6 +82,8 @@ def batch_runner(
         good = F.col("request_id").isNotNull() & F.col("key.schema_name").isNotNull()
         batch = batch.persist()
         try:
+            if batch.isEmpty():  # a batch that only moves the watermark
+                return
             undecodable = batch.filter(~good).select("value")
             tables.write_batch(undecodable, f"{out}/undecodable", batch_id)
             events = batch.filter(good)
