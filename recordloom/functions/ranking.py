@@ -47,7 +47,7 @@ def rank_in_group(
     Rows are shuffled on (group, seq block), so a group of any size is split
     into tasks of at most ``block`` rows; only per-block counts meet per group.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(seq) / block).cast("long"))
+    blocked = df.withColumn("_block", F.expr(f"{seq} div {block}"))
     counts = blocked.groupBy(group, "_block").agg(F.count("*").alias("_rows"))
     earlier = (
         Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

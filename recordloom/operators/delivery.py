@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from recordloom import model
 from recordloom.functions.ranking import number_rows
-from recordloom.operators.states import latest_states, status_rank
+from recordloom.operators.states import (
+    code_status,
+    code_time,
+    latest_states,
+    transition_code,
+)
 
 
 def _moment(asof: datetime | Column) -> Column:
@@ -61,14 +66,15 @@ def stuck(
 
 def dead_letters(states: DataFrame, failures: int = model.ATTEMPT_LIMIT) -> DataFrame:
     """Requests that failed ``failures`` times or more and last failed."""
-    newest = F.max_by(F.struct("status", "created_at"), F.struct("created_at", status_rank()))
+    code = F.col("_code")
     return (
         states.groupBy("request_id")
         .agg(
-            F.count_if(F.col("status") == model.FAILED).alias("failures"), newest.alias("_s")
+            F.count_if(F.col("status") == model.FAILED).alias("failures"),
+            F.max(transition_code()).alias("_code"),
         )
-        .filter((F.col("failures") >= failures) & (F.col("_s.status") == model.FAILED))
-        .select("request_id", "failures", F.col("_s.created_at").alias("failed_at"))
+        .filter((F.col("failures") >= failures) & (code_status(code) == model.FAILED))
+        .select("request_id", "failures", code_time(code).alias("failed_at"))
     )
 
 

@@ -12,6 +12,7 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom import model
 from recordloom.functions import jsontree, rules, text
@@ -170,8 +171,10 @@ class Client(Protocol):
 class PartitionExtractor:
     """E3 custom: a model client opened once per partition.
 
-    A failing call becomes data of its own row and is not retried. Only the
-    request id, the model and the messages travel to Python.
+    A failing call becomes data of its own row and is not retried. Rows pass
+    through Python as Arrow batches; only model and messages are looked at, so
+    nothing has to be joined back. Set ``spark.sql.execution.arrow.
+    maxRecordsPerBatch`` low when documents are long.
     """
 
     def __init__(self, open_client: Callable[[], Client], partitions: int | None = None):
@@ -184,11 +187,15 @@ class PartitionExtractor:
         def run(batches: Iterator) -> Iterator:
             import json
 
+            import pyarrow as pa
+
             client = None
-            for pdf in batches:
+            for batch in batches:
                 client = client or open_client()
                 responses, errors, reasons = [], [], []
-                for name, prompt in zip(pdf["model"], pdf["prompt"], strict=True):
+                prompts = batch.column("_prompt").to_pylist()
+                for name, prompt in zip(batch.column("model").to_pylist(), prompts, strict=True):
+                    response = error = None
                     try:
                         response = client.complete(
                             messages=json.loads(prompt),
@@ -197,35 +204,28 @@ class PartitionExtractor:
                             temperature=model.TEMPERATURE,
                             max_tokens=model.MAX_OUTPUT_TOKENS,
                         )
-                        responses.append(json.dumps(response))
-                        errors.append(None)
-                        reasons.append(None)
-                    except Exception as error:
-                        responses.append(None)
-                        errors.append(type(error).__name__)
-                        reasons.append(str(error))
-                yield pdf.drop(columns=["prompt"]).assign(
-                    response=responses, call_error=errors, call_message=reasons
+                    except Exception as failure:
+                        error = failure
+                    responses.append(None if error else json.dumps(response))
+                    errors.append(type(error).__name__ if error else None)
+                    reasons.append(str(error) if error else None)
+                kept = [i for i, name in enumerate(batch.schema.names) if name != "_prompt"]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i) for i in kept]
+                    + [pa.array(values, pa.string()) for values in (responses, errors, reasons)],
+                    names=[batch.schema.names[i] for i in kept]
+                    + ["response", "call_error", "call_message"],
                 )
 
-        passed = [c for c in ("request_id", *KEY, "attempt", "model") if c in requests.columns]
-        narrow = requests.select(*passed, F.to_json("messages").alias("prompt"))
+        schema = T.StructType(list(requests.schema))
+        for name in ("response", "call_error", "call_message"):
+            schema = schema.add(name, "string")
         if self.partitions:
-            narrow = narrow.repartition(self.partitions)
-        schema = ", ".join(
-            f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "prompt"
-        )
-        # Stored before anything branches on it, so each call is made once.
-        answered = materialise(
-            narrow.mapInPandas(
-                run, f"{schema}, response string, call_error string, call_message string"
-            ),
-            "answers",
-        )
-        answers = prompting.unwrap(answered).select(
-            "request_id", "content", "usage", "call_error", "call_message"
+            requests = requests.repartition(self.partitions)
+        asked = requests.withColumn("_prompt", F.to_json("messages"))
+        return prompting.unwrap(asked.mapInArrow(run, schema)).drop(
+            "response", "tool_name", "tool_arguments"
         )
-        return requests.join(answers, "request_id")
 
 
 def judge(answers: DataFrame, levels: int) -> DataFrame:
@@ -291,22 +291,34 @@ def attach_schemas(requests: DataFrame, compiled: DataFrame) -> DataFrame:
     return lookup_join(requests, compiled, KEY, "inner", spread_by=("request_id",))
 
 
+# What extraction takes from the schema and can look up again.
+_FROM_SCHEMA = ("rules", "template", "schema_definition")
+
+
 def extract(
-    prepared: DataFrame, extractor: Extractor, levels: int, attempts: int = model.ATTEMPT_LIMIT
+    prepared: DataFrame,
+    extractor: Extractor,
+    levels: int,
+    attempts: int = model.ATTEMPT_LIMIT,
+    compiled: DataFrame | None = None,
 ) -> DataFrame:
     """Answer, judge, and ask again about rejected answers only.
 
     ``prepared`` carries rules (and template) of its schema. The number of
-    rounds is fixed by ``attempts``; each round's answers are stored before
-    they are split, so a row is asked once per round. The rule extractor gives
-    the same answer every time, so it never needs a second round.
+    rounds is fixed by ``attempts``; a round is stored before it is split, so a
+    row is asked once per round. With ``compiled`` the stored rows leave the
+    schema columns out and rejected rows look them up again. The rule extractor
+    gives the same answer every time, so it never needs a second round.
     """
     pending = prepared.withColumn("attempt", F.lit(1))
     if isinstance(extractor, RuleExtractor):
         return judge(extractor.answer(pending), levels)
+    columns = pending.columns
+    left_out = [c for c in _FROM_SCHEMA if compiled is not None and c in columns]
     finished: list[DataFrame] = []
     for attempt in range(1, attempts + 1):
-        judged = materialise(judge(extractor.answer(pending), levels), "attempt")
+        judged = judge(extractor.answer(pending), levels).drop(*left_out)
+        judged = materialise(judged, "attempt")
         last = attempt == attempts
         final = F.col("error_name").isNull() | F.col("call_error").isNotNull() | F.lit(last)
         finished.append(judged.filter(final))
@@ -315,13 +327,15 @@ def extract(
         rejected = judged.filter(~final)
         if rejected.isEmpty():
             break
+        if left_out:
+            rejected = attach_schemas(rejected, compiled.select(*KEY, *left_out))
         reason = F.concat_ws(" ", "error_message", violation_text())
         pending = (
             rejected.withColumn(
                 "messages", F.concat("messages", prompting.feedback(F.col("content"), reason))
             )
             .withColumn("attempt", F.lit(attempt + 1))
-            .select(*pending.columns)
+            .select(*columns)
         )
     out = finished[0]
     for part in finished[1:]:

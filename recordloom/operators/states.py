@@ -9,11 +9,29 @@ from recordloom import model
 from recordloom.functions.joins import lookup_join
 
 
-def status_rank(column: str = "status") -> Column:
-    rank = F.lit(-1)
-    for status, value in model.STATUS_RANK.items():
-        rank = F.when(F.col(column) == status, value).otherwise(rank)
-    return rank
+_CODES = len(model.STATUS_RANK)
+
+
+def transition_code(status: str = "status", created_at: str = "created_at") -> Column:
+    """Time and status of a transition as one integer that orders transitions.
+
+    An integer is aggregated in a hash table, where a struct or a string would
+    make Spark sort the whole log first.
+    """
+    rank = F.lit(None).cast("int")
+    for name, value in model.STATUS_RANK.items():
+        rank = F.when(F.col(status) == name, value).otherwise(rank)
+    return F.unix_micros(F.col(created_at).cast("timestamp")) * _CODES + rank
+
+
+def code_status(code: Column) -> Column:
+    names = [F.lit(n) for n, _ in sorted(model.STATUS_RANK.items(), key=lambda item: item[1])]
+    return F.get(F.array(*names), F.pmod(code, F.lit(_CODES)).cast("int"))
+
+
+def code_time(code: Column) -> Column:
+    micros = F.floor((code - F.pmod(code, F.lit(_CODES))) / _CODES)
+    return F.timestamp_micros(micros.cast("bigint")).cast("timestamp_ntz")
 
 
 def state_rows(requests: DataFrame, status: Column | str, at: Column) -> DataFrame:
@@ -23,10 +41,15 @@ def state_rows(requests: DataFrame, status: Column | str, at: Column) -> DataFra
 
 
 def latest_states(states: DataFrame) -> DataFrame:
-    """M2: newest state of each request. ``max_by`` reduces on the map side, so
-    a request with very many transitions is one row per task at the shuffle."""
-    newest = F.max_by(F.struct("status", "created_at"), F.struct("created_at", status_rank()))
-    return states.groupBy("request_id").agg(newest.alias("_s")).select("request_id", "_s.*")
+    """M2: newest state of each request. The maximum is taken on the map side
+    first, so a request with very many transitions is one row per task at the
+    shuffle. ``status`` is one of the four request states."""
+    newest = states.groupBy("request_id").agg(F.max(transition_code()).alias("_code"))
+    return newest.select(
+        "request_id",
+        code_status(F.col("_code")).alias("status"),
+        code_time(F.col("_code")).alias("created_at"),
+    )
 
 
 def latest_results(results: DataFrame, written: str = "written_at") -> DataFrame:
@@ -69,13 +92,12 @@ def results_for(asked: DataFrame, states: DataFrame, results: DataFrame) -> Data
     )
 
 
-def harvest(asked: DataFrame, states: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """M8: (records of the listed requests, listed requests without one)."""
+def harvest(asked: DataFrame, states: DataFrame, results: DataFrame) -> DataFrame:
+    """M8: every listed request with its record, or with the reason it has none."""
     found = results_for(asked, states, results)
-    ready = F.col("data").isNotNull()
-    return (
-        found.filter(ready).select("request_id", "data"),
-        found.filter(~ready).select("request_id", "status", "error"),
+    reason = F.coalesce(F.col("error.error_name"), F.col("status"))
+    return found.select(
+        "request_id", "data", F.when(F.col("data").isNull(), reason).alias("reason")
     )
 
 

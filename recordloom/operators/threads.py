@@ -55,7 +55,7 @@ def histories(messages: DataFrame, memory: int = model.THREAD_MEMORY) -> DataFra
     """
     ranked = rank_in_group(history_messages(messages), "conv_id", "turn", "rank_no")
     position = F.col("rank_no") - 1
-    home = F.floor(position / WINDOW_BLOCK).cast("long")
+    home = F.expr(f"(rank_no - 1) div {WINDOW_BLOCK}")
     carried = F.pmod(position, F.lit(WINDOW_BLOCK)) >= WINDOW_BLOCK - memory
     blocks = ranked.withColumn("_home", home).withColumn(
         "_block",

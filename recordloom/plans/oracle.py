@@ -458,7 +458,6 @@ ORACLE: dict[str, str] = {
         CAST(10 + attempts AS BIGINT) AS total_tokens FROM tries WHERE result IS NOT NULL"""),
     "e10_failure": _with("requests doc_schemas", OUTCOMES, """, outcome AS (
         SELECT request_id, error_name, error_message FROM finished
-        UNION ALL SELECT request_id, error_name, error_message FROM refused
         UNION ALL SELECT request_id, error_name, error_message FROM undecoded)
         SELECT *, CASE WHEN error_name IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status
         FROM outcome"""),

@@ -16,6 +16,7 @@ from recordloom.functions.ranking import number_rows
 from recordloom.operators import (
     delivery,
     extraction,
+    flow,
     intake,
     prompting,
     registry,
@@ -225,7 +226,8 @@ def s3_token_limit(spark, sf_dir):
 
 
 def _current(spark, sf_dir):
-    return registry.current(view(spark, sf_dir, "schema_log"))
+    """The current registry, stored because the queries read it several times."""
+    return materialise(registry.current(view(spark, sf_dir, "schema_log")), "current")
 
 
 @query
@@ -526,7 +528,7 @@ def _retried(spark, sf_dir):
         .withColumn("image_list", F.array().cast("array<string>"))
     )
     prompted = prompting.with_prompt(extraction.attach_schemas(rows, compiled))
-    return extraction.extract(prompted, ScriptedExtractor(), levels)
+    return extraction.extract(prompted, ScriptedExtractor(), levels, compiled=compiled)
 
 
 @query
@@ -557,11 +559,8 @@ def e9_result(spark, sf_dir):
 
 @query
 def e10_failure(spark, sf_dir):
-    requests = view(spark, sf_dir, "requests")
-    refused = extraction.failures(intake.invalid(intake.check_requests(requests)))
     judged, undecodable = _extracted(spark, sf_dir)
-    results = extraction.assemble(judged).drop("violations")
-    rows = extraction.all_results(results, refused.unionByName(undecodable))
+    rows = extraction.all_results(extraction.assemble(judged).drop("violations"), undecodable)
     return rows.select(
         "request_id",
         F.col("error.error_name").alias("error_name"),
@@ -600,22 +599,20 @@ def extract_documents(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = view(spark, sf_dir, "requests")
     schemas = _registry(spark, sf_dir, "doc_schemas")
-    refused = extraction.failures(intake.invalid(intake.check_requests(requests)))
-    unknown = extraction.failures(intake.unresolved(_good_requests(spark, sf_dir), schemas))
-    judged, undecodable = _extracted(spark, sf_dir, schemas)
-    results = extraction.assemble(judged).drop("violations")
-    rows = extraction.all_results(
-        results, refused.unionByName(unknown).unionByName(undecodable)
-    )
-    name, message = F.col("error.error_name"), F.col("error.error_message")
-    return rows.select(
+    levels = measured_levels(schemas)
+    judged = flow.answer_all(
+        view(spark, sf_dir, "requests"),
+        extraction.compile_schemas(schemas, levels),
+        levels,
+        intake.split_text_pages(PAGE_BREAK),
+    )
+    return flow.replies(judged).select(
         "request_id",
         "schema_name",
-        name.alias("error_name"),
-        _long(states.status_code("error.error_name")).alias("status_code"),
-        states.envelope(F.col("result"), name, message).alias("reply"),
+        "error_name",
+        _long("status_code").alias("status_code"),
+        "reply",
     )
 
 
@@ -686,16 +683,11 @@ def m7_envelope(spark, sf_dir):
 
 @query
 def m8_harvest(spark, sf_dir):
-    records, rest = states.harvest(
+    return states.harvest(
         view(spark, sf_dir, "asked"),
         view(spark, sf_dir, "states"),
         states.latest_results(_results(spark, sf_dir)),
     )
-    done = records.select("request_id", "data", F.lit(None).cast("string").alias("reason"))
-    reason = F.coalesce(F.col("error.error_name"), F.col("status"))
-    return done.unionByName(
-        rest.select("request_id", F.lit(None).cast("string").alias("data"), reason.alias("reason"))
-    )
 
 
 @query

@@ -107,7 +107,9 @@ NUMBER = {
 def test_custom_extractor_retries_and_reports(spark):
     texts = [f"attempt={k} " for k in (1, 2, 3, 4)] + ["fail"]
     df = prepared(spark, texts, NUMBER)
-    judged = extraction.extract(df, extraction.PartitionExtractor(FakeClient, partitions=2), 2)
+    compiled = extraction.compile_schemas(schemas(spark, NUMBER), 2)
+    client = extraction.PartitionExtractor(FakeClient, partitions=2)
+    judged = extraction.extract(df, client, 2, compiled=compiled)
     rows = {r.request_id: r for r in judged.collect()}
     assert {k: r.attempt for k, r in rows.items()} == {"r0": 1, "r1": 2, "r2": 3, "r3": 3, "r4": 1}
     assert [rows[f"r{i}"].result for i in range(3)] == ['{"n":5}'] * 3

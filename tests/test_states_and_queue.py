@@ -57,9 +57,13 @@ def test_results_by_status_and_unknown_ids(spark):
     assert found["c"].error.error_name == "InvalidData" and found["c"].data is None
     assert found["a"].status == "QUEUED" and found["a"].error is None
     assert found["z"].error.error_name == "RequestDoesNotExist"
-    ready, rest = states.harvest(asked, df, stored)
-    assert [r.request_id for r in ready.collect()] == ["b"]
-    assert sorted(r.request_id for r in rest.collect()) == ["a", "c", "z"]
+    harvest = {r.request_id: (r.data, r.reason) for r in states.harvest(asked, df, stored).collect()}
+    assert harvest == {
+        "a": (None, "QUEUED"),
+        "b": ('{"n":2}', None),
+        "c": (None, "InvalidData"),
+        "z": (None, "RequestDoesNotExist"),
+    }
 
 
 def test_stuck_after_the_visibility_timeout(spark):
