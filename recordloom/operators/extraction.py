@@ -152,13 +152,15 @@ class RuleExtractor:
     def answer(self, requests: DataFrame) -> DataFrame:
         df = requests.withColumn("_text", readable(F.col("text_data")))
         content = fill_template(F.col("template"), F.col("_text"), self.field_rules)
-        return (
-            df.withColumn("content", content)
-            .withColumn("usage", F.lit(None).cast(_USAGE))
-            .withColumn("call_error", F.lit(None).cast("string"))
-            .withColumn("call_message", F.lit(None).cast("string"))
-            .drop("_text")
-        )
+        none = F.lit(None)
+        return df.withColumns(
+            {
+                "content": content,
+                "usage": none.cast(_USAGE),
+                "call_error": none.cast("string"),
+                "call_message": none.cast("string"),
+            }
+        ).drop("_text")
 
 
 class Client(Protocol):
@@ -244,20 +246,18 @@ def judge(answers: DataFrame, levels: int) -> DataFrame:
     parsed = F.col("_record").isNotNull()
     broken = F.size("violations") > 0
     return (
-        df.withColumn(
-            "error_name",
-            F.when(~called, F.col("call_error"))
-            .when(~parsed, decode_name)
-            .when(broken, data_name),
-        )
-        .withColumn(
-            "error_message",
-            F.when(~called, F.col("call_message"))
-            .when(~parsed, decode_message)
-            .when(broken, data_message),
+        df.withColumns(
+            {
+                "error_name": F.when(~called, F.col("call_error"))
+                .when(~parsed, decode_name)
+                .when(broken, data_name),
+                "error_message": F.when(~called, F.col("call_message"))
+                .when(~parsed, decode_message)
+                .when(broken, data_message),
+                "violations": F.when(parsed, F.col("violations")),
+            }
         )
         .withColumn("result", F.when(F.col("error_name").isNull(), F.to_json("_record")))
-        .withColumn("violations", F.when(parsed, F.col("violations")))
         .drop("_record")
     )
 
@@ -411,17 +411,18 @@ class Tool:
 
 TOOL_LIMIT = 128  # tools one model request accepts
 
+# The ten kinds of document (fixed names); the cues are this engine's own.
 DOCUMENT_TOOLS = (
-    Tool("bank_statement", ("bank statement", "opening balance", "closing balance")),
-    Tool("call_transcript", ("transcript", "thanks for calling", "speaking")),
+    Tool("invoice", ("invoice", "amount due", "bill to")),
+    Tool("receipt", ("receipt", "subtotal", "change due")),
+    Tool("pay_slip", ("pay ?(slip|stub)", "gross pay", "net pay")),
     Tool("credit_report", ("credit report", "credit score", "inquir(y|ies)")),
     Tool("employment_letter", ("employment", "currently employed", "annual salary")),
-    Tool("invoice", ("invoice", "amount due", "bill to")),
     Tool("mortgage_contract", ("mortgage", "lender", "borrower")),
-    Tool("pay_slip", ("pay ?(slip|stub)", "gross pay", "net pay")),
-    Tool("receipt", ("receipt", "subtotal", "change due")),
-    Tool("salesforce_notes", ("next steps", "follow[- ]up", "opportunity")),
+    Tool("bank_statement", ("bank statement", "opening balance", "closing balance")),
     Tool("tax_return", ("tax return", "taxable income", "refund")),
+    Tool("salesforce_notes", ("next steps", "follow[- ]up", "opportunity")),
+    Tool("call_transcript", ("transcript", "thanks for calling", "speaking")),
 )
 
 

@@ -13,14 +13,6 @@ from recordloom.operators import extraction, intake, prompting, states
 from recordloom.operators.registry import KEY
 
 
-def _keep_first(df: DataFrame, condition: Column, error: tuple[str, str]) -> DataFrame:
-    """Set an error on rows that have none yet."""
-    failed = F.col("error_name").isNull() & condition
-    return df.withColumn(
-        "error_message", F.when(failed, error[1]).otherwise(F.col("error_message"))
-    ).withColumn("error_name", F.when(failed, error[0]).otherwise(F.col("error_name")))
-
-
 def ready_or_failed(
     requests: DataFrame,
     compiled: DataFrame,
@@ -31,23 +23,28 @@ def ready_or_failed(
     One scan and one lookup; a request that fails stays a row and goes on
     without being worked on, instead of being collected by a second scan.
     """
-    checked = intake.check_requests(requests)
-    checked = checked.withColumn("_refused", F.col("error_name")).withColumn(
-        "_reason", F.col("error_message")
-    )
+    refused = {"error_name": "_refused", "error_message": "_reason"}
+    checked = intake.check_requests(requests).withColumnsRenamed(refused)
     known = compiled.withColumn("_known", F.lit(True))
-    joined = lookup_join(
-        checked.drop("error_name", "error_message"), known, KEY, "left", spread_by=("request_id",)
-    )
-    prepared = intake.prepare(joined, splitter)
-    undecodable = F.col("error_name").isNotNull()
-    df = prepared.withColumn("_undecodable", undecodable)
-    df = df.withColumn("error_name", F.col("_refused")).withColumn(
-        "error_message", F.col("_reason")
+    joined = lookup_join(checked, known, KEY, "left", spread_by=("request_id",))
+    # Only a request with a schema is prepared, so that failure comes last.
+    no_schema = F.col("_known").isNull()
+    first = F.col("_refused").isNotNull()
+    name, message = model.SCHEMA_DOES_NOT_EXIST
+    return (
+        intake.prepare(joined, splitter)
+        .withColumns(
+            {
+                "error_name": F.when(first, F.col("_refused"))
+                .when(no_schema, name)
+                .otherwise(F.col("error_name")),
+                "error_message": F.when(first, F.col("_reason"))
+                .when(no_schema, message)
+                .otherwise(F.col("error_message")),
+            }
+        )
+        .drop("_refused", "_reason", "_known")
     )
-    df = _keep_first(df, F.col("_known").isNull(), model.SCHEMA_DOES_NOT_EXIST)
-    df = _keep_first(df, F.col("_undecodable"), model.DECODE_ERROR)
-    return df.drop("_refused", "_reason", "_known", "_undecodable")
 
 
 def answer_all(
@@ -57,15 +54,18 @@ def answer_all(
     splitter: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Judged rows of all requests with the built-in rule extractor."""
-    ready = ready_or_failed(requests, compiled, splitter)
-    ready = ready.withColumnsRenamed({"error_name": "_failed", "error_message": "_why"})
+    failed = {"error_name": "_failed", "error_message": "_why"}
+    ready = ready_or_failed(requests, compiled, splitter).withColumnsRenamed(failed)
     # A failed row asks for no kind of field, so its text is not searched.
-    going = ready.withColumn("template", F.when(F.col("_failed").isNull(), F.col("template")))
-    answered = extraction.RuleExtractor().answer(
-        prompting.with_prompt(going).withColumn("attempt", F.lit(1))
+    going = ready.withColumns(
+        {
+            "template": F.when(F.col("_failed").isNull(), F.col("template")),
+            "attempt": F.lit(1),
+        }
     )
-    answered = answered.withColumn("call_error", F.col("_failed")).withColumn(
-        "call_message", F.col("_why")
+    answered = extraction.RuleExtractor().answer(prompting.with_prompt(going))
+    answered = answered.withColumns(
+        {"call_error": F.col("_failed"), "call_message": F.col("_why")}
     )
     return extraction.judge(answered, levels).drop("_failed", "_why")
 

@@ -43,17 +43,16 @@ def check_requests(
     problems = request_problems(enforce_version_length)
     name, message = model.INVALID_MIME_TYPE
     bad_mime = F.lit(strict_mime) & (mime_kind() == "unsupported")
+    broken = F.size("_problems") > 0
     return (
         requests.withColumn("_problems", problems)
-        .withColumn(
-            "error_name",
-            F.when(F.size("_problems") > 0, model.VALIDATION_ERROR).when(bad_mime, name),
-        )
-        .withColumn(
-            "error_message",
-            F.when(F.size("_problems") > 0, F.array_join("_problems", "; ")).when(
-                bad_mime, message
-            ),
+        .withColumns(
+            {
+                "error_name": F.when(broken, model.VALIDATION_ERROR).when(bad_mime, name),
+                "error_message": F.when(broken, F.array_join("_problems", "; ")).when(
+                    bad_mime, message
+                ),
+            }
         )
         .drop("_problems")
     )
@@ -130,9 +129,13 @@ def page_arrays(requests: DataFrame, splitter: Callable[[Column], Column] | None
     nothing = F.array().cast("array<binary>")
     one = F.when(data.isNotNull(), F.array(data))
     pages = F.when(kind == "pdf", split).when(kind == "image", one).otherwise(nothing)
-    return requests.withColumn("pages", F.coalesce(pages, nothing)).withColumn(
-        "page_mime",
-        F.when(kind == "pdf", model.PAGE_IMAGE_MIME).otherwise(F.col("mime_type")),
+    return requests.withColumns(
+        {
+            "pages": F.coalesce(pages, nothing),
+            "page_mime": F.when(kind == "pdf", model.PAGE_IMAGE_MIME).otherwise(
+                F.col("mime_type")
+            ),
+        }
     )
 
 
@@ -229,13 +232,14 @@ def prepare(resolved: DataFrame, splitter: Callable[[Column], Column] | None = N
     keys = F.transform("pages", lambda page: object_key(F.col("request_id"), page))
     undecodable = mime_kind().isin("pdf", "image") & decoded().isNull()
     name, message = model.DECODE_ERROR
-    return (
-        paged.withColumn("text_data", text_payload())
-        .withColumn("image_list", keys)
-        .withColumn("error_name", F.when(undecodable, name))
-        .withColumn("error_message", F.when(undecodable, message))
-        .drop("pages", "page_mime", "content")
-    )
+    return paged.withColumns(
+        {
+            "text_data": text_payload(),
+            "image_list": keys,
+            "error_name": F.when(undecodable, name),
+            "error_message": F.when(undecodable, message),
+        }
+    ).drop("pages", "page_mime", "content")
 
 
 def page_requests(

@@ -57,7 +57,7 @@ def model_name(
 
 def with_prompt(prepared: DataFrame, **names: str) -> DataFrame:
     """E1 and E2 on prepared requests."""
-    return prepared.withColumn("messages", messages()).withColumn("model", model_name(**names))
+    return prepared.withColumns({"messages": messages(), "model": model_name(**names)})
 
 
 def feedback(content: Column, error: Column) -> Column:
@@ -77,9 +77,13 @@ def unwrap(responses: DataFrame, column: str = "response") -> DataFrame:
     call = F.get(first["tool_calls"], F.lit(0))["function"]
     return (
         responses.withColumn("_answer", answer)
-        .withColumn("content", first["content"])
-        .withColumn("tool_name", call["name"])
-        .withColumn("tool_arguments", call["arguments"])
-        .withColumn("usage", F.col("_answer.usage"))
+        .withColumns(
+            {
+                "content": first["content"],
+                "tool_name": call["name"],
+                "tool_arguments": call["arguments"],
+                "usage": F.col("_answer.usage"),
+            }
+        )
         .drop("_answer")
     )

@@ -17,6 +17,7 @@ from recordloom import model
 from recordloom.functions import jsontree, text
 from recordloom.functions.joins import lookup_join
 from recordloom.functions.ranking import number_rows
+from recordloom.functions.rows import one_row_each
 
 KEY = ("schema_name", "schema_version")
 TagRules = dict[str, str]
@@ -254,7 +255,8 @@ def schema_fields(schemas: DataFrame, levels: int | None = None) -> DataFrame:
         schemas, "try_parse_json(schema_definition)", levels, "_nodes"
     )
     types = jsontree.types("n.v")
-    fields = df.select(*KEY, F.expr("explode(filter(_nodes, n -> n.depth > 0)) AS n"))
+    below_root = F.expr("filter(_nodes, n -> n.depth > 0)")
+    fields = one_row_each(df, below_root, "n", *KEY)
     return fields.selectExpr(
         *KEY,
         "n.path AS path",
@@ -321,7 +323,7 @@ def lint(schemas: DataFrame, levels: int | None = None) -> DataFrame:
             F.when(F.col("types").isNull(), "field has no type"),
         )
     )
-    by_field = fields.select(*KEY, "path", F.explode(checks).alias("finding"))
+    by_field = one_row_each(fields, checks, "finding", *KEY, "path")
     described = F.trim(
         F.coalesce(
             F.try_variant_get(F.try_parse_json("schema_definition"), "$.description", "string"),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from recordloom import model
 from recordloom.functions import text as text_functions
-from recordloom.functions.joins import lookup_join
 from recordloom.functions.ranking import rank_in_group
 
 WINDOW_BLOCK = 4_096
@@ -121,43 +120,47 @@ def snapshots(
 ) -> DataFrame:
     """One row per thread, with the history it currently holds.
 
-    The memory after the last user message, plus the answer to it: only those
-    rows are collected, never a whole thread.
+    A thread holds the memory after its last user message plus the answer to
+    it, so at most ``memory`` + 1 of its last messages. Every task keeps that
+    many per thread before the shuffle (a ranking limit Spark pushes down); a
+    whole thread is never brought together.
     """
-    ranked = rank_in_group(history_messages(messages), "conv_id", "turn", "rank_no")
-    tails = ranked.groupBy("conv_id").agg(
-        F.max("rank_no").alias("_last"),
-        F.max(F.when(F.col("role") == "user", F.col("rank_no"))).alias("_user"),
-        F.max_by(
-            F.when(F.col("role") == "assistant", F.col("text")),
-            F.when(F.col("role") == "assistant", F.col("rank_no")),
-        ).alias("latest_result"),
+    kept = history_messages(messages)
+    backwards = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    recent = (
+        kept.select("conv_id", "turn", "role", "text")
+        .withColumn("_back", F.row_number().over(backwards))
+        .filter(F.col("_back") <= memory + 1)
     )
-    user = F.coalesce(F.col("_user"), F.lit(0).cast("long"))
-    held = history_length(user, memory) + (F.col("_last") - user)
-    tails = tails.withColumn("_from", F.col("_last") - held)
-    # A row can only be held if it is among the last memory + 1 of its thread.
-    entry = F.struct("rank_no", "role", F.col("text").alias("content"))
-    kept = lookup_join(
-        ranked, tails.select("conv_id", "_from"), ["conv_id"], spread_by=("turn",)
-    ).filter(F.col("rank_no") > F.col("_from"))
-    collected = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    entry = F.struct("turn", "role", F.col("text").alias("content"))
+    tails = recent.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(entry)).alias("_entries"),
+        F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("_user"),
+    )
+    totals = kept.groupBy("conv_id").agg(F.count("*").alias("_total"))
     system = (
         messages.filter(F.col("role") == "system")
         .groupBy("conv_id")
         .agg(F.min_by("text", "turn").alias("system_message"))
     )
-    history = F.transform(
-        "_entries", lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content"))
-    )
+    after = F.size(F.filter("_entries", lambda e: e["turn"] > F.coalesce("_user", F.lit(-1))))
+    held = history_length(F.col("_total") - F.col("_after"), memory) + F.col("_after")
+    size = F.least(held, F.size("_entries").cast("bigint")).cast("int")
     return (
-        tails.join(collected, "conv_id", "left")
+        tails.join(totals, "conv_id")
         .join(system, "conv_id", "left")
+        .join(latest_results(kept).drop("turn"), "conv_id", "left")
+        .withColumn("_after", after)
+        .withColumn("_held", size)
+        .withColumn("_held", F.slice("_entries", -F.col("_held"), F.col("_held")))
         .select(
             F.col("conv_id").alias("thread_id"),
             F.lit(agent_name).alias("agent_name"),
             "system_message",
-            history.alias("chat_history"),
+            F.transform(
+                "_held",
+                lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content")),
+            ).alias("chat_history"),
             "latest_result",
         )
     )

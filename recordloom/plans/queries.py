@@ -13,6 +13,7 @@ from recordloom.functions import text
 from recordloom.functions.jsontree import measured_levels
 from recordloom.functions.joins import lookup_join
 from recordloom.functions.ranking import number_rows
+from recordloom.functions.rows import one_row_each
 from recordloom.operators import (
     delivery,
     extraction,
@@ -211,7 +212,7 @@ def s1_register(spark, sf_dir):
 @query
 def s2_check_definition(spark, sf_dir):
     rows = registry.check_definitions(view(spark, sf_dir, "registrations"))
-    return rows.select("p_partkey", F.explode("problems").alias("problem"))
+    return one_row_each(rows, "problems", "problem", "p_partkey")
 
 
 @query
@@ -457,11 +458,8 @@ def _judged(spark, sf_dir):
 
 
 def _violations(spark, sf_dir):
-    return (
-        _judged(spark, sf_dir)
-        .select("request_id", F.explode("violations").alias("_v"))
-        .select("request_id", "_v.path", "_v.check", "_v.detail")
-    )
+    rows = one_row_each(_judged(spark, sf_dir), "violations", "_v", "request_id")
+    return rows.select("request_id", "_v.path", "_v.check", "_v.detail")
 
 
 def _by_check(check: str) -> Query:

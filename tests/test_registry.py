@@ -14,6 +14,7 @@ from recordloom.operators import registry
 from recordloom.sources import tables
 
 AT = datetime(2024, 1, 5)
+# --- fixed values: two published schemas whose token counts are known (102 and 234) ---
 ONE_FIELD = {
     "$id": "https://example.com/test_loe.schema.json",
     "$schema": "https://json-schema.org/draft/2020-12/schema",
@@ -26,23 +27,22 @@ ONE_FIELD = {
     "required": ["employer_name"],
     "additionalProperties": False,
 }
-LETTER = "the letter of employment"
 THREE_FIELDS = {
-    "description": f"Schema to extract the employer name, employee name, and employee salary from a{LETTER[3:]}",
+    "description": "Schema to extract the employer name, employee name, and employee salary from a letter of employment",
     "additionalProperties": False,
     "$schema": "http://json-schema.org/draft/2020-12/schema",
     "type": "object",
     "properties": {
         "employer_name": {
             "type": ["string", "null"],
-            "description": f"The name of the employer in {LETTER}",
+            "description": "The name of the employer in the letter of employment",
         },
         "employee_name": {
             "type": ["string", "null"],
-            "description": f"The name of the employee in {LETTER}",
+            "description": "The name of the employee in the letter of employment",
         },
         "employee_salary": {
-            "description": f"The salary information of the employee in {LETTER}",
+            "description": "The salary information of the employee in the letter of employment",
             "type": "object",
             "properties": {
                 "amount": {"type": ["number", "null"], "description": "The amount of the salary"},
@@ -57,6 +57,7 @@ THREE_FIELDS = {
     },
     "required": ["employer_name", "employee_name", "employee_salary"],
 }
+# --- end of fixed values ---
 
 
 def submissions(spark, *rows):
