@@ -55,9 +55,20 @@ def model_name(
     return F.when(F.size("image_list") > 0, vision_model).otherwise(text_model)
 
 
-def with_prompt(prepared: DataFrame, **names: str) -> DataFrame:
+def with_prompt(
+    prepared: DataFrame,
+    system_message: str = SYSTEM_MESSAGE,
+    user_message: str = USER_MESSAGE,
+    text_model: str = model.TEXT_MODEL,
+    vision_model: str = model.VISION_MODEL,
+) -> DataFrame:
     """E1 and E2 on prepared requests."""
-    return prepared.withColumns({"messages": messages(), "model": model_name(**names)})
+    return prepared.withColumns(
+        {
+            "messages": messages(system_message, user_message),
+            "model": model_name(text_model, vision_model),
+        }
+    )
 
 
 def feedback(content: Column, error: Column) -> Column:
