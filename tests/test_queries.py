@@ -5,19 +5,20 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from recordloom.plans.oracle import ORACLE
+from recordloom.plans.queries import QUERIES
 from tests.compare import check, connect
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
 
 
-def test_every_query_has_sql():
+def test_every_query_is_registered_and_has_sql():
     assert sorted(QUERIES) == sorted(ORACLE)
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLE.items() <= contract.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
