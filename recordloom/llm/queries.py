@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import exact_dedup
+from recordloom.llm import bpe, exact_dedup
 from recordloom.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +35,14 @@ groups AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
 FROM hashed JOIN groups USING (text_sha256)
 """
+
+
+def rank_file() -> bytes:
+    """The ranks of the byte-level vocabulary, read where the job is started."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        return file.read()
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
