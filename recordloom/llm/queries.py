@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup
+from recordloom.llm import bpe, exact_dedup, records
 from recordloom.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,13 @@ def rank_file() -> bytes:
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
+
+
+END_ID = 1
+
+
+@query
+def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        vocabulary = file.read()
+    return records.record_digests(read(spark, sf_dir, "documents"), vocabulary, END_ID)
