@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, records
+from recordloom.llm import bpe, exact_dedup, merkle, records
 from recordloom.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,8 @@ def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
         vocabulary = file.read()
     return records.record_digests(read(spark, sf_dir, "documents"), vocabulary, END_ID)
+
+
+@query
+def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_next(read(spark, sf_dir, "documents"))
