@@ -14,6 +14,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.shared import column, whole_text
+from recordloom.llm.shared import column, slices, small_batches, whole_text
 
 CHUNK = 32_768  # code points; texts beyond it take the chunked way
 OVERLAP = 512
@@ -116,11 +117,13 @@ def _encoder(ranks, pattern: str, text: str):
     def run(batches):
         for batch in batches:
             place = batch.schema.get_field_index(text)
-            ids = [encode_text(x, ranks.value, pattern) for x in batch.column(place).to_pylist()]
-            columns = batch.columns
-            columns[place] = pa.array(ids, pa.list_(pa.int32()))
             names = ["ids" if i == place else n for i, n in enumerate(batch.schema.names)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for some in slices(batch):
+                texts = some.column(place).to_pylist()
+                ids = [np.array(encode_text(x, ranks.value, pattern), np.int32) for x in texts]
+                columns = some.columns
+                columns[place] = pa.array(ids, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -205,6 +208,7 @@ def encode(
     """
     if not 0 < overlap < chunk:
         raise ValueError("the overlap must be shorter than a chunk")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     others = [column(n) for n in docs.columns if n not in (text, "ids")]
     rows = docs.select(*others, whole_text(text).alias("_text"))
@@ -223,7 +227,11 @@ def encode(
         .groupBy("_key")
         .agg(
             F.collect_list(
-                F.struct(F.col("_start").alias("s"), F.col("_heads").alias("h"), F.col("_tails").alias("t"))
+                F.struct(
+                    F.col("_start").alias("s"),
+                    F.col("_heads").alias("h"),
+                    F.col("_tails").alias("t"),
+                )
             ).alias("_parts")  # some hundred numbers per chunk of the one text
         )
         .mapInArrow(_stitcher, "_key string, _starts array<bigint>")
@@ -252,11 +260,12 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", name: str = "decoded")
 
     def run(batches):
         for batch in batches:
-            column_ids = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            raw = [None if x is None else decode_ids(x, shared.value) for x in column_ids]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, name]
-            )
+            for some in slices(batch):
+                rows = some.column(some.schema.get_field_index(ids)).to_pylist()
+                raw = [None if x is None else decode_ids(x, shared.value) for x in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, pa.array(raw, pa.binary())], [*some.schema.names, name]
+                )
 
     return df.mapInArrow(run, schema)
 

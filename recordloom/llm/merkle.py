@@ -8,8 +8,8 @@ differ, only the differing branches have to be followed to find the edit.
 
 Fingerprint: ``root|section/section/...`` with ``section = digest:paragraph;...``,
 ``paragraph = digest:passage,...`` and ``passage = digest-length`` (lengths in
-code points). The root has 64 hex digits, other digests have 8: those are only
-compared between two documents.
+code points). The root has 64 hex digits, sections and paragraphs have 8, passages 6: those are
+only compared between two documents.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.shared import column, whole_text
+from recordloom.llm.shared import column, slices, small_batches, whole_text
 
-WORDS_IN_PASSAGE = 16  # on average
+WORDS_IN_PASSAGE = 8  # on average
+MOST_WORDS = 16  # of a passage
+SINGLE_WORDS = 16  # at the start of a text, so that short texts have branches too
 PARAGRAPHS_IN_SECTION = 4  # on average
 PARTS_PER_TASK = 4
 WORD = re.compile(r"\S+\s*|\s+")
@@ -38,14 +40,20 @@ def _digest(content: bytes) -> bytes:
     return blake2b(content, digest_size=32).digest()
 
 
-def passages(paragraph: str) -> list[str]:
-    """The paragraph, cut behind words whose checksum says so."""
-    found, start, at = [], 0, 0
-    for word in WORD.findall(paragraph):
+def passages(paragraph: str, singles: int = 0) -> list[str]:
+    """The paragraph: its first ``singles`` words one by one, the others cut
+    behind words whose checksum says so, and where none of MOST_WORDS does."""
+    found, start, at, words = [], 0, 0, 0
+    for place, word in enumerate(WORD.findall(paragraph)):
         at += len(word)
-        if zlib.crc32(word.encode()) % WORDS_IN_PASSAGE == 0:
+        words += 1
+        if (
+            place < singles
+            or words == MOST_WORDS
+            or zlib.crc32(word.encode()) % WORDS_IN_PASSAGE == 0
+        ):
             found.append(paragraph[start:at])
-            start = at
+            start, words = at, 0
     if start < at:
         found.append(paragraph[start:])
     return found
@@ -54,11 +62,12 @@ def passages(paragraph: str) -> list[str]:
 def fingerprint(text: str) -> str:
     """The fingerprint of a whole text; the empty one has a root only."""
     sections, members, section, digests = [], [], [], []
-    lines = text.split("\n") if text else []
+    lines, singles = text.split("\n") if text else [], SINGLE_WORDS
     for number, line in enumerate(lines):
-        leaves = [(_digest(b"p" + x.encode()), len(x)) for x in passages(line)]
+        leaves = [(_digest(b"p" + x.encode()), len(x)) for x in passages(line, singles)]
+        singles = max(0, singles - len(leaves))
         own = _digest(b"l" + b"".join(d for d, _ in leaves))
-        written = ",".join(f"{d[:4].hex()}-{n}" for d, n in leaves)
+        written = ",".join(f"{d[:3].hex()}-{n}" for d, n in leaves)
         section.append(f"{own[:4].hex()}:{written}")
         digests.append(own)
         if own[4] % PARAGRAPHS_IN_SECTION == 0 or number == len(lines) - 1:
@@ -164,8 +173,8 @@ def _compare(rows: Iterable[dict]) -> Iterator[tuple]:
 def _comparer(batches):
     def rows():
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                yield from batch.slice(at, 500).to_pylist()
+            for some in slices(batch):
+                yield from some.to_pylist()
 
     names = [c.split()[0] for c in _COMPARED.split(", ")]
     held: list[tuple] = []
@@ -189,6 +198,7 @@ def compare_with_next(docs: DataFrame, id_name: str = "doc_id", text: str = "tex
     document that is alone follows itself.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(
         column(id_name).cast("bigint").alias("_id"), whole_text(text).alias("_text")
     )

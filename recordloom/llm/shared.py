@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,18 @@ def spread_join(
     salt = F.pmod(F.xxhash64(*[column(c) for c in spread_by]), F.lit(salts)).cast("int")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+ROWS_AT_ONCE = 1_000
+SLICE = 200
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of ROWS_AT_ONCE, not of 10 000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in parts that are small once they are Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
