@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, merkle, records
+from recordloom.llm import bpe, exact_dedup, merkle, mixing, records
 from recordloom.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,93 @@ def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(read(spark, sf_dir, "documents"))
+
+
+#: The production mixture: a third of the crawl, languages and sources by weight.
+MIXTURE = {
+    "domain": {"crawl": 3, "curated": 7},
+    "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
+}
+MIXTURE_SEED = 17
+MIXTURE_EPOCHS = 2
+
+
+def domain() -> Column:
+    return F.when(F.col("source") == "src0", "crawl").otherwise("curated")
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.epochs(
+        read(spark, sf_dir, "documents"), domain(), MIXTURE, None, MIXTURE_EPOCHS, MIXTURE_SEED
+    )
+    return taken.select(
+        "doc_id",
+        F.col("_domain").alias("domain"),
+        F.col("_lang").alias("lang"),
+        F.col("_source").alias("source"),
+        F.col("_tokens").alias("n_tokens"),
+        F.col("_budget").alias("leaf_budget"),
+        F.col("_epochs").alias("epochs"),
+    )
+
+
+def _share_out_sql(path: list[str], above: str) -> str:
+    """One level of the tree as SQL; ``above`` has the budgets of the parents."""
+    names, parent = ", ".join(path), ", ".join(path[:-1])
+    part = f"PARTITION BY {parent} " if parent else ""
+    weight = {
+        "domain": "CASE domain WHEN 'crawl' THEN 3 WHEN 'curated' THEN 7 ELSE 1 END",
+        "lang": "CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 1 ELSE 1 END",
+        "source": "1",
+    }[path[-1]]
+    joined = f"JOIN {above} USING ({parent})" if parent else f"CROSS JOIN {above}"
+    level = path[-1]
+    return f"""
+{level}_nodes AS (
+  SELECT {names}, sum(total * 2)::HUGEINT AS cap, {weight} AS weight, any_value(given) AS given
+  FROM leaves {joined} GROUP BY {names}
+), {level}_levels AS (
+  SELECT *, coalesce(sum(cap) OVER ({part}ORDER BY cap::DOUBLE / weight, {level}
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS used,
+    (sum(weight) OVER ({part}ORDER BY cap::DOUBLE / weight, {level}
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS open
+  FROM {level}_nodes
+), {level}_marked AS (
+  SELECT *, cap * open <= (given - used) * weight AS gives_all FROM {level}_levels
+), {level}_rest AS (
+  SELECT *, max(open) FILTER (NOT gives_all) OVER ({part}) AS rest_open,
+    max(given - used) FILTER (NOT gives_all) OVER ({part}) AS rest
+  FROM {level}_marked
+), {level}_budgets AS (
+  SELECT {names}, CASE WHEN gives_all THEN cap ELSE rest * weight // rest_open END AS given
+  FROM {level}_rest
+)"""
+
+
+ORACLE["op5_mixing"] = f"""
+WITH rows AS (
+  SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' ELSE 'curated' END AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    1 + strlen(coalesce(text, '')) // 4 AS n_tokens, md5(coalesce(text, '')) AS digest
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS total FROM rows GROUP BY ALL
+), root AS (SELECT sum(total)::HUGEINT AS given FROM leaves),
+{_share_out_sql(["domain"], "root")},
+{_share_out_sql(["domain", "lang"], "domain_budgets")},
+{_share_out_sql(["domain", "lang", "source"], "lang_budgets")},
+budgets AS (
+  SELECT domain, lang, source, given::BIGINT AS leaf_budget, (given // total)::BIGINT AS whole,
+    given % total AS rest
+  FROM source_budgets JOIN leaves USING (domain, lang, source)
+), ordered AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+    ORDER BY md5(concat_ws(':', '17', whole::VARCHAR, doc_id::VARCHAR)), n_tokens, digest
+    ROWS UNBOUNDED PRECEDING) AS upto
+  FROM rows JOIN budgets USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, n_tokens, leaf_budget,
+  (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS epochs
+FROM ordered
+"""
