@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from recordloom.llm.crc32c import crc32c_all, masked
-from recordloom.llm.shared import column, whole_text
+from recordloom.llm.shared import column, small_batches, whole_text
 from recordloom.session import materialise, new_folder
 
 HEAD = struct.Struct("<QI")
 ENTRY = np.dtype([("place", "<i8"), ("ids", "<i8"), ("doc_id", "<i8")])
-CACHE_WORDS = 400_000  # words whose ids a worker remembers; then it starts afresh
+CACHE_WORDS = 800_000  # words whose ids a worker remembers; then it starts afresh
+CLOSING_MARKS = (".", ",")
 LONG_WORD = 10_000  # characters of a word that is not worth remembering
 TEXTS_AT_ONCE = 500
 SEGMENT = 16 << 20  # bytes of a data file that are read at once
@@ -54,6 +56,18 @@ def words_of(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+def core_and_mark(word: str) -> tuple[str, str]:
+    """A word as (lower-case letters, one closing mark or nothing) where its ids
+    are those of the two, one behind the other; else as (word, nothing).
+
+    The vocabulary lower-cases, and separates letters from other characters.
+    """
+    core, mark = (word[:-1], word[-1]) if word[-1:] in CLOSING_MARKS else (word, "")
+    if not core.isalpha() or "\u03a3" in core:  # a final sigma is lower-cased by context
+        return word, ""
+    return core.lower(), mark
+
+
 class WordCoder:
     """Ids of texts as bytes, remembering the ids of words met before."""
 
@@ -64,21 +78,34 @@ class WordCoder:
         self.width = width
         self.known: dict[str, bytes] = {"": b""}
 
-    def _ids(self, words: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch(words, add_special_tokens=False):
-            yield np.array(found.ids, self.width).tobytes()
+    def _learn(self, words: set[str]) -> None:
+        """Have the tokenizer encode what cannot be put together from known ids."""
+        known = self.known
+        split = {word: core_and_mark(word) for word in words if word not in known}
+        fresh = list({part for pair in split.values() for part in pair if part not in known})
+        for part, found in zip(
+            fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True
+        ):
+            known[part] = np.array(found.ids, self.width).tobytes()
+        known.update((word, known[core] + known[mark]) for word, (core, mark) in split.items())
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             cut = [words_of(text) for text in texts[at : at + TEXTS_AT_ONCE]]
-            fresh = list({w for words in cut for w in words} - self.known.keys())
-            self.known.update(zip(fresh, self._ids(fresh), strict=True))
+            every = {w for words in cut for w in words}
+            self._learn(every)
             for words in cut:
                 yield b"".join(map(self.known.__getitem__, words))
-            if len(self.known) > CACHE_WORDS or any(len(w) > LONG_WORD for w in fresh):
+            if len(self.known) > CACHE_WORDS or any(len(w) > LONG_WORD for w in every):
                 self.known = {"": b""}
 
 
+@lru_cache(maxsize=2)
+def word_coder(vocabulary: str, width: str) -> WordCoder:
+    """One coder per worker process, whose memory outlives a task."""
+    return WordCoder(vocabulary, width)
+
+
 def frames(payloads: list[bytes]) -> list[bytes]:
     lengths = [struct.pack("<Q", len(p)) for p in payloads]
     sums = crc32c_all(lengths + payloads)
@@ -110,7 +137,7 @@ def unframed(data: bytes) -> list[bytes]:
 def _writer(folder: str, vocabulary, end_id: int, width: str):
     def run(batches):
         files, path = opened(folder)
-        coder, part = WordCoder(vocabulary.value, width), TaskContext.get().partitionId()
+        coder, part = word_coder(vocabulary.value, width), TaskContext.get().partitionId()
         last = np.array([end_id], width).tobytes()
         # A name of its own for every attempt: only the one whose row is kept counts.
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
@@ -163,6 +190,7 @@ def write_records(
     tokenizer file of a few megabytes, and goes out as a broadcast variable.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     size = Tokenizer.from_str(vocabulary).get_vocab_size()
     width = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
     rows = docs.select(
