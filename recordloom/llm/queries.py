@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, merkle, mixing, records
+from recordloom.llm import bpe, exact_dedup, merkle, mixing, near_dedup, records
 from recordloom.llm.shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +151,8 @@ SELECT doc_id, domain, lang, source, n_tokens, leaf_budget,
   (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS epochs
 FROM ordered
 """
+
+
+@query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(read(spark, sf_dir, "documents"))
