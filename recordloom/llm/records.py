@@ -36,7 +36,7 @@ from recordloom.session import materialise, new_folder
 
 HEAD = struct.Struct("<QI")
 ENTRY = np.dtype([("place", "<i8"), ("ids", "<i8"), ("doc_id", "<i8")])
-CACHE_WORDS = 800_000  # words whose ids a worker remembers; then it starts afresh
+CACHE_WORDS = 500_000  # words of one of the two generations a worker remembers
 CLOSING_MARKS = (".", ",")
 LONG_WORD = 10_000  # characters of a word that is not worth remembering
 TEXTS_AT_ONCE = 500
@@ -77,12 +77,17 @@ class WordCoder:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.width = width
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}  # the generation before
 
     def _learn(self, words: set[str]) -> None:
         """Have the tokenizer encode what cannot be put together from known ids."""
-        known = self.known
-        split = {word: core_and_mark(word) for word in words if word not in known}
-        fresh = list({part for pair in split.values() for part in pair if part not in known})
+        known, older = self.known, self.older
+        missing = [word for word in words if word not in known]
+        known.update((word, older[word]) for word in missing if word in older)
+        split = {word: core_and_mark(word) for word in missing if word not in known}
+        parts = {part for pair in split.values() for part in pair}
+        known.update((part, older[part]) for part in parts if part in older)
+        fresh = [part for part in parts if part not in known]
         for part, found in zip(
             fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True
         ):
@@ -92,12 +97,14 @@ class WordCoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             cut = [words_of(text) for text in texts[at : at + TEXTS_AT_ONCE]]
-            every = {w for words in cut for w in words}
+            every = set().union(*cut)
             self._learn(every)
             for words in cut:
                 yield b"".join(map(self.known.__getitem__, words))
-            if len(self.known) > CACHE_WORDS or any(len(w) > LONG_WORD for w in every):
-                self.known = {"": b""}
+            if len(self.known) > CACHE_WORDS:
+                self.older, self.known = self.known, {"": b""}
+            if any(len(w) > LONG_WORD for w in every):
+                self.older, self.known = {}, {"": b""}
 
 
 @lru_cache(maxsize=2)
