@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, merkle, mixing, near_dedup, records, toxicity
+from recordloom.llm import bpe, exact_dedup, merkle, mixing, near_dedup, records, rule_quality, toxicity
 from recordloom.llm.shared import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ensemble = rule_quality.fit(docs, read(spark, sf_dir, "labels"))
+    return rule_quality.score(docs, ensemble).select(
+        "doc_id",
+        (fold("doc_id", rule_quality.FOLDS) == rule_quality.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
