@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, merkle, mixing, near_dedup, records, rule_quality, toxicity
+from recordloom.llm import bpe, exact_dedup, merkle, mixing, near_dedup, page_diff, records, rule_quality, toxicity
 from recordloom.llm.shared import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +180,8 @@ def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.main_text(read(spark, sf_dir, "pages"))
