@@ -59,23 +59,48 @@ def passages(paragraph: str, singles: int = 0) -> list[str]:
     return found
 
 
-def fingerprint(text: str) -> str:
-    """The fingerprint of a whole text; the empty one has a root only."""
+Leaf = tuple[str, int]  # digest and length
+Branch = tuple[bytes, str, list[Leaf]]
+
+
+def _branch(line: str, singles: int) -> Branch:
+    """Digest of a paragraph, its part of the fingerprint, and its passages."""
+    leaves, digests = [], []
+    for passage in passages(line, singles):
+        digest = _digest(b"p" + passage.encode())
+        digests.append(digest)
+        leaves.append((digest[:3].hex(), len(passage)))
+    own = _digest(b"l" + b"".join(digests))
+    written = ",".join([f"{d}-{n}" for d, n in leaves])
+    return own, f"{own[:4].hex()}:{written}", leaves
+
+
+def _grown(text: str, known: dict[tuple[str, int], Branch]) -> tuple[str, Counter]:
+    """Fingerprint and passages of a text; ``known`` holds paragraphs met before
+    and gets the new ones."""
     sections, members, section, digests = [], [], [], []
+    every: Counter = Counter()
     lines, singles = text.split("\n") if text else [], SINGLE_WORDS
     for number, line in enumerate(lines):
-        leaves = [(_digest(b"p" + x.encode()), len(x)) for x in passages(line, singles)]
+        branch = known.get((line, singles))
+        if branch is None:
+            branch = known[line, singles] = _branch(line, singles)
+        own, written, leaves = branch
         singles = max(0, singles - len(leaves))
-        own = _digest(b"l" + b"".join(d for d, _ in leaves))
-        written = ",".join(f"{d[:3].hex()}-{n}" for d, n in leaves)
-        section.append(f"{own[:4].hex()}:{written}")
+        every.update(leaves)
+        section.append(written)
         digests.append(own)
         if own[4] % PARAGRAPHS_IN_SECTION == 0 or number == len(lines) - 1:
             whole = _digest(b"s" + b"".join(digests))
             sections.append(f"{whole[:4].hex()}:{';'.join(section)}")
             members.append(whole)
             section, digests = [], []
-    return _digest(b"r" + b"".join(members)).hex() + "|" + "/".join(sections)
+    return _digest(b"r" + b"".join(members)).hex() + "|" + "/".join(sections), every
+
+
+def fingerprint(text: str) -> str:
+    """The fingerprint of a whole text; the empty one has a root only."""
+    return _grown(text, {})[0]
 
 
 def _tree(mark: str) -> Iterator[tuple[str, list[tuple[str, list[tuple[str, int]]]]]]:
@@ -95,17 +120,20 @@ def _leaves(mark: str) -> Counter:
     return Counter(leaf for _, ps in _tree(mark) for _, leaves in ps for leaf in leaves)
 
 
-def likeness(one: str, other: str) -> float:
-    """Shared characters, by passages, as a share of the longer text: 1 for equal
-    texts, 0 where no passage occurs in both."""
+def _shared(one: str, a: Counter, other: str, b: Counter) -> float:
     if one.partition("|")[0] == other.partition("|")[0]:
         return 1.0
-    a, b = _leaves(one), _leaves(other)
-    shared = sum(n * min(count, b[leaf, n]) for (leaf, n), count in a.items() if (leaf, n) in b)
+    shared = sum(leaf[1] * min(count, b[leaf]) for leaf, count in a.items() if leaf in b)
     longer = max(sum(n * c for (_, n), c in x.items()) for x in (a, b))
     return min(1.0, shared / longer) if longer else 0.0
 
 
+def likeness(one: str, other: str) -> float:
+    """Shared characters, by passages, as a share of the longer text: 1 for equal
+    texts, 0 where no passage occurs in both."""
+    return _shared(one, _leaves(one), other, _leaves(other))
+
+
 def changed_spans(one: str, other: str) -> list[tuple[int, int]]:
     """Spans of the first text (code points) whose passages the second lacks.
     Branches that the second also has are not descended into."""
@@ -158,16 +186,18 @@ def _compare(rows: Iterable[dict]) -> Iterator[tuple]:
     only there to be looked at."""
     before = None
     for row in rows:
-        mark = fingerprint(row["_text"])
+        known: dict[tuple[str, int], Branch] = {}
+        mark, leaves = _grown(row["_text"], known)
         if before is not None and before[0]["_part"] == row["_part"]:
-            old, own = before
+            old, own, own_leaves, own_known = before
             new = edited(old["_text"], row["_text"])
-            new_mark = fingerprint(new)
+            new_mark, new_leaves = _grown(new, own_known)  # only the edit is new
             yield (
                 old["_id"], len(old["_text"]), sha256(new.encode()).hexdigest(), own, new_mark,
-                likeness(own, new_mark), likeness(own, mark),
+                _shared(own, own_leaves, new_mark, new_leaves),
+                _shared(own, own_leaves, mark, leaves),
             )
-        before = row, mark
+        before = row, mark, leaves, known
 
 
 def _comparer(batches):
