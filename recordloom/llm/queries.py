@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, merkle, mixing, near_dedup, page_diff, records, rule_quality, toxicity
+from recordloom.llm import bpe, exact_dedup, licenses, merkle, mixing, near_dedup, page_diff, records, rule_quality, toxicity
 from recordloom.llm.shared import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,50 @@ def op10_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.main_text(read(spark, sf_dir, "pages"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """Containment of every template in every window, without any hashing."""
+
+    def words(text: str) -> str:
+        spaced = rf"regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
+        return f"list_filter(string_split(trim({spaced}), ' '), lambda w: w <> '')"
+
+    def shingles(of: str, width: str) -> str:
+        return (
+            f"list_distinct(list_transform(range(1, len({of}) - {width} + 2),"
+            f" lambda i: array_to_string(list_slice({of}, i, i + {width} - 1), ' ')))"
+        )
+
+    values = ", ".join(f"('{name}', '{body}')" for name, body in licenses.TEMPLATES)
+    return f"""
+WITH templates AS (
+  SELECT *, least(len(words), 5) AS width, CASE WHEN len(words) <= 8 THEN 8
+    WHEN len(words) <= 32 THEN 32 ELSE 128 END AS length
+  FROM (SELECT license, {words('body')} AS words FROM (VALUES {values}) AS t(license, body))
+), parts AS (SELECT *, {shingles('words', 'width')} AS parts FROM templates),
+texts AS (SELECT doc_id, {words("coalesce(text, '')")} AS words FROM documents),
+starts AS (
+  SELECT doc_id, length, width, words, unnest(range(0, greatest(len(words), 1), length)) AS start
+  FROM texts CROSS JOIN (SELECT DISTINCT length, width FROM templates)
+), windows AS (
+  SELECT doc_id, length, width, start,
+    list_slice(words, start + 1, start + 2 * length) AS words
+  FROM starts WHERE start = 0 OR start + length < len(words)
+), shared AS (
+  SELECT doc_id, license, w.length, start,
+    len(list_intersect({shingles('w.words', 'w.width')}, parts)) / len(parts) AS share
+  FROM windows w JOIN parts p ON p.length = w.length AND p.width = w.width
+)
+SELECT doc_id, license, max(share) AS containment,
+  count(DISTINCT (start, length)) AS windows, min(start)::BIGINT AS first_word
+FROM shared WHERE share >= 0.75 GROUP BY doc_id, license
+"""
+
+
+ORACLE["op6_license_scan"] = _license_sql()
