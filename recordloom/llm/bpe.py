@@ -270,13 +270,22 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", name: str = "decoded")
     return df.mapInArrow(run, schema)
 
 
+def with_digests(df: DataFrame) -> DataFrame:
+    """Add the count of ``ids``, the digest of the ids in decimal, and that of
+    ``decoded``."""
+    return df.withColumns(
+        {
+            "n_tokens": F.size("ids").cast("bigint"),
+            "ids_sha256": F.sha2(
+                F.concat_ws(" ", F.col("ids").cast("array<string>")), 256
+            ),
+            "decoded_sha256": F.sha2("decoded", 256),
+        }
+    )
+
+
 def digests(docs: DataFrame, ranks: bytes, pattern: str, id_name: str = "doc_id") -> DataFrame:
     """Encode and decode; counts and digests of both, one row per document."""
     narrow = docs.select(column(id_name).alias("doc_id"), column("text"))
-    both = decode(encode(narrow, ranks, pattern), ranks)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    both = with_digests(decode(encode(narrow, ranks, pattern), ranks))
+    return both.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
