@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from recordloom.llm import bpe, exact_dedup, mixing, near_dedup, queries, toxicity
 from recordloom.llm.shared import read
@@ -18,8 +17,7 @@ REJECTED = 0.5  # toxicity score from which a document goes
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents below the score, all their columns, empty texts included."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, "_toxicity")
-    return scored.filter(F.col("_toxicity") < REJECTED).drop("_toxicity")
+    return toxicity.below(docs, model, REJECTED)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.epochs(
         docs, queries.domain(), queries.MIXTURE, None, queries.MIXTURE_EPOCHS, queries.MIXTURE_SEED
     )
-    return mixing.mixture(docs, taken)
+    return mixing.mixture(taken)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

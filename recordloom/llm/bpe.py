@@ -210,8 +210,8 @@ def encode(
         raise ValueError("the overlap must be shorter than a chunk")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    others = [column(n) for n in docs.columns if n not in (text, "ids")]
-    rows = docs.select(*others, whole_text(text).alias("_text"))
+    row = F.struct(*[column(n) for n in docs.columns if n not in (text, "ids")], F.lit(0))
+    rows = docs.select(row.alias("_row"), whole_text(text).alias("_text"))
     is_long = F.length("_text") > chunk
     short = _encoded(rows.filter(~is_long), "_text", shared, pattern)
 
@@ -248,9 +248,9 @@ def encode(
         .agg(F.sort_array(F.collect_list(F.struct("_start", "ids"))).alias("_pieces"))
         .select("_key", F.flatten(F.col("_pieces.ids")).alias("ids"))
     )
-    names = [n for n in docs.columns if n not in (text, "ids")]
-    joined = long.drop("_text").join(whole, "_key").select(*map(column, names), "ids")
-    return short.select(*map(column, names), "ids").unionByName(joined)
+    joined = long.drop("_text").join(whole, "_key").select("_row", "ids")
+    names = [F.col("_row")[n].alias(n) for n in docs.columns if n not in (text, "ids")]
+    return short.select("_row", "ids").unionByName(joined).select(*names, "ids")
 
 
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", name: str = "decoded") -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.shared import column, spread_join, whole_text
+from recordloom.llm.shared import column, packed, spread_join, whole_text
 
 SLOTS = 32_768  # bits of one bitmap
 ROWS_PER_BUCKET = 4_096
@@ -116,14 +116,13 @@ def exact_groups(docs: DataFrame, id_name: str = "doc_id", text: str = "text") -
 def drop_repeats(docs: DataFrame, id_name: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns and no others.
 
-    Rows the filter clears never move. Of repeated texts only the winner's row is
-    shuffled on; a row repeated with its id stays as often as it came.
+    Rows the filter clears never move. A row repeated with its id stays as often
+    as it came.
     """
-    names = docs.columns
-    marked = mark_possible(docs, text)
+    rows = packed(docs, _id=column(id_name), _text=whole_text(text))
+    marked = mark_possible(rows, "_text").drop("_text")
     possible = marked.filter("_possible")
     alone = marked.filter("not _possible")
-    # The text leaves the shuffle with the rows that lose.
-    joined = spread_join(possible, _groups(possible, id_name), ["_sha"], [id_name])
-    kept = joined.filter(F.col("_size").isNull() | column(id_name).eqNullSafe(F.col("_keep")))
-    return alone.select(*map(column, names)).unionByName(kept.select(*map(column, names)))
+    joined = spread_join(possible, _groups(possible, "_id"), ["_sha"], ["_id"])
+    kept = joined.filter(F.col("_size").isNull() | F.col("_id").eqNullSafe(F.col("_keep")))
+    return alone.select("_row.*").unionByName(kept.select("_row.*"))

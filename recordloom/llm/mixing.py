@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.shared import column, spread_join, whole_text
+from recordloom.llm.shared import column, packed, spread_join, whole_text
 from recordloom.session import materialise
 
 LEVELS = ("_domain", "_lang", "_source")
@@ -104,8 +104,8 @@ def leaf_budgets(
     return leaves.join(above.withColumnRenamed("_given", "_budget"), list(LEVELS))
 
 
-def _seeded(seed: int, id_name: str) -> Column:
-    parts = [F.lit(str(seed)), F.col("_whole").cast("string"), column(id_name).cast("string")]
+def _seeded(seed: int) -> Column:
+    parts = [F.lit(str(seed)), F.col("_whole").cast("string"), F.col("_id")]
     return F.md5(F.concat_ws(":", *parts))
 
 
@@ -122,25 +122,27 @@ def epochs(
     seed: int = 0,
     tokens: Column | None = None,
     id_name: str = "doc_id",
+    text: str = "text",
     lang: str = "lang",
     source: str = "source",
 ) -> DataFrame:
-    """``docs`` with ``_domain``, ``_lang``, ``_source`` (a null name is the empty
-    one), ``_tokens``, ``_budget`` of the leaf, and ``_epochs``: how often the
-    document is taken, 0 if not at all.
+    """Every row of ``docs`` as the struct ``_row``, with ``_domain``, ``_lang``,
+    ``_source`` (a null name is the empty one), ``_tokens``, ``_budget`` of the leaf,
+    and ``_epochs``: how often it is taken, 0 if not at all.
 
     Only counts per (leaf, bucket of the seeded order) are summed up, so a leaf
     with a third of all rows is never brought together: buckets before the end of
     the prefix are taken whole, and the one in which it ends is ordered by itself.
     Rows alike in id and size are ordered by the digest of their text.
     """
-    rows = docs.withColumns(
-        {
-            "_domain": F.coalesce(domain, F.lit("")),
-            "_lang": F.coalesce(column(lang).cast("string"), F.lit("")),
-            "_source": F.coalesce(column(source).cast("string"), F.lit("")),
-            "_tokens": estimated_tokens() if tokens is None else tokens.cast("bigint"),
-        }
+    rows = packed(
+        docs,
+        _id=column(id_name).cast("string"),
+        _text=whole_text(text),
+        _domain=F.coalesce(domain, F.lit("")),
+        _lang=F.coalesce(column(lang).cast("string"), F.lit("")),
+        _source=F.coalesce(column(source).cast("string"), F.lit("")),
+        _tokens=estimated_tokens(text) if tokens is None else tokens.cast("bigint"),
     )
     leaf = list(LEVELS)
     totals = rows.groupBy(*leaf).agg(F.sum("_tokens").alias("_total"))
@@ -154,13 +156,13 @@ def epochs(
     def with_leaf(left: DataFrame, right: DataFrame) -> DataFrame:
         if small:
             return left.join(F.broadcast(right), leaf, "left")
-        return spread_join(left, right, leaf, [id_name])
+        return spread_join(left, right, leaf, ["_id"])
 
     # Where the prefix ends: the bucket, and the tokens before it.
-    placed = with_leaf(rows.select(*leaf, "_tokens", column(id_name)), budgets)
+    placed = with_leaf(rows.select(*leaf, "_tokens", "_id"), budgets)
     sizes = (
         placed.filter("_left > 0")
-        .select(*leaf, "_tokens", "_left", _bucket(_seeded(seed, id_name)).alias("_bucket"))
+        .select(*leaf, "_tokens", "_left", _bucket(_seeded(seed)).alias("_bucket"))
         .groupBy(*leaf, "_bucket")
         .agg(F.sum("_tokens").alias("_sum"), F.first("_left").alias("_left"))
     )
@@ -172,7 +174,7 @@ def epochs(
         .agg(F.min(F.struct("_bucket", F.expr("_upto - _sum").alias("before"))).alias("_end"))
     )
     ended = materialise(budgets.join(ends, leaf, "left"), "leaf-prefixes")
-    marked = with_leaf(rows, ended).withColumn("_order", _seeded(seed, id_name))
+    marked = with_leaf(rows, ended).withColumn("_order", _seeded(seed))
     marked = marked.withColumn("_bucket", _bucket(F.col("_order")))
     at_end = F.coalesce(F.col("_bucket") == F.col("_end._bucket"), F.lit(False))
     clear = marked.filter(~at_end).withColumn(
@@ -180,7 +182,7 @@ def epochs(
     )
     within = (
         Window.partitionBy(*leaf)
-        .orderBy("_order", "_tokens", F.md5(whole_text("text")))
+        .orderBy("_order", "_tokens", F.md5("_text"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     close = marked.filter(at_end).withColumn(
@@ -190,16 +192,12 @@ def epochs(
     return both.withColumn(
         "_epochs", F.coalesce(F.col("_whole"), F.lit(0)) + F.col("_more").cast("bigint")
     ).select(
-        *map(column, docs.columns), *leaf, "_tokens",
+        "_row", *leaf, "_tokens",
         F.coalesce("_budget", F.lit(0)).alias("_budget"), "_epochs",
     )
 
 
-def mixture(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """The mixed rows, each as often as it is taken, with the columns of ``docs``."""
-    names = [column(n) for n in docs.columns]
-    return (
-        taken.filter("_epochs > 0")
-        .withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_epochs"))))
-        .select(*names)
-    )
+def mixture(taken: DataFrame) -> DataFrame:
+    """The rows of the mixture, each as often as ``epochs`` takes it."""
+    times = F.explode(F.sequence(F.lit(1), F.col("_epochs")))
+    return taken.filter("_epochs > 0").select("_row", times).select("_row.*")

@@ -82,7 +82,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"), domain(), MIXTURE, None, MIXTURE_EPOCHS, MIXTURE_SEED
     )
     return taken.select(
-        "doc_id",
+        "_row.doc_id",
         F.col("_domain").alias("domain"),
         F.col("_lang").alias("lang"),
         F.col("_source").alias("source"),

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.shared import column, fold, whole_text
+from recordloom.llm.shared import column, fold, packed, whole_text
 
 FOLDS = 4
 HELD_OUT = 2
@@ -236,5 +236,8 @@ def fit(
 
 
 def score(docs: DataFrame, ensemble: Ensemble, name: str = "score", text: str = "text") -> DataFrame:
-    """``docs`` with the score from 0 to 1; all other columns stay."""
-    return with_statistics(docs, text).withColumn(name, ensemble.column()).drop("_stats")
+    """``docs`` with the score from 0 to 1 as its last column (in place of one of
+    that name); a null text is empty."""
+    rows = with_statistics(packed(docs, _content=column(text)), "_content")
+    names = [F.col("_row")[n].alias(n) for n in docs.columns if n != name]
+    return rows.select(*names, ensemble.column().alias(name))

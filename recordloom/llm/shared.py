@@ -25,6 +25,14 @@ def whole_text(name: str) -> Column:
     return F.coalesce(column(name).cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of ``docs`` as one struct ``_row`` beside the columns an operator
+    works with, so that no name of theirs can clash with a name of its own.
+    ``select("_row.*")`` gives the rows back."""
+    row = F.struct(*[column(name) for name in docs.columns]).alias("_row")
+    return docs.select(row, *[value.alias(name) for name, value in columns.items()])
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """The fold of a row: crc32 of the decimal id, modulo ``folds``."""
     return F.pmod(F.crc32(column(doc_id).cast("string")), F.lit(folds))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.llm import logistic
-from recordloom.llm.shared import column, fold, slices, small_batches, whole_text
+from recordloom.llm.shared import column, fold, packed, slices, small_batches, whole_text
 from recordloom.session import materialise
 
 ORDER = 5
@@ -299,25 +299,35 @@ def fit(
     return model
 
 
-def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
-    """``docs`` with a score from 0 to 1 added; a null or empty text gets the
-    score of a text without words."""
+def _scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """(_row, _score) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = docs.columns
-    place = names.index(text)
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
             for some in slices(batch):
-                texts = [t or "" for t in some.column(place).to_pylist()]
-                x = (scorer.features(texts) - scorer.model.mean) / scorer.model.scale
+                x = scorer.features(some.column("_text").to_pylist())
+                x = (x - scorer.model.mean) / scorer.model.scale
                 z = np.clip(scorer.model.beta[0] + x @ scorer.model.beta[1:], -30, 30)
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns, pa.array(1 / (1 + np.exp(-z)))], [*some.schema.names, name]
+                    [some.column("_row"), pa.array(1 / (1 + np.exp(-z)))], ["_row", "_score"]
                 )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    rows = packed(docs, _text=whole_text(text))
+    schema = T.StructType([rows.schema["_row"], T.StructField("_score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
+    """``docs`` with a score from 0 to 1 as its last column (in place of one of that
+    name); a null or empty text gets the score of a text without words."""
+    names = [F.col("_row")[n].alias(n) for n in docs.columns if n != name]
+    return _scored(docs, model, text).select(*names, F.col("_score").alias(name))
+
+
+def below(docs: DataFrame, model: Model, limit: float, text: str = "text") -> DataFrame:
+    """The rows whose score is below ``limit``, with just their columns."""
+    return _scored(docs, model, text).filter(F.col("_score") < limit).select("_row.*")
