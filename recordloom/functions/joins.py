@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from recordloom.session import materialise
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -15,11 +18,17 @@ SALTS = 32
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Measure ``df`` (reading at most ``max_rows`` + 1 rows of it)."""
-    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    rows, size = (
-        df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    )
+    """Measure ``df`` with one partial aggregate: a row per task meets in the end,
+    not the rows counted."""
+    widths = []
+    for field in df.schema.fields:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            widths.append(F.coalesce(F.octet_length(value), F.lit(0)))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            widths.append(F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)))
+    width = sum(widths, F.lit(8 * len(df.columns)))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 
@@ -34,12 +43,17 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large ``left`` with a ``right`` that holds each key once.
 
-    A right side measured to be small is broadcast and the left side never
-    moves. Beyond that bound both sides are shuffled on (key, salt): a left key
-    that owns a third of the rows is spread over ``SALTS`` tasks by
-    ``spread_by``, at the price of ``SALTS`` copies of each narrow right row.
+    The right side is stored first, so that measuring it does not compute it
+    twice. Measured to be small it is broadcast and the left side never moves.
+    Beyond that bound both sides are shuffled on (key, salt): a left key that owns
+    a third of the rows is spread over ``SALTS`` tasks by ``spread_by``, columns
+    outside the key, at the price of ``SALTS`` copies of each narrow right row.
+    Without ``spread_by`` the left side is expected to hold each key once, too.
     """
     on = list(on)
+    if set(spread_by) & set(on):
+        raise ValueError("a salt from the key itself splits nothing")
+    right = materialise(right, "lookup")
     if fits_broadcast(right, max_rows, max_bytes):
         return left.join(F.broadcast(right), on, how)
     if not spread_by:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recordloom import model
 from recordloom.functions.ranking import number_rows
+from recordloom.functions.rows import first_rows
 from recordloom.operators.states import (
     code_status,
     code_time,
@@ -31,16 +32,11 @@ def invocations(events: DataFrame, size: int = model.QUEUE_BATCH_SIZE) -> DataFr
 
 
 def first_deliveries(events: DataFrame) -> DataFrame:
-    """T5: the earliest delivery of each request. An aggregate rather than a
-    window, so copies of a hot request are merged before the shuffle."""
-    columns = [c for c in events.columns if c != "request_id"]
-    tie = F.xxhash64(*columns)
-    first = F.min_by(F.struct(*columns), F.struct("created_at", tie))
-    return (
-        events.groupBy("request_id")
-        .agg(first.alias("_e"), F.count("*").alias("deliveries"))
-        .select("request_id", "_e.*", "deliveries")
-    )
+    """T5: the earliest delivery of each request, ties by content, and how often it
+    was delivered. Copies of a hot request are merged before the shuffle, and both
+    sides of the join are hashed on the request already."""
+    counts = events.groupBy("request_id").agg(F.count("*").alias("deliveries"))
+    return first_rows(events, ["request_id"], [F.col("created_at")]).join(counts, "request_id")
 
 
 def expired(events: DataFrame, asof: datetime | Column, days: int = model.RETENTION_DAYS):

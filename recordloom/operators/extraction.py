@@ -355,7 +355,8 @@ def assemble(judged: DataFrame) -> DataFrame:
     )
     images = F.map_from_entries(
         F.transform(
-            F.coalesce("image_list", F.array().cast("array<string>")),
+            # A caller's list may name an object twice; a map holds it once.
+            F.array_distinct(F.coalesce("image_list", F.array().cast("array<string>"))),
             lambda key: F.struct(key.alias("key"), key.alias("value")),
         )
     )

@@ -183,8 +183,10 @@ def page_fanout(requests: DataFrame, splitter: Callable[[Column], Column] | None
     )
 
 
-def object_key(request_id: Column, page: Column) -> Column:
-    return F.concat_ws("/", request_id, F.sha2(page, 256))
+def object_key(request_id: Column, page_no: Column, page: Column) -> Column:
+    """Place and content of a page: equal pages of one document have keys of their
+    own, and a rerun writes the same ones."""
+    return F.concat_ws("/", request_id, F.concat_ws("-", page_no, F.sha2(page, 256)))
 
 
 def media_manifest(requests: DataFrame, splitter: Callable[[Column], Column] | None = None):
@@ -193,7 +195,7 @@ def media_manifest(requests: DataFrame, splitter: Callable[[Column], Column] | N
     return pages.select(
         "request_id",
         "page_no",
-        object_key(F.col("request_id"), F.col("page")).alias("object_key"),
+        object_key(F.col("request_id"), F.col("page_no"), F.col("page")).alias("object_key"),
         "mime_type",
         F.octet_length("page").alias("n_bytes"),
         F.col("page").alias("content"),
@@ -229,7 +231,9 @@ def prepare(resolved: DataFrame, splitter: Callable[[Column], Column] | None = N
     Media that cannot be decoded carries an error, see ``valid`` and ``invalid``.
     """
     paged = page_arrays(resolved, splitter)
-    keys = F.transform("pages", lambda page: object_key(F.col("request_id"), page))
+    keys = F.transform(
+        "pages", lambda page, at: object_key(F.col("request_id"), at + 1, page)
+    )
     undecodable = mime_kind().isin("pdf", "image") & decoded().isNull()
     name, message = model.DECODE_ERROR
     return paged.withColumns(

@@ -17,7 +17,7 @@ from recordloom import model
 from recordloom.functions import jsontree, text
 from recordloom.functions.joins import lookup_join
 from recordloom.functions.ranking import number_rows
-from recordloom.functions.rows import one_row_each
+from recordloom.functions.rows import first_rows, one_row_each
 
 KEY = ("schema_name", "schema_version")
 TagRules = dict[str, str]
@@ -171,11 +171,9 @@ def rejected(registered: DataFrame) -> DataFrame:
 
 
 def current(log: DataFrame) -> DataFrame:
-    """Latest row per (name, version). One partial aggregation, no sort."""
-    order = F.struct("written_at", (F.col("schema_status") == model.DELETED).alias("gone"))
-    columns = [c for c in log.columns if c not in KEY]
-    latest = log.groupBy(*KEY).agg(F.max_by(F.struct(*columns), order).alias("_row"))
-    return latest.select(*KEY, "_row.*").select(*log.columns)
+    """Latest row per (name, version); at equal times a deletion wins."""
+    gone = F.col("schema_status") == model.DELETED
+    return first_rows(log, KEY, [F.col("written_at").desc(), gone.desc()])
 
 
 def available(schemas: DataFrame) -> DataFrame:
@@ -189,7 +187,9 @@ def get_schemas(schemas: DataFrame, keys: DataFrame) -> DataFrame:
     key given as a filter on ``schemas`` is pushed into the scan instead.
     """
     found = available(schemas)
-    df = lookup_join(keys, found, KEY, "left", spread_by=KEY)
+    # The same key may be asked for very often; a serial number deals it out.
+    asked = keys.withColumn("_asked", F.monotonically_increasing_id())
+    df = lookup_join(asked, found, KEY, "left", spread_by=("_asked",)).drop("_asked")
     missing = F.col("schema_status").isNull()
     name, message = model.SCHEMA_DOES_NOT_EXIST
     return df.withColumn("error_name", F.when(missing, name)).withColumn(
@@ -236,11 +236,11 @@ def delete(schemas: DataFrame, keys: DataFrame, at: Column) -> tuple[DataFrame,
     keys = keys.select(*KEY).distinct()
     live = available(schemas)
     tombstones = (
-        lookup_join(live, keys, KEY, "left_semi", spread_by=KEY)
+        lookup_join(live, keys, KEY, "left_semi")
         .withColumn("schema_status", F.lit(model.DELETED))
         .withColumn("written_at", at)
     )
-    unknown = lookup_join(keys, live.select(*KEY), KEY, "left_anti", spread_by=KEY)
+    unknown = lookup_join(keys, live.select(*KEY), KEY, "left_anti")
     name, message = model.SCHEMA_DOES_NOT_EXIST
     return tombstones, unknown.select(
         *KEY, F.lit(name).alias("error_name"), F.lit(message).alias("error_message")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom import model
 from recordloom.functions.joins import lookup_join
-
+from recordloom.functions.rows import first_rows
 
 _CODES = len(model.STATUS_RANK)
 
@@ -43,20 +43,34 @@ def state_rows(requests: DataFrame, status: Column | str, at: Column) -> DataFra
 def latest_states(states: DataFrame) -> DataFrame:
     """M2: newest state of each request. The maximum is taken on the map side
     first, so a request with very many transitions is one row per task at the
-    shuffle. ``status`` is one of the four request states."""
+    shuffle. A status outside the four is returned like them where it is newest
+    (at equal times it wins over a known one); rows with one are few, so they are
+    reduced apart."""
+    known = F.col("status").isin(*model.STATUS_RANK)
     newest = states.groupBy("request_id").agg(F.max(transition_code()).alias("_code"))
-    return newest.select(
+    other = first_rows(
+        states.filter(~known | F.col("status").isNull()).select(
+            "request_id", F.col("status").alias("_other"), F.col("created_at").alias("_at")
+        ),
+        ["request_id"],
+        [F.col("_at").desc()],
+    )
+    time = code_time(F.col("_code"))
+    later = F.col("_at").isNotNull() & (F.col("_code").isNull() | (F.col("_at") >= time))
+    return newest.join(other, "request_id", "left").select(
         "request_id",
-        code_status(F.col("_code")).alias("status"),
-        code_time(F.col("_code")).alias("created_at"),
+        F.when(later, F.col("_other")).otherwise(code_status(F.col("_code"))).alias("status"),
+        F.when(later, F.col("_at")).otherwise(time).alias("created_at"),
     )
 
 
 def latest_results(results: DataFrame, written: str = "written_at") -> DataFrame:
-    """M4: the last result written for each request wins."""
-    columns = [c for c in results.columns if c != "request_id"]
-    newest = F.max_by(F.struct(*columns), F.col(written))
-    return results.groupBy("request_id").agg(newest.alias("_r")).select("request_id", "_r.*")
+    """M4: the last result written for each request wins; at equal times the later
+    attempt, then the content decides, so a rerun gives the same row."""
+    order = [F.col(written).desc()]
+    if "attempt" in results.columns:
+        order.append(F.col("attempt").desc())
+    return first_rows(results, ["request_id"], order)
 
 
 def get_results(states: DataFrame, results: DataFrame) -> DataFrame:
@@ -81,7 +95,7 @@ def results_for(asked: DataFrame, states: DataFrame, results: DataFrame) -> Data
     """M3 for a list of request ids; an unknown id gets an error row."""
     ids = asked.select("request_id").distinct()
     known = lookup_join(states, ids, ["request_id"], "left_semi", spread_by=("created_at",))
-    wanted = lookup_join(results, ids, ["request_id"], "left_semi", spread_by=("request_id",))
+    wanted = lookup_join(results, ids, ["request_id"], "left_semi")
     found = get_results(known, wanted)
     name, message = model.REQUEST_DOES_NOT_EXIST
     missing = F.col("status").isNull()

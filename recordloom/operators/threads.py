@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from recordloom import model
 from recordloom.functions import text as text_functions
+from recordloom.functions.joins import lookup_join
 from recordloom.functions.ranking import rank_in_group
+from recordloom.functions.rows import first_rows
 
 WINDOW_BLOCK = 4_096
 # White space a trimmed message loses, Unicode spaces and the byte-order mark included.
@@ -49,13 +51,15 @@ def histories(messages: DataFrame, memory: int = model.THREAD_MEMORY) -> DataFra
     """The history each user message is sent with.
 
     Ranks come from turn blocks and the window runs over rank blocks of fixed
-    size, each preceded by the last ``memory`` messages of the block before, so
-    the longest thread is spread over as many tasks as it needs.
+    size (no smaller than the memory), each preceded by the last ``memory``
+    messages of the block before, so the longest thread is spread over as many
+    tasks as it needs.
     """
+    block = max(WINDOW_BLOCK, memory)
     ranked = rank_in_group(history_messages(messages), "conv_id", "turn", "rank_no")
     position = F.col("rank_no") - 1
-    home = F.expr(f"(rank_no - 1) div {WINDOW_BLOCK}")
-    carried = F.pmod(position, F.lit(WINDOW_BLOCK)) >= WINDOW_BLOCK - memory
+    home = F.expr(f"(rank_no - 1) div {block}")
+    carried = F.pmod(position, F.lit(block)) >= block - memory
     blocks = ranked.withColumn("_home", home).withColumn(
         "_block",
         F.explode(
@@ -108,9 +112,8 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
 def latest_results(messages: DataFrame) -> DataFrame:
     """Content of the last assistant message; reduces on the map side."""
     answers = messages.filter(F.col("role") == "assistant")
-    return answers.groupBy("conv_id").agg(
-        F.max_by("text", "turn").alias("latest_result"), F.max("turn").alias("turn")
-    )
+    last = first_rows(answers.select("conv_id", "turn", "text"), ["conv_id"], [F.desc("turn")])
+    return last.select("conv_id", F.col("text").alias("latest_result"), "turn")
 
 
 def snapshots(
@@ -121,47 +124,70 @@ def snapshots(
     """One row per thread, with the history it currently holds.
 
     A thread holds the memory after its last user message plus the answer to
-    it, so at most ``memory`` + 1 of its last messages. Every task keeps that
-    many per thread before the shuffle (a ranking limit Spark pushes down); a
-    whole thread is never brought together.
+    it, so at most ``memory`` + 1 of its last messages. One aggregation of numbers
+    finds where they, the system message and the last answer are; ranks come from
+    turn blocks, so no thread is brought together but for what its row holds.
+    ``user_id`` and ``sent_at`` are read where ``messages`` has them: a thread is
+    created with its first message and updated when an answer ends.
     """
-    kept = history_messages(messages)
-    backwards = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    recent = (
-        kept.select("conv_id", "turn", "role", "text")
-        .withColumn("_back", F.row_number().over(backwards))
-        .filter(F.col("_back") <= memory + 1)
+    for name, kind in (("user_id", "string"), ("sent_at", "timestamp_ntz")):
+        if name not in messages.columns:
+            messages = messages.withColumn(name, F.lit(None).cast(kind))
+    messages = messages.select("conv_id", "turn", "role", "text", "user_id", "sent_at")
+    role = F.col("role")
+    held = (role != "system") & ((role != "user") | ~is_blank())
+    sent = F.unix_micros(F.col("sent_at").cast("timestamp"))
+    known = (
+        messages.groupBy("conv_id")
+        .agg(
+            F.count_if(held).alias("_total"),
+            F.max(F.when(held & (role == "user"), F.col("turn"))).alias("_user"),
+            F.min(F.when(role == "system", F.col("turn"))).alias("_system"),
+            F.max(F.when(role == "assistant", F.col("turn"))).alias("_answer"),
+            F.min(sent).alias("_created"),
+            F.max(F.when(role == "assistant", sent)).alias("_updated"),
+        )
+        .filter("_total > 0")
     )
-    entry = F.struct("turn", "role", F.col("text").alias("content"))
-    tails = recent.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(entry)).alias("_entries"),
-        F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("_user"),
+    ranked = rank_in_group(history_messages(messages), "conv_id", "turn", "rank_no").select(
+        *messages.columns, "rank_no"
     )
-    totals = kept.groupBy("conv_id").agg(F.count("*").alias("_total"))
-    system = (
-        messages.filter(F.col("role") == "system")
-        .groupBy("conv_id")
-        .agg(F.min_by("text", "turn").alias("system_message"))
+    system = messages.filter(role == "system").withColumn("rank_no", F.lit(None).cast("bigint"))
+    recent = F.coalesce(F.col("rank_no") > F.col("_total") - memory - 1, F.lit(False))
+    wanted = lookup_join(
+        ranked.unionByName(system), known, ["conv_id"], "inner", spread_by=("turn",)
+    ).filter(recent | (F.col("turn") == F.col("_system")) | (F.col("turn") == F.col("_answer")))
+    entry = F.struct("turn", "role", F.col("text").alias("content"))
+    # At most memory + 3 messages of a thread.
+    tails = wanted.groupBy("conv_id", "_total", "_user", "_created", "_updated").agg(
+        F.sort_array(F.collect_list(F.when(recent, entry))).alias("_entries"),
+        F.max(F.when(F.col("turn") == F.col("_system"), F.col("text"))).alias("system_message"),
+        F.max(F.when(F.col("turn") == F.col("_answer"), F.col("text"))).alias("latest_result"),
+        F.max("user_id").alias("user_id"),
     )
     after = F.size(F.filter("_entries", lambda e: e["turn"] > F.coalesce("_user", F.lit(-1))))
-    held = history_length(F.col("_total") - F.col("_after"), memory) + F.col("_after")
-    size = F.least(held, F.size("_entries").cast("bigint")).cast("int")
+    length = history_length(F.col("_total") - F.col("_after"), memory) + F.col("_after")
+    size = F.least(length, F.size("_entries").cast("bigint")).cast("int")
+    chat = F.transform(
+        F.slice("_entries", -F.col("_held"), F.col("_held")),
+        lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content")),
+    )
+
+    def moment(name: str) -> Column:
+        return F.timestamp_micros(F.col(name)).cast("timestamp_ntz")
+
     return (
-        tails.join(totals, "conv_id")
-        .join(system, "conv_id", "left")
-        .join(latest_results(kept).drop("turn"), "conv_id", "left")
-        .withColumn("_after", after)
+        tails.withColumn("_after", after)
         .withColumn("_held", size)
-        .withColumn("_held", F.slice("_entries", -F.col("_held"), F.col("_held")))
         .select(
             F.col("conv_id").alias("thread_id"),
+            "user_id",
             F.lit(agent_name).alias("agent_name"),
             "system_message",
-            F.transform(
-                "_held",
-                lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content")),
-            ).alias("chat_history"),
+            chat.alias("chat_history"),
             "latest_result",
+            moment("_created").alias("created_at"),
+            F.coalesce(moment("_updated"), moment("_created")).alias("updated_at"),
         )
     )
 

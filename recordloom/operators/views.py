@@ -43,7 +43,5 @@ def pages(rows: DataFrame, order: Sequence[str], size: int = model.TABLE_PAGE_SI
 
 
 def remove_selected(rows: DataFrame, selected: DataFrame, key: str) -> DataFrame:
-    """Drop the selected rows."""
-    return lookup_join(
-        rows, selected.select(key).distinct(), [key], "left_anti", spread_by=(key,)
-    )
+    """Drop the selected rows; ``key`` is their row id (U4), so it is unique."""
+    return lookup_join(rows, selected.select(key).distinct(), [key], "left_anti")

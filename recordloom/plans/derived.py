@@ -236,6 +236,21 @@ SELECT conv_id, turn, role,
 FROM conversations
 """
 
+# Who writes in a thread, and when.
+VIEWS["dated_messages"] = """
+SELECT conv_id, turn, role, text, concat('user-', conv_id % 97) AS user_id,
+  TS0 + conv_id * interval '1' hour + turn * interval '1' minute AS sent_at
+FROM conversations
+"""
+
+# A log in which some requests end in a status of another system.
+VIEWS["mixed_states"] = """
+SELECT request_id, status, created_at FROM states
+UNION ALL
+SELECT concat('u', user_id) AS request_id, 'CANCELLED' AS status, ts AS created_at
+FROM events WHERE event_id % 50 = 0
+"""
+
 VIEWS["chunks"] = """
 SELECT conv_id, turn, 1 AS seq, substr(text, 1, 40) AS delta FROM conversations
 WHERE role = 'assistant'
@@ -274,6 +289,8 @@ NEEDS = {
     "calls": ["events"],
     "asked": ["labels"],
     "typed_messages": ["conversations"],
+    "dated_messages": ["conversations"],
+    "mixed_states": ["events", "states"],
     "chunks": ["conversations"],
     "builder_threads": ["conversations"],
 }

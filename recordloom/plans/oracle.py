@@ -45,7 +45,7 @@ paged AS (
 PREPARED = f"""{CHECKED},
 prepared AS (
   SELECT p.*, s.schema_definition, CASE WHEN kind = 'text' THEN content ELSE '' END AS text_data,
-    list_transform(pages, lambda x: concat(request_id, '/', sha256(x))) AS image_list
+    list_transform(pages, lambda x, i: concat(request_id, '/', i, '-', sha256(x))) AS image_list
   FROM paged p JOIN doc_schemas s USING (schema_name, schema_version))"""
 
 
@@ -309,7 +309,7 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i FROM paged WHERE len(pages) > 0)
         UNION ALL SELECT request_id, page_mime, NULL, NULL FROM paged WHERE len(pages) = 0"""),
     "d8_manifest": _with("requests", CHECKED, """SELECT request_id, page_mime AS mime_type,
-        i AS page_no, concat(request_id, '/', sha256(pages[i])) AS object_key,
+        i AS page_no, concat(request_id, '/', i, '-', sha256(pages[i])) AS object_key,
         octet_length(encode(pages[i])) AS n_bytes
         FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i FROM paged WHERE len(pages) > 0)"""),
     "d9_resolve": _with("requests doc_schemas", "", """SELECT request_id, schema_name,
@@ -455,7 +455,11 @@ ORACLE: dict[str, str] = {
     "e9_result": _with("answers", _RETRY, f"""SELECT request_id, schema_name, schema_version,
         '{model.TEXT_MODEL}' AS model, {model.SEED}::BIGINT AS seed,
         {model.MAX_OUTPUT_TOKENS}::BIGINT AS max_tokens, result,
-        CAST(10 + attempts AS BIGINT) AS total_tokens FROM tries WHERE result IS NOT NULL"""),
+        CAST(10 + attempts AS BIGINT) AS total_tokens,
+        concat(request_id, '/1,', request_id, '/2') AS images
+        FROM tries WHERE result IS NOT NULL"""),
+    "j1_large_lookup": """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+        o_orderpriority FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""",
     "e10_failure": _with("requests doc_schemas", OUTCOMES, """, outcome AS (
         SELECT request_id, error_name, error_message FROM finished
         UNION ALL SELECT request_id, error_name, error_message FROM undecoded)
@@ -501,6 +505,12 @@ ORACLE: dict[str, str] = {
         FROM outcome"""),
     "m2_latest_state": _with("states written_results", LATEST,
         f"SELECT request_id, status, {stamp('created_at')} AS created_at FROM latest"),
+    "m2_other_states": _with("mixed_states", """ranked AS (SELECT *, row_number() OVER (
+          PARTITION BY request_id ORDER BY created_at DESC,
+          CASE status WHEN 'QUEUED' THEN 0 WHEN 'RUNNING' THEN 1 WHEN 'FAILED' THEN 2
+            WHEN 'COMPLETED' THEN 3 ELSE 4 END DESC) AS nth FROM mixed_states)""",
+        f"SELECT request_id, status, {stamp('created_at')} AS created_at "
+        "FROM ranked WHERE nth = 1"),
     "m3_get_result": _with("states written_results", LATEST, f"""SELECT l.request_id, l.status,
         {stamp('l.created_at')} AS created_at,
         CASE WHEN l.status = 'COMPLETED' THEN s.result END AS data,
@@ -574,6 +584,12 @@ ORACLE: dict[str, str] = {
         FROM typed_messages WHERE role <> 'user' OR regexp_replace(text, '\s', '', 'g') <> ''"""),
     "c2_history": _with("", FOLD,
         "SELECT conv_id, turn, messages, md5(history) AS digest FROM sent"),
+    "c2_long_memory": _with("", """history AS (SELECT conv_id, turn, role, text FROM conversations
+          WHERE role <> 'system' AND (role <> 'user' OR regexp_replace(text, '\\s', '', 'g') <> ''))""",
+        """SELECT u.conv_id, u.turn, count(*) AS messages,
+        md5(string_agg(concat(h.role, ':', h.text), '|' ORDER BY h.turn)) AS digest
+        FROM history u JOIN history h ON h.conv_id = u.conv_id AND h.turn <= u.turn
+        WHERE u.role = 'user' GROUP BY u.conv_id, u.turn"""),
     "c3_messages": _with("", FOLD, """SELECT conv_id, turn, messages + 1 AS messages,
         md5(concat('system:Build a schema.|', history)) AS digest FROM sent"""),
     "c4_chunks": """SELECT conv_id, turn, md5(text) AS digest, CAST(3 AS BIGINT) AS pieces
@@ -586,14 +602,22 @@ ORACLE: dict[str, str] = {
           JOIN ranked h ON h.conv_id = e.conv_id AND h.r > e.r - f.held),
         systems AS (SELECT conv_id, arg_min(text, turn) AS system_message FROM conversations
           WHERE role = 'system' GROUP BY conv_id),
-        answers AS (SELECT conv_id, arg_max(text, turn) AS latest FROM conversations
-          WHERE role = 'assistant' GROUP BY conv_id)""", """SELECT k.conv_id AS thread_id,
+        answers AS (SELECT conv_id, arg_max(text, turn) AS latest, max(turn) AS turn
+          FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+        starts AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id),
+        times AS (SELECT s.conv_id, TIMESTAMP '2024-01-01' + to_hours(s.conv_id)
+            + to_minutes(s.turn) AS created_at, TIMESTAMP '2024-01-01' + to_hours(s.conv_id)
+            + to_minutes(coalesce(a.turn, s.turn)) AS updated_at
+          FROM starts s LEFT JOIN answers a USING (conv_id))""",
+        f"""SELECT k.conv_id AS thread_id, concat('user-', k.conv_id % 97) AS user_id,
+        {stamp('any_value(t.created_at)')} AS created_at,
+        {stamp('any_value(t.updated_at)')} AS updated_at,
         'schema-builder' AS agent_name, md5(any_value(s.system_message)) AS system_digest,
         count(*) AS messages,
         md5(string_agg(concat(k.role, ':', k.text), '|' ORDER BY k.r)) AS history_digest,
         md5(any_value(a.latest)) AS result_digest
         FROM kept k LEFT JOIN systems s USING (conv_id) LEFT JOIN answers a USING (conv_id)
-        GROUP BY k.conv_id"""),
+        JOIN times t USING (conv_id) GROUP BY k.conv_id"""),
     "c7_schema_from_thread": """SELECT conv_id, concat('thread_', conv_id) AS schema_name,
         concat('{"properties":{"field_', max(turn), '":{"type":["string","null"]}},',
           '"required":["field_', max(turn), '"],"type":"object"}') AS schema_definition,

@@ -523,7 +523,11 @@ def _retried(spark, sf_dir):
         .drop("content")
         .withColumn("expected", expected)
         .withColumn("text_data", F.lit(""))
-        .withColumn("image_list", F.array().cast("array<string>"))
+        # Pages of a request, one of them named twice.
+        .withColumn(
+            "image_list",
+            F.array(*[F.concat_ws("/", "request_id", F.lit(page)) for page in ("1", "2", "1")]),
+        )
     )
     prompted = prompting.with_prompt(extraction.attach_schemas(rows, compiled))
     return extraction.extract(prompted, ScriptedExtractor(), levels, compiled=compiled)
@@ -552,6 +556,7 @@ def e9_result(spark, sf_dir):
         _long("request.max_tokens").alias("max_tokens"),
         "result",
         F.col("metadata.total_tokens").alias("total_tokens"),
+        F.array_join(F.array_sort(F.map_keys("images")), ",").alias("images"),
     )
 
 
@@ -590,6 +595,21 @@ def e13_tool_args(spark, sf_dir):
     return rows.select("request_id", "tool_name", F.to_json(record).alias("record"))
 
 
+@query
+def j1_large_lookup(spark, sf_dir):
+    """A lookup whose right side is beyond the bound: shuffled on key and salt."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"
+    )
+    rows = lookup_join(
+        items, orders, ["l_orderkey"], "left", spread_by=("l_linenumber",), max_rows=1_000
+    )
+    return rows.select(
+        "l_orderkey", _long("l_linenumber").alias("l_linenumber"), "o_orderpriority"
+    )
+
+
 @query
 def extract_documents(spark, sf_dir):
     """The whole path of a request, from its row to its reply."""
@@ -623,6 +643,13 @@ def m2_latest_state(spark, sf_dir):
     return rows.select("request_id", "status", _stamp("created_at").alias("created_at"))
 
 
+@query
+def m2_other_states(spark, sf_dir):
+    """States outside the four are returned where they are the newest."""
+    rows = states.latest_states(view(spark, sf_dir, "mixed_states"))
+    return rows.select("request_id", "status", _stamp("created_at").alias("created_at"))
+
+
 def _results(spark, sf_dir):
     error = F.when(F.col("error_name").isNotNull(), F.struct("error_name", "error_message"))
     return view(spark, sf_dir, "written_results").select(
@@ -832,6 +859,20 @@ def c2_history(spark, sf_dir):
     )
 
 
+@query
+def c2_long_memory(spark, sf_dir):
+    """A memory beyond the size of a window block."""
+    rows = threads.histories(
+        table(spark, sf_dir, "conversations"), threads.WINDOW_BLOCK + MEMORY
+    )
+    return rows.select(
+        "conv_id",
+        "turn",
+        _long(F.size("history")).alias("messages"),
+        _history("history").alias("digest"),
+    )
+
+
 @query
 def c3_messages(spark, sf_dir):
     rows = threads.histories(table(spark, sf_dir, "conversations"), MEMORY)
@@ -858,9 +899,12 @@ def c5_latest_result(spark, sf_dir):
 
 @query
 def c6_snapshot(spark, sf_dir):
-    rows = threads.snapshots(table(spark, sf_dir, "conversations"), "schema-builder", MEMORY)
+    rows = threads.snapshots(view(spark, sf_dir, "dated_messages"), "schema-builder", MEMORY)
     return rows.select(
         "thread_id",
+        "user_id",
+        _stamp("created_at").alias("created_at"),
+        _stamp("updated_at").alias("updated_at"),
         "agent_name",
         F.md5("system_message").alias("system_digest"),
         _long(F.size("chat_history")).alias("messages"),

@@ -38,7 +38,7 @@ def random_thread(rng, length):
     return rows
 
 
-@pytest.mark.parametrize("memory", [2, 3, 4, 5, 20])
+@pytest.mark.parametrize("memory", [2, 3, 4, 5, 20, 40, 901])
 def test_history_matches_the_fold(spark, monkeypatch, memory):
     monkeypatch.setattr(threads, "WINDOW_BLOCK", 24)
     rng = random.Random(memory)
