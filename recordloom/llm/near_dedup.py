@@ -3,8 +3,10 @@
 1. One pass turns each text into its shingle set's size, digest and registers.
    Documents with the same set are one group from the start; one of them, its
    smallest id, goes on.
-2. Bands of registers put similar sets into buckets. Every member is compared
-   with the smallest id of each of its buckets (a star, not all pairs).
+2. Bands of registers put similar sets into buckets. A bucket is led by its most
+   popular member, the one whose own buckets are fullest; in a family of copies
+   that is the original or a text close to it. Every member is compared with two
+   of its leaders, the one it meets most often and the most popular one.
 3. Links found so connect most of every group. Only buckets that still hold
    members of different components are searched in full, block against block, by
    estimates from the registers; no pair inside one component is looked at.
@@ -204,6 +206,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """At most two pairs (a, b) of each member of a bucket with leaders it has."""
+    popular = members.groupBy("_id").agg(F.sum("size").alias("popularity"))
+    led = (
+        members.join(popular, "_id")
+        .groupBy("band")
+        .agg(F.max(F.struct("popularity", (-F.col("_id")).alias("id"))).alias("_first"))
+        .select("band", "_first.popularity", (-F.col("_first.id")).alias("leader"))
+    )
+    met = (
+        spread_join(members.select("band", "_id"), led, ["band"], ["_id"], "inner", salts=8)
+        .filter("leader <> _id")
+        .groupBy("_id", "leader")
+        .agg(F.count("*").alias("shared"), F.max("popularity").alias("popularity"))
+    )
+    chosen = met.groupBy("_id").agg(
+        F.max(F.struct("shared", "popularity", (-F.col("leader")).alias("id"))).alias("_often"),
+        F.max(F.struct("popularity", (-F.col("leader")).alias("id"))).alias("_popular"),
+    )
+    leaders = F.explode(F.array_distinct(F.array(-F.col("_often.id"), -F.col("_popular.id"))))
+    pairs = chosen.select("_id", leaders.alias("leader"))
+    return pairs.select(
+        F.least("_id", "leader").alias("a"), F.greatest("_id", "leader").alias("b")
+    ).distinct()
+
+
+def _shingle_sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(_id, shingles) of the documents in ``pairs``, stored once."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    ids = materialise(ids, "wanted-ids")
+    if ids.count() <= MAX_IDS:
+        ids = F.broadcast(ids)
+    texts = rows.join(ids, "_id", "left_semi")
+    return materialise(texts.mapInArrow(_set_rows, "_id bigint, shingles array<bigint>"), "sets")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b): the smallest node that
     can be reached from it. One durable table a round; the links left shrink."""
@@ -270,31 +308,19 @@ def near_groups(
         "nodes",
     )
     bands = nodes.mapInArrow(_bander, "_id bigint, band bigint")
-    buckets = (
+    sizes = (
         bands.groupBy("band")
-        .agg(F.min("_id").alias("leader"), F.max("_id").alias("_last"))
-        .filter("leader < _last")
-        .drop("_last")
+        .agg(F.count("*").alias("size"), F.min("_id").alias("_low"), F.max("_id").alias("_high"))
+        .filter("_low < _high")
+        .select("band", "size")
     )
     members = materialise(
-        spread_join(bands, buckets, ["band"], ["_id"], "inner", salts=8), "bucket-members"
-    )
-    candidates = members.select("_id").distinct()
-    texts = rows.filter("_id is not null")
-    wanted = materialise(candidates, "candidates")
-    if wanted.count() <= MAX_IDS:
-        texts = texts.join(F.broadcast(wanted), "_id", "left_semi")
-    else:
-        texts = texts.join(wanted, "_id", "left_semi")
-    sets = materialise(
-        texts.mapInArrow(_set_rows, "_id bigint, shingles array<bigint>"), "sets"
-    )
-    stars = members.filter("leader <> _id").select(
-        F.col("leader").alias("a"), F.col("_id").alias("b")
-    ).distinct()
-    close = materialise(
-        _verified(_estimated(stars, nodes, threshold), sets, threshold), "links"
+        spread_join(bands, sizes, ["band"], ["_id"], "inner", salts=8), "bucket-members"
     )
+    stars = materialise(_stars(members), "stars")
+    hopeful = materialise(_estimated(stars, nodes, threshold), "hopeful-pairs")
+    sets = _shingle_sets(rows, hopeful)
+    close = materialise(_verified(hopeful, sets, threshold), "links")
     comps = components(close)
 
     placed = members.join(comps.toDF("_id", "comp"), "_id", "left").withColumn(
@@ -326,7 +352,8 @@ def near_groups(
         .mapInArrow(_crosser(threshold), _PAIR)
         .distinct()
     )
-    more = _verified(materialise(crossing, "crossing-pairs"), sets, threshold)
+    crossing = materialise(crossing, "crossing-pairs")
+    more = _verified(crossing, _shingle_sets(rows, crossing), threshold)
     every = components(close.unionByName(more))
 
     named = groups.join(every.toDF("_id", "comp"), "_id", "left")
