@@ -37,7 +37,8 @@ HELD_OUT = 0
 CALIBRATION = 4
 #: Bound of the sample: so many labelled training texts of either class.
 MOST_TEXTS = 20_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000  # words a task remembers
+MOST_SEQUENCES = 1_000_000  # sequences a task remembers to have listed
 FEATURES = 4
 
 
@@ -108,7 +109,7 @@ def _sequence_lister(batches) -> Iterator[pa.RecordBatch]:
             keys = np.unique(sequences(fresh)[0])
             keys = np.setdiff1d(keys, found, assume_unique=True)
             if len(keys):
-                found = np.union1d(found, keys) if len(found) < 4_000_000 else keys
+                found = np.union1d(found, keys) if len(found) < MOST_SEQUENCES else keys
                 yield pa.RecordBatch.from_pydict({"key": keys})
 
 
