@@ -290,6 +290,10 @@ _RETRY = """tries AS (
       ',"lang":"en","size":{"chars":1,"unit":"words"}}') END AS result
   FROM answers)"""
 
+# Requests that are not expired when the queue is run.
+_LIVE = """SELECT e.* FROM extracted e JOIN requests r USING (request_id)
+    WHERE r.created_at >= TIMESTAMP '2024-01-01 00:00:30'"""
+
 ORACLE: dict[str, str] = {
     "d1_scan_text": """SELECT CAST(doc_id AS VARCHAR) AS document_id, 'text/plain' AS mime_type,
         length(text) AS n_chars, md5(text) AS digest FROM documents""",
@@ -549,12 +553,21 @@ ORACLE: dict[str, str] = {
         CASE WHEN NOT undecodable THEN {stamp('created_at')} END AS created_at,
         CASE WHEN undecodable THEN 'FAILED' ELSE 'QUEUED' END AS status FROM prepared"""),
     "t2_run_batch": _with("requests doc_schemas", EXTRACTED, f"""SELECT request_id,
-        'RUNNING' AS status, {stamp(_ASOF)} AS created_at FROM extracted
+        'RUNNING' AS status, '2024-01-15 00:00:30.000000' AS created_at FROM ({_LIVE})
         UNION ALL SELECT request_id, CASE WHEN broken THEN 'FAILED' ELSE 'COMPLETED' END,
-        {stamp(_ASOF)} FROM extracted"""),
-    "t9_change_feed": _with("requests doc_schemas", EXTRACTED, """SELECT request_id,
+        '2024-01-15 00:00:30.000000' FROM ({_LIVE})"""),
+    "t2_results": _with("requests doc_schemas", EXTRACTED, f"""SELECT request_id, schema_name,
+        CASE WHEN NOT broken THEN record END AS result,
+        CASE WHEN broken THEN 'InvalidData' END AS error_name FROM ({_LIVE})"""),
+    "t4_undecodable": """SELECT value, row_number() OVER (PARTITION BY value) AS copy_no
+        FROM (SELECT concat('no event ', doc_id % 4) AS value FROM documents
+          WHERE doc_id % 25 = 3)""",
+    "t6_late_audit": _with("requests doc_schemas", PREPARED, f"""SELECT request_id,
+        {stamp('created_at')} AS created_at FROM prepared
+        WHERE NOT undecodable AND created_at < TIMESTAMP '2024-01-01 00:00:30'"""),
+    "t9_change_feed": _with("requests doc_schemas", EXTRACTED, f"""SELECT request_id,
         CASE WHEN NOT broken THEN record END AS result,
-        CASE WHEN broken THEN 'InvalidData' END AS error_name FROM extracted"""),
+        CASE WHEN broken THEN 'InvalidData' END AS error_name FROM ({_LIVE})"""),
     "t3_groups": _with("deliveries", """named AS (SELECT
         concat(request_id, '#', hour(created_at)) AS request_id, created_at FROM deliveries),
         numbered AS (SELECT request_id,

@@ -27,7 +27,7 @@ from recordloom.operators import (
 )
 from recordloom.plans.derived import table, view
 from recordloom.session import materialise, new_folder
-from recordloom.sources import documents, queue
+from recordloom.sources import documents, queue, tables
 from recordloom.streaming import runner
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,8 @@ QUERIES: dict[str, Query] = {}
 
 PAGE_BREAK = "\n"
 ASOF = datetime(2024, 1, 30, 23, 58, 0)
+# When the queue is run: requests of the first half minute are expired by then.
+RUN_AT = datetime(2024, 1, 15, 0, 0, 30)
 MEMORY = 4
 
 TOOLS = (
@@ -747,21 +749,20 @@ def t1_enqueue(spark, sf_dir):
 
 
 def _run_queue(spark, sf_dir) -> str:
-    """Send every request twice, run the queue until it is empty."""
+    """Send every request twice, and some bodies that are no events; run the queue
+    until it is empty. The runner is given no registry."""
     bodies, _, _ = _messages(spark, sf_dir)
     folder, out = new_folder(spark, "queue"), new_folder(spark, "run")
-    queue.send(bodies.union(bodies), folder)
-    schemas = _registry(spark, sf_dir, "doc_schemas")
-    levels = measured_levels(schemas)
-    compiled = materialise(extraction.compile_schemas(schemas, levels), "compiled")
+    queue.send(bodies, folder)
+    queue.send(bodies, folder)
+    broken = table(spark, sf_dir, "documents").filter("doc_id % 25 = 3")
+    queue.send(broken.select(F.concat(F.lit("no event "), F.expr("doc_id % 4")).alias("value")), folder)
     stream = runner.run_queue(
         queue.receive(spark, folder),
         out,
         new_folder(spark, "offsets"),
-        compiled,
         extraction.RuleExtractor(),
-        levels,
-        now=F.lit(ASOF).cast("timestamp_ntz"),
+        now=F.lit(RUN_AT).cast("timestamp_ntz"),
     )
     stream.awaitTermination()
     return out
@@ -774,10 +775,35 @@ def t2_run_batch(spark, sf_dir):
     return rows.select("request_id", "status", _stamp("created_at").alias("created_at"))
 
 
+@query
+def t2_results(spark, sf_dir):
+    rows = runner.read_results(spark, _run_queue(spark, sf_dir))
+    return rows.select(
+        "request_id", "schema_name", "result", F.col("error.error_name").alias("error_name")
+    )
+
+
+@query
+def t4_undecodable(spark, sf_dir):
+    out = _run_queue(spark, sf_dir)
+    rows = tables.once(spark.read.parquet(f"{out}/undecodable"), ["value", "copy_no"])
+    return rows.select("value", _long("copy_no").alias("copy_no"))
+
+
+@query
+def t6_late_audit(spark, sf_dir):
+    out = _run_queue(spark, sf_dir)
+    rows = tables.once(spark.read.parquet(f"{out}/expired"), ["request_id"])
+    return rows.select("request_id", _stamp("created_at").alias("created_at"))
+
+
 @query
 def t9_change_feed(spark, sf_dir):
+    """The feed of a queue whose first batch is written twice."""
     out = _run_queue(spark, sf_dir)
-    stored = spark.read.parquet(f"{out}/results").drop("batch_id")
+    stored = spark.read.parquet(f"{out}/results")
+    again = materialise(stored.filter("batch_id = 0"), "replayed")
+    again.write.mode("append").partitionBy("day").parquet(f"{out}/results")
     feed = runner.change_feed(spark, out, stored.schema)
     images = feed.select("request_id", "result", F.col("error.error_name").alias("error_name"))
     target = new_folder(spark, "feed")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders made inside ``scratch``, one list per block that is open.
+_SCRATCH: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate tables.
 
@@ -31,9 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
     this machine, so a cluster without ``spark.checkpoint.dir`` is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.conf.get("spark.master", "").split("[")[0] == "local"
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="recordloom-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -42,7 +49,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh location under the shared folder."""
-    return f"{shared_folder(spark)}/recordloom/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/recordloom/{label}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block are removed when it ends: a stream must not
+    leave some behind with every batch. Whatever is read from them has to be
+    written before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _SCRATCH.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom import model
+from recordloom.functions.rows import first_rows
 
 
 def append_schemas(rows: DataFrame, path: str) -> None:
@@ -35,9 +39,25 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*model.STATE_ROW.fieldNames())
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """The rows of one micro-batch; a replayed batch replaces its own files."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def append_batch(rows: DataFrame, path: str, batch_id: int, day: Column) -> None:
+    """The rows of one micro-batch, appended to the folder of their day.
+
+    A replayed batch appends its rows again under the same ``batch_id``; readers
+    keep one of each (see ``once``), so no folder is needed for every batch.
+    """
+    rows.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "day": day}).write.mode(
+        "append"
+    ).partitionBy("day").parquet(path)
+
+
+def once(rows: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """One row of each key and batch, whatever was replayed."""
+    return first_rows(rows, [*keys, "batch_id"], list(order)).drop("batch_id", "day")
+
+
+def create(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Make the folder of a table, so that it can be read before its first row."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
 
 
 def write_media(manifest: DataFrame, path: str) -> None:

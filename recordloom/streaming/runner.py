@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom import model
+from recordloom.functions.joins import lookup_join
+from recordloom.functions.jsontree import measured_levels
 from recordloom.operators import extraction, intake, prompting, states
+from recordloom.operators.registry import KEY
+from recordloom.session import materialise, scratch
 from recordloom.sources import queue, tables
 
 RETENTION = f"{model.RETENTION_DAYS} days"
@@ -17,11 +22,12 @@ RETENTION = f"{model.RETENTION_DAYS} days"
 def enqueue(requests: DataFrame, schemas: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(queue messages, state rows, result rows of requests that failed).
 
+    Requests are prepared once and stored; the three tables are read from there.
     The QUEUED time is the request's own time, before any RUNNING time. A
     request without a schema leaves nothing here (see ``intake.unresolved``).
     """
     checked = intake.valid(intake.check_requests(requests))
-    prepared = intake.prepare(intake.resolve(checked, schemas))
+    prepared = materialise(intake.prepare(intake.resolve(checked, schemas)), "prepared")
     status = F.when(F.col("error_name").isNull(), model.QUEUED).otherwise(model.FAILED)
     return (
         queue.event_body(intake.valid(prepared)),
@@ -31,74 +37,103 @@ def enqueue(requests: DataFrame, schemas: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def first_of_each(events: DataFrame) -> DataFrame:
-    """T5, T6 on a stream: a redelivered event within the retention period is
-    dropped, and state older than that is released by the watermark."""
-    moment = F.to_utc_timestamp(F.col("created_at"), "UTC")
+    """T5 on a stream: an event redelivered within the retention period after its
+    first arrival is dropped.
+
+    The watermark runs on arrival, so no event comes too late to be seen; whether
+    it is expired is decided, and recorded, by the batch that gets it. Bodies
+    without an id are no copies of each other: all are kept.
+    """
     return (
-        events.withColumn("_moment", moment)
-        .withWatermark("_moment", RETENTION)
-        .dropDuplicatesWithinWatermark(["request_id"])
-        .drop("_moment")
+        events.withColumn("_once", F.coalesce(F.col("request_id"), F.expr("uuid()")))
+        .withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", RETENTION)
+        .dropDuplicatesWithinWatermark(["_once"])
+        .drop("_once", "_arrived")
     )
 
 
-def run_events(
-    events: DataFrame,
-    compiled: DataFrame,
-    extractor: extraction.Extractor,
-    levels: int,
-) -> DataFrame:
-    """E1-E10 for a batch of events: result rows, failures included (T4)."""
+def run_events(events: DataFrame, extractor: extraction.Extractor) -> DataFrame:
+    """E1-E10 for a batch of events: result rows, failures included (T4).
+
+    Every event carries the definition it was accepted with; the distinct ones of
+    the batch are compiled, so a schema registered after the stream began is known
+    and a deleted one still is. An event without a readable definition fails.
+    """
     flat = events.select(
         "request_id",
         "key.schema_name",
         "key.schema_version",
+        "payload.schema_definition",
         "payload.text_data",
         "payload.image_list",
         "created_at",
     )
-    prepared = extraction.attach_schemas(flat, compiled)
-    prompted = prompting.with_prompt(prepared)
-    return extraction.assemble(extraction.extract(prompted, extractor, levels))
+    definition = F.try_parse_json("schema_definition")
+    readable = F.coalesce(F.schema_of_variant(definition).startswith("OBJECT"), F.lit(False))
+    known = [*KEY, "schema_definition"]
+    schemas = materialise(flat.filter(readable).select(*known).distinct(), "batch-schemas")
+    levels = measured_levels(schemas)
+    compiled = materialise(extraction.compile_schemas(schemas, levels), "compiled")
+    prepared = lookup_join(
+        flat.filter(readable), compiled, known, "inner", spread_by=("request_id",)
+    )
+    results = extraction.assemble(
+        extraction.extract(prompting.with_prompt(prepared), extractor, levels)
+    )
+    name, message = model.SCHEMA_DOES_NOT_EXIST
+    lost = flat.filter(~readable).withColumns(
+        {"error_name": F.lit(name), "error_message": F.lit(message)}
+    )
+    return extraction.all_results(results, extraction.failures(lost))
 
 
 def batch_runner(
-    out: str,
-    compiled: DataFrame,
-    extractor: extraction.Extractor,
-    levels: int,
-    now: Column | None = None,
+    out: str, extractor: extraction.Extractor, now: Column | None = None
 ) -> Callable[[DataFrame, int], None]:
     """What happens to one micro-batch.
 
-    All three tables are written under the batch id with overwrite, so a batch
-    that is replayed after a failure replaces itself. Results are stored before
-    the final states are derived from them: the extractor is not asked twice.
+    Undecodable bodies and expired events (T6) are kept in tables of their own.
+    Every other event gets a RUNNING row, a result, and a final state that is
+    derived from the stored result: the extractor is not asked twice. Rows carry
+    the batch id, by which readers drop what a replay wrote again.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         clock = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
+        (moment,) = spark.range(1).select(clock.alias("at")).first()
+        clock = F.lit(moment).cast("timestamp_ntz")
+        day = F.to_date(clock)
         good = F.col("request_id").isNotNull() & F.col("key.schema_name").isNotNull()
         batch = batch.persist()
         try:
             if batch.isEmpty():  # a batch that only moves the watermark
                 return
-            undecodable = batch.filter(~good).select("value")
-            tables.write_batch(undecodable, f"{out}/undecodable", batch_id)
-            events = batch.filter(good)
-            tables.write_batch(
-                states.state_rows(events, model.RUNNING, clock), f"{out}/running", batch_id
-            )
-            results = run_events(events, compiled, extractor, levels).withColumn(
-                "written_at", clock
+            with scratch(spark):
+                copies = Window.partitionBy("value").orderBy("value")
+                undecodable = batch.filter(~good).select(
+                    "value", F.row_number().over(copies).alias("copy_no")
+                )
+                tables.append_batch(undecodable, f"{out}/undecodable", batch_id, day)
+                expired = F.coalesce(
+                    F.col("created_at") < clock - F.make_dt_interval(F.lit(model.RETENTION_DAYS)),
+                    F.lit(False),
+                )
+                late = batch.filter(good & expired).select("request_id", "created_at", "value")
+                tables.append_batch(late, f"{out}/expired", batch_id, day)
+                events = batch.filter(good & ~expired)
+                running = states.state_rows(events, model.RUNNING, clock)
+                tables.append_batch(running, f"{out}/running", batch_id, day)
+                results = run_events(events, extractor).withColumn("written_at", clock)
+                tables.append_batch(results, f"{out}/results", batch_id, day)
+            stored = spark.read.parquet(f"{out}/results").filter(
+                (F.col("day") == day) & (F.col("batch_id") == batch_id)
             )
-            tables.write_batch(results, f"{out}/results", batch_id)
+            done = states.state_rows(stored, extraction.final_status(), F.col("written_at"))
+            tables.append_batch(done.distinct(), f"{out}/finished", batch_id, day)
         finally:
             batch.unpersist()
-        stored = spark.read.parquet(f"{out}/results/batch_id={batch_id}")
-        done = states.state_rows(stored, extraction.final_status(), F.col("written_at"))
-        tables.write_batch(done, f"{out}/finished", batch_id)
 
     return run
 
@@ -107,17 +142,18 @@ def run_queue(
     events: DataFrame,
     out: str,
     checkpoint: str,
-    compiled: DataFrame,
     extractor: extraction.Extractor,
-    levels: int,
     now: Column | None = None,
     available_now: bool = True,
 ):
     """Consume the queue until it is empty (or for ever)."""
+    spark = events.sparkSession
+    for name in ("running", "finished"):
+        tables.create(spark, f"{out}/{name}", _BATCH_STATE)
     writer = (
         first_of_each(events)
         .writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(batch_runner(out, compiled, extractor, levels, now))
+        .foreachBatch(batch_runner(out, extractor, now))
     )
     writer = (
         writer.trigger(availableNow=True)
@@ -127,22 +163,46 @@ def run_queue(
     return writer.start()
 
 
+_BATCH_STATE = T.StructType([*model.STATE_ROW.fields, T.StructField("batch_id", T.LongType())])
+_STORED_STATE = T.StructType([*_BATCH_STATE.fields, T.StructField("day", T.DateType())])
+
+
 def read_run_states(spark: SparkSession, out: str) -> DataFrame:
-    running = spark.read.parquet(f"{out}/running").drop("batch_id")
-    return running.unionByName(spark.read.parquet(f"{out}/finished").drop("batch_id"))
+    """The state rows of all batches, each once."""
+    rows = [spark.read.schema(_STORED_STATE).parquet(f"{out}/{n}") for n in ("running", "finished")]
+    return tables.once(rows[0].unionByName(rows[1]), ["request_id", "status"])
+
+
+def read_results(spark: SparkSession, out: str) -> DataFrame:
+    """The result rows of all batches, each once."""
+    return tables.once(
+        spark.read.parquet(f"{out}/results"), ["request_id"], [F.col("written_at")]
+    )
 
 
 def change_feed(spark: SparkSession, out: str, schema) -> DataFrame:
-    """Every newly written result row, as a stream."""
-    return spark.readStream.schema(schema).parquet(f"{out}/results/*")
+    """Every newly written result row, as a stream. ``schema`` is that of the
+    stored table. A batch that is replayed does not show twice."""
+    return (
+        spark.readStream.schema(schema)
+        .parquet(f"{out}/results")
+        .withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", RETENTION)
+        .dropDuplicatesWithinWatermark(["request_id", "batch_id"])
+        .drop("_arrived")
+    )
 
 
 def stuck_stream(
-    transitions: DataFrame, seconds: int = model.VISIBILITY_TIMEOUT_SECONDS
+    transitions: DataFrame,
+    seconds: int = model.VISIBILITY_TIMEOUT_SECONDS,
+    lateness: str = "10 minutes",
 ) -> DataFrame:
     """T7 on a stream of state rows (request_id, status, created_at as a
     timestamp): emits a request when its event-time timer runs out before it
-    leaves RUNNING. State is one timestamp per running request."""
+    leaves RUNNING. State is one timestamp per running request. ``lateness`` is
+    how long after newer rows a transition may still arrive and count; timers run
+    out that much later."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -160,9 +220,11 @@ def stuck_stream(
             return
         newest = None
         for frame in frames:
-            for status, at in zip(frame["status"], frame["created_at"], strict=True):
-                seen = (pd.Timestamp(at).value // 1000, order.get(status, -1), status)
-                newest = seen if newest is None else max(newest, seen)
+            micros = frame["created_at"].astype("datetime64[us]").astype("int64")
+            rank = frame["status"].map(order).fillna(len(order)).astype("int64")
+            last = (micros * (len(order) + 1) + rank).idxmax()
+            seen = (int(micros[last]), int(rank[last]), frame["status"][last])
+            newest = seen if newest is None else max(newest, seen)
         if newest is None:
             return
         if state.exists and newest[0] < state.get[0]:
@@ -176,7 +238,7 @@ def stuck_stream(
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     return (
-        transitions.withWatermark("created_at", "0 seconds")
+        transitions.withWatermark("created_at", lateness)
         .groupBy("request_id")
         .applyInPandasWithState(
             watch,

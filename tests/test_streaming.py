@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import glob
 import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from recordloom.operators import extraction, states
+from recordloom.session import shared_folder
 from recordloom.sources import documents, queue, tables
 from recordloom.streaming import runner
 
@@ -45,18 +47,26 @@ def send(spark, folder):
     assert [r.request_id for r in failed.collect()] == ["r5"]
     queue.send(bodies, folder)
     queue.send(bodies, folder)
-    spark.createDataFrame([("not an event",)], "value string").write.mode("append").text(folder)
+    late = bodies.filter("request_id = 'r1'").selectExpr(
+        "request_id",
+        """replace(replace(value, '2024-01-01', '2023-12-01'), '"r1"', '"old"') as value""",
+    )
+    bare = bodies.filter("request_id = 'r1'").selectExpr(
+        "request_id",
+        """to_json(struct('bare' as request_id, struct('contact' as schema_name,
+           'v' as schema_version) as key, '2024-01-01T12:00:00.000000' as created_at)) as value""",
+    )
+    queue.send(late.unionByName(bare), folder)
+    for _ in range(3):
+        spark.createDataFrame([("not an event",)], "value string").write.mode("append").text(folder)
 
 
 def run(spark, folder, out, offsets):
-    compiled = extraction.compile_schemas(registry(spark), 1)
     stream = runner.run_queue(
         queue.receive(spark, folder, files_per_trigger=2),
         out,
         offsets,
-        compiled,
         extraction.RuleExtractor(),
-        1,
         now=F.lit(NOW).cast("timestamp_ntz"),
     )
     stream.awaitTermination()
@@ -70,39 +80,49 @@ def test_queue_run_redelivery_and_replay(spark, tmp_path):
     log = runner.read_run_states(spark, out)
     assert log.groupBy("request_id").count().filter("count != 2").count() == 0
     latest = {r.request_id: r.status for r in states.latest_states(log).collect()}
-    assert latest == {"r1": "COMPLETED", "r2": "COMPLETED", "r3": "FAILED"}
-    results = {r.request_id: r for r in spark.read.parquet(f"{out}/results").collect()}
+    assert latest == {"r1": "COMPLETED", "r2": "COMPLETED", "r3": "FAILED", "bare": "FAILED"}
+    results = {r.request_id: r for r in runner.read_results(spark, out).collect()}
+    assert results["bare"].error.error_name == "SchemaDoesNotExist"
     assert json.loads(results["r1"].result) == {"email": "a@b.example"}
     assert results["r3"].error.error_name == "InvalidData"
-    assert spark.read.parquet(f"{out}/undecodable").count() == 1
+    assert spark.read.parquet(f"{out}/undecodable").count() == 3
+    assert [r.request_id for r in spark.read.parquet(f"{out}/expired").collect()] == ["old"]
     run(spark, folder, out, offsets)
-    assert runner.read_run_states(spark, out).count() == 6
+    assert runner.read_run_states(spark, out).count() == 8
 
-    stored = spark.read.parquet(f"{out}/results").drop("batch_id")
+    stored = spark.read.parquet(f"{out}/results")
     feed = runner.change_feed(spark, out, stored.schema).select("request_id", "result")
     target = str(tmp_path / "feed")
     for _ in range(2):
         feed.writeStream.option("checkpointLocation", str(tmp_path / "feed-offsets")).trigger(
             availableNow=True
         ).format("parquet").start(target).awaitTermination()
-    assert spark.read.parquet(target).count() == 3
+    assert spark.read.parquet(target).count() == 4
 
 
-def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+def test_an_empty_queue_leaves_readable_tables(spark, tmp_path):
+    folder, out, offsets = (str(tmp_path / n) for n in ("queue", "out", "offsets"))
+    spark.createDataFrame([], "value string").write.text(folder)
+    run(spark, folder, out, offsets)
+    assert runner.read_run_states(spark, out).count() == 0
+
+
+def test_a_replayed_batch_counts_once(spark, tmp_path):
     folder, out = str(tmp_path / "queue"), str(tmp_path / "out")
     send(spark, folder)
     batch = queue.read_all(spark, folder).dropDuplicates(["request_id"])
     handle = runner.batch_runner(
         out,
-        extraction.compile_schemas(registry(spark), 1),
         extraction.RuleExtractor(),
-        1,
         now=F.lit(NOW).cast("timestamp_ntz"),
     )
     handle(batch, 7)
     handle(batch, 7)
-    assert spark.read.parquet(f"{out}/results").count() == 3
-    assert runner.read_run_states(spark, out).count() == 6
+    assert runner.read_results(spark, out).count() == 4
+    assert runner.read_run_states(spark, out).count() == 8
+    left = glob.glob(f"{shared_folder(spark)}/recordloom/compiled-*")
+    handle(batch, 8)
+    assert glob.glob(f"{shared_folder(spark)}/recordloom/compiled-*") == left
 
 
 def test_stuck_requests_are_reported_by_a_timer(spark, tmp_path):
@@ -127,11 +147,13 @@ def test_stuck_requests_are_reported_by_a_timer(spark, tmp_path):
 
     arrive(("a", "RUNNING", 0), ("b", "RUNNING", 0), ("c", "QUEUED", 0))
     consume()
-    arrive(("b", "COMPLETED", 2))
+    arrive(("b", "COMPLETED", 2), ("e", "RUNNING", 2), ("d", "QUEUED", 9))
+    consume()
+    arrive(("e", "COMPLETED", 4))  # behind newer rows, within the lateness
     consume()
     arrive(("c", "RUNNING", 30))
     consume()
-    arrive(("d", "QUEUED", 31))
+    arrive(("d", "QUEUED", 41))
     consume()
     found = spark.read.parquet(str(tmp_path / "stuck")).collect()
     assert [r.request_id for r in found] == ["a"]
