@@ -1,7 +1,8 @@
 """Flatten JSON schema definitions and JSON records into arrays of nodes.
 
-Places are JSON pointers (``/a/b``); the step into array items is written
-``~i`` for rules, which no property name can produce because ``~`` is escaped.
+Places are JSON pointers (``/a/b``); the steps into array items and to members
+that are not named are written ``~i`` and ``~o`` for rules, which no property name
+can produce because ``~`` is escaped.
 Everything here stays inside one row: no shuffle and no Python worker. The
 expressions are SQL texts, which the session parses in one go.
 """
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ITEM_STEP = "~i"
+OTHER_STEP = "~o"  # to members a definition does not name
 
 _DEFINITION_NODES = (
     "array<struct<path:string,name:string,needed:boolean,depth:int,v:variant>>"
@@ -75,9 +77,13 @@ _NESTING = r"""aggregate(
 
 def field_levels(definition: str) -> str:
     """Upper bound for the depth of fields a definition declares: each level of
-    ``properties`` opens two brackets, each level of ``items`` one."""
+    ``properties`` opens two brackets, each level of ``items`` or of a schema for
+    other members one."""
     top = _NESTING.format(definition=definition)
-    return f"""CASE WHEN contains({definition}, '"items"') THEN {top} - 2
+    return f"""CASE WHEN contains({definition}, '"items"')
+            OR contains({definition}, '"additionalProperties"') AND
+                {definition} rlike '"additionalProperties"[ \t\r\n]*:[ \t\r\n]*[{{]'
+            THEN {top} - 2
         ELSE cast(floor(({top} - 1) / 2) AS int) END"""
 
 
@@ -108,17 +114,38 @@ _DECLARED = f"""concat(
             'depth', n.depth + 1,
             'v', i)), cast(array() AS {_DEFINITION_NODES})))"""
 
-_GROWN = f"""CASE
-    WHEN n.kind = 'object' THEN transform(map_entries({members('n.v')}), e -> named_struct(
-        'path', concat(n.path, '/', {step('e.key')}),
-        'rule', concat(n.rule, '/', {step('e.key')}),
-        'kind', {kind('e.value')},
-        'v', e.value))
-    WHEN n.kind = 'array' THEN transform({elements('n.v')}, (x, i) -> named_struct(
-        'path', concat(n.path, '/', i),
-        'rule', concat(n.rule, '/{ITEM_STEP}'),
-        'kind', {kind('x')},
-        'v', x))
+# A definition's schema for members it does not name is a node of its own.
+_WITH_OTHERS = f"""concat({_DECLARED},
+    transform(
+        filter(array(try_variant_get(n.v, '$.additionalProperties', 'variant')),
+            o -> {kind('o')} = 'object'),
+        o -> named_struct(
+            'path', concat(n.path, '/{OTHER_STEP}'),
+            'name', '{OTHER_STEP}',
+            'needed', false,
+            'depth', n.depth + 1,
+            'v', o)))"""
+
+
+def _grown(rules: str) -> str:
+    """Members and elements of a node that a rule applies to; below anything else
+    nothing can be wrong."""
+    named = f"concat(n.rule, '/', {step('e.key')})"
+    return f"""CASE
+    WHEN n.kind = 'object' THEN filter(
+        transform(map_entries({members('n.v')}), e -> named_struct(
+            'path', concat(n.path, '/', {step('e.key')}),
+            'rule', CASE WHEN map_contains_key({rules}, {named}) THEN {named}
+                ELSE concat(n.rule, '/{OTHER_STEP}') END,
+            'kind', {kind('e.value')},
+            'v', e.value)),
+        c -> map_contains_key({rules}, c.rule))
+    WHEN n.kind = 'array' AND map_contains_key({rules}, concat(n.rule, '/{ITEM_STEP}'))
+        THEN transform({elements('n.v')}, (x, i) -> named_struct(
+            'path', concat(n.path, '/', i),
+            'rule', concat(n.rule, '/{ITEM_STEP}'),
+            'kind', {kind('x')},
+            'v', x))
     ELSE cast(array() AS {_RECORD_NODES}) END"""
 
 
@@ -133,15 +160,19 @@ def _unroll(df: DataFrame, root: str, grow: str, levels: int, out: str) -> DataF
     return df.withColumn(out, F.concat(*names)).drop(*names)
 
 
-def with_definition_nodes(df: DataFrame, v: str, levels: int, out: str) -> DataFrame:
-    """Add every (sub-)schema of the definition ``v``, the root first."""
+def with_definition_nodes(
+    df: DataFrame, v: str, levels: int, out: str, others: bool = False
+) -> DataFrame:
+    """Add every (sub-)schema of the definition ``v``, the root first; with
+    ``others`` also the schemas of members that are not named."""
     root = f"""cast(array(named_struct('path', '', 'name', '', 'needed', true, 'depth', 0,
         'v', {v})) AS {_DEFINITION_NODES})"""
-    return _unroll(df, root, _DECLARED, levels, out)
+    return _unroll(df, root, _WITH_OTHERS if others else _DECLARED, levels, out)
 
 
-def with_record_nodes(df: DataFrame, v: str, levels: int, out: str) -> DataFrame:
-    """Add every value of the record ``v`` down to ``levels``, the root first."""
+def with_record_nodes(df: DataFrame, v: str, rules: str, levels: int, out: str) -> DataFrame:
+    """Add every value of the record ``v`` that the map ``rules`` has a rule for, the
+    root first."""
     root = f"""cast(array(named_struct('path', '', 'rule', '', 'kind', {kind(v)},
         'v', {v})) AS {_RECORD_NODES})"""
-    return _unroll(df, root, _GROWN, levels, out)
+    return _unroll(df, root, _grown(rules), levels, out)

@@ -14,18 +14,47 @@ from recordloom.functions import jsontree
 
 VIOLATIONS = "array<struct<path:string,check:string,detail:string>>"
 
+#: Keywords that bound a number, a text or an array: how a value breaks them.
+_BOUNDS = {
+    "minimum": ("double", "x.n.kind IN ('integer', 'number')", "{value} < {bound}"),
+    "maximum": ("double", "x.n.kind IN ('integer', 'number')", "{value} > {bound}"),
+    "exclusiveMinimum": ("double", "x.n.kind IN ('integer', 'number')", "{value} <= {bound}"),
+    "exclusiveMaximum": ("double", "x.n.kind IN ('integer', 'number')", "{value} >= {bound}"),
+    "minLength": ("bigint", "x.n.kind = 'string'", "{length} < {bound}"),
+    "maxLength": ("bigint", "x.n.kind = 'string'", "{length} > {bound}"),
+    "minItems": ("bigint", "x.n.kind = 'array'", "{items} < {bound}"),
+    "maxItems": ("bigint", "x.n.kind = 'array'", "{items} > {bound}"),
+}
+_PARTS = {
+    "value": "try_variant_get(x.n.v, '$', 'double')",
+    "length": "char_length(try_variant_get(x.n.v, '$', 'string'))",
+    "items": f"size({jsontree.elements('x.n.v')})",
+}
+#: Keywords that records are held against; ``format``, ``title`` and the like only
+#: describe. ``unchecked_keywords`` lists what else a definition uses.
+CHECKED = ("type", "enum", "const", "properties", "required", "additionalProperties", "items",
+           "uniqueItems", *_BOUNDS)
+DESCRIPTIVE = ("$id", "$schema", "$comment", "title", "description", "format", "default",
+               "examples", "deprecated", "readOnly", "writeOnly")
+
 _RULES = f"""map_from_entries(transform(_nodes, n -> struct(n.path, named_struct(
     'types', {jsontree.types('n.v')},
     'options', {jsontree.options('n.v')},
+    'constant', to_json(try_variant_get(n.v, '$.const', 'variant')),
     'required', try_variant_get(n.v, '$.required', 'array<string>'),
     'closed', coalesce(NOT try_variant_get(n.v, '$.additionalProperties', 'boolean'), false),
-    'declared', coalesce(map_keys({jsontree.members('n.v', '$.properties')}), cast(array() AS array<string>))))))"""
+    'declared', coalesce(map_keys({jsontree.members('n.v', '$.properties')}), cast(array() AS array<string>)),
+    'never', coalesce(NOT try_variant_get(n.v, '$', 'boolean'), false)
+        AND {jsontree.kind('n.v')} = 'boolean',
+    'distinct', coalesce(try_variant_get(n.v, '$.uniqueItems', 'boolean'), false),
+    {", ".join(f"'{name}', try_variant_get(n.v, '$.{name}', '{kind}')"
+               for name, (kind, _, _) in _BOUNDS.items())}))))"""
 
 
 def compile_rules(schemas: DataFrame, levels: int, key: tuple[str, ...]) -> DataFrame:
     """(key..., rules): pointer of each (sub-)schema -> its constraints."""
     nodes = jsontree.with_definition_nodes(
-        schemas, "try_parse_json(schema_definition)", levels, "_nodes"
+        schemas, "try_parse_json(schema_definition)", levels, "_nodes", others=True
     )
     return nodes.select(*key, F.expr(_RULES).alias("rules"))
 
@@ -56,16 +85,43 @@ _JUDGED = f"""concat(
     {_found(
         "extra",
         "x.n.kind = 'object' AND x.r.closed",
-        f"array_except({_KEYS}, x.r.declared)")})"""
+        f"array_except({_KEYS}, x.r.declared)")},
+    {_found("never", "x.r.never", "array(x.n.kind)")},
+    {_found(
+        "const",
+        "x.r.constant IS NOT NULL AND to_json(x.n.v) != x.r.constant",
+        "array(to_json(x.n.v))")},
+    {_found(
+        "uniqueItems",
+        f"x.r.distinct AND x.n.kind = 'array' AND {_PARTS['items']} > "
+        f"size(array_distinct(transform({jsontree.elements('x.n.v')}, i -> to_json(i))))",
+        "array(to_json(x.n.v))")},
+    {", ".join(
+        _found(name, f"x.r.{name} IS NOT NULL AND {kind} AND "
+               + broken.format(bound=f"x.r.{name}", **_PARTS), "array(to_json(x.n.v))")
+        for name, (_, kind, broken) in _BOUNDS.items())})"""
 
 
 def with_violations(
     df: DataFrame, record: str, levels: int, rules: str = "rules", out: str = "violations"
 ) -> DataFrame:
     """Add every violation of a parsed record against the rules in its row."""
-    df = jsontree.with_record_nodes(df, record, levels, "_values")
+    df = jsontree.with_record_nodes(df, record, rules, levels, "_values")
     ruled = f"""filter(
         transform(_values, n -> named_struct('n', n, 'r', try_element_at({rules}, n.rule))),
         x -> x.r IS NOT NULL)"""
     found = f"flatten(transform({ruled}, x -> {_JUDGED}))"
     return df.withColumn(out, F.expr(found).cast(VIOLATIONS)).drop("_values")
+
+
+def unchecked_keywords(schemas: DataFrame, levels: int) -> DataFrame:
+    """Add ``unchecked``: the sorted keywords of a definition that records are not
+    held against (such as ``pattern``, ``$ref`` or the combinators)."""
+    known = ", ".join(f"'{name}'" for name in (*CHECKED, *DESCRIPTIVE))
+    df = jsontree.with_definition_nodes(
+        schemas, "try_parse_json(schema_definition)", levels, "_nodes", others=True
+    )
+    used = f"flatten(transform(_nodes, n -> coalesce(map_keys({jsontree.members('n.v')}), cast(array() AS array<string>))))"
+    return df.withColumn(
+        "unchecked", F.expr(f"array_sort(array_distinct(array_except({used}, array({known}))))")
+    ).drop("_nodes")

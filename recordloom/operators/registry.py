@@ -81,7 +81,7 @@ def check_definitions(schemas: DataFrame, levels: int | None = None) -> DataFram
     if levels is None:
         levels = jsontree.measured_levels(schemas)
     df = schemas.withColumn("_v", F.try_parse_json("schema_definition"))
-    df = jsontree.with_definition_nodes(df, "_v", levels, "_nodes")
+    df = jsontree.with_definition_nodes(df, "_v", levels, "_nodes", others=True)
     problems = f"""CASE
         WHEN _v IS NULL THEN array(': definition is not JSON')
         WHEN {jsontree.kind("_v")} != 'object' THEN array(': definition must be an object')

@@ -118,6 +118,32 @@ SELECT doc_id, concat('req-', doc_id) AS request_id, concat('ans_', lang) AS sch
 FROM documents
 """
 
+_BOUNDED = (
+    '{"type":"object","properties":{"value":{"type":"number","minimum":2,"exclusiveMaximum":90},'
+    '"kind":{"type":"string","minLength":5,"maxLength":6},"tags":{"type":"array","minItems":2,'
+    '"maxItems":3,"uniqueItems":true},"unit":{"const":"eur"},"blocked":false,"open":true},'
+    '"additionalProperties":{"type":"string","maxLength":3},"pattern":"^x",'
+    '"allOf":[{"type":"object"}],"required":["value"]}'
+)
+
+VIEWS["bounded_schemas"] = f"""
+SELECT DISTINCT concat('event_', event_type) AS schema_name, '0123456789' AS schema_version,
+  '{_BOUNDED}' AS schema_definition
+FROM events
+"""
+
+VIEWS["bounded_records"] = """
+SELECT event_id, concat('event_', event_type) AS schema_name, '0123456789' AS schema_version,
+  concat('{"value":', user_id % 100, ',"kind":"', event_type, '","tags":[',
+    CASE event_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '1,2' WHEN 2 THEN '1,1' WHEN 3 THEN '1,2,3'
+      ELSE '1,2,3,4' END,
+    '],"unit":"', CASE WHEN event_id % 3 = 0 THEN 'usd' ELSE 'eur' END, '"',
+    CASE WHEN event_id % 7 = 0 THEN ',"blocked":1' ELSE ',"open":[{"x":1}]' END,
+    CASE event_id % 4 WHEN 0 THEN ',"more":5' WHEN 1 THEN ',"more":"long"'
+      WHEN 2 THEN ',"more":"ok"' ELSE '' END, '}') AS content
+FROM events
+"""
+
 # Model responses around the answers, with token usage.
 VIEWS["responses"] = """
 SELECT doc_id, request_id, schema_name,
@@ -278,6 +304,8 @@ NEEDS = {
     "answer_schemas": ["documents"],
     "answers": ["documents"],
     "responses": ["documents", "answers"],
+    "bounded_schemas": ["events"],
+    "bounded_records": ["events"],
     "registrations": ["part"],
     "schema_log": ["part", "registrations"],
     "schema_keys": ["part", "registrations"],

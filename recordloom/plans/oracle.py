@@ -462,6 +462,30 @@ ORACLE: dict[str, str] = {
         CAST(10 + attempts AS BIGINT) AS total_tokens,
         concat(request_id, '/1,', request_id, '/2') AS images
         FROM tries WHERE result IS NOT NULL"""),
+    "e7_bounds": _with("bounded_records", "", """
+        SELECT event_id, '/value' AS path, 'minimum' AS "check" FROM bounded_records
+          WHERE CAST(json_extract(content, '$.value') AS BIGINT) < 2
+        UNION ALL SELECT event_id, '/value', 'exclusiveMaximum' FROM bounded_records
+          WHERE CAST(json_extract(content, '$.value') AS BIGINT) >= 90
+        UNION ALL SELECT event_id, '/kind', 'minLength' FROM bounded_records
+          WHERE length(json_extract_string(content, '$.kind')) < 5
+        UNION ALL SELECT event_id, '/tags', 'minItems' FROM bounded_records WHERE event_id % 5 = 0
+        UNION ALL SELECT event_id, '/tags', 'maxItems' FROM bounded_records WHERE event_id % 5 = 4
+        UNION ALL SELECT event_id, '/tags', 'uniqueItems' FROM bounded_records
+          WHERE event_id % 5 = 2
+        UNION ALL SELECT event_id, '/unit', 'const' FROM bounded_records WHERE event_id % 3 = 0"""),
+    "e7_additional_schema": _with("bounded_records", "", """
+        SELECT event_id, '/more' AS path, 'type' AS "check" FROM bounded_records
+          WHERE event_id % 4 = 0
+        UNION ALL SELECT event_id, '/more', 'maxLength' FROM bounded_records
+          WHERE event_id % 4 = 1
+        UNION ALL SELECT event_id, '/kind', 'maxLength' FROM bounded_records
+          WHERE length(json_extract_string(content, '$.kind')) > 6"""),
+    "e7_boolean_schema": _with("bounded_records", "", """SELECT event_id, '/blocked' AS path,
+        'never' AS "check" FROM bounded_records WHERE event_id % 7 = 0"""),
+    "s2_unchecked": _with("bounded_schemas answer_schemas", "", """SELECT schema_name,
+        schema_version, 'allOf,pattern' AS unchecked FROM bounded_schemas
+        UNION ALL SELECT schema_name, schema_version, '' FROM answer_schemas"""),
     "j1_large_lookup": """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
         o_orderpriority FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""",
     "e10_failure": _with("requests doc_schemas", OUTCOMES, """, outcome AS (

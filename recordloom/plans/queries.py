@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom import model
-from recordloom.functions import text
+from recordloom.functions import rules, text
 from recordloom.functions.jsontree import measured_levels
 from recordloom.functions.joins import lookup_join
 from recordloom.functions.ranking import number_rows
@@ -597,6 +597,49 @@ def e13_tool_args(spark, sf_dir):
     return rows.select("request_id", "tool_name", F.to_json(record).alias("record"))
 
 
+def _bounded(spark, sf_dir, *checks):
+    schemas = view(spark, sf_dir, "bounded_schemas")
+    levels = measured_levels(schemas)
+    compiled = extraction.compile_schemas(schemas, levels, with_templates=False)
+    rows = extraction.attach_schemas(
+        view(spark, sf_dir, "bounded_records").withColumn("request_id", F.col("event_id")), compiled
+    )
+    rows = rows.withColumn("_record", text.parse_object(F.col("content")))
+    found = rules.with_violations(rows, "_record", levels)
+    found = one_row_each(found, "violations", "x", "event_id")
+    return found.filter(F.col("x.check").isin(*checks)).select("event_id", "x.path", "x.check")
+
+
+@query
+def e7_bounds(spark, sf_dir):
+    return _bounded(
+        spark, sf_dir, "minimum", "exclusiveMaximum", "minLength", "maxItems", "minItems",
+        "uniqueItems", "const",
+    )
+
+
+@query
+def e7_additional_schema(spark, sf_dir):
+    return _bounded(spark, sf_dir, "type", "maxLength")
+
+
+@query
+def e7_boolean_schema(spark, sf_dir):
+    return _bounded(spark, sf_dir, "never")
+
+
+@query
+def s2_unchecked(spark, sf_dir):
+    """Keywords of each definition that records are not held against."""
+    rows = view(spark, sf_dir, "bounded_schemas").unionByName(
+        view(spark, sf_dir, "answer_schemas")
+    )
+    rows = rules.unchecked_keywords(rows, measured_levels(rows))
+    return rows.select(
+        "schema_name", "schema_version", F.array_join("unchecked", ",").alias("unchecked")
+    )
+
+
 @query
 def j1_large_lookup(spark, sf_dir):
     """A lookup whose right side is beyond the bound: shuffled on key and salt."""
