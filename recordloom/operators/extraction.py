@@ -173,61 +173,66 @@ class Client(Protocol):
 class PartitionExtractor:
     """E3 custom: a model client opened once per partition.
 
-    A failing call becomes data of its own row and is not retried. Rows pass
-    through Python as Arrow batches; only model and messages are looked at, so
-    nothing has to be joined back. Set ``spark.sql.execution.arrow.
-    maxRecordsPerBatch`` low when documents are long.
+    Only request id, model and prompt travel to Python, in Arrow batches; up to
+    ``in_flight`` calls of a task are under way at a time, so the client has to
+    bear threads. A failing call becomes data of its own row and is not retried.
+    The responses are stored, so that no lost executor asks a model twice for what
+    is there, and come back by the request id, which is unique.
     """
 
-    def __init__(self, open_client: Callable[[], Client], partitions: int | None = None):
+    def __init__(
+        self,
+        open_client: Callable[[], Client],
+        partitions: int | None = None,
+        in_flight: int = 8,
+    ):
         self.open_client = open_client
         self.partitions = partitions
+        self.in_flight = in_flight
 
     def answer(self, requests: DataFrame) -> DataFrame:
-        open_client = self.open_client
+        open_client, in_flight = self.open_client, self.in_flight
 
         def run(batches: Iterator) -> Iterator:
             import json
+            from concurrent.futures import ThreadPoolExecutor
 
             import pyarrow as pa
 
             client = None
-            for batch in batches:
-                client = client or open_client()
-                responses, errors, reasons = [], [], []
-                prompts = batch.column("_prompt").to_pylist()
-                for name, prompt in zip(batch.column("model").to_pylist(), prompts, strict=True):
-                    response = error = None
-                    try:
-                        response = client.complete(
-                            messages=json.loads(prompt),
-                            model=name,
-                            seed=model.SEED,
-                            temperature=model.TEMPERATURE,
-                            max_tokens=model.MAX_OUTPUT_TOKENS,
-                        )
-                    except Exception as failure:
-                        error = failure
-                    responses.append(None if error else json.dumps(response))
-                    errors.append(type(error).__name__ if error else None)
-                    reasons.append(str(error) if error else None)
-                kept = [i for i, name in enumerate(batch.schema.names) if name != "_prompt"]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(i) for i in kept]
-                    + [pa.array(values, pa.string()) for values in (responses, errors, reasons)],
-                    names=[batch.schema.names[i] for i in kept]
-                    + ["response", "call_error", "call_message"],
-                )
-
-        schema = T.StructType(list(requests.schema))
-        for name in ("response", "call_error", "call_message"):
-            schema = schema.add(name, "string")
+
+            def ask(name: str, prompt: str) -> tuple[str | None, str | None, str | None]:
+                try:
+                    response = client.complete(
+                        messages=json.loads(prompt),
+                        model=name,
+                        seed=model.SEED,
+                        temperature=model.TEMPERATURE,
+                        max_tokens=model.MAX_OUTPUT_TOKENS,
+                    )
+                    return json.dumps(response), None, None
+                except Exception as failure:
+                    return None, type(failure).__name__, str(failure)
+
+            with ThreadPoolExecutor(in_flight) as calls:
+                for batch in batches:
+                    client = client or open_client()
+                    names, prompts = (batch.column(c).to_pylist() for c in ("model", "_prompt"))
+                    answers = list(calls.map(ask, names, prompts))
+                    columns = zip(*answers, strict=True) if answers else ([], [], [])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("request_id"), *(pa.array(c, pa.string()) for c in columns)],
+                        ["request_id", "response", "call_error", "call_message"],
+                    )
+
+        asked = requests.select("request_id", "model", F.to_json("messages").alias("_prompt"))
         if self.partitions:
-            requests = requests.repartition(self.partitions)
-        asked = requests.withColumn("_prompt", F.to_json("messages"))
-        return prompting.unwrap(asked.mapInArrow(run, schema)).drop(
-            "response", "tool_name", "tool_arguments"
+            asked = asked.repartition(self.partitions)
+        responses = asked.mapInArrow(
+            run, "request_id string, response string, call_error string, call_message string"
         )
+        answered = requests.join(materialise(responses, "responses"), "request_id", "left")
+        return prompting.unwrap(answered).drop("response", "tool_name", "tool_arguments")
 
 
 def judge(answers: DataFrame, levels: int) -> DataFrame:
@@ -410,8 +415,6 @@ class Tool:
     cues: tuple[str, ...]
 
 
-TOOL_LIMIT = 128  # tools one model request accepts
-
 # The ten kinds of document (fixed names); the cues are this engine's own.
 DOCUMENT_TOOLS = (
     Tool("invoice", ("invoice", "amount due", "bill to")),
@@ -432,11 +435,9 @@ def route(
 ) -> DataFrame:
     """The tool with the most cues in the text, ties by name, else NULL.
 
-    Tools are part of the request, at most ``TOOL_LIMIT`` of them, so they are
-    constants of one projection: no pair of document and tool ever becomes a row.
+    Tools are part of the request, any number of them, so they are constants of one
+    projection: no pair of document and tool ever becomes a row.
     """
-    if len(tools) > TOOL_LIMIT:
-        raise ValueError(f"at most {TOOL_LIMIT} tools")
     tools = sorted(tools, key=lambda t: t.name)
     low = F.lower(F.col(column))
     hits = [

@@ -142,8 +142,9 @@ def page_arrays(requests: DataFrame, splitter: Callable[[Column], Column] | None
 def pages_with(requests: DataFrame, split_document: Callable[[bytes], list[bytes]]) -> DataFrame:
     """D7 for binary formats: ``split_document`` runs in Arrow batches on the
     executors; only the key and the bytes of media documents travel to Python.
-    Result: (request_id, page_no, page) — one row per page, so no page list is
-    ever built for the driver or for another document."""
+    Result: (request_id, page_no, page, mime_type) — one row per page, an image
+    being its own page, so no page list is ever built for another document.
+    ``manifest_of`` and ``prepare_pages`` take it from here."""
     import pyarrow as pa
 
     def run(batches):
@@ -158,10 +159,50 @@ def pages_with(requests: DataFrame, split_document: Callable[[bytes], list[bytes
                     }
                 )
 
-    documents = requests.filter(mime_kind() == "pdf").select("request_id", decoded().alias("data"))
-    return documents.filter(F.col("data").isNotNull()).mapInArrow(
+    data = decoded()
+    documents = requests.filter((mime_kind() == "pdf") & data.isNotNull())
+    split = documents.select("request_id", data.alias("data")).mapInArrow(
         run, "request_id string, page_no int, page binary"
     )
+    images = requests.filter((mime_kind() == "image") & data.isNotNull())
+    return split.withColumn("mime_type", F.lit(model.PAGE_IMAGE_MIME)).unionByName(
+        images.select("request_id", F.lit(1).alias("page_no"), data.alias("page"), "mime_type")
+    )
+
+
+def manifest_of(pages: DataFrame) -> DataFrame:
+    """D8 from page rows."""
+    return pages.select(
+        "request_id",
+        "page_no",
+        object_key(F.col("request_id"), F.col("page_no"), F.col("page")).alias("object_key"),
+        "mime_type",
+        F.octet_length("page").alias("n_bytes"),
+        F.col("page").alias("content"),
+    )
+
+
+def prepare_pages(resolved: DataFrame, manifest: DataFrame) -> DataFrame:
+    """D11 with the pages of a custom splitter: ``manifest`` gives the object keys.
+    Media without any page has an empty list."""
+    entry = F.struct("page_no", "object_key")
+    keys = manifest.groupBy("request_id").agg(F.sort_array(F.collect_list(entry)).alias("_keys"))
+    undecodable = mime_kind().isin("pdf", "image") & decoded().isNull()
+    name, message = model.DECODE_ERROR
+    return (
+        resolved.join(keys, "request_id", "left")
+        .withColumns(
+            {
+                "text_data": text_payload(),
+                "image_list": F.coalesce(
+                    F.col("_keys.object_key"), F.array().cast("array<string>")
+                ),
+                "error_name": F.when(undecodable, name),
+                "error_message": F.when(undecodable, message),
+            }
+        )
+        .drop("_keys", "content")
+    )
 
 
 def page_fanout(requests: DataFrame, splitter: Callable[[Column], Column] | None = None):
@@ -191,15 +232,7 @@ def object_key(request_id: Column, page_no: Column, page: Column) -> Column:
 
 def media_manifest(requests: DataFrame, splitter: Callable[[Column], Column] | None = None):
     """The media objects of each request, ready to be written."""
-    pages = page_fanout(requests, splitter).filter(F.col("page").isNotNull())
-    return pages.select(
-        "request_id",
-        "page_no",
-        object_key(F.col("request_id"), F.col("page_no"), F.col("page")).alias("object_key"),
-        "mime_type",
-        F.octet_length("page").alias("n_bytes"),
-        F.col("page").alias("content"),
-    )
+    return manifest_of(page_fanout(requests, splitter).filter(F.col("page").isNotNull()))
 
 
 def resolve(requests: DataFrame, schemas: DataFrame, allow_deleted: bool = True) -> DataFrame:

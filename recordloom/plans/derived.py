@@ -150,7 +150,8 @@ SELECT doc_id, request_id, schema_name,
   concat('{"choices":[{"message":{"content":"answer ', doc_id, '"',
     CASE WHEN doc_id % 3 = 0 THEN concat(
       ',"tool_calls":[{"function":{"name":"get_', schema_name,
-      '_data","arguments":"{ }"}}]') ELSE '' END,
+      '_data","arguments":"{ ', chr(92), '"doc', chr(92), '": ', doc_id, ', ', chr(92), '"lang',
+      chr(92), '": null }"}}]') ELSE '' END,
     '}}],"usage":{"prompt_tokens":', doc_id % 500, ',"completion_tokens":', doc_id % 90,
     ',"total_tokens":', doc_id % 500 + doc_id % 90, '}}') AS response
 FROM answers
@@ -166,12 +167,12 @@ SELECT p_partkey, p_size,
     AS schema_description,
   CASE p_partkey % 12
     WHEN 1 THEN concat('{_OBJECT}"', replace(p_name, ' ', '_'),
-      '":{{"type":["string","null"],"description":"Name of the part"}},"salary":{{"type":"object",',
-      '"description":"What is paid","properties":{{"amount":{{"type":["number","null"]}},',
-      '"frequency":{{"type":["string","null"],"enum":["annually","monthly","hourly"]}}}},',
-      '"required":["amount","frequency"]}}}},"required":["', replace(p_name, ' ', '_'),
-      '","salary"],"additionalProperties":false}}')
-    WHEN 2 THEN '{_OBJECT}"name":{{"type":["string","null"]}},"email":{{"type":["string","null"],"format":"email"}},"born":{{"type":["string","null"],"format":"date"}},"gender":{{"type":["null","string"],"enum":["Male","Female"]}}}},"required":["name","email","date","gender"],"additionalProperties":false}}'
+      '":{{"type":["string","null"],"description":"Name of the part"}},"price":{{"type":"object",',
+      '"description":"What it costs","properties":{{"net":{{"type":["number","null"]}},',
+      '"currency":{{"type":["string","null"],"enum":["chf","eur","usd"]}}}},',
+      '"required":["net","currency"]}}}},"required":["', replace(p_name, ' ', '_'),
+      '","price"],"additionalProperties":false}}')
+    WHEN 2 THEN '{_OBJECT}"maker":{{"type":["string","null"]}},"contact":{{"type":["string","null"],"format":"email"}},"made":{{"type":["string","null"],"format":"date"}},"grade":{{"type":["null","string"],"enum":["A","B"]}}}},"required":["maker","contact","batch","grade"],"additionalProperties":false}}'
     WHEN 3 THEN concat('{_OBJECT}"tags":{{"type":"array","items":{{"type":"object","properties":{{"size":{{"type":"integer","enum":[', p_size, ',null]}}}}}}}}}},"required":["tags"]}}')
     WHEN 4 THEN '{{"type":"object","properties":{{"a":{{"type":"text"}},"b":{{"type":["string","string"]}}}}}}'
     WHEN 5 THEN '{{"type":"object","properties":{{"a":{{"type":"string"}}}},"required":["a","a"]}}'

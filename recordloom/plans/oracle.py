@@ -316,6 +316,11 @@ ORACLE: dict[str, str] = {
         i AS page_no, concat(request_id, '/', i, '-', sha256(pages[i])) AS object_key,
         octet_length(encode(pages[i])) AS n_bytes
         FROM (SELECT *, unnest(range(1, len(pages) + 1)) AS i FROM paged WHERE len(pages) > 0)"""),
+    "d7_custom_pages": _with("requests", CHECKED, """SELECT request_id, kind,
+        md5(array_to_string(list_transform(pages, lambda x, i:
+          concat(request_id, '/', i, '-', sha256(x))), ',')) AS image_digest,
+        len(pages) AS images,
+        CASE WHEN kind <> 'text' AND body IS NULL THEN 'Error' END AS error_name FROM paged"""),
     "d9_resolve": _with("requests doc_schemas", "", """SELECT request_id, schema_name,
         schema_version, schema_description, schema_status
         FROM requests JOIN doc_schemas USING (schema_name, schema_version)"""),
@@ -344,6 +349,15 @@ ORACLE: dict[str, str] = {
         f"""SELECT p_partkey, schema_name, CASE WHEN error_name IS NULL THEN {VERSION} END
           AS schema_version, CASE WHEN error_name IS NULL THEN 'ACTIVE' END AS schema_status,
         CASE WHEN error_name IS NULL THEN tokens END AS tokens, error_name FROM verdicts"""),
+    "io1_registry": _with("registrations", f"{PROBLEMS}, {COUNTED}, bad AS ("
+        "SELECT p_partkey, bool_or(problem LIKE ': definition%') AS no_object FROM problems "
+        "GROUP BY p_partkey), good AS (SELECT c.*, "
+        f"{VERSION} AS schema_version FROM counted c LEFT JOIN bad b USING (p_partkey) "
+        "WHERE length(schema_name) >= 4 AND length(schema_description) >= 8 "
+        "AND b.p_partkey IS NULL AND tokens <= 2048)",
+        """SELECT schema_name, schema_version, any_value(tokens) AS tokens,
+          CASE WHEN max(p_size) > 40 THEN 'DELETED' ELSE 'ACTIVE' END AS schema_status
+        FROM good GROUP BY ALL"""),
     "s2_check_definition": _with("registrations", PROBLEMS, "SELECT * FROM problems"),
     "s3_token_limit": _with("registrations", COUNTED, """SELECT p_partkey, tokens,
         tokens > 2048 AS too_large, true AS is_estimate FROM counted"""),
@@ -518,7 +532,13 @@ ORACLE: dict[str, str] = {
     "e13_tool_args": _with("responses", "", """SELECT request_id,
         json_extract_string(response, '$.choices[0].message.tool_calls[0].function.name')
           AS tool_name,
-        CASE WHEN doc_id % 3 = 0 THEN '{}' END AS record FROM responses"""),
+        CASE WHEN doc_id % 3 = 0 THEN concat('{"doc":', doc_id, ',"lang":null}') END AS record
+        FROM responses"""),
+    "e3_custom": """SELECT concat('req-', doc_id) AS request_id,
+        CASE WHEN doc_id % 10 = 7 THEN 'TimeoutError' END AS error_name,
+        CASE WHEN doc_id % 10 <> 7 THEN concat('{"length":', length(text), '}') END AS result,
+        CAST(CASE WHEN doc_id % 10 = 7 THEN 1 ELSE doc_id % 3 + 1 END AS BIGINT) AS attempts
+        FROM documents""",
     "extract_documents": _with("requests doc_schemas", OUTCOMES, """, outcome AS (
         SELECT request_id, schema_name, error_name, error_message, result FROM finished
         UNION ALL SELECT *, NULL FROM refused UNION ALL SELECT *, NULL FROM undecoded

@@ -149,6 +149,25 @@ def d8_manifest(spark, sf_dir):
     )
 
 
+def _lines(data: bytes) -> list[bytes]:
+    return data.split(b"\n")
+
+
+@query
+def d7_custom_pages(spark, sf_dir):
+    """Pages from a Python splitter, through manifest and preparation."""
+    rows = _good_requests(spark, sf_dir)
+    manifest = intake.manifest_of(intake.pages_with(rows, _lines))
+    prepared = intake.prepare_pages(rows, manifest)
+    return prepared.select(
+        "request_id",
+        intake.mime_kind().alias("kind"),
+        F.md5(F.array_join("image_list", ",")).alias("image_digest"),
+        _long(F.size("image_list")).alias("images"),
+        "error_name",
+    )
+
+
 @query
 def d9_resolve(spark, sf_dir):
     rows = intake.resolve(view(spark, sf_dir, "requests"), view(spark, sf_dir, "doc_schemas"))
@@ -211,6 +230,25 @@ def s1_register(spark, sf_dir):
     )
 
 
+@query
+def io1_registry(spark, sf_dir):
+    """Register, append, delete some, append the tombstones, read the registry."""
+    folder = new_folder(spark, "registry")
+    registered = materialise(
+        registry.register(view(spark, sf_dir, "registrations")), "registered"
+    )
+    tables.append_schemas(registry.accepted(registered), folder)
+    schemas = registry.current(tables.read_schemas(spark, folder))
+    keys = registered.filter("error_name is null and p_size > 40").select(
+        "schema_name", "schema_version"
+    )
+    tombstones, _ = registry.delete(schemas, keys, F.lit(ASOF).cast("timestamp_ntz"))
+    tables.append_schemas(materialise(tombstones, "tombstones"), folder)
+    return registry.current(tables.read_schemas(spark, folder)).select(
+        "schema_name", "schema_version", _long("number_of_tokens").alias("tokens"), "schema_status"
+    )
+
+
 @query
 def s2_check_definition(spark, sf_dir):
     rows = registry.check_definitions(view(spark, sf_dir, "registrations"))
@@ -414,6 +452,48 @@ def e3_rule_extract(spark, sf_dir):
     return judged.select("request_id", "schema_name", "content")
 
 
+class LengthClient:
+    """Stands in for a model: the length of the text, well formed at the third try
+    at the latest; some calls fail."""
+
+    def complete(self, messages, model, seed, temperature, max_tokens):
+        number, size = messages[1]["content"][0]["text"].split("about ")[1].split()[:2]
+        if int(number) % 10 == 7:
+            raise TimeoutError("model is away")
+        attempt = sum(1 for m in messages if m["role"] == "assistant")
+        name = "length" if attempt >= int(number) % 3 else "size"
+        return {"choices": [{"message": {"content": f'It is {{"{name}":{size}}}'}}], "usage": {}}
+
+
+_LENGTH = '{"type":"object","properties":{"length":{"type":"integer"}},"required":["length"]}'
+
+
+@query
+def e3_custom(spark, sf_dir):
+    """A model client of one's own: called, judged, asked again."""
+    rows = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("req-"), F.col("doc_id")).alias("request_id"),
+        F.lit("lengths").alias("schema_name"),
+        F.lit("0123456789").alias("schema_version"),
+        F.concat(F.lit("about "), F.col("doc_id"), F.lit(" "), F.char_length("text"), F.lit(" "))
+        .alias("text_data"),
+        F.array().cast("array<string>").alias("image_list"),
+    )
+    key = spark.range(1).select(
+        F.lit("lengths").alias("schema_name"),
+        F.lit("0123456789").alias("schema_version"),
+        F.lit(_LENGTH).alias("schema_definition"),
+    )
+    compiled = extraction.compile_schemas(key, 1, with_templates=False)
+    prompted = prompting.with_prompt(extraction.attach_schemas(rows, compiled))
+    judged = extraction.extract(
+        prompted, extraction.PartitionExtractor(LengthClient), 1, compiled=compiled
+    )
+    return judged.select(
+        "request_id", "error_name", "result", _long("attempt").alias("attempts")
+    )
+
+
 @query
 def e4_unwrap(spark, sf_dir):
     rows = prompting.unwrap(view(spark, sf_dir, "responses"))

@@ -7,28 +7,27 @@ from pyspark.sql import functions as F
 from recordloom import model
 from recordloom.operators import extraction, prompting
 
-KEY = ("loe_letter", "v" * 10)
+KEY = ("rental_offer", "v" * 10)
 SCHEMA = {
     "type": "object",
     "properties": {
         "contact_phone": {"type": ["string", "null"], "description": "Phone of the writer"},
-        "employee_salary": {
+        "monthly_rent": {
             "type": "object",
             "properties": {
-                "amount": {"type": ["number", "null"], "description": "Amount of the salary"},
-                "frequency": {"type": ["string", "null"]},
+                "amount": {"type": ["number", "null"], "description": "Amount of the rent"},
+                "terms": {"type": ["string", "null"]},
             },
-            "required": ["amount", "frequency"],
+            "required": ["amount", "terms"],
         },
         "issued": {"type": ["string", "null"], "format": "date", "description": "Issue date"},
         "tags": {"type": "array", "items": {"type": "string"}},
     },
-    "required": ["contact_phone", "employee_salary", "issued"],
+    "required": ["contact_phone", "monthly_rent", "issued"],
     "additionalProperties": False,
 }
-LETTER = """I am writing to conﬁrm the employment of a data scientist
-who earns an annual salary of $70,000.50 since 2019-01-21.
-Call 1-800-233-3455."""
+LETTER = """The ﬂat on the second ﬂoor is free. Its rent is $1,280.75,
+as oﬀered on 2021-06-03. Ring 1-555-010-2277 before noon."""
 
 
 def schemas(spark, definition=SCHEMA):
@@ -53,12 +52,12 @@ def test_rules_fill_a_nested_record(spark):
     judged = extraction.extract(prepared(spark, [LETTER, ""]), extraction.RuleExtractor(), 3)
     rows = {r.request_id: r for r in extraction.assemble(judged).collect()}
     assert json.loads(rows["r0"].result) == {
-        "contact_phone": "800-233-3455",
-        "employee_salary": {"amount": 70000.5, "frequency": None},
-        "issued": "2019-01-21",
+        "contact_phone": "555-010-2277",
+        "monthly_rent": {"amount": 1280.75, "terms": None},
+        "issued": "2021-06-03",
         "tags": [],
     }
-    assert json.loads(rows["r1"].result)["employee_salary"] == {"amount": None, "frequency": None}
+    assert json.loads(rows["r1"].result)["monthly_rent"] == {"amount": None, "terms": None}
     assert rows["r0"].error is None
     assert rows["r0"].request.seed == 43 and rows["r0"].request.max_tokens == 4096
 
