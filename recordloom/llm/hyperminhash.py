@@ -22,6 +22,7 @@ EMPTY = 0xFFFF
 ROWS = 4  # registers in a band
 BANDS = 32  # at a similarity of 0.75 a pair shares none with a chance of 5e-6
 DEVIATIONS = 4.5  # an estimate this far below the threshold rules a pair out
+SLACK = 0.01  # for what the correction of collisions leaves
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,8 +141,14 @@ def estimates(
 def may_reach(
     left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float
 ) -> np.ndarray:
-    """Whether pairs may have this similarity, by their sizes and estimates."""
+    """Whether pairs may have this similarity, by their sizes and estimates.
+
+    The registers used are a sample without replacement from the union, which at
+    this similarity has (n + m) / (1 + threshold) hashes: where they hold most of
+    them, little is left to chance.
+    """
     found, used = estimates(left, right, n, m)
-    spread = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
+    union = np.maximum((n + m) / (1 + threshold), used + 1)
+    spread = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1) * (1 - used / union))
     sized = np.minimum(n, m) >= threshold * np.maximum(n, m)
-    return sized & (found >= threshold - DEVIATIONS * spread)
+    return sized & (found >= threshold - DEVIATIONS * spread - SLACK)

@@ -132,6 +132,20 @@ def _pairs_within(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, first + 1 + np.arange(len(first)) - np.repeat(before, counts)
 
 
+def _first_meeting(
+    registers: np.ndarray, first: np.ndarray, second: np.ndarray, bands: np.ndarray
+) -> np.ndarray:
+    """Whether this bucket is the first of all that the two rows share: a pair that
+    meets in several is reported by one."""
+    rows, place = np.unique(np.concatenate([first, second]), return_inverse=True)
+    if not len(rows):
+        return np.zeros(0, bool)
+    keys = np.array([band_keys(registers[row]) for row in rows])
+    one, other = keys[place[: len(first)]], keys[place[len(first) :]]
+    at = (one == other).argmax(axis=1)
+    return one[np.arange(len(first)), at] == bands[first]
+
+
 def _crossing(table: pa.Table, threshold: float) -> pa.RecordBatch:
     """Pairs of different components that may be similar, of whole sorted groups."""
     keys = [table.column(c).to_numpy() for c in ("band", "i", "j")]
@@ -151,7 +165,9 @@ def _crossing(table: pa.Table, threshold: float) -> pa.RecordBatch:
         a, b = first[at : at + 10_000], second[at : at + 10_000]
         good.append(may_reach(registers[a], registers[b], n[a], n[b], threshold))
     good = np.concatenate(good)
-    a, b = ids[first[good]], ids[second[good]]
+    first, second = first[good], second[good]
+    alone = _first_meeting(registers, first, second, table.column("band").to_numpy())
+    a, b = ids[first[alone]], ids[second[alone]]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
     )
@@ -310,9 +326,8 @@ def near_groups(
     bands = nodes.mapInArrow(_bander, "_id bigint, band bigint")
     sizes = (
         bands.groupBy("band")
-        .agg(F.count("*").alias("size"), F.min("_id").alias("_low"), F.max("_id").alias("_high"))
-        .filter("_low < _high")
-        .select("band", "size")
+        .agg(F.count("*").alias("size"))
+        .filter("size > 1")
     )
     members = materialise(
         spread_join(bands, sizes, ["band"], ["_id"], "inner", salts=8), "bucket-members"
