@@ -12,7 +12,6 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recordloom import model
 from recordloom.functions import jsontree, rules, text
