@@ -42,8 +42,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, their count, and digests of the ids and of what they
     decode to."""
     ranks = queries.rank_file()
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN)
-    return bpe.with_digests(bpe.decode(encoded, ranks)).drop("decoded")
+    narrow = docs.select("doc_id", "source", "text")
+    encoded = bpe.encode(narrow, ranks, public_tokenizers.PATTERN, decoded="decoded")
+    return bpe.with_digests(encoded).drop("decoded")
 
 
 STAGES = [

@@ -119,8 +119,9 @@ def cuts(parts: list[tuple[int, list[int], list[int]]]) -> list[int]:
 IDS = T.ArrayType(T.IntegerType(), False)
 
 
-def _encoder(ranks, pattern: str, text: str):
-    """Map batches: the column ``text`` becomes ``ids``, the others pass."""
+def _encoder(ranks, pattern: str, text: str, decoded: str | None):
+    """Map batches: the column ``text`` becomes ``ids``, the others pass; with
+    ``decoded`` the bytes of the ids follow as a column of that name."""
 
     def run(batches):
         for batch in batches:
@@ -131,16 +132,19 @@ def _encoder(ranks, pattern: str, text: str):
                 ids = [encode_text(x, ranks.value, pattern) for x in texts]
                 columns = some.columns
                 columns[place] = pa.array(ids, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(columns, names)
+                if decoded:
+                    raw = [decode_ids(x, ranks.value) for x in ids]
+                    columns = [*columns, pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names + [decoded] * bool(decoded))
 
     return run
 
 
-def _encoded(df: DataFrame, text: str, ranks, pattern: str) -> DataFrame:
-    schema = T.StructType(
-        [T.StructField("ids", IDS) if f.name == text else f for f in df.schema.fields]
-    )
-    return df.mapInArrow(_encoder(ranks, pattern, text), schema)
+def _encoded(df: DataFrame, text: str, ranks, pattern: str, decoded: str | None = None):
+    fields = [T.StructField("ids", IDS) if f.name == text else f for f in df.schema.fields]
+    if decoded:
+        fields.append(T.StructField(decoded, T.BinaryType()))
+    return df.mapInArrow(_encoder(ranks, pattern, text, decoded), T.StructType(fields))
 
 
 def _cutter(piece_starts: str | None, chunk: int, overlap: int):
@@ -206,8 +210,10 @@ def encode(
     text: str = "text",
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    decoded: str | None = None,
 ) -> DataFrame:
-    """``docs`` with ``ids array<int>`` in place of their text.
+    """``docs`` with ``ids array<int>`` in place of their text; with ``decoded`` also
+    a column of that name, the bytes the ids decode to, made in the same worker.
 
     A null text counts as empty and has no ids. ``ranks`` is the content of a
     rank file, under a megabyte, and goes to the workers as a broadcast variable.
@@ -221,7 +227,7 @@ def encode(
     row = F.struct(*[column(n) for n in docs.columns if n not in (text, "ids")], F.lit(0))
     rows = docs.select(row.alias("_row"), whole_text(text).alias("_text"))
     is_long = F.length("_text") > chunk
-    short = _encoded(rows.filter(~is_long), "_text", shared, pattern)
+    short = _encoded(rows.filter(~is_long), "_text", shared, pattern, decoded)
 
     long = rows.filter(is_long).withColumn("_key", F.sha2("_text", 256))
     texts = long.select("_key", "_text").dropDuplicates(["_key"])
@@ -257,8 +263,13 @@ def encode(
         .select("_key", F.flatten(F.col("_pieces.ids")).alias("ids"))
     )
     joined = long.drop("_text").join(whole, "_key").select("_row", "ids")
-    names = [F.col("_row")[n].alias(n) for n in docs.columns if n not in (text, "ids")]
-    return short.select("_row", "ids").unionByName(joined).select(*names, "ids")
+    if decoded:
+        joined = decode(joined, ranks, name=decoded)
+    names = [
+        F.col("_row")[n].alias(n) for n in docs.columns if n not in (text, "ids", decoded)
+    ]
+    made = ["ids", decoded] if decoded else ["ids"]
+    return short.select("_row", *made).unionByName(joined).select(*names, *made)
 
 
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -298,5 +309,5 @@ def with_digests(df: DataFrame) -> DataFrame:
 def digests(docs: DataFrame, ranks: bytes, pattern: str, id_name: str = "doc_id") -> DataFrame:
     """Encode and decode; counts and digests of both, one row per document."""
     narrow = docs.select(column(id_name).alias("doc_id"), column("text"))
-    both = with_digests(decode(encode(narrow, ranks, pattern), ranks))
+    both = with_digests(encode(narrow, ranks, pattern, decoded="decoded"))
     return both.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

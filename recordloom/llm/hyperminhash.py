@@ -44,7 +44,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 

@@ -57,8 +57,8 @@ def spread_join(
     return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-ROWS_AT_ONCE = 1_000
-SLICE = 200
+ROWS_AT_ONCE = 500
+SLICE = 100
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -70,3 +70,4 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]
     """A batch in parts that are small once they are Python objects."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
