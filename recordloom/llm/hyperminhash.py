@@ -20,7 +20,8 @@ MANTISSA = 10
 MOST_ZEROS = 62
 EMPTY = 0xFFFF
 ROWS = 4  # registers in a band
-BANDS = 32  # at a similarity of 0.75 a pair shares none with a chance of 5e-6
+BANDS = 32  # of sets beyond SHORT, a pair at 0.75 shares none with a chance of 5e-6
+SHORT = 32  # shingles of a set that fills too few registers for independent bands
 DEVIATIONS = 4.5  # an estimate this far below the threshold rules a pair out
 SLACK = 0.01  # for what the correction of collisions leaves
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -114,6 +115,29 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+def most_short(threshold: float) -> int:
+    """The most shingles of a set that can be this similar to a short one."""
+    return SHORT * 100 // round(threshold * 100)
+
+
+def prefix_keys(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """One key for each shingle of a set's prefix, rare ones first.
+
+    All sets are put in one order, by the count of a shingle (0 unless it is in the
+    sorted ``common``) and then by its hash. Two sets with this similarity share at
+    least that part of each, so the first shingles that may be missing, and one
+    more, have one in common. This holds in any order.
+    """
+    size = len(hashes)
+    often = np.zeros(size, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        often = np.where(common[at] == hashes, counts[at], 0)
+    length = size - -(-size * round(threshold * 100) // 100) + 1
+    first = hashes[np.lexsort((hashes, often))[:length]]
+    return mixed(first + MULTIPLIER).view(np.int64)
+
+
 def chance_matches(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The share of registers that sets of n and m different hashes agree on by
     collision: both minima in the same cell of zeros and mantissa, summed up over

@@ -3,7 +3,9 @@
 1. One pass turns each text into its shingle set's size, digest and registers.
    Documents with the same set are one group from the start; one of them, its
    smallest id, goes on.
-2. Bands of registers put similar sets into buckets. A bucket is led by its most
+2. Bands of registers put similar sets into buckets; sets of at most SHORT shingles,
+   and those that one of them can be similar to, meet in buckets of the shingles of
+   their prefixes instead, which miss no pair. A bucket is led by its most
    popular member, the one whose own buckets are fullest; in a family of copies
    that is the original or a text close to it. Every member is compared with two
    of its leaders, the one it meets most often and the most popular one.
@@ -26,10 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.hyperminhash import (
+    BANDS,
     REGISTERS,
+    SHORT,
     Hasher,
     band_keys,
     may_reach,
+    most_short,
+    prefix_keys,
     sketch,
 )
 from recordloom.llm.shared import column, slices, small_batches, spread_join, whole_text
@@ -39,37 +45,95 @@ THRESHOLD = 0.75
 BLOCK = 512  # members of a bucket that are compared with another BLOCK at once
 #: Ids of at most this many documents are broadcast (16 bytes each).
 MAX_IDS = 1_000_000
+#: Shingles of short sets that come last in the order of prefixes: those of at least
+#: COMMON sets, the most frequent MOST_COMMON of them. They only decide how even the
+#: buckets are.
+COMMON = 16
+MOST_COMMON = 20_000
 
+Order = tuple[np.ndarray, np.ndarray]  # common shingles, sorted, and their counts
 
-def _sketcher(batches) -> Iterator[pa.RecordBatch]:
-    hasher = Hasher()
-    for batch in batches:
-        for some in slices(batch):
-            sets = [hasher.shingles(x) for x in some.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "_id": some.column("_id"),
-                    "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "registers": [sketch(s).tobytes() for s in sets],
-                }
-            )
+
+def _sketcher(threshold: float):
+    most = most_short(threshold)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for some in slices(batch):
+                sets = [hasher.shingles(x) for x in some.column("_text").to_pylist()]
+                few = [s.tobytes() if len(s) <= most else b"" for s in sets]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "_id": some.column("_id"),
+                        "n": pa.array([len(s) for s in sets], pa.int64()),
+                        "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                        "registers": [sketch(s).tobytes() for s in sets],
+                        "few": pa.array(few, pa.binary()),
+                    }
+                )
+
+    return run
 
 
-def _bander(batches) -> Iterator[pa.RecordBatch]:
+def _few_shingles(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for some in slices(batch):
-            keys = [
-                band_keys(np.frombuffer(r, np.uint16)) for r in some.column("registers").to_pylist()
-            ]
-            times = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(some.column("_id").to_numpy(), times)),
-                    pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)),
-                ],
-                ["_id", "band"],
-            )
+        few = np.frombuffer(b"".join(batch.column("few").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(few)], ["shingle"])
+
+
+def _order(nodes: DataFrame) -> Order:
+    """The common shingles of the short sets."""
+    counts = (
+        nodes.filter("few <> X''")
+        .select("few")
+        .mapInArrow(_few_shingles, "shingle bigint")
+        .groupBy("shingle")
+        .agg(F.count("*").alias("times"))
+        .filter(F.col("times") >= COMMON)
+        .orderBy(F.desc("times"), "shingle")
+        .limit(MOST_COMMON)
+        .collect()
+    )
+    common = np.array([r.shingle for r in counts], np.int64).view(np.uint64)
+    at = np.argsort(common)
+    return common[at], np.array([r.times for r in counts], np.int64)[at]
+
+
+def _bands(n: int, registers: np.ndarray) -> np.ndarray:
+    """Keys of the buckets a set shares with longer ones."""
+    return band_keys(registers) if n > SHORT else np.empty(0, np.int64)
+
+
+def _prefix(few: bytes, order: Order, threshold: float) -> np.ndarray:
+    """Keys of the buckets a set shares with short ones."""
+    if not few:
+        return np.empty(0, np.int64)
+    return prefix_keys(np.frombuffer(few, np.uint64), *order, threshold)
+
+
+def _bander(order: Order, threshold: float):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch):
+                keys = [
+                    np.concatenate(
+                        [_bands(n, np.frombuffer(r, np.uint16)), _prefix(few, order, threshold)]
+                    )
+                    for n, r, few in zip(
+                        *(some.column(c).to_pylist() for c in ("n", "registers", "few")), strict=True
+                    )
+                ]
+                times = [len(k) for k in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(some.column("_id").to_numpy(), times)),
+                        pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)),
+                    ],
+                    ["_id", "band"],
+                )
+
+    return run
 
 
 def _set_rows(batches) -> Iterator[pa.RecordBatch]:
@@ -132,21 +196,39 @@ def _pairs_within(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, first + 1 + np.arange(len(first)) - np.repeat(before, counts)
 
 
+NO_KEY = np.iinfo(np.int64).max
+
+
 def _first_meeting(
-    registers: np.ndarray, first: np.ndarray, second: np.ndarray, bands: np.ndarray
+    table: pa.Table, first: np.ndarray, second: np.ndarray, order: Order, threshold: float
 ) -> np.ndarray:
     """Whether this bucket is the first of all that the two rows share: a pair that
     meets in several is reported by one."""
     rows, place = np.unique(np.concatenate([first, second]), return_inverse=True)
     if not len(rows):
         return np.zeros(0, bool)
-    keys = np.array([band_keys(registers[row]) for row in rows])
-    one, other = keys[place[: len(first)]], keys[place[len(first) :]]
-    at = (one == other).argmax(axis=1)
-    return one[np.arange(len(first)), at] == bands[first]
+    taken = table.take(pa.array(rows))
+    n, registers = taken.column("n").to_pylist(), _registers(taken.column("registers"))
+    short = [_prefix(few, order, threshold) for few in taken.column("few").to_pylist()]
+    bands = np.full((len(rows), BANDS), NO_KEY)
+    prefix = np.full((len(rows), max(map(len, short))), NO_KEY)
+    for at in range(len(rows)):
+        if n[at] > SHORT:
+            bands[at] = band_keys(registers[at])
+        prefix[at, : len(short[at])] = short[at]
+    here = table.column("band").to_numpy()[first]
+    found = []
+    for at in range(0, len(first), 10_000):
+        one, other = place[: len(first)][at : at + 10_000], place[len(first) :][at : at + 10_000]
+        least = np.where(bands[one] == bands[other], bands[one], NO_KEY).min(axis=1)
+        for keys in prefix[one].T:
+            met = (prefix[other] == keys[:, None]).any(axis=1)
+            least = np.minimum(least, np.where(met, keys, NO_KEY))
+        found.append(least == here[at : at + 10_000])
+    return np.concatenate(found)
 
 
-def _crossing(table: pa.Table, threshold: float) -> pa.RecordBatch:
+def _crossing(table: pa.Table, order: Order, threshold: float) -> pa.RecordBatch:
     """Pairs of different components that may be similar, of whole sorted groups."""
     keys = [table.column(c).to_numpy() for c in ("band", "i", "j")]
     new = np.ones(table.num_rows, bool)
@@ -166,14 +248,14 @@ def _crossing(table: pa.Table, threshold: float) -> pa.RecordBatch:
         good.append(may_reach(registers[a], registers[b], n[a], n[b], threshold))
     good = np.concatenate(good)
     first, second = first[good], second[good]
-    alone = _first_meeting(registers, first, second, table.column("band").to_numpy())
+    alone = _first_meeting(table, first, second, order, threshold)
     a, b = ids[first[alone]], ids[second[alone]]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
     )
 
 
-def _crosser(threshold: float):
+def _crosser(order: Order, threshold: float):
     """Map rows sorted by (band, i, j): a group has at most two blocks, and whole
     groups are searched together, many small ones at a time."""
 
@@ -188,10 +270,10 @@ def _crosser(threshold: float):
             last = np.all([k == k[-1] for k in keys], axis=0)
             start = table.num_rows - int(last.sum())  # of the group that may go on
             if start:
-                yield _crossing(table.slice(0, start), threshold)
+                yield _crossing(table.slice(0, start), order, threshold)
                 held = table.slice(start).to_batches()
         if held:
-            yield _crossing(pa.Table.from_batches(held), threshold)
+            yield _crossing(pa.Table.from_batches(held), order, threshold)
 
     return run
 
@@ -309,7 +391,10 @@ def near_groups(
         column(id_name).cast("bigint").alias("_id"), whole_text(text).alias("_text")
     )
     sketches = materialise(
-        rows.mapInArrow(_sketcher, "_id bigint, n bigint, set_key binary, registers binary"),
+        rows.mapInArrow(
+            _sketcher(threshold),
+            "_id bigint, n bigint, set_key binary, registers binary, few binary",
+        ),
         "sketches",
     )
     linked = sketches.filter("n > 0 and _id is not null")
@@ -319,11 +404,14 @@ def near_groups(
     )
     nodes = materialise(
         linked.join(groups.select("set_key", "_id"), ["set_key", "_id"])
-        .select("_id", "n", "registers", "set_key")
+        .select("_id", "n", "registers", "few", "set_key")
         .dropDuplicates(["_id", "set_key"]),
         "nodes",
     )
-    bands = nodes.mapInArrow(_bander, "_id bigint, band bigint")
+    order = _order(nodes)
+    bands = nodes.select("_id", "n", "registers", "few").mapInArrow(
+        _bander(order, threshold), "_id bigint, band bigint"
+    )
     sizes = (
         bands.groupBy("band")
         .agg(F.count("*").alias("size"))
@@ -361,10 +449,10 @@ def near_groups(
         .when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     crossing = (
-        tasks.join(nodes.select("_id", "n", "registers"), "_id")
+        tasks.join(nodes.select("_id", "n", "registers", "few"), "_id")
         .repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j")
-        .mapInArrow(_crosser(threshold), _PAIR)
+        .mapInArrow(_crosser(order, threshold), _PAIR)
         .distinct()
     )
     crossing = materialise(crossing, "crossing-pairs")

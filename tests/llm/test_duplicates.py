@@ -122,6 +122,62 @@ def test_near_groups_with_a_hot_family(spark):
     assert found == brute_components(texts)
 
 
+def short_pairs(count: int, seed: int, longest: int = 45):
+    """Pairs of short texts whose shingle sets have a similarity of 0.75 at least,
+    most of them close to it, without a word in common with another pair."""
+    draw = random.Random(seed)
+    while count:
+        words = [f"w{draw.getrandbits(48)}" for _ in range(draw.randrange(8, longest + 1))]
+        cut = draw.randrange(1, 12)
+        other = words[:-cut] if draw.random() < 0.5 else words[cut:]
+        other = [*other, *(f"v{draw.getrandbits(48)}" for _ in range(draw.randrange(3)))]
+        one, two = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+        if one != two and 4 * len(one & two) >= 3 * len(one | two):
+            count -= 1
+            yield " ".join(words), " ".join(other)
+
+
+def test_short_near_pairs_always_share_a_prefix_key_and_pass_the_estimate():
+    hasher = hyperminhash.Hasher()
+    nothing = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for one, other in short_pairs(8_000, 5):
+        a, b = hasher.shingles(one), hasher.shingles(other)
+        common = np.unique(np.concatenate([a[::2], b[:3]]))
+        for order in (nothing, (common, np.arange(len(common)) % 5)):
+            keys = [hyperminhash.prefix_keys(s, *order, 0.75) for s in (a, b)]
+            assert len(np.intersect1d(*keys))
+        sizes = np.array([len(a)]), np.array([len(b)])
+        sketches = hyperminhash.sketch(a)[None], hyperminhash.sketch(b)[None]
+        assert hyperminhash.may_reach(*sketches, *sizes, 0.75)[0]
+
+
+def test_no_link_of_short_texts_is_lost(spark):
+    texts = dict(enumerate(t for pair in short_pairs(4_000, 6, 9) for t in pair))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(8)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
+    assert found == {i: i - i % 2 for i in texts}
+
+
+def test_short_texts_around_common_phrases(spark):
+    """Prefixes of common shingles, families at all distances, sizes around the bound."""
+    draw = random.Random(8)
+    phrase = "all rights reserved by the owner of this page see the terms of use".split()
+    texts = {}
+    for i in range(900):
+        family = random.Random(i % 90)
+        words = [f"w{family.randrange(500)}" for _ in range(family.randrange(1, 50))] + phrase
+        for _ in range(draw.randrange(3)):
+            words[draw.randrange(len(words))] = f"v{draw.randrange(9_999)}"
+        texts[i] = " ".join(words[draw.randrange(3) :])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(8)
+    block, near_dedup.BLOCK = near_dedup.BLOCK, 64
+    try:
+        found = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
+    finally:
+        near_dedup.BLOCK = block
+    assert found == brute_components(texts)
+
+
 def test_near_groups_of_edge_rows(edge_docs, edge_rows, no_docs):
     found = near_dedup.near_groups(edge_docs).collect()
     assert len(found) == len(edge_rows)
