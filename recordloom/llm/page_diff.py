@@ -3,6 +3,8 @@
 Pages of one host are put in the order of their paths; the nearer neighbour in
 this order shares the longest start of the path. The lines of both are aligned by
 a longest common subsequence, and lines that both have are furniture of the site.
+Pages of a host with the same lines are copies, which say nothing about furniture:
+one of them stands in the order for all, so both neighbours of a page differ from it.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -17,12 +20,9 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.ranking import number_rows
 from recordloom.llm.html_lines import candidates, common_lines
-from recordloom.llm.shared import column, slices, small_batches
+from recordloom.llm.shared import column, slices, small_batches, spread_join
 from recordloom.session import materialise
 
-#: A pair that shares at least this part of the shorter page's lines is taken for
-#: copies of one page, which say nothing about furniture.
-COPIES = 0.8
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -47,13 +47,14 @@ def _hash_mapper(batches) -> Iterator[pa.RecordBatch]:
         for some in slices(batch):
             found = [candidates(x or "") for x in some.column("_html").to_pylist()]
             hashes = [[xxhash.xxh3_64_intdigest(t) >> 1 for t, _ in x] for x in found]
+            content = [xxhash.xxh3_128_digest(np.array(h, np.int64).tobytes()) for h in hashes]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(some.column(c) for c in ("_key", "host", "path")),
                     pa.array(hashes, pa.list_(pa.int64())),
-                    pa.array([[d for _, d in x] for x in found], pa.list_(pa.bool_())),
+                    pa.array(content, pa.binary()),
                 ],
-                ["_key", "host", "path", "hashes", "loose"],
+                ["_key", "host", "path", "hashes", "content"],
             )
 
 
@@ -64,35 +65,35 @@ def nearness(path: str, other: str) -> tuple[int, int]:
 
 
 def shared_places(
-    lines: list[int], loose: list[bool], path: str, neighbours: list[tuple[str, list[int]]]
+    lines: list[int], path: str, neighbours: list[tuple[str, list[int]]]
 ) -> list[int]:
-    """Places of the lines to delete, from the (path, lines) before and after."""
-    ranked = sorted(
-        range(len(neighbours)), key=lambda k: nearness(path, neighbours[k][0]), reverse=True
-    )
-    for k in ranked:
-        common = common_lines(lines, neighbours[k][1])
-        if len(common) < COPIES * min(len(lines), len(neighbours[k][1])):
-            return [at for at in common if loose[at]]
-    return []
+    """Places of the lines that the nearer of the (path, lines) before and after has, too."""
+    if not neighbours:
+        return []
+    return common_lines(lines, max(neighbours, key=lambda x: nearness(path, x[0]))[1])
 
 
 def _aligner(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, shared = [], []
+        hosts, contents, shared = [], [], []
         for row in batch.to_pylist():
             neighbours = [
                 (row[f"{side}_path"], row[f"{side}_hashes"])
                 for side in ("before", "after")
                 if row[f"{side}_path"] is not None
             ]
-            places = shared_places(row["hashes"], row["loose"], row["path"], neighbours)
+            places = shared_places(row["hashes"], row["path"], neighbours)
             if places:
-                keys.append(row["_key"])
+                hosts.append(row["host"])
+                contents.append(row["content"])
                 shared.append(places)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(shared, pa.list_(pa.int32()))],
-            ["_key", "shared"],
+            [
+                pa.array(hosts, pa.string()),
+                pa.array(contents, pa.binary()),
+                pa.array(shared, pa.list_(pa.int32())),
+            ],
+            ["host", "content", "shared"],
         )
 
 
@@ -118,10 +119,18 @@ def main_text(
     ).filter("host <> ''")
     hashed = located.mapInArrow(
         _hash_mapper,
-        "_key bigint, host string, path string, hashes array<bigint>, loose array<boolean>",
+        "_key bigint, host string, path string, hashes array<bigint>, content binary",
     )
     hashed = materialise(hashed.dropDuplicates(["_key"]), "page-lines")
-    placed = number_rows(hashed, ["host", "path", "_key"], "row_no")
+    # Copies, and pages without lines, are no neighbours.
+    one_each = (
+        hashed.filter("size(hashes) > 0")
+        .groupBy("host", "content")
+        .agg(F.min(F.struct("path", "_key")).alias("_first"))
+        .select("_first._key")
+    )
+    different = hashed.join(one_each, "_key", "left_semi")
+    placed = number_rows(different, ["host", "path", "_key"], "row_no")
     placed = materialise(placed, "pages-in-order")
 
     def neighbour(side: str, step: int) -> DataFrame:
@@ -130,15 +139,18 @@ def main_text(
             F.col("path").alias(f"{side}_path"), F.col("hashes").alias(f"{side}_hashes"),
         )
 
-    shared = (
-        placed.filter(F.exists("loose", lambda x: x))
-        .join(neighbour("before", 1), ["row_no", "host"], "left")
+    found = (
+        placed.join(neighbour("before", 1), ["row_no", "host"], "left")
         .join(neighbour("after", -1), ["row_no", "host"], "left")
         .select(
-            "_key", "path", "hashes", "loose",
+            "host", "content", "path", "hashes",
             "before_path", "before_hashes", "after_path", "after_hashes",
         )
-        .mapInArrow(_aligner, "_key bigint, shared array<int>")
+        .mapInArrow(_aligner, "host string, content binary, shared array<int>")
+    )
+    copies = hashed.select("_key", "host", "content")
+    shared = spread_join(copies, found, ["host", "content"], ["_key"], "inner", salts=8).select(
+        "_key", "shared"
     )
     schema_id, schema_url = (rows.schema[c].dataType.simpleString() for c in ("page_id", "url"))
     lines = rows.mapInArrow(
@@ -147,7 +159,8 @@ def main_text(
         " lines array<string>, loose array<boolean>",
     )
     kept = F.expr(
-        "filter(lines, (line, at) -> shared is null or not array_contains(shared, at))"
+        "filter(lines, (line, at) ->"
+        " shared is null or not loose[at] or not array_contains(shared, at))"
     )
     return lines.join(shared, "_key", "left").select(
         "page_id", "url", F.array_join(kept, "\n").alias("text")

@@ -73,6 +73,21 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert {r.text for r in page_diff.main_text(pages).collect()} == {"A\nB\nC"}
 
 
+def test_much_furniture_and_little_article(spark):
+    """Ten lines of furniture around one of article, amid runs of copies and empty pages."""
+
+    def page(number, path, story):
+        menu = [f"<div>Menu {i}</div>" for i in range(10)]
+        return (number, f"http://h.example/{path}", "".join([*menu[:6], f"<div>{story}</div>", *menu[6:]]))
+
+    stories = ["A", "B", "B", "B", "B", "C", "C", "C", "D", "B"]
+    rows = [page(i, f"x/{i}", f"Story {s}") for i, s in enumerate(stories)]
+    rows += [(10, "http://h.example/x/00", ""), (11, "http://h.example/x/1/b", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.page_id: r.text for r in page_diff.main_text(pages).collect()}
+    assert found == {i: f"Story {s}" for i, s in enumerate(stories)} | {10: "", 11: ""}
+
+
 LINES = st.lists(st.integers(0, 3), max_size=9)
 
 
