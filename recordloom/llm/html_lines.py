@@ -31,14 +31,21 @@ PROSE = frozenset(
 )
 ARTICLE = frozenset(["article", "main"])
 ARTICLE_ROLES = frozenset(["main", "article", "articlebody"])
-# Words in class, id or role that mark an element as no part of the article.
+# Whole class names, ids or roles that mark an element as no part of the article.
 MARKS = frozenset(
     "nav navigation navbar menu header masthead footer sidebar aside complementary contentinfo"
     " banner ad ads advert advertisement sponsor sponsored promo cookie cookies consent notice"
     " newsletter subscribe share sharing social related recommended comment comments respond"
     " discussion breadcrumb breadcrumbs pagination login signup search popup modal dialog widget"
-    " skip toolbar tags".split()
+    " skip toolbar tags"
+    " cookie-notice cookie-banner cookie-bar cookie-consent cookies-notice site-header"
+    " site-footer page-footer main-nav main-menu main-navigation site-navigation nav-bar"
+    " nav-menu side-bar ad-banner ad-container ad-slot share-buttons social-links social-share"
+    " related-posts related-articles comment-list comment-form comments-area search-form"
+    " search-box skip-link widget-area newsletter-signup".split()
 )
+# These hold the article, whatever they are called.
+HOLDERS = frozenset(["html", "body", "main", "article"])
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -47,7 +54,6 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-WORDS = re.compile(r"[^a-z0-9]+")
 
 
 @dataclass
@@ -62,10 +68,11 @@ def _marks(name: str, rest: str) -> tuple[bool, bool]:
     """Whether an element is never article, and whether it announces one."""
     never, article = name in NEVER, name in ARTICLE
     for attribute, value in ATTRIBUTE.findall(rest) if "=" in rest else ():
-        words = WORDS.split(value.strip("\"'").lower())
+        words = value.strip("\"'").lower().replace("_", "-").split()
         if attribute.lower() in ("role", "itemprop"):
             article |= bool(ARTICLE_ROLES.intersection(words))
-        never |= attribute.lower() != "itemprop" and bool(MARKS.intersection(words))
+        if name not in HOLDERS and attribute.lower() != "itemprop":
+            never |= bool(MARKS.intersection(words))
     return never, article and not never
 
 
@@ -127,13 +134,11 @@ def lines_of(page: str) -> list[Line]:
 def candidates(page: str) -> list[tuple[str, bool]]:
     """(line, whether it may be deleted if a neighbouring page has it too).
 
-    Where an element announces the article, only its lines are candidates, and
-    its prose stays whatever the neighbours hold. Elsewhere all lines outside
-    elements that are never article are candidates.
+    Lines in elements that are never article are no candidates. Prose stays,
+    whatever the neighbours hold, where an element announces the article.
     """
     lines = [line for line in lines_of(page) if not line.never]
-    within = [line for line in lines if line.article]
-    return [(x.text, not (x.article and x.prose)) for x in (within or lines)]
+    return [(x.text, not (x.article and x.prose)) for x in lines]
 
 
 def common_lines(one: list[int], other: list[int]) -> list[int]:

@@ -88,6 +88,29 @@ def test_much_furniture_and_little_article(spark):
     assert found == {i: f"Story {s}" for i, s in enumerate(stories)} | {10: "", 11: ""}
 
 
+def test_marks_are_whole_names_and_not_of_what_holds_the_article():
+    for start in (
+        '<body class="has-sidebar">', '<body class="search header">', '<div class="with-comments">',
+        '<html id="widget"><body>', '<main class="social notice"><div>',
+    ):
+        assert [t for t, _ in candidates(f"{start}<p>Text</p>")] == ["Text"]
+    post = '<article class="post comments"><p>Text</p><div class="a comments"><p>First</p></div></article>'
+    assert candidates(post) == [("Text", False)]
+    cards = "<div>The text</div><article><p>Card</p></article>"
+    assert candidates(cards) == [("The text", True), ("Card", False)]
+
+
+def test_article_cards_beside_the_text(spark):
+    rows = [
+        (i, f"http://h.example/{i}",
+         f"<body class='has-sidebar'><div>Shop</div><div>Text {i}</div><article><p>Card</p></article>")
+        for i in range(3)
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.page_id: r.text for r in page_diff.main_text(pages).collect()}
+    assert found == {i: f"Text {i}\nCard" for i in range(3)}
+
+
 LINES = st.lists(st.integers(0, 3), max_size=9)
 
 
