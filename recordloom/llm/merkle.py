@@ -1,7 +1,8 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and passages.
 
 A paragraph is a line. It is divided into passages at words chosen by their own
-hash, and paragraphs are gathered into sections in the same way, so an edit moves
+hash, and inside long words (text without spaces) at places chosen by a checksum of
+the characters before them; paragraphs are gathered into sections in the same way, so an edit moves
 no boundary beyond its surroundings. A node's digest covers those of its
 children; the root therefore tests equality of whole texts, and where two trees
 differ, only the differing branches have to be followed to find the edit.
@@ -30,6 +31,10 @@ from recordloom.llm.shared import column, slices, small_batches, whole_text
 
 WORDS_IN_PASSAGE = 8  # on average
 MOST_WORDS = 16  # of a passage
+MOST_CHARS = 64  # code points of a word that is not cut inside, and of a piece of one
+LEAST_CHARS = 16  # of such a piece, but for the last one
+ROLLED = 8  # code points that decide about a cut inside a word
+CUT_BITS = 4  # of their checksum that have to be zero
 SINGLE_WORDS = 16  # at the start of a text, so that short texts have branches too
 PARAGRAPHS_IN_SECTION = 4  # on average
 PARTS_PER_TASK = 4
@@ -40,11 +45,40 @@ def _digest(content: bytes) -> bytes:
     return blake2b(content, digest_size=32).digest()
 
 
+def cuts(word: str) -> list[int]:
+    """Ends of the pieces of a long word: behind ROLLED code points whose checksum
+    says so, or MOST_CHARS after the last cut where none does."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    total = np.zeros(len(codes) - ROLLED + 1, np.uint64)
+    for at in range(ROLLED):
+        total = (total + codes[at : at + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    chosen = np.flatnonzero(total >> np.uint64(64 - CUT_BITS) == 0) + ROLLED
+    ends, start = [], 0
+    for end in [*chosen.tolist(), len(codes)]:
+        while end - start > MOST_CHARS:
+            start += MOST_CHARS
+            ends.append(start)
+        if end - start >= LEAST_CHARS or end == len(codes) > start:
+            ends.append(end)
+            start = end
+    return ends
+
+
 def passages(paragraph: str, singles: int = 0) -> list[str]:
     """The paragraph: its first ``singles`` words one by one, the others cut
-    behind words whose checksum says so, and where none of MOST_WORDS does."""
+    behind words whose checksum says so, and where none of MOST_WORDS does. Words
+    beyond MOST_CHARS are cut inside and behind, whatever the words around them."""
     found, start, at, words = [], 0, 0, 0
     for place, word in enumerate(WORD.findall(paragraph)):
+        if len(word) > MOST_CHARS:
+            if start < at:
+                found.append(paragraph[start:at])
+            ends = [at, *(at + end for end in cuts(word))]
+            found += [paragraph[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            at += len(word)
+            start, words = at, 0
+            continue
         at += len(word)
         words += 1
         if (

@@ -246,6 +246,26 @@ def test_an_edit_is_located():
     assert merkle.likeness(a, b) > 0.9
 
 
+def test_text_without_spaces_has_passages():
+    draw = random.Random(4)
+    for alphabet in ("".join(map(chr, range(0x4E00, 0x5200))), "abcdefghijklmnopqrstuvwxyz0123456789+/"):
+        for before in ("", "some words in front of it "):
+            text = before + "".join(draw.choices(alphabet, k=3_000))
+            new = "".join(draw.choices(alphabet, k=1_000))
+            other = merkle.edited(text, new)
+            one, two = merkle.fingerprint(text), merkle.fingerprint(other)
+            assert 0.62 < merkle.likeness(one, two) < 0.68
+            assert "".join(merkle.passages(text)) == text
+            (span,) = merkle.changed_spans(one, two)
+            assert len(text) * 2 / 3 - 130 < span[0] <= len(text) * 2 / 3 and span[1] == len(text)
+            # An insertion near the start moves no cut beyond its surroundings.
+            moved = merkle.fingerprint(text[:100] + "x" + text[100:])
+            assert merkle.likeness(one, moved) > 0.9
+    same = "x" * 1_000
+    assert "".join(merkle.passages(same)) == same
+    assert max(map(len, merkle.passages(same))) <= merkle.MOST_CHARS
+
+
 def test_fingerprint_query_against_brute_force(spark, sf_dir, texts):
     order = sorted(texts, reverse=True)
     found = {r.doc_id: r for r in queries.op7_merkle_fingerprints(spark, sf_dir).collect()}
