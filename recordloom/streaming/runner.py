@@ -71,13 +71,20 @@ def run_events(events: DataFrame, extractor: extraction.Extractor) -> DataFrame:
     )
     definition = F.try_parse_json("schema_definition")
     readable = F.coalesce(F.schema_of_variant(definition).startswith("OBJECT"), F.lit(False))
-    known = [*KEY, "schema_definition"]
-    schemas = materialise(flat.filter(readable).select(*known).distinct(), "batch-schemas")
+    # By the definition alone: a name or version may be missing, and no join meets a null.
+    name, version = KEY
+    flat = flat.withColumn("_definition", F.sha2("schema_definition", 256))
+    schemas = flat.filter(readable).select(
+        F.col("_definition").alias(name), F.lit("").alias(version), "schema_definition"
+    )
+    schemas = materialise(schemas.distinct(), "batch-schemas")
     levels = measured_levels(schemas)
     compiled = materialise(extraction.compile_schemas(schemas, levels), "compiled")
+    compiled = compiled.drop(version, "schema_definition").withColumnRenamed(name, "_definition")
     prepared = lookup_join(
-        flat.filter(readable), compiled, known, "inner", spread_by=("request_id",)
-    )
+        flat.filter(readable), compiled, ["_definition"], "inner", spread_by=("request_id",)
+    ).drop("_definition")
+    flat = flat.drop("_definition")
     results = extraction.assemble(
         extraction.extract(prompting.with_prompt(prepared), extractor, levels)
     )

@@ -100,6 +100,30 @@ def test_queue_run_redelivery_and_replay(spark, tmp_path):
     assert spark.read.parquet(target).count() == 4
 
 
+def test_events_without_a_version_get_a_result(spark, tmp_path):
+    folder, out, offsets = (str(tmp_path / n) for n in ("queue", "out", "offsets"))
+    send(spark, folder)
+    stripped = [
+        ("null", f'"schema_version":"{KEY[1]}"', '"schema_version":null'),
+        ("absent", f'"schema_version":"{KEY[1]}"', '"schema_other":"x"'),
+    ]
+    bodies = [r.value for r in spark.read.text(folder).collect() if '"r1"' in r.value]
+    bodies = [b for b in bodies if "2024-01-01" in b and '"old"' not in b]
+    new = [bodies[0].replace('"r1"', f'"{i}"').replace(old, by) for i, old, by in stripped]
+    assert all(KEY[1] not in b.replace(" ", "") for b in new)
+    spark.createDataFrame([(b,) for b in new], "value string").write.mode("append").text(folder)
+    run(spark, folder, out, offsets)
+    results = {r.request_id: r for r in runner.read_results(spark, out).collect()}
+    latest = states.latest_states(runner.read_run_states(spark, out)).collect()
+    assert {r.request_id: r.status for r in latest} == {
+        "r1": "COMPLETED", "r2": "COMPLETED", "r3": "FAILED", "bare": "FAILED",
+        "null": "COMPLETED", "absent": "COMPLETED",
+    }
+    for i in ("null", "absent"):
+        assert json.loads(results[i].result) == {"email": "a@b.example"}
+        assert results[i].schema_name == "contact" and results[i].schema_version is None
+
+
 def test_an_empty_queue_leaves_readable_tables(spark, tmp_path):
     folder, out, offsets = (str(tmp_path / n) for n in ("queue", "out", "offsets"))
     spark.createDataFrame([], "value string").write.text(folder)
