@@ -88,7 +88,14 @@ def leaf_budgets(
     names it lacks; a weight of zero leaves a subtree out. Without ``budget`` the
     mixture is as large as all leaves together.
     """
-    capped = leaves.withColumn("_cap", F.col("_total") * max_epochs)
+    # What lies under a weight of zero can take nothing, so no ancestor counts it.
+    left_out = F.lit(False)
+    for level in LEVELS:
+        named = _weight(level, weights.get(level.strip("_"), {}), default_weight)
+        left_out |= named <= 0
+    capped = leaves.withColumn(
+        "_cap", F.when(left_out, 0).otherwise(F.col("_total") * max_epochs).cast("bigint")
+    )
     wanted = F.lit(budget).cast("bigint") if budget is not None else F.sum("_total")
     root = capped.agg(F.least(wanted, F.sum("_cap")).alias("_given"))
     above = root

@@ -314,6 +314,16 @@ def test_shortages_go_to_siblings_before_ancestors(spark):
     assert {r._source: r._budget for r in none} == {"4": 1_000}
 
 
+def test_what_a_weight_of_zero_leaves_out_counts_nowhere(spark):
+    leaves = spark.createDataFrame(
+        [("a", "x", "1", 900), ("a", "y", "2", 100), ("b", "y", "3", 1_000)],
+        "_domain string, _lang string, _source string, _total bigint",
+    )
+    for weights in ({"lang": {"x": 0}}, {"source": {"1": 0}}):
+        found = mixing.leaf_budgets(leaves, weights, 1_000, 1).collect()
+        assert {r._source: r._budget for r in found} == {"2": 100, "3": 900}
+
+
 def test_mixture_of_edge_rows(edge_docs, edge_rows, no_docs):
     taken = mixing.epochs(edge_docs, queries.domain(), queries.MIXTURE, None, 2, 1)
     rows = taken.collect()
