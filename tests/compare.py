@@ -6,7 +6,7 @@ import duckdb
 
 from recordloom.plans.derived import TABLES
 
-SAME_TYPE = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def connect(sf_dir: str):
