@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, licenses, merkle, mixing, near_dedup, page_diff, records, rule_quality, toxicity
+from recordloom.llm import bpe, clustering, exact_dedup, licenses, merkle, mixing, near_dedup, page_diff
+from recordloom.llm import phrases, records, rule_quality, toxicity, warc
 from recordloom.llm.shared import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,3 +233,146 @@ FROM shared WHERE share >= 0.75 GROUP BY doc_id, license
 
 
 ORACLE["op6_license_scan"] = _license_sql()
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(clustering.fit(read(spark, sf_dir, "embeddings")))
+
+
+def _clustering_sql() -> str:
+    """Every distance to every centroid, round after round."""
+    steps = []
+    for number in range(clustering.ROUNDS + 1):
+        steps.append(f"""
+assigned{number} AS MATERIALIZED (
+  SELECT no, min_by(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+  FROM (
+    SELECT no, cluster, list_sum(list_transform(list_zip(whole, centroid),
+      lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+    FROM kept CROSS JOIN centroids{number}
+  ) GROUP BY no
+)""")
+        if number < clustering.ROUNDS:
+            steps.append(f"""
+centroids{number + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(moved, centroid) AS centroid
+  FROM centroids{number} LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY place) AS moved
+    FROM (
+      SELECT cluster, place, sum(whole[place])::BIGINT AS s, count(*) AS n
+      FROM kept JOIN assigned{number} USING (no)
+        CROSS JOIN (SELECT unnest(range(1, {clustering.DIMENSIONS + 1})) AS place)
+      GROUP BY cluster, place
+    ) GROUP BY cluster
+  ) USING (cluster)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS no, vec_id,
+    list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)::BIGINT) AS whole
+  FROM embeddings
+  WHERE len(embedding) = {clustering.DIMENSIONS}
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {clustering.DIMENSIONS}
+), centroids0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY hash, whole) - 1)::INTEGER AS cluster, whole AS centroid
+  FROM (
+    SELECT sha256('1:' || vec_id::VARCHAR) AS hash, whole FROM kept
+    ORDER BY hash, whole LIMIT {clustering.CENTROIDS}
+  )
+),{",".join(steps)}
+SELECT vec_id, cluster, distance,
+  (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(centroid, ',')) AS centroid_sha256
+FROM kept JOIN assigned{clustering.ROUNDS} USING (no) JOIN centroids{clustering.ROUNDS} USING (cluster)
+"""
+
+
+ORACLE["op11_centroid_clustering"] = _clustering_sql()
+
+#: The table has no capture times: pages count as captured one second apart, in the
+#: order of their ids.
+FIRST_CAPTURE = 1_577_836_800  # 2020-01-01T00:00:00Z
+
+
+@query
+def op12_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captured = F.col("page_id") + F.lit(FIRST_CAPTURE)
+    return warc.archived(read(spark, sf_dir, "pages"), captured).drop("html")
+
+
+ORACLE["op12_warc_histories"] = f"""
+WITH captures AS (
+  SELECT page_id, coalesce(html, '') AS html,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS rest,
+    url, {FIRST_CAPTURE} + page_id AS captured
+  FROM pages
+), keyed AS (
+  SELECT *, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first_id,
+    coalesce(CASE WHEN host = '' THEN url
+      ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || rest END, '') AS url_key
+  FROM captures
+)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, i // 4 * 5 + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url_key,
+  row_number() OVER (ORDER BY url_key, captured, page_id) AS index_place
+FROM keyed
+"""
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_phrase_collocations"] = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces
+), words AS MATERIALIZED (
+  SELECT lang, unnest(w) AS w1, unnest(list_concat(w[2:], [NULL])) AS w2,
+    unnest(list_concat(w[3:], [NULL, NULL])[:len(w)]) AS w3
+  FROM split WHERE len(w) > 0
+), counted AS MATERIALIZED (
+  SELECT lang, 1 AS words, w1 AS phrase, count(*) AS f FROM words GROUP BY ALL
+  UNION ALL
+  SELECT lang, 2, w1 || ' ' || w2, count(*) FROM words WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM words WHERE w3 IS NOT NULL GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE words = 1 GROUP BY lang),
+candidates AS MATERIALIZED (
+  SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w
+  FROM counted WHERE words > 1 AND f >= {phrases.SUPPORT}
+), cuts AS (
+  SELECT lang, words, phrase, a, unnest(range(1, words)) AS k, w FROM candidates
+), scored AS (
+  SELECT c.lang, c.words, c.phrase, a, k, l.f AS l, r.f AS r,
+    (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c
+    JOIN counted l ON l.lang = c.lang AND l.phrase = array_to_string(w[:k], ' ') AND l.words = k
+    JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ') AND r.words = c.words - k
+), best AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, words, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase, a
+  FROM candidates WHERE words = 3
+), inside AS (SELECT lang, phrase, max(a) AS a FROM longer GROUP BY ALL), open AS (
+  SELECT b.* FROM best b LEFT JOIN inside i ON b.words = 2 AND i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.a IS NULL OR 100 * i.a < {phrases.INSIDE} * b.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM open
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang)
+WHERE rank <= {phrases.TOP}
+"""
