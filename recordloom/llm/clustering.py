@@ -1,8 +1,8 @@
 """Centroid clustering of integer vectors, filtered in a rotated space.
 
 The vectors' covariance gives an orthogonal rotation whose first coordinates carry
-most of the spread. A vector is stored as its integers, its LEADING rotated
-coordinates and the norm of the rest. For any vector x and centroid c
+most of the spread. A vector is stored as its integers, as many rotated coordinates
+as carry SPREAD of the variance, and the norm of the rest. For any vector x and centroid c
 
     |x - c|^2  >=  |leading(x) - leading(c)|^2 + (rest(x) - rest(c))^2
 
@@ -29,11 +29,12 @@ DIMENSIONS = 64
 SCALE = 64  # an integer component is floor(SCALE * x)
 CENTROIDS = 16
 ROUNDS = 3
-LEADING = 12  # rotated coordinates that are stored
+SPREAD = 0.85  # of the variance, in the rotated coordinates that are stored
 WIDEST = 1 << 27  # components beyond +-this are set to it: distances fit into 64 bits
 AT_ONCE = 4096  # vectors that are compared at once
-#: Share of the squared lengths that rounding in doubles may cost a bound.
-ROUNDING = 1e-9
+#: Share of the squared lengths that rounding the stored coordinates to 24 bits may
+#: cost a bound.
+ROUNDING = 4e-6
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class Rotation:
 
     centre: np.ndarray
     axes: np.ndarray
-    leading: int = LEADING
+    leading: int
 
     def apply(self, vectors: np.ndarray) -> np.ndarray:
         """Leading coordinates and, behind them, the norm of the others."""
@@ -98,7 +99,7 @@ def _moments(dimensions: int):
     return run
 
 
-def fit_rotation(kept: DataFrame, dimensions: int, leading: int) -> Rotation:
+def fit_rotation(kept: DataFrame, dimensions: int, share: float) -> Rotation:
     """The principal axes of all vectors. One (d + 1) x (d + 1) matrix comes to the
     driver, whatever the number of rows."""
     sums = (
@@ -112,7 +113,9 @@ def fit_rotation(kept: DataFrame, dimensions: int, leading: int) -> Rotation:
     count = max(total[0, 0], 1.0)
     centre = total[0, 1:] / count
     spread = total[1:, 1:] / count - np.outer(centre, centre)
-    _, axes = np.linalg.eigh((spread + spread.T) / 2)  # ascending eigenvalues
+    widths, axes = np.linalg.eigh((spread + spread.T) / 2)  # ascending
+    carried = np.cumsum(np.maximum(widths[::-1], 0))
+    leading = int(np.searchsorted(carried, share * carried[-1])) + 1
     return Rotation(centre, axes.T[::-1].copy(), min(leading, dimensions))
 
 
@@ -121,7 +124,7 @@ def _rotator(rotation: Rotation):
         for batch in batches:
             turned = rotation.apply(_matrix(batch.column("whole"), np.float64))
             offsets = np.arange(len(turned) + 1, dtype=np.int32) * turned.shape[1]
-            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(turned.ravel()))
+            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(turned.ravel().astype(np.float32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, rows], ["vec_id", "whole", "turned"])
 
     return run
@@ -209,7 +212,7 @@ class Clusters:
 
 def store(
     vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
-    dimensions: int = DIMENSIONS, scale: int = SCALE, leading: int = LEADING,
+    dimensions: int = DIMENSIONS, scale: int = SCALE, share: float = SPREAD,
 ) -> tuple[DataFrame, Rotation]:
     """(vec_id, whole, turned) of the usable vectors, stored once, and the rotation.
 
@@ -219,14 +222,14 @@ def store(
     rows = vectors.select(column(vec_id).cast("bigint").alias("vec_id"), column(vector).alias("_vector"))
     kept = rows.mapInArrow(_keeper(dimensions, scale), "vec_id bigint, whole array<int>")
     kept = materialise(kept, "integer-vectors")
-    rotation = fit_rotation(kept, dimensions, leading)
-    turned = kept.mapInArrow(_rotator(rotation), "vec_id bigint, whole array<int>, turned array<double>")
+    rotation = fit_rotation(kept, dimensions, share)
+    turned = kept.mapInArrow(_rotator(rotation), "vec_id bigint, whole array<int>, turned array<float>")
     return materialise(turned, "rotated-vectors"), rotation
 
 
 def fit(
     vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, vec_id: str = "vec_id",
-    vector: str = "embedding", dimensions: int = DIMENSIONS, scale: int = SCALE, leading: int = LEADING,
+    vector: str = "embedding", dimensions: int = DIMENSIONS, scale: int = SCALE, share: float = SPREAD,
 ) -> Clusters:
     """Start from the ``k`` vectors with the smallest hashes of their ids and repeat:
     assign every vector to its nearest centroid, move every centroid that has
@@ -237,7 +240,7 @@ def fit(
     centroids, none make none. Each round brings at most k x (d + 1) sums to the
     driver; a task hands over the sums of its rows, so no cluster is too large.
     """
-    stored, rotation = store(vectors, vec_id, vector, dimensions, scale, leading)
+    stored, rotation = store(vectors, vec_id, vector, dimensions, scale, share)
     first = stored.select(start_hash().alias("_hash"), "whole").orderBy("_hash", "whole").limit(k)
     starts = [row.whole for row in first.collect()]
     centroids = np.array(starts, np.int64).reshape(-1, dimensions)

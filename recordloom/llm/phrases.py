@@ -366,7 +366,7 @@ def frequent_phrases(
             _counter(shared, part, first_bit, bits), "lang string, words int, phrase string, n bigint"
         )
         some = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-        some = materialise(some.filter(f"n >= {support} or words = 0"), "frequent-phrases")
+        some = materialise(some.filter(f"n >= {support} or words = 0 and n > 0"), "frequent-phrases")
         found = some if found is None else found.unionByName(some)
     return found
 
@@ -400,8 +400,11 @@ def collocations(
         rows = rows.withColumn("_l", F.substring_index("phrase", " ", left)).withColumn(
             "_r", F.substring_index("phrase", " ", -right)
         )
-        rows = lookup_join(rows, counts("l", left), ["lang", "_l"], "inner", ["phrase"])
-        rows = lookup_join(rows, counts("r", right), ["lang", "_r"], "inner", ["phrase"])
+        # Both sides are phrases that passed the support, far fewer than the text has.
+        # A word many phrases start with is left to the skew join: copies of the
+        # counts for a salt would outweigh them.
+        rows = lookup_join(rows, counts("l", left), ["lang", "_l"], "inner")
+        rows = lookup_join(rows, counts("r", right), ["lang", "_r"], "inner")
         score = cut_score("a", "l", "r").alias("score")
         return rows.withColumn(f"_cut{k}", F.struct(score, F.lit(k).alias("k"), "l", "r")).drop(
             "l", "r", "_l", "_r"
