@@ -21,9 +21,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -39,7 +41,7 @@ ENTRY = np.dtype([("place", "<i8"), ("ids", "<i8"), ("doc_id", "<i8")])
 CACHE_WORDS = 500_000  # words of one of the two generations a worker remembers
 CLOSING_MARKS = (".", ",")
 LONG_WORD = 10_000  # characters of a word that is not worth remembering
-TEXTS_AT_ONCE = 500
+TEXTS_AT_ONCE = 500  # whose words are looked up together
 SEGMENT = 16 << 20  # bytes of a data file that are read at once
 NO_ID = -(1 << 63)  # stands for a null id in the index
 
@@ -49,11 +51,11 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
 
 
-def words_of(text: str) -> list[str]:
-    """Pieces a text may be cut into for a vocabulary that drops white space and
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """Pieces texts may be cut into for a vocabulary that drops white space and
     never joins across it. Only two white-space characters cut; the others stay
     inside their piece, where the tokenizer treats them."""
-    return text.replace("\n", " ").split(" ")
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 
 
 def core_and_mark(word: str) -> tuple[str, str]:
@@ -79,31 +81,51 @@ class WordCoder:
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}  # the generation before
 
+    def _recalled(self, words: set[str]) -> set[str]:
+        """Of ``words`` those in neither generation; the others are in the younger now."""
+        missing = words - self.known.keys()
+        again = missing & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        return missing - again
+
     def _learn(self, words: set[str]) -> None:
         """Have the tokenizer encode what cannot be put together from known ids."""
-        known, older = self.known, self.older
-        missing = [word for word in words if word not in known]
-        known.update((word, older[word]) for word in missing if word in older)
-        split = {word: core_and_mark(word) for word in missing if word not in known}
-        parts = {part for pair in split.values() for part in pair}
-        known.update((part, older[part]) for part in parts if part in older)
-        fresh = [part for part in parts if part not in known]
-        for part, found in zip(
-            fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True
-        ):
-            known[part] = np.array(found.ids, self.width).tobytes()
+        split = {word: core_and_mark(word) for word in self._recalled(words)}
+        parts = set(chain.from_iterable(split.values()))
+        fresh = list(self._recalled(parts))
+        known, width = self.known, self.width
+        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        lengths = [len(x) for x in found]
+        ids = np.fromiter(chain.from_iterable(x.ids for x in found), width, sum(lengths)).tobytes()
+        size = np.dtype(width).itemsize
+        ends = (np.cumsum([0, *lengths]) * size).tolist()
+        known.update((part, ids[a:b]) for part, a, b in zip(fresh, ends, ends[1:], strict=False))
         known.update((word, known[core] + known[mark]) for word, (core, mark) in split.items())
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        """The ids of each text: those of the different words of many texts are laid
+        out once and gathered by the places of the words."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
         for at in range(0, len(texts), TEXTS_AT_ONCE):
-            cut = [words_of(text) for text in texts[at : at + TEXTS_AT_ONCE]]
-            every = set().union(*cut)
-            self._learn(every)
-            for words in cut:
-                yield b"".join(map(self.known.__getitem__, words))
+            cut = words_of(texts.slice(at, TEXTS_AT_ONCE))
+            coded = cut.flatten().dictionary_encode()
+            every = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            self._learn(set(every))
+            each = list(map(self.known.__getitem__, every))
+            ids = np.frombuffer(b"".join(each), self.width)
+            sizes = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(self.width).itemsize
+            starts = np.cumsum(sizes) - sizes
+            places = coded.indices.to_numpy()
+            counts = sizes[places]
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            gathered = ids[np.repeat(starts[places] - upto[:-1], counts) + np.arange(upto[-1])]
+            ends = upto[np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])]
+            for first, last in zip(ends, ends[1:], strict=False):
+                yield gathered[first:last].tobytes()
             if len(self.known) > CACHE_WORDS:
                 self.older, self.known = self.known, {"": b""}
-            if any(len(w) > LONG_WORD for w in every):
+            if max(map(len, every), default=0) > LONG_WORD:
                 self.older, self.known = {}, {"": b""}
 
 
@@ -153,7 +175,7 @@ def _writer(folder: str, vocabulary, end_id: int, width: str):
             if data is None and batch.num_rows:
                 files.create_dir(path, recursive=True)
                 data = files.open_output_stream(f"{path}/{name}.rec")
-            payloads = [x + last for x in coder.encode(batch.column("_text").to_pylist())]
+            payloads = [x + last for x in coder.encode(batch.column("_text"))]
             for at in range(0, len(payloads), TEXTS_AT_ONCE):
                 some = payloads[at : at + TEXTS_AT_ONCE]
                 ids = batch.column("_id")[at : at + TEXTS_AT_ONCE].to_pylist()
@@ -251,11 +273,14 @@ def read_digests(written: DataFrame, folder: str) -> DataFrame:
     """Read the files back, check every frame, and return per document: doc_id,
     start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Only the list of files, one narrow row each, meets in one task.
+    Only the list of files, one narrow row each, meets in one task; a file is then
+    read by a task of its own.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = written.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return placed.repartitionByRange("part").mapInArrow(
+    # A number of its own: by size alone so few rows would be put into one task.
+    files = max(1, written.count())
+    return placed.repartitionByRange(files, "part").mapInArrow(
         _reader(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
 
