@@ -65,9 +65,10 @@ def core_and_mark(word: str) -> tuple[str, str]:
     The vocabulary lower-cases, and separates letters from other characters.
     """
     core, mark = (word[:-1], word[-1]) if word[-1:] in CLOSING_MARKS else (word, "")
-    if not core.isalpha() or "\u03a3" in core:  # a final sigma is lower-cased by context
+    lower = core.lower()  # of some letters with a mark that is none
+    if not (core.isalpha() and lower.isalpha()) or "\u03a3" in core:  # a final sigma is lower-cased by context
         return word, ""
-    return core.lower(), mark
+    return lower, mark
 
 
 class WordCoder:
