@@ -12,7 +12,11 @@
 3. Links found so connect most of every group. Only buckets that still hold
    members of different components are searched in full, block against block, by
    estimates from the registers; no pair inside one component is looked at.
-4. Pairs whose estimate allows the threshold are verified on whole shingle sets.
+4. Pairs whose estimate allows the threshold are verified on whole shingle sets. Where
+   the blocks of a search give more of them than they have members, the members go on
+   instead: their sets meet once more by blocks, pairs are verified there, best first,
+   and only links between parts that are not connected yet are given out. Rows grow
+   with the members, not with their pairs, and no link between components is lost.
 5. Components by contraction: each round every node moves to its smallest
    neighbour, and the links are rewritten between what is left.
 """
@@ -33,6 +37,7 @@ from recordloom.llm.hyperminhash import (
     SHORT,
     Hasher,
     band_keys,
+    estimates,
     may_reach,
     most_short,
     prefix_keys,
@@ -43,6 +48,8 @@ from recordloom.session import materialise
 
 THRESHOLD = 0.75
 BLOCK = 512  # members of a bucket that are compared with another BLOCK at once
+#: Shingles of the sets that meet in a task (64 MB); blocks of longer ones give pairs.
+MOST_SHINGLES = 8 << 20
 #: Ids of at most this many documents are broadcast (16 bytes each).
 MAX_IDS = 1_000_000
 #: Shingles of short sets that come last in the order of prefixes: those of at least
@@ -167,6 +174,12 @@ def _estimator(threshold: float):
     return run
 
 
+def _similar(one: np.ndarray, other: np.ndarray, hundredths: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    shared = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * shared >= hundredths * (len(one) + len(other) - shared)
+
+
 def _verifier(threshold: float):
     """Map (a, b, sa, sb) to the pairs that are similar, on whole sorted sets."""
     hundredths = round(threshold * 100)
@@ -175,13 +188,10 @@ def _verifier(threshold: float):
         for batch in batches:
             for some in slices(batch):
                 left, right = (some.column(c) for c in ("sa", "sb"))
-                good = []
-                for i in range(some.num_rows):
-                    one = left[i].values.to_numpy()
-                    other = right[i].values.to_numpy()
-                    shared = len(np.intersect1d(one, other, assume_unique=True))
-                    either = len(one) + len(other) - shared
-                    good.append(100 * shared >= hundredths * either)
+                good = [
+                    _similar(left[i].values.to_numpy(), right[i].values.to_numpy(), hundredths)
+                    for i in range(some.num_rows)
+                ]
                 yield some.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -228,12 +238,16 @@ def _first_meeting(
     return np.concatenate(found)
 
 
-def _crossing(table: pa.Table, order: Order, threshold: float) -> pa.RecordBatch:
-    """Pairs of different components that may be similar, of whole sorted groups."""
+def _hopeful(
+    table: pa.Table, order: Order, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of pairs of different components that may be similar, of whole sorted
+    groups, and the number of every row's group."""
     keys = [table.column(c).to_numpy() for c in ("band", "i", "j")]
     new = np.ones(table.num_rows, bool)
     new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    first, second = _pairs_within(np.cumsum(new))
+    groups = np.cumsum(new)
+    first, second = _pairs_within(groups)
     side, comp, ids, n = (table.column(c).to_numpy() for c in ("side", "comp", "_id", "n"))
     # In a task of two blocks only pairs between them count, and a bucket's other
     # tasks see the pairs within each.
@@ -249,13 +263,75 @@ def _crossing(table: pa.Table, order: Order, threshold: float) -> pa.RecordBatch
     good = np.concatenate(good)
     first, second = first[good], second[good]
     alone = _first_meeting(table, first, second, order, threshold)
-    a, b = ids[first[alone]], ids[second[alone]]
+    return first[alone], second[alone], groups
+
+
+def _crossing(table: pa.Table, order: Order, threshold: float) -> pa.RecordBatch:
+    """Of whole sorted groups: the hopeful pairs (a, b) where they are few, else the
+    members (a, without b) that are in one."""
+    first, second, groups = _hopeful(table, order, threshold)
+    ids, n = table.column("_id").to_numpy(), table.column("n").to_numpy()
+    inside = np.unique(np.concatenate([first, second]))
+    members = np.bincount(groups[inside], minlength=groups[-1] + 1)
+    shingles = np.bincount(groups[inside], n[inside], minlength=groups[-1] + 1)
+    pairs = np.bincount(groups[first], minlength=groups[-1] + 1)
+    dense = (pairs > members) & (shingles <= MOST_SHINGLES)
+    few = ~dense[groups[first]]
+    a, b = ids[first[few]], ids[second[few]]
+    rows = inside[dense[groups[inside]]]
+    taken = table.select(["band", "i", "j", "side", "comp"]).take(pa.array(rows))
+    nothing = len(a)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
+        [
+            pa.array(np.concatenate([np.minimum(a, b), ids[rows]])),
+            pa.concat_arrays([pa.array(np.maximum(a, b)), pa.nulls(len(rows), pa.int64())]),
+            *(
+                pa.concat_arrays([pa.nulls(nothing, c.type), *c.chunks])
+                for c in taken.columns
+            ),
+        ],
+        ["a", "b", *taken.column_names],
     )
 
 
-def _crosser(order: Order, threshold: float):
+def _connecting(table: pa.Table, order: Order, threshold: float) -> pa.RecordBatch:
+    """Links of whole sorted groups that connect what is not connected yet, verified on
+    whole sets; hopeful pairs that stay apart are refuted for good."""
+    sets = [x.values.to_numpy() for x in table.column("shingles")]
+    hashes = [x.view(np.uint64) for x in sets]
+    most = most_short(threshold)
+    facts = table.select(["band", "i", "j", "side", "comp", "_id"])
+    facts = facts.append_column("n", pa.array([len(x) for x in sets], pa.int64()))
+    facts = facts.append_column("registers", pa.array([sketch(x).tobytes() for x in hashes]))
+    small = [x.tobytes() if len(x) <= most else b"" for x in hashes]
+    facts = facts.append_column("few", pa.array(small, pa.binary()))
+    first, second, _ = _hopeful(facts, order, threshold)
+    n, ids = facts.column("n").to_numpy(), facts.column("_id").to_numpy()
+    registers = _registers(facts.column("registers"))
+    likeness = [np.zeros(0)]
+    for at in range(0, len(first), 10_000):
+        a, b = first[at : at + 10_000], second[at : at + 10_000]
+        likeness.append(estimates(registers[a], registers[b], n[a], n[b])[0])
+    best = np.argsort(-np.concatenate(likeness), kind="stable")
+    above = {x: x for x in facts.column("comp").to_pylist()}
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    comp = facts.column("comp").to_pylist()
+    hundredths, links = round(threshold * 100), []
+    for a, b in zip(first[best].tolist(), second[best].tolist(), strict=True):
+        one, other = root(comp[a]), root(comp[b])
+        if one != other and _similar(sets[a], sets[b], hundredths):
+            above[one] = other
+            links.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+    links = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+
+def _by_groups(function, order: Order, threshold: float):
     """Map rows sorted by (band, i, j): a group has at most two blocks, and whole
     groups are searched together, many small ones at a time."""
 
@@ -270,10 +346,10 @@ def _crosser(order: Order, threshold: float):
             last = np.all([k == k[-1] for k in keys], axis=0)
             start = table.num_rows - int(last.sum())  # of the group that may go on
             if start:
-                yield _crossing(table.slice(0, start), order, threshold)
+                yield function(table.slice(0, start), order, threshold)
                 held = table.slice(start).to_batches()
         if held:
-            yield _crossing(pa.Table.from_batches(held), order, threshold)
+            yield function(pa.Table.from_batches(held), order, threshold)
 
     return run
 
@@ -332,8 +408,8 @@ def _stars(members: DataFrame) -> DataFrame:
 
 def _shingle_sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(_id, shingles) of the documents in ``pairs``, stored once."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    ids = materialise(ids, "wanted-ids")
+    ids = pairs.select("a").union(pairs.select("b")).toDF("_id").filter("_id is not null")
+    ids = materialise(ids.distinct(), "wanted-ids")
     if ids.count() <= MAX_IDS:
         ids = F.broadcast(ids)
     texts = rows.join(ids, "_id", "left_semi")
@@ -452,12 +528,24 @@ def near_groups(
         tasks.join(nodes.select("_id", "n", "registers", "few"), "_id")
         .repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j")
-        .mapInArrow(_crosser(order, threshold), _PAIR)
-        .distinct()
+        .mapInArrow(
+            _by_groups(_crossing, order, threshold),
+            f"{_PAIR}, band bigint, i int, j int, side int, comp bigint",
+        )
     )
     crossing = materialise(crossing, "crossing-pairs")
-    more = _verified(crossing, _shingle_sets(rows, crossing), threshold)
-    every = components(close.unionByName(more))
+    sets = _shingle_sets(rows, crossing)
+    more = _verified(crossing.filter("b is not null").select("a", "b").distinct(), sets, threshold)
+    dense = crossing.filter("b is null").select(
+        F.col("a").alias("_id"), "band", "i", "j", "side", "comp"
+    )
+    connecting = (
+        dense.join(sets, "_id")
+        .repartition("band", "i", "j")
+        .sortWithinPartitions("band", "i", "j")
+        .mapInArrow(_by_groups(_connecting, order, threshold), _PAIR)
+    )
+    every = components(close.unionByName(more).unionByName(connecting))
 
     named = groups.join(every.toDF("_id", "comp"), "_id", "left")
     named = named.filter("_size > 1 or comp is not null").select(
