@@ -91,9 +91,11 @@ class WordCoder:
 
     def _learn(self, words: set[str]) -> None:
         """Have the tokenizer encode what cannot be put together from known ids."""
-        split = {word: core_and_mark(word) for word in self._recalled(words)}
+        missing = self._recalled(words)
+        split = {word: core_and_mark(word) for word in missing}
+        split = {word: parts for word, parts in split.items() if parts != (word, "")}
         parts = set(chain.from_iterable(split.values()))
-        fresh = list(self._recalled(parts))
+        fresh = list(missing.difference(split) | self._recalled(parts))
         known, width = self.known, self.width
         found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
         lengths = [len(x) for x in found]
