@@ -2,7 +2,10 @@
 
 Places are JSON pointers (``/a/b``); the steps into array items and to members
 that are not named are written ``~i`` and ``~o`` for rules, which no property name
-can produce because ``~`` is escaped.
+can produce because ``~`` is escaped, and so are those into the sub-schemas of other
+keywords (``~allOf/0``, ``~$defs/name``).
+Trees are expanded breadth-first by a loop inside the row, as many rounds as the row
+is deep: the plan has one size, and a deep row costs no other row anything.
 Everything here stays inside one row: no shuffle and no Python worker. The
 expressions are SQL texts, which the session parses in one go.
 """
@@ -16,9 +19,14 @@ ITEM_STEP = "~i"
 OTHER_STEP = "~o"  # to members a definition does not name
 
 _DEFINITION_NODES = (
-    "array<struct<path:string,name:string,needed:boolean,depth:int,v:variant>>"
+    "array<struct<path:string,name:string,needed:boolean,depth:int,at:string,v:variant>>"
 )
-_RECORD_NODES = "array<struct<path:string,rule:string,kind:string,v:variant>>"
+#: A value of a record that a rule applies to. ``scope`` is the number of the node its
+#: verdict belongs to: the root, or the branch of a combinator it lies in; ``owner``
+#: and ``branch`` name the node and keyword a branch hangs on. ``via`` has the rules met
+#: at the same value, so that references in a circle end.
+_RECORD_NODES = """array<struct<id:int,path:string,rule:string,kind:string,v:variant,
+    scope:int,owner:int,branch:string,via:array<string>>>"""
 
 
 def kind(v: str) -> str:
@@ -65,6 +73,7 @@ def options(v: str) -> str:
     return f"transform({elements(v, '$.enum')}, o -> to_json(o))"
 
 
+# Brackets are read outside strings. The deepest point is a running maximum.
 _NESTING = r"""aggregate(
     split(regexp_replace(regexp_replace({definition},
         r'"[^"\\]*(?:\\.[^"\\]*)*"', ''), r'[^\[\]{{}}]', ''), ''),
@@ -75,6 +84,11 @@ _NESTING = r"""aggregate(
 ).top"""
 
 
+def nesting(json: str) -> str:
+    """How deep the brackets of a JSON text are nested."""
+    return _NESTING.format(definition=json)
+
+
 def field_levels(definition: str) -> str:
     """Upper bound for the depth of fields a definition declares: each level of
     ``properties`` opens two brackets, each level of ``items`` or of a schema for
@@ -104,6 +118,7 @@ _DECLARED = f"""concat(
             coalesce(try_variant_get(n.v, '$.required', 'array<string>'),
                 cast(array() AS array<string>)), e.key),
         'depth', n.depth + 1,
+        'at', concat(n.at, '/properties/', {step('e.key')}),
         'v', e.value)), cast(array() AS {_DEFINITION_NODES})),
     coalesce(transform(
         filter(array(try_variant_get(n.v, '$.items', 'variant')), i -> i IS NOT NULL),
@@ -112,9 +127,28 @@ _DECLARED = f"""concat(
             'name', '{ITEM_STEP}',
             'needed', false,
             'depth', n.depth + 1,
+            'at', concat(n.at, '/items'),
             'v', i)), cast(array() AS {_DEFINITION_NODES})))"""
 
-# A definition's schema for members it does not name is a node of its own.
+#: Keywords whose value is a schema, a list of schemas, or an object of schemas.
+_ONE = ("not", "if", "then", "else", "contains", "propertyNames")
+_MANY = ("allOf", "anyOf", "oneOf", "prefixItems")
+_NAMED = ("patternProperties", "$defs", "definitions", "dependentSchemas")
+_NO_NODES = f"cast(array() AS {_DEFINITION_NODES})"
+
+
+def _below(step_: str, at: str, v: str) -> str:
+    return f"""named_struct('path', concat(n.path, '/~', {step_}), 'name', concat('~', {step_}),
+        'needed', false, 'depth', n.depth + 1, 'at', concat(n.at, '/', {at}), 'v', {v})"""
+
+
+def _listed(names: tuple[str, ...]) -> str:
+    words = ", ".join(f"'{name}'" for name in names)
+    return f"filter(array({words}), k -> map_contains_key(m, k))"
+
+
+# Every sub-schema of a node: declared members and items, the schema for members it
+# does not name, and those of the other keywords, most of which a definition lacks.
 _WITH_OTHERS = f"""concat({_DECLARED},
     transform(
         filter(array(try_variant_get(n.v, '$.additionalProperties', 'variant')),
@@ -124,55 +158,129 @@ _WITH_OTHERS = f"""concat({_DECLARED},
             'name', '{OTHER_STEP}',
             'needed', false,
             'depth', n.depth + 1,
-            'v', o)))"""
+            'at', concat(n.at, '/additionalProperties'),
+            'v', o)),
+    coalesce(flatten(transform(
+        filter(array({members('n.v')}), m -> arrays_overlap(map_keys(m),
+            array({", ".join(f"'{k}'" for k in (*_ONE, *_MANY, *_NAMED))}))),
+        m -> concat(
+            transform({_listed(_ONE)}, k -> {_below('k', 'k', 'm[k]')}),
+            flatten(transform({_listed(_MANY)}, k -> coalesce(transform({elements('m[k]')},
+                (x, i) -> {_below("concat(k, '/', i)", "concat(k, '/', i)", 'x')}), {_NO_NODES}))),
+            flatten(transform({_listed(_NAMED)}, k -> coalesce(transform(map_entries({members('m[k]')}),
+                e -> {_below(f"concat(k, '/', {step('e.key')})", f"concat(k, '/', {step('e.key')})",
+                             'e.value')}), {_NO_NODES})))
+        ))), {_NO_NODES}))"""
+
+
+def _child(path: str, rule: str, v: str, scope: str = "n.scope", owner: str = "n.owner",
+           branch: str = "n.branch", via: str | None = None) -> str:
+    """A node below ``n``; without a scope it begins one of its own."""
+    return f"""named_struct('id', cast(NULL AS int), 'path', {path}, 'rule', {rule}, 'kind', {kind(v)},
+        'v', {v}, 'scope', {scope}, 'owner', {owner}, 'branch', {branch},
+        'via', {via or 'cast(array() AS array<string>)'})"""
+
+
+_NO_VALUES = f"cast(array() AS {_RECORD_NODES})"
+
+
+def _declared_values(rules: str) -> str:
+    """Members and elements of a node that a rule applies to, where a definition has no
+    further keywords: one rule a value, one scope for all."""
+    named = f"concat(n.rule, '/', {step('e.key')})"
+    items = f"concat(n.rule, '/{ITEM_STEP}')"
+    other = f"concat(n.rule, '/{OTHER_STEP}')"
+    member = _child(
+        f"concat(n.path, '/', {step('e.key')})",
+        f"CASE WHEN map_contains_key({rules}, {named}) THEN {named} ELSE {other} END",
+        "e.value", "0", "0", "''",
+    )
+    item = _child("concat(n.path, '/', i)", items, "x", "0", "0", "''")
+    return f"""CASE
+    WHEN n.kind = 'object' THEN filter(
+        transform(map_entries({members('n.v')}), e -> {member}), c -> map_contains_key({rules}, c.rule))
+    WHEN n.kind = 'array' AND map_contains_key({rules}, {items})
+        THEN transform({elements('n.v')}, (x, i) -> {item})
+    ELSE {_NO_VALUES} END"""
 
 
 def _grown(rules: str) -> str:
-    """Members and elements of a node that a rule applies to; below anything else
-    nothing can be wrong."""
+    """Values a rule applies to below a node, and the node's own value again for the
+    schemas combined in its rule; below anything else nothing can be wrong."""
     named = f"concat(n.rule, '/', {step('e.key')})"
-    return f"""CASE
-    WHEN n.kind = 'object' THEN filter(
-        transform(map_entries({members('n.v')}), e -> named_struct(
-            'path', concat(n.path, '/', {step('e.key')}),
-            'rule', CASE WHEN map_contains_key({rules}, {named}) THEN {named}
-                ELSE concat(n.rule, '/{OTHER_STEP}') END,
-            'kind', {kind('e.value')},
-            'v', e.value)),
+    member = f"concat(n.path, '/', {step('e.key')})"
+    fits = "filter(r.patterns, p -> e.key rlike p.expression)"
+    items = f"concat(n.rule, '/{ITEM_STEP}')"
+    placed = f"CASE WHEN i < r.prefix THEN concat(n.rule, '/~prefixItems/', i) ELSE {items} END"
+    contains = "concat(n.rule, '/~contains')"
+    names = "concat(n.rule, '/~propertyNames')"
+    same = f"""transform(filter(r.same, b -> NOT array_contains(n.via, b.rule)), b -> {_child(
+        'n.path', 'b.rule', 'n.v',
+        "CASE WHEN b.branch = 'allOf' THEN n.scope END",
+        "CASE WHEN b.branch = 'allOf' THEN n.owner ELSE n.id END",
+        "CASE WHEN b.branch = 'allOf' THEN n.branch ELSE b.branch END",
+        'concat(n.via, array(n.rule))')})"""
+    return f"""flatten(transform(array({rules}[n.rule]), r -> concat(
+    CASE WHEN n.kind = 'object' THEN filter(
+        flatten(transform(map_entries({members('n.v')}), e -> CASE WHEN size(r.patterns) = 0
+            THEN array({_child(member, f"CASE WHEN map_contains_key({rules}, {named}) THEN {named} ELSE concat(n.rule, '/{OTHER_STEP}') END", 'e.value')})
+            ELSE transform(concat(
+                transform({fits}, p -> p.rule),
+                CASE WHEN map_contains_key({rules}, {named}) THEN array({named})
+                    WHEN size({fits}) = 0 THEN array(concat(n.rule, '/{OTHER_STEP}'))
+                    ELSE cast(array() AS array<string>) END),
+                q -> {_child(member, 'q', 'e.value')}) END)),
         c -> map_contains_key({rules}, c.rule))
-    WHEN n.kind = 'array' AND map_contains_key({rules}, concat(n.rule, '/{ITEM_STEP}'))
-        THEN transform({elements('n.v')}, (x, i) -> named_struct(
-            'path', concat(n.path, '/', i),
-            'rule', concat(n.rule, '/{ITEM_STEP}'),
-            'kind', {kind('x')},
-            'v', x))
-    ELSE cast(array() AS {_RECORD_NODES}) END"""
-
-
-def _unroll(df: DataFrame, root: str, grow: str, levels: int, out: str) -> DataFrame:
-    """Breadth-first expansion, one projection per level."""
-    df = df.withColumn("_n0", F.expr(root))
-    for level in range(levels):
-        df = df.withColumn(
-            f"_n{level + 1}", F.expr(f"flatten(transform(_n{level}, n -> {grow}))")
-        )
-    names = [f"_n{level}" for level in range(levels + 1)]
-    return df.withColumn(out, F.concat(*names)).drop(*names)
+    WHEN n.kind = 'array' AND (r.prefix > 0 OR map_contains_key({rules}, {items}))
+        THEN filter(transform({elements('n.v')}, (x, i) -> {_child("concat(n.path, '/', i)", placed, 'x')}),
+            c -> map_contains_key({rules}, c.rule))
+    ELSE {_NO_VALUES} END,
+    CASE WHEN n.kind = 'array' AND map_contains_key({rules}, {contains})
+        THEN transform({elements('n.v')}, (x, i) -> {_child(
+            "concat(n.path, '/', i)", contains, 'x', 'cast(NULL AS int)', 'n.id', "'contains'")})
+    WHEN n.kind = 'object' AND map_contains_key({rules}, {names})
+        THEN transform(map_keys({members('n.v')}), k -> {_child(
+            f"concat(n.path, '/', {step('k')})", names, 'cast(k AS variant)')})
+    ELSE {_NO_VALUES} END,
+    CASE WHEN size(r.same) > 0 THEN {same} ELSE {_NO_VALUES} END)))"""
+
+
+def _loop(root: str, grow: str, rounds: str, numbered: bool = False) -> str:
+    """Breadth-first expansion of ``root`` by ``grow``, at most ``rounds`` levels down."""
+    grown = f"flatten(transform(acc.now, n -> {grow}))"
+    if numbered:
+        # A node's number is its place among all; a branch is a scope of its own.
+        grown = f"""transform({grown}, (c, i) -> named_struct('id', size(acc.every) + i, 'path', c.path,
+            'rule', c.rule, 'kind', c.kind, 'v', c.v, 'scope', coalesce(c.scope, size(acc.every) + i),
+            'owner', c.owner, 'branch', c.branch, 'via', c.via))"""
+    return f"""aggregate(sequence(1, greatest(1, {rounds})), named_struct('now', {root}, 'every', {root}),
+        (acc, round) -> CASE WHEN size(acc.now) = 0 THEN acc ELSE get(transform(array({grown}),
+            new -> named_struct('now', new, 'every', concat(acc.every, new))), 0) END).every"""
 
 
 def with_definition_nodes(
-    df: DataFrame, v: str, levels: int, out: str, others: bool = False
+    df: DataFrame, v: str, levels: int | None, out: str, others: bool = False
 ) -> DataFrame:
     """Add every (sub-)schema of the definition ``v``, the root first; with
-    ``others`` also the schemas of members that are not named."""
+    ``others`` also those of members that are not named and of combinators.
+
+    ``levels`` bounds the depth; without it every row is followed to its own.
+    """
     root = f"""cast(array(named_struct('path', '', 'name', '', 'needed', true, 'depth', 0,
-        'v', {v})) AS {_DEFINITION_NODES})"""
-    return _unroll(df, root, _WITH_OTHERS if others else _DECLARED, levels, out)
+        'at', '', 'v', {v})) AS {_DEFINITION_NODES})"""
+    rounds = nesting(f"to_json({v})") if levels is None or others else str(levels)
+    return df.withColumn(out, F.expr(_loop(root, _WITH_OTHERS if others else _DECLARED, rounds)))
 
 
-def with_record_nodes(df: DataFrame, v: str, rules: str, levels: int, out: str) -> DataFrame:
+def with_record_nodes(df: DataFrame, v: str, rules: str, out: str) -> DataFrame:
     """Add every value of the record ``v`` that the map ``rules`` has a rule for, the
-    root first."""
-    root = f"""cast(array(named_struct('path', '', 'rule', '', 'kind', {kind(v)},
-        'v', {v})) AS {_RECORD_NODES})"""
-    return _unroll(df, root, _grown(rules), levels, out)
+    root first. A record is followed as deep as it goes, through references that
+    come back to their own schema, too."""
+    root = f"""cast(array(named_struct('id', 0, 'path', '', 'rule', '', 'kind', {kind(v)},
+        'v', {v}, 'scope', 0, 'owner', 0, 'branch', '', 'via', cast(array() AS array<string>)))
+        AS {_RECORD_NODES})"""
+    # A value is met by its own rule and, at most once each, by those combined in it.
+    rounds = f"""least(100000, ({nesting(f'to_json({v})')} + 1) * (size({rules}) + 1))"""
+    return df.withColumn(out, F.expr(f"""CASE WHEN {rules}[''].further
+        THEN {_loop(root, _grown(rules), rounds, numbered=True)}
+        ELSE {_loop(root, _declared_values(rules), f"size({rules})")} END"""))

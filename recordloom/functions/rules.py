@@ -14,28 +14,118 @@ from recordloom.functions import jsontree
 
 VIOLATIONS = "array<struct<path:string,check:string,detail:string>>"
 
-#: Keywords that bound a number, a text or an array: how a value breaks them.
+#: Keywords that bound a number, a text, an array or an object: how a value breaks them.
+#: Numbers are compared as exact integers where both sides are integers.
+_NUMBER = "x.n.kind IN ('integer', 'number')"
 _BOUNDS = {
-    "minimum": ("double", "x.n.kind IN ('integer', 'number')", "{value} < {bound}"),
-    "maximum": ("double", "x.n.kind IN ('integer', 'number')", "{value} > {bound}"),
-    "exclusiveMinimum": ("double", "x.n.kind IN ('integer', 'number')", "{value} <= {bound}"),
-    "exclusiveMaximum": ("double", "x.n.kind IN ('integer', 'number')", "{value} >= {bound}"),
+    "minimum": ("variant", _NUMBER, "{less}"),
+    "maximum": ("variant", _NUMBER, "{more}"),
+    "exclusiveMinimum": ("variant", _NUMBER, "NOT {more}"),
+    "exclusiveMaximum": ("variant", _NUMBER, "NOT {less}"),
+    "multipleOf": ("variant", _NUMBER, "NOT {multiple}"),
     "minLength": ("bigint", "x.n.kind = 'string'", "{length} < {bound}"),
     "maxLength": ("bigint", "x.n.kind = 'string'", "{length} > {bound}"),
     "minItems": ("bigint", "x.n.kind = 'array'", "{items} < {bound}"),
     "maxItems": ("bigint", "x.n.kind = 'array'", "{items} > {bound}"),
+    "minProperties": ("bigint", "x.n.kind = 'object'", "{names} < {bound}"),
+    "maxProperties": ("bigint", "x.n.kind = 'object'", "{names} > {bound}"),
 }
+
+
+def _as(value: str, kind: str) -> str:
+    return f"try_variant_get({value}, '$', '{kind}')"
+
+
+def _compared(operator: str) -> str:
+    """A value against a bound: integers exactly, anything else as doubles."""
+    whole = f"{_as('x.n.v', 'decimal(38,0)')} {operator} {_as('{bound}', 'decimal(38,0)')}"
+    real = f"{_as('x.n.v', 'double')} {operator} {_as('{bound}', 'double')}"
+    return f"""(CASE WHEN x.n.kind = 'integer' AND {jsontree.kind('{bound}')} = 'integer'
+        THEN {whole} ELSE {real} END)"""
+
+
 _PARTS = {
-    "value": "try_variant_get(x.n.v, '$', 'double')",
-    "length": "char_length(try_variant_get(x.n.v, '$', 'string'))",
+    "length": f"char_length({_as('x.n.v', 'string')})",
     "items": f"size({jsontree.elements('x.n.v')})",
+    "names": f"size({jsontree.members('x.n.v')})",
 }
+# Multiples are looked for among decimals of nine places, which hold tenths exactly.
+_MULTIPLE = f"""coalesce({_as('x.n.v', 'decimal(38,9)')} % {_as('{bound}', 'decimal(38,9)')} = 0,
+    {_as('x.n.v', 'double')} % {_as('{bound}', 'double')} = 0)"""
+
+
+def _broken(template: str, bound: str) -> str:
+    template = template.replace("{less}", _compared("<")).replace("{more}", _compared(">"))
+    template = template.replace("{multiple}", _MULTIPLE).replace("{bound}", bound)
+    for name, part in _PARTS.items():
+        template = template.replace("{" + name + "}", part)
+    return template
+
+
 #: Keywords that records are held against; ``format``, ``title`` and the like only
 #: describe. ``unchecked_keywords`` lists what else a definition uses.
+COMBINED = ("allOf", "anyOf", "oneOf", "not", "if", "then", "else", "$ref")
 CHECKED = ("type", "enum", "const", "properties", "required", "additionalProperties", "items",
-           "uniqueItems", *_BOUNDS)
-DESCRIPTIVE = ("$id", "$schema", "$comment", "title", "description", "format", "default",
-               "examples", "deprecated", "readOnly", "writeOnly")
+           "uniqueItems", "pattern", "patternProperties", "propertyNames", "prefixItems",
+           "contains", "minContains", "maxContains", "dependentRequired", *COMBINED, *_BOUNDS)
+#: Keywords that would change verdicts; definitions with one are refused.
+UNSUPPORTED = ("unevaluatedProperties", "unevaluatedItems", "dependentSchemas", "dependencies",
+               "additionalItems")
+DESCRIPTIVE = ("$id", "$schema", "$comment", "$defs", "definitions", "$anchor", "title",
+               "description", "format", "default", "examples", "deprecated", "readOnly", "writeOnly")
+
+
+def portable(pattern: str) -> str:
+    """A pattern as it is searched for here: only a line feed ends a line, and
+    classes like ``\\w`` cover all letters, as where such schemas are written."""
+    return f"concat('(?Ud)', {pattern})"
+
+
+def plain_pattern(pattern: str) -> str:
+    """Whether a pattern is made of letters, escapes, classes, groups, alternatives,
+    anchors and quantifiers, which mean the same wherever it is searched for. Anything
+    else is refused: named groups, back references, possessive quantifiers, class
+    operations, options, and ranges or repetitions that run backwards."""
+    marked = f"regexp_replace({pattern}, r'{ESCAPE}', '\ue000')"
+    bare = f"regexp_replace({marked}, r'{CLASS}', 'a')"
+    atoms = f"regexp_replace(regexp_replace({bare}, r'[(][?][:=!]', '('), r'{QUANTIFIED}', '')"
+    # What is left are groups; innermost ones are taken out one level at a time.
+    left = f"aggregate(sequence(1, 20), {atoms}, (t, i) -> regexp_replace(t, r'{GROUP}', ''))"
+    ranges = f"""exists(regexp_extract_all({marked}, r'({CLASS})', 1), c -> exists(
+        regexp_extract_all(c, r'([^-\\[^]-[^-\\]])', 1),
+        p -> ascii(left(p, 1)) > ascii(right(p, 1)) OR contains(p, '\ue000')))"""
+    counts = f"""exists(regexp_extract_all({bare}, r'([{{][0-9]+,[0-9]+[}}])', 1), q ->
+        int(regexp_extract(q, r'[{{]([0-9]+)', 1)) > int(regexp_extract(q, r',([0-9]+)', 1)))"""
+    return f"({left} = '' AND NOT {ranges} AND NOT {counts})"
+
+
+#: The parts of a pattern that are taken over as they are.
+ESCAPE = r"\\[dDwWsSbBtnrfv^$.|?*+(){}/\\\[\]-]"
+CLASS = r"\[\^?(?:[^\[\]\\&]|&(?!&))+\]"
+QUANTIFIED = r"[^\\\[\](){}*+?|^$](?:[*+?]|[{][0-9]{1,4}(?:,[0-9]{0,4})?[}])?[?]?|[\^$]"
+GROUP = r"[(][|]*[)](?:[*+?]|[{][0-9]{1,4}(?:,[0-9]{0,4})?[}])?[?]?|^[|]+$"
+
+_PATTERN_NODES = f"""filter(coalesce(map_entries({jsontree.members('n.v', '$.patternProperties')}),
+    cast(array() AS array<struct<key:string,value:variant>>)), e -> {plain_pattern('e.key')})"""
+
+
+def _branches(keyword: str) -> str:
+    """The schemas of a list keyword, each a branch."""
+    found = jsontree.elements("n.v", f"$.{keyword}")
+    return f"""coalesce(transform({found}, (x, i) -> named_struct('branch', '{keyword}',
+        'rule', concat(n.path, '/~{keyword}/', i))), {_NO_BRANCHES})"""
+
+
+_NO_BRANCHES = "cast(array() AS array<struct<branch:string,rule:string>>)"
+_SINGLE = ", ".join(f"'{k}'" for k in ("not", "if", "then", "else"))
+_REFERENCE = "try_variant_get(n.v, '$[\"$ref\"]', 'string')"
+# A definition that names none of the keywords has no branches to look for.
+_SAME = f"""CASE WHEN NOT _combined THEN {_NO_BRANCHES} ELSE concat(
+    {", ".join(_branches(k) for k in ("allOf", "anyOf", "oneOf"))},
+    transform(filter(array({_SINGLE}), k -> map_contains_key({jsontree.members('n.v')}, k)),
+        k -> named_struct('branch', k, 'rule', concat(n.path, '/~', k))),
+    transform(filter(array(try_element_at(_places, {_REFERENCE})), p -> p IS NOT NULL),
+        p -> named_struct('branch', 'allOf', 'rule', p))) END"""
 
 _RULES = f"""map_from_entries(transform(_nodes, n -> struct(n.path, named_struct(
     'types', {jsontree.types('n.v')},
@@ -47,26 +137,58 @@ _RULES = f"""map_from_entries(transform(_nodes, n -> struct(n.path, named_struct
     'never', coalesce(NOT try_variant_get(n.v, '$', 'boolean'), false)
         AND {jsontree.kind('n.v')} = 'boolean',
     'distinct', coalesce(try_variant_get(n.v, '$.uniqueItems', 'boolean'), false),
+    'pattern', CASE WHEN {plain_pattern("try_variant_get(n.v, '$.pattern', 'string')")}
+        THEN {portable("try_variant_get(n.v, '$.pattern', 'string')")} END,
+    'patterns', transform({_PATTERN_NODES}, e -> named_struct('expression', {portable('e.key')},
+        'rule', concat(n.path, '/~patternProperties/', {jsontree.step('e.key')}))),
+    'prefix', coalesce(size({jsontree.elements('n.v', '$.prefixItems')}), 0),
+    'same', {_SAME},
+    'further', _further,
+    'lost', {_REFERENCE} IS NOT NULL AND try_element_at(_places, {_REFERENCE}) IS NULL,
+    'fewest', CASE WHEN try_variant_get(n.v, '$.contains', 'variant') IS NOT NULL
+        THEN coalesce(try_variant_get(n.v, '$.minContains', 'bigint'), 1) END,
+    'most', try_variant_get(n.v, '$.maxContains', 'bigint'),
+    'dependent', try_variant_get(n.v, '$.dependentRequired', 'map<string,array<string>>'),
     {", ".join(f"'{name}', try_variant_get(n.v, '$.{name}', '{kind}')"
                for name, (kind, _, _) in _BOUNDS.items())}))))"""
 
+_NAMES = " OR ".join(f"contains(schema_definition, '\"{k}\"')" for k in COMBINED if k not in ("then", "else"))
+_FURTHER = " OR ".join(
+    f"contains(schema_definition, '\"{k}\"')"
+    for k in ("patternProperties", "propertyNames", "prefixItems", "contains")
+)
+# The internal places of sub-schemas by what a reference calls them.
+_PLACES = """CASE WHEN _combined THEN map_from_entries(array_distinct(concat(
+    transform(_nodes, n -> struct(concat('#', n.at), n.path)),
+    transform(filter(_nodes, n -> try_variant_get(n.v, '$[\"$anchor\"]', 'string') IS NOT NULL),
+        n -> struct(concat('#', try_variant_get(n.v, '$[\"$anchor\"]', 'string')), n.path))))) END"""
+
+
+def compile_rules(schemas: DataFrame, levels: int | None, key: tuple[str, ...]) -> DataFrame:
+    """(key..., rules): place of each (sub-)schema -> its constraints.
 
-def compile_rules(schemas: DataFrame, levels: int, key: tuple[str, ...]) -> DataFrame:
-    """(key..., rules): pointer of each (sub-)schema -> its constraints."""
+    References are resolved here, to the place of the sub-schema they name by
+    pointer or anchor; one that names none breaks every record (``lost``).
+    """
     nodes = jsontree.with_definition_nodes(
         schemas, "try_parse_json(schema_definition)", levels, "_nodes", others=True
     )
+    nodes = nodes.withColumn("_combined", F.expr(f"coalesce({_NAMES}, false)"))
+    nodes = nodes.withColumn("_further", F.expr(f"_combined OR coalesce({_FURTHER}, false)"))
+    nodes = nodes.withColumn("_places", F.expr(_PLACES))
     return nodes.select(*key, F.expr(_RULES).alias("rules"))
 
 
 def _found(check: str, condition: str, details: str) -> str:
     """Violations of one kind: one per element of the ``details`` list."""
     return f"""CASE WHEN {condition} THEN transform({details}, d -> named_struct(
-        'path', x.n.path, 'check', '{check}', 'detail', d))
-        ELSE cast(array() AS {VIOLATIONS}) END"""
+        'scope', x.n.scope, 'path', x.n.path, 'check', '{check}', 'detail', d))
+        ELSE cast(array() AS {_SCOPED}) END"""
 
 
+_SCOPED = "array<struct<scope:int,path:string,check:string,detail:string>>"
 _KEYS = f"map_keys({jsontree.members('x.n.v')})"
+_UNNAMED = f"array_except({_KEYS}, x.r.declared)"
 
 _JUDGED = f"""concat(
     {_found(
@@ -85,38 +207,98 @@ _JUDGED = f"""concat(
     {_found(
         "extra",
         "x.n.kind = 'object' AND x.r.closed",
-        f"array_except({_KEYS}, x.r.declared)")},
+        f"CASE WHEN size(x.r.patterns) = 0 THEN {_UNNAMED} ELSE filter({_UNNAMED}, k -> "
+        "NOT exists(x.r.patterns, p -> k rlike p.expression)) END")},
     {_found("never", "x.r.never", "array(x.n.kind)")},
+    {_found("$ref", "x.r.lost", "array('names no schema')")},
     {_found(
         "const",
         "x.r.constant IS NOT NULL AND to_json(x.n.v) != x.r.constant",
         "array(to_json(x.n.v))")},
+    {_found(
+        "pattern",
+        f"x.n.kind = 'string' AND x.r.pattern IS NOT NULL AND NOT {_as('x.n.v', 'string')} rlike x.r.pattern",
+        "array(to_json(x.n.v))")},
     {_found(
         "uniqueItems",
         f"x.r.distinct AND x.n.kind = 'array' AND {_PARTS['items']} > "
         f"size(array_distinct(transform({jsontree.elements('x.n.v')}, i -> to_json(i))))",
         "array(to_json(x.n.v))")},
+    {_found(
+        "contains",
+        f"x.r.fewest > 0 AND x.n.kind = 'array' AND {_PARTS['items']} = 0",
+        "array('0')")},
+    {_found(
+        "dependentRequired",
+        "x.r.dependent IS NOT NULL AND x.n.kind = 'object'",
+        f"array_except(flatten(transform(filter(map_entries(x.r.dependent), "
+        f"e -> array_contains({_KEYS}, e.key)), e -> e.value)), {_KEYS})")},
     {", ".join(
-        _found(name, f"x.r.{name} IS NOT NULL AND {kind} AND "
-               + broken.format(bound=f"x.r.{name}", **_PARTS), "array(to_json(x.n.v))")
+        _found(name, f"x.r.{name} IS NOT NULL AND {kind} AND " + _broken(broken, f"x.r.{name}"),
+               "array(to_json(x.n.v))")
         for name, (_, kind, broken) in _BOUNDS.items())})"""
 
+# Verdicts of combinators, the innermost first: a keyword at a node is a formula over
+# its branches, and a branch fails where a violation was found in its scope. A broken
+# formula is a violation in the scope of its node; the schema an ``if`` selects gives
+# its own violations to it.
+_BRANCHES = "filter(_values, n -> n.id = n.scope AND n.id > 0)"
+_GROUPS = """reverse(array_sort(array_distinct(transform(_branches, n -> struct(
+    n.owner AS owner, CASE WHEN n.branch IN ('then', 'else') THEN 'if' ELSE n.branch END AS keyword)))))"""
+
+
+def _failing(keyword: str) -> str:
+    return f"""filter(_branches, n -> n.owner = g.owner AND n.branch = {keyword}
+        AND exists(acc, w -> w.scope = n.id))"""
+
+
+def _some(keyword: str) -> str:
+    return f"filter(_branches, n -> n.owner = g.owner AND n.branch = {keyword})"
+
+
+_PASSING = f"(size({_some('g.keyword')}) - size({_failing('g.keyword')}))"
+_CHOSEN = f"""CASE WHEN size({_some("'if'")}) = 0 THEN {_NO_BRANCHES.replace('branch:string,rule:string', 'id:int')}
+    ELSE transform(filter(_branches, n -> n.owner = g.owner AND n.branch =
+        CASE WHEN size({_failing("'if'")}) = 0 THEN 'then' ELSE 'else' END),
+        n -> named_struct('id', n.id)) END"""
+_OWNER = "_values[g.owner]"
+_VERDICTS = f"""aggregate({_GROUPS}, _found, (acc, g) -> concat(acc, CASE
+    WHEN g.keyword = 'if' THEN flatten(transform({_CHOSEN}, c -> transform(
+        filter(acc, w -> w.scope = c.id),
+        w -> named_struct('scope', {_OWNER}.scope, 'path', w.path, 'check', w.check, 'detail', w.detail))))
+    WHEN (g.keyword = 'anyOf' AND {_PASSING} = 0) OR (g.keyword = 'oneOf' AND {_PASSING} != 1)
+        OR (g.keyword = 'not' AND {_PASSING} = 1)
+        OR (g.keyword = 'contains' AND ({_PASSING} < rules_[{_OWNER}.rule].fewest
+            OR {_PASSING} > rules_[{_OWNER}.rule].most))
+        THEN array(named_struct('scope', {_OWNER}.scope, 'path', {_OWNER}.path, 'check', g.keyword,
+            'detail', cast({_PASSING} AS string)))
+    ELSE cast(array() AS {_SCOPED}) END))"""
+
 
 def with_violations(
-    df: DataFrame, record: str, levels: int, rules: str = "rules", out: str = "violations"
+    df: DataFrame, record: str, levels: int | None = None, rules: str = "rules", out: str = "violations"
 ) -> DataFrame:
-    """Add every violation of a parsed record against the rules in its row."""
-    df = jsontree.with_record_nodes(df, record, rules, levels, "_values")
+    """Add every violation of a parsed record against the rules in its row.
+
+    ``levels`` is not needed any more: every record is followed to its own depth.
+    Of a broken ``anyOf``, ``oneOf``, ``not`` or ``contains`` the detail is the number of
+    branches (or items) that hold.
+    """
+    df = jsontree.with_record_nodes(df, record, rules, "_values")
     ruled = f"""filter(
         transform(_values, n -> named_struct('n', n, 'r', try_element_at({rules}, n.rule))),
         x -> x.r IS NOT NULL)"""
-    found = f"flatten(transform({ruled}, x -> {_JUDGED}))"
-    return df.withColumn(out, F.expr(found).cast(VIOLATIONS)).drop("_values")
+    df = df.withColumn("_found", F.expr(f"flatten(transform({ruled}, x -> {_JUDGED}))").cast(_SCOPED))
+    df = df.withColumn("_branches", F.expr(_BRANCHES))
+    verdicts = _VERDICTS.replace("rules_", rules)
+    whole = f"CASE WHEN size(_branches) = 0 THEN _found ELSE filter({verdicts}, w -> w.scope = 0) END"
+    surfaced = f"transform({whole}, w -> named_struct('path', w.path, 'check', w.check, 'detail', w.detail))"
+    return df.withColumn(out, F.expr(surfaced).cast(VIOLATIONS)).drop("_values", "_found", "_branches")
 
 
 def unchecked_keywords(schemas: DataFrame, levels: int) -> DataFrame:
     """Add ``unchecked``: the sorted keywords of a definition that records are not
-    held against (such as ``pattern``, ``$ref`` or the combinators)."""
+    held against (such as ``unevaluatedProperties`` or ``dependentSchemas``)."""
     known = ", ".join(f"'{name}'" for name in (*CHECKED, *DESCRIPTIVE))
     df = jsontree.with_definition_nodes(
         schemas, "try_parse_json(schema_definition)", levels, "_nodes", others=True

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom import model
-from recordloom.functions import jsontree, text
+from recordloom.functions import jsontree, rules, text
 from recordloom.functions.joins import lookup_join
 from recordloom.functions.ranking import number_rows
 from recordloom.functions.rows import first_rows, one_row_each
 
 KEY = ("schema_name", "schema_version")
+MOST_NESTED = 500
 TagRules = dict[str, str]
 
 
@@ -34,11 +35,13 @@ def length_problem(column: str, bounds: tuple[int, int]) -> Column:
 
 
 def _member_is(name: str, *kinds: str) -> str:
-    member = f"try_variant_get(n.v, '$.{name}', 'variant')"
+    member = f"try_variant_get(n.v, '${name if name[0] == '[' else '.' + name}', 'variant')"
     wanted = ", ".join(f"'{k}'" for k in kinds)
     return f"({member} IS NULL OR {jsontree.kind(member)} IN ({wanted}))"
 
 
+_PATTERN = "try_variant_get(n.v, '$.pattern', 'string')"
+_BY_PATTERN = jsontree.members("n.v", "$.patternProperties")
 _TYPE_NAMES = "array(" + ", ".join(f"'{t}'" for t in model.JSON_TYPES) + ")"
 _TYPES = jsontree.types("n.v")
 _REQUIRED = jsontree.elements("n.v", "$.required")
@@ -65,6 +68,43 @@ _META_RULES = {
     "title must be a string": f"NOT {_member_is('title', 'string')}",
     "description must be a string": f"NOT {_member_is('description', 'string')}",
     "format must be a string": f"NOT {_member_is('format', 'string')}",
+    "$ref must be a string": f"NOT {_member_is('[\"$ref\"]', 'string')}",
+    **{
+        f"{name} must be a list of schemas": (
+            f"NOT {_member_is(name, 'array')} OR size({jsontree.elements('n.v', f'$.{name}')}) = 0"
+        )
+        for name in ("allOf", "anyOf", "oneOf", "prefixItems")
+    },
+    **{
+        f"{name} must be a schema": f"NOT {_member_is(name, 'object', 'boolean')}"
+        for name in ("not", "if", "then", "else", "contains", "propertyNames")
+    },
+    **{
+        f"{name} must be a number": f"NOT {_member_is(name, 'integer', 'number')}"
+        for name in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf")
+    },
+    **{
+        f"{name} must be a count": (
+            f"NOT {_member_is(name, 'integer')} OR coalesce(try_variant_get(n.v, '$.{name}', 'bigint') < 0, false)"
+        )
+        for name in ("minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties",
+                     "minContains", "maxContains")
+    },
+    "multipleOf must be above zero": (
+        "coalesce(try_variant_get(n.v, '$.multipleOf', 'double') <= 0, false)"
+    ),
+    "uniqueItems must be true or false": f"NOT {_member_is('uniqueItems', 'boolean')}",
+    "patternProperties must be an object": f"NOT {_member_is('patternProperties', 'object')}",
+    "pattern must be a string": f"NOT {_member_is('pattern', 'string')}",
+    "a pattern is not supported": (
+        f"NOT coalesce({rules.plain_pattern(_PATTERN)}, true) OR exists("
+        f"coalesce(map_keys({_BY_PATTERN}), cast(array() AS array<string>)), "
+        f"p -> NOT {rules.plain_pattern('p')})"
+    ),
+    **{
+        f"{name} is not supported": f"try_variant_get(n.v, '$.{name}', 'variant') IS NOT NULL"
+        for name in rules.UNSUPPORTED
+    },
 }
 _NODE_PROBLEMS = (
     "array_compact(array("
@@ -77,16 +117,22 @@ _NODE_PROBLEMS = (
 
 
 def check_definitions(schemas: DataFrame, levels: int | None = None) -> DataFrame:
-    """Add ``problems``, the broken meta-schema rules of each definition."""
-    if levels is None:
-        levels = jsontree.measured_levels(schemas)
-    df = schemas.withColumn("_v", F.try_parse_json("schema_definition"))
+    """Add ``problems``, the broken meta-schema rules of each definition.
+
+    Every definition is followed to its own depth. Keywords and patterns records could
+    not be held against are problems, too. One nested deeper than MOST_NESTED brackets
+    is refused without being read.
+    """
+    deep = F.expr(jsontree.nesting("schema_definition")) > MOST_NESTED
+    df = schemas.withColumn("_deep", F.coalesce(deep, F.lit(False)))
+    df = df.withColumn("_v", F.when(~F.col("_deep"), F.try_parse_json("schema_definition")))
     df = jsontree.with_definition_nodes(df, "_v", levels, "_nodes", others=True)
     problems = f"""CASE
+        WHEN _deep THEN array('nested deeper than {MOST_NESTED} brackets')
         WHEN _v IS NULL THEN array(': definition is not JSON')
         WHEN {jsontree.kind("_v")} != 'object' THEN array(': definition must be an object')
         ELSE flatten(transform(_nodes, n -> {_NODE_PROBLEMS})) END"""
-    return df.withColumn("problems", F.expr(problems)).drop("_v", "_nodes")
+    return df.withColumn("problems", F.expr(problems)).drop("_deep", "_v", "_nodes")
 
 
 def count_tokens(

@@ -123,7 +123,7 @@ _BOUNDED = (
     '"kind":{"type":"string","minLength":5,"maxLength":6},"tags":{"type":"array","minItems":2,'
     '"maxItems":3,"uniqueItems":true},"unit":{"const":"eur"},"blocked":false,"open":true},'
     '"additionalProperties":{"type":"string","maxLength":3},"pattern":"^x",'
-    '"allOf":[{"type":"object"}],"required":["value"]}'
+    '"allOf":[{"type":"object"}],"dependentSchemas":{},"required":["value"]}'
 )
 
 VIEWS["bounded_schemas"] = f"""
@@ -144,6 +144,40 @@ SELECT event_id, concat('event_', event_type) AS schema_name, '0123456789' AS sc
 FROM events
 """
 
+# Combinators, a schema that refers to itself, patterns and positions.
+_COMBINED = (
+    '{"type":"object","$defs":{"node":{"type":"object","required":["value"],"properties":'
+    '{"value":{"type":"integer","maximum":80},"child":{"$ref":"#/$defs/node"}}}},'
+    '"properties":{"kind":{"oneOf":[{"pattern":"^(click|view)$"},{"minLength":5}]},'
+    '"value":{"anyOf":[{"maximum":20},{"minimum":60},{"multipleOf":10}]},'
+    '"child":{"$ref":"#/$defs/node"},"tags":{"prefixItems":[{"const":1},{"enum":[1,2]}],'
+    '"items":false,"contains":{"const":1},"maxContains":1}},'
+    '"patternProperties":{"^x[0-9]$":{"maximum":2}},"additionalProperties":false,'
+    '"if":{"properties":{"kind":{"const":"error"}}},'
+    '"then":{"properties":{"value":{"not":{"multipleOf":7}}}},'
+    '"else":{"propertyNames":{"pattern":"^[a-z0-9]+$"}}}'
+)
+
+VIEWS["combined_schemas"] = f"""
+SELECT DISTINCT concat('event_', event_type) AS schema_name, '0123456789' AS schema_version,
+  '{_COMBINED}' AS schema_definition
+FROM events
+"""
+
+VIEWS["combined_records"] = """
+SELECT event_id, concat('event_', event_type) AS schema_name, '0123456789' AS schema_version,
+  event_type AS kind, user_id % 100 AS score,
+  concat('{"value":', user_id % 100, ',"kind":"', event_type, '","x1":', event_id % 4, ',"tags":[',
+    CASE event_id % 5 WHEN 0 THEN '1' WHEN 1 THEN '1,2' WHEN 2 THEN '1,1' WHEN 3 THEN '1,2,3'
+      ELSE '1,2,3,4' END, ']',
+    CASE WHEN event_id % 9 = 0 THEN ',"Extra":null' ELSE '' END,
+    CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat(',"child":{"value":', user_id % 100, '}')
+      WHEN 2 THEN concat(',"child":{"value":', user_id % 100, ',"child":{"value":', user_id % 100, '}}')
+      ELSE concat(',"child":{"value":', user_id % 100, ',"child":{"value":', user_id % 100,
+        ',"child":{"value":"s"}}}') END, '}') AS content
+FROM events
+"""
+
 # Model responses around the answers, with token usage.
 VIEWS["responses"] = """
 SELECT doc_id, request_id, schema_name,
@@ -307,6 +341,8 @@ NEEDS = {
     "responses": ["documents", "answers"],
     "bounded_schemas": ["events"],
     "bounded_records": ["events"],
+    "combined_schemas": ["events"],
+    "combined_records": ["events"],
     "registrations": ["part"],
     "schema_log": ["part", "registrations"],
     "schema_keys": ["part", "registrations"],

@@ -497,8 +497,34 @@ ORACLE: dict[str, str] = {
           WHERE length(json_extract_string(content, '$.kind')) > 6"""),
     "e7_boolean_schema": _with("bounded_records", "", """SELECT event_id, '/blocked' AS path,
         'never' AS "check" FROM bounded_records WHERE event_id % 7 = 0"""),
+    "e7_combinators": _with("combined_records", "", """
+        SELECT event_id, '/value' AS path, 'anyOf' AS "check" FROM combined_records
+          WHERE score > 20 AND score < 60 AND score % 10 <> 0
+        UNION ALL SELECT event_id, '/kind', 'oneOf' FROM combined_records WHERE kind = 'click'
+        UNION ALL SELECT event_id, '/value', 'not' FROM combined_records
+          WHERE kind = 'error' AND score % 7 = 0"""),
+    "e7_ref": _with("combined_records", "", """
+        SELECT event_id, '/child/value' AS path, 'maximum' AS "check" FROM combined_records
+          WHERE event_id % 4 >= 1 AND score > 80
+        UNION ALL SELECT event_id, '/child/child/value', 'maximum' FROM combined_records
+          WHERE event_id % 4 >= 2 AND score > 80
+        UNION ALL SELECT event_id, '/child/child/child/value', 'type' FROM combined_records
+          WHERE event_id % 4 = 3"""),
+    "e7_patterns": _with("combined_records", "", """
+        SELECT event_id, '' AS path, 'extra' AS "check" FROM combined_records
+          WHERE event_id % 9 = 0
+        UNION ALL SELECT event_id, '/Extra', 'pattern' FROM combined_records
+          WHERE event_id % 9 = 0 AND kind <> 'error'
+        UNION ALL SELECT event_id, '/x1', 'maximum' FROM combined_records
+          WHERE event_id % 4 = 3"""),
+    "e7_positions": _with("combined_records", "", """
+        SELECT event_id, '/tags' AS path, 'contains' AS "check" FROM combined_records
+          WHERE event_id % 5 = 2
+        UNION ALL SELECT event_id, '/tags/2', 'never' FROM combined_records WHERE event_id % 5 >= 3
+        UNION ALL SELECT event_id, '/tags/3', 'never' FROM combined_records
+          WHERE event_id % 5 = 4"""),
     "s2_unchecked": _with("bounded_schemas answer_schemas", "", """SELECT schema_name,
-        schema_version, 'allOf,pattern' AS unchecked FROM bounded_schemas
+        schema_version, 'dependentSchemas' AS unchecked FROM bounded_schemas
         UNION ALL SELECT schema_name, schema_version, '' FROM answer_schemas"""),
     "j1_large_lookup": """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
         o_orderpriority FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""",

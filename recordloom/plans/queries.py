@@ -677,15 +677,14 @@ def e13_tool_args(spark, sf_dir):
     return rows.select("request_id", "tool_name", F.to_json(record).alias("record"))
 
 
-def _bounded(spark, sf_dir, *checks):
-    schemas = view(spark, sf_dir, "bounded_schemas")
+def _bounded(spark, sf_dir, *checks, of="bounded"):
+    schemas = view(spark, sf_dir, f"{of}_schemas")
     levels = measured_levels(schemas)
     compiled = extraction.compile_schemas(schemas, levels, with_templates=False)
-    rows = extraction.attach_schemas(
-        view(spark, sf_dir, "bounded_records").withColumn("request_id", F.col("event_id")), compiled
-    )
+    records = documents.spread(view(spark, sf_dir, f"{of}_records"), "event_id")
+    rows = extraction.attach_schemas(records.withColumn("request_id", F.col("event_id")), compiled)
     rows = rows.withColumn("_record", text.parse_object(F.col("content")))
-    found = rules.with_violations(rows, "_record", levels)
+    found = rules.with_violations(rows, "_record")
     found = one_row_each(found, "violations", "x", "event_id")
     return found.filter(F.col("x.check").isin(*checks)).select("event_id", "x.path", "x.check")
 
@@ -708,6 +707,30 @@ def e7_boolean_schema(spark, sf_dir):
     return _bounded(spark, sf_dir, "never")
 
 
+@query
+def e7_combinators(spark, sf_dir):
+    return _bounded(spark, sf_dir, "anyOf", "oneOf", "not", of="combined")
+
+
+@query
+def e7_ref(spark, sf_dir):
+    """Members of a schema that refers to itself, as deep as the records go."""
+    rows = _bounded(spark, sf_dir, "maximum", "type", "required", of="combined")
+    return rows.filter(F.col("path").startswith("/child"))
+
+
+@query
+def e7_patterns(spark, sf_dir):
+    rows = _bounded(spark, sf_dir, "extra", "pattern", "maximum", of="combined")
+    return rows.filter(~F.col("path").startswith("/child"))
+
+
+@query
+def e7_positions(spark, sf_dir):
+    """Items by their place, and how many of them fit a schema."""
+    return _bounded(spark, sf_dir, "never", "contains", "const", "enum", of="combined")
+
+
 @query
 def s2_unchecked(spark, sf_dir):
     """Keywords of each definition that records are not held against."""
