@@ -187,6 +187,13 @@ CURRENT = """current AS (
 listed AS (SELECT * FROM current WHERE schema_status <> 'DELETED')"""
 
 _STRING = r'"[^"\\]*(?:\\.[^"\\]*)*"'
+def _tokens(definition: str) -> str:
+    """The estimate, written out for one expression."""
+    compact = f"regexp_replace({definition}, '({_STRING})|\\s+', '\\1', 'g')"
+    return f"""(len(regexp_extract_all({compact}, '{text.TOKEN_PIECE}'))
+      + length(regexp_replace(regexp_replace({compact}, '{_STRING}', '', 'g'), '[^,:]', '', 'g')))"""
+
+
 COUNTED = f"""counted AS (
   SELECT *, len(regexp_extract_all(compact, '{text.TOKEN_PIECE}'))
     + length(regexp_replace(regexp_replace(compact, '{_STRING}', '', 'g'), '[^,:]', '', 'g'))
@@ -361,9 +368,9 @@ ORACLE: dict[str, str] = {
     "s2_check_definition": _with("registrations", PROBLEMS, "SELECT * FROM problems"),
     "s3_token_limit": _with("registrations", COUNTED, """SELECT p_partkey, tokens,
         tokens > 2048 AS too_large, true AS is_estimate FROM counted"""),
-    "s4_get_schema": _with("schema_log schema_keys", CURRENT, """SELECT k.schema_name,
+    "s4_get_schema": _with("schema_log schema_keys", CURRENT, f"""SELECT k.schema_name,
         k.schema_version, md5(l.schema_definition) AS definition_digest,
-        CAST(l.number_of_tokens AS BIGINT) AS number_of_tokens,
+        CAST({_tokens('l.schema_definition')} AS BIGINT) AS number_of_tokens,
         CASE WHEN l.schema_name IS NULL THEN 'SchemaDoesNotExist' END AS error_name,
         CASE WHEN l.schema_name IS NULL THEN 'Schema does not exist.' END AS error_message
         FROM schema_keys k LEFT JOIN listed l USING (schema_name, schema_version)"""),
