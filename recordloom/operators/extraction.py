@@ -172,11 +172,12 @@ class Client(Protocol):
 class PartitionExtractor:
     """E3 custom: a model client opened once per partition.
 
-    Only request id, model and prompt travel to Python, in Arrow batches; up to
+    Only a row number, model and prompt travel to Python, in Arrow batches; up to
     ``in_flight`` calls of a task are under way at a time, so the client has to
     bear threads. A failing call becomes data of its own row and is not retried.
-    The responses are stored, so that no lost executor asks a model twice for what
-    is there, and come back by the request id, which is unique.
+    Requests are stored with a number of their own, by which the answers come back:
+    request ids may repeat or be missing. The responses are stored, so that no lost
+    executor asks a model twice for what is there.
     """
 
     def __init__(
@@ -220,18 +221,20 @@ class PartitionExtractor:
                     answers = list(calls.map(ask, names, prompts))
                     columns = zip(*answers, strict=True) if answers else ([], [], [])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("request_id"), *(pa.array(c, pa.string()) for c in columns)],
-                        ["request_id", "response", "call_error", "call_message"],
+                        [batch.column("_no"), *(pa.array(c, pa.string()) for c in columns)],
+                        ["_no", "response", "call_error", "call_message"],
                     )
 
-        asked = requests.select("request_id", "model", F.to_json("messages").alias("_prompt"))
+        numbered = requests.withColumn("_no", F.monotonically_increasing_id())
+        numbered = materialise(numbered, "asked")
+        asked = numbered.select("_no", "model", F.to_json("messages").alias("_prompt"))
         if self.partitions:
             asked = asked.repartition(self.partitions)
         responses = asked.mapInArrow(
-            run, "request_id string, response string, call_error string, call_message string"
+            run, "_no bigint, response string, call_error string, call_message string"
         )
-        answered = requests.join(materialise(responses, "responses"), "request_id", "left")
-        return prompting.unwrap(answered).drop("response", "tool_name", "tool_arguments")
+        answered = numbered.join(materialise(responses, "responses"), "_no", "left")
+        return prompting.unwrap(answered).drop("_no", "response", "tool_name", "tool_arguments")
 
 
 def judge(answers: DataFrame, levels: int) -> DataFrame:

@@ -120,6 +120,20 @@ def test_custom_extractor_retries_and_reports(spark):
     assert rows["r2"].usage.completion_tokens == 3
 
 
+def test_answers_come_back_to_repeated_and_missing_ids(spark):
+    ids = ["a", "a", "a", None, "b"]
+    df = prepared(spark, [f"attempt={1 + k % 2} {k}" for k in range(5)], NUMBER)
+    place = F.regexp_extract("request_id", "([0-9]+)", 1).cast("int")
+    named = F.element_at(F.array(*[F.lit(x) for x in ids]), place + 1)
+    df = df.withColumn("request_id", named)
+    compiled = extraction.compile_schemas(schemas(spark, NUMBER), 2)
+    judged = extraction.extract(df, extraction.PartitionExtractor(FakeClient, partitions=2), 2, compiled=compiled)
+    rows = judged.collect()
+    assert sorted(str(r.request_id) for r in rows) == sorted(map(str, ids))
+    assert all(r.result == '{"n":5}' for r in rows)
+    assert sorted(r.attempt for r in rows) == [1, 1, 1, 2, 2]
+
+
 def test_results_and_failures_share_one_table(spark):
     judged = extraction.extract(
         prepared(spark, ["attempt=1 ", "fail"], NUMBER), extraction.PartitionExtractor(FakeClient), 2

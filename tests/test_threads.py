@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from recordloom.operators import threads
@@ -71,3 +72,44 @@ def test_chunks_join_in_order(spark):
     row = threads.assemble_chunks(df).first()
     assert row.text == "".join(f"<{i}>" for i in range(12) if i != 3)
     assert row.pieces == 12
+
+
+def any_thread(rng, length, answers):
+    """Messages in any order of roles."""
+    roles = ["user", *["assistant"] * answers, "system"]
+    rows = [(2 * i, rng.choice(roles)) for i in range(length)]
+    return [(turn, role, rng.choice([f"m{turn}", " "]) if role == "user" else f"m{turn}") for turn, role in rows]
+
+
+@pytest.mark.parametrize("memory", [1, 2, 4, 7])
+def test_history_of_any_order_of_roles_matches_the_fold(spark, monkeypatch, memory):
+    rng = random.Random(memory)
+    conversations = {c: any_thread(rng, rng.choice([1, 6, 40]), 1 + c % 3) for c in range(20)}
+    conversations[50] = random_thread(rng, 30)
+    # One question, five answers, a question: the history outgrows the memory.
+    conversations[51] = [(0, "user", "q"), *((i, "assistant", f"a{i}") for i in range(1, 6)), (6, "user", "r")]
+    conversations[99] = any_thread(rng, 5_000, 1)
+    rows = [(c, *m) for c, messages in conversations.items() for m in messages]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = threads.histories(df, memory).collect()
+    expected = {
+        (c, turn): history
+        for c, messages in conversations.items()
+        for turn, history in fold(messages, memory)[0].items()
+    }
+    assert {(r.conv_id, r.turn): [(m.role, m.content) for m in r.history] for r in found} == expected
+    assert len(found) == len(expected)
+
+
+def test_block_functions_are_walks():
+    rng = np.random.default_rng(2)
+    for size in (1, 5, 40):
+        for memory in (1, 4, 9):
+            users = rng.random(size) < rng.random()
+            starts, added, above = threads.block_function(users, memory)
+            before = np.arange(memory + 3 * size)
+            after = threads.walk(users, memory, before)
+            for length, want in zip(before.tolist(), after.tolist(), strict=True):
+                beyond = length >= memory + size
+                at = np.searchsorted(starts, length, side="right") - 1
+                assert length + (above if beyond else added[at]) == want
