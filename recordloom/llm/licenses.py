@@ -28,7 +28,7 @@ from recordloom.session import materialise
 SHINGLE = 5  # words; all words of a shorter template
 CONTAINED = 0.75
 MISS = 1e-6
-LENGTHS = (8, 32, 128, 512, 2048)  # most words of a template of each class
+SHORTEST = 8  # most words of a template of the first class; each next class has four times as many
 
 # Notices by which licenses are commonly declared.
 TEMPLATES = (
@@ -86,6 +86,14 @@ def _plain_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def length_class(words: int) -> int:
+    """The most words of a template of the class that ``words`` words belong to."""
+    most = SHORTEST
+    while most < words:
+        most *= 4
+    return most
+
+
 def bands_needed(sizes: Sequence[int], window: int, width: int) -> int:
     """Bands for which every template of so many shingles, contained in a full
     window of other shingles, is retrieved but for a chance of MISS."""
@@ -120,7 +128,7 @@ def scan(
         if not parts:
             continue
         width = min(SHINGLE, len(parts))
-        key = (next(n for n in LENGTHS if n >= len(parts)), width)
+        key = (length_class(len(parts)), width)
         every = {tuple(parts[at : at + width]) for at in range(len(parts) - width + 1)}
         classes[key].append((name, body))
         sizes[key].append(len(every))

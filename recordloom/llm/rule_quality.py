@@ -220,7 +220,8 @@ def fit(
         labels.select(column(id_name).alias("_id"), column(label).cast("int").alias("_label"))
         .filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
         .filter(fold("_id", FOLDS) != HELD_OUT)
-        .dropDuplicates(["_id"])
+        .groupBy("_id")
+        .agg(F.max("_label").alias("_label"))  # the better of labels that contradict
     )
     share = int(min(1.0, most_texts / max(1, marked.count())) * 1_000_000)
     chosen = marked.filter(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < share)

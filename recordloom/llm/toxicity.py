@@ -257,7 +257,8 @@ def fit(
         labels.select(column(id_name).alias("_id"), column(label).cast("int").alias("toxic"))
         .filter(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull())
         .filter(fold("_id", FOLDS) != HELD_OUT)
-        .dropDuplicates(["_id"])
+        .groupBy("_id")
+        .agg(F.max("toxic").alias("toxic"))  # once toxic, whatever other rows say
     )
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     share = F.lit(0)

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.llm import queries, rule_quality, toxicity
 
@@ -156,3 +157,9 @@ def test_scoring_quality_needs_no_python(corpus, labels):
     ensemble = rule_quality.fit(corpus, labels)
     plan = rule_quality.score(corpus, ensemble)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_labels_that_contradict_count_as_the_larger(corpus, labels):
+    doubled = labels.unionByName(labels.withColumns({"quality": F.lit(0), "toxic": F.lit(0)}))
+    one, other = rule_quality.fit(corpus, labels), rule_quality.fit(corpus, doubled)
+    assert one.rules == other.rules

@@ -149,3 +149,12 @@ def test_licenses_anywhere_in_a_text(spark, edge_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
     assert licenses.scan(edge_docs).count() == 0
     assert rows_of(licenses.scan(docs, templates=[])) == []
+
+
+def test_templates_of_any_length_and_repeated_or_missing_ids(spark):
+    body = " ".join(f"clause{i} of{i % 7}" for i in range(2_600))  # 5 200 words
+    rows = [(1, "before " * 500 + body + " after" * 500), (1, body), (None, body), (2, body[:9_000])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = licenses.scan(docs, templates=[("long", body)]).collect()
+    assert {r.doc_id for r in found} == {1, None} and all(r.containment == 1.0 for r in found)
+    assert [licenses.length_class(n) for n in (1, 8, 9, 2_048, 2_049)] == [8, 8, 32, 2_048, 8_192]
