@@ -24,9 +24,10 @@ _DEFINITION_NODES = (
 #: A value of a record that a rule applies to. ``scope`` is the number of the node its
 #: verdict belongs to: the root, or the branch of a combinator it lies in; ``owner``
 #: and ``branch`` name the node and keyword a branch hangs on. ``via`` has the rules met
-#: at the same value, so that references in a circle end.
+#: at the same value, so that references in a circle end, and ``over`` the numbers of the
+#: nodes they were met at.
 _RECORD_NODES = """array<struct<id:int,path:string,rule:string,kind:string,v:variant,
-    scope:int,owner:int,branch:string,via:array<string>>>"""
+    scope:int,owner:int,branch:string,via:array<string>,over:array<int>>>"""
 
 
 def kind(v: str) -> str:
@@ -131,7 +132,8 @@ _DECLARED = f"""concat(
             'v', i)), cast(array() AS {_DEFINITION_NODES})))"""
 
 #: Keywords whose value is a schema, a list of schemas, or an object of schemas.
-_ONE = ("not", "if", "then", "else", "contains", "propertyNames")
+_ONE = ("not", "if", "then", "else", "contains", "propertyNames", "unevaluatedItems",
+        "unevaluatedProperties")
 _MANY = ("allOf", "anyOf", "oneOf", "prefixItems")
 _NAMED = ("patternProperties", "$defs", "definitions", "dependentSchemas")
 _NO_NODES = f"cast(array() AS {_DEFINITION_NODES})"
@@ -174,11 +176,12 @@ _WITH_OTHERS = f"""concat({_DECLARED},
 
 
 def _child(path: str, rule: str, v: str, scope: str = "n.scope", owner: str = "n.owner",
-           branch: str = "n.branch", via: str | None = None) -> str:
+           branch: str = "n.branch", via: str | None = None, over: str | None = None) -> str:
     """A node below ``n``; without a scope it begins one of its own."""
     return f"""named_struct('id', cast(NULL AS int), 'path', {path}, 'rule', {rule}, 'kind', {kind(v)},
         'v', {v}, 'scope', {scope}, 'owner', {owner}, 'branch', {branch},
-        'via', {via or 'cast(array() AS array<string>)'})"""
+        'via', {via or 'cast(array() AS array<string>)'},
+        'over', {over or 'cast(array() AS array<int>)'})"""
 
 
 _NO_VALUES = f"cast(array() AS {_RECORD_NODES})"
@@ -214,12 +217,15 @@ def _grown(rules: str) -> str:
     placed = f"CASE WHEN i < r.prefix THEN concat(n.rule, '/~prefixItems/', i) ELSE {items} END"
     contains = "concat(n.rule, '/~contains')"
     names = "concat(n.rule, '/~propertyNames')"
-    same = f"""transform(filter(r.same, b -> NOT array_contains(n.via, b.rule)), b -> {_child(
+    left_members = "concat(n.rule, '/~unevaluatedProperties')"
+    left_items = "concat(n.rule, '/~unevaluatedItems')"
+    same = f"""transform(filter(r.same, b -> NOT array_contains(n.via, b.rule)
+        AND (b.needs IS NULL OR map_contains_key({members('n.v')}, b.needs))), b -> {_child(
         'n.path', 'b.rule', 'n.v',
         "CASE WHEN b.branch = 'allOf' THEN n.scope END",
         "CASE WHEN b.branch = 'allOf' THEN n.owner ELSE n.id END",
         "CASE WHEN b.branch = 'allOf' THEN n.branch ELSE b.branch END",
-        'concat(n.via, array(n.rule))')})"""
+        'concat(n.via, array(n.rule))', 'concat(n.over, array(n.id))')})"""
     return f"""flatten(transform(array({rules}[n.rule]), r -> concat(
     CASE WHEN n.kind = 'object' THEN filter(
         flatten(transform(map_entries({members('n.v')}), e -> CASE WHEN size(r.patterns) = 0
@@ -242,6 +248,13 @@ def _grown(rules: str) -> str:
         THEN transform(map_keys({members('n.v')}), k -> {_child(
             f"concat(n.path, '/', {step('k')})", names, 'cast(k AS variant)')})
     ELSE {_NO_VALUES} END,
+    CASE WHEN n.kind = 'object' AND map_contains_key({rules}, {left_members})
+        THEN transform(map_entries({members('n.v')}), e -> {_child(
+            member, left_members, 'e.value', 'cast(NULL AS int)', 'n.id', "'unevaluatedProperties'")})
+    WHEN n.kind = 'array' AND map_contains_key({rules}, {left_items})
+        THEN transform({elements('n.v')}, (x, i) -> {_child(
+            "concat(n.path, '/', i)", left_items, 'x', 'cast(NULL AS int)', 'n.id', "'unevaluatedItems'")})
+    ELSE {_NO_VALUES} END,
     CASE WHEN size(r.same) > 0 THEN {same} ELSE {_NO_VALUES} END)))"""
 
 
@@ -252,7 +265,7 @@ def _loop(root: str, grow: str, rounds: str, numbered: bool = False) -> str:
         # A node's number is its place among all; a branch is a scope of its own.
         grown = f"""transform({grown}, (c, i) -> named_struct('id', size(acc.every) + i, 'path', c.path,
             'rule', c.rule, 'kind', c.kind, 'v', c.v, 'scope', coalesce(c.scope, size(acc.every) + i),
-            'owner', c.owner, 'branch', c.branch, 'via', c.via))"""
+            'owner', c.owner, 'branch', c.branch, 'via', c.via, 'over', c.over))"""
     return f"""aggregate(sequence(1, greatest(1, {rounds})), named_struct('now', {root}, 'every', {root}),
         (acc, round) -> CASE WHEN size(acc.now) = 0 THEN acc ELSE get(transform(array({grown}),
             new -> named_struct('now', new, 'every', concat(acc.every, new))), 0) END).every"""
@@ -277,7 +290,8 @@ def with_record_nodes(df: DataFrame, v: str, rules: str, out: str) -> DataFrame:
     root first. A record is followed as deep as it goes, through references that
     come back to their own schema, too."""
     root = f"""cast(array(named_struct('id', 0, 'path', '', 'rule', '', 'kind', {kind(v)},
-        'v', {v}, 'scope', 0, 'owner', 0, 'branch', '', 'via', cast(array() AS array<string>)))
+        'v', {v}, 'scope', 0, 'owner', 0, 'branch', '', 'via', cast(array() AS array<string>),
+        'over', cast(array() AS array<int>)))
         AS {_RECORD_NODES})"""
     # A value is met by its own rule and, at most once each, by those combined in it.
     rounds = f"""least(100000, ({nesting(f'to_json({v})')} + 1) * (size({rules}) + 1))"""

@@ -64,13 +64,13 @@ def _broken(template: str, bound: str) -> str:
 
 #: Keywords that records are held against; ``format``, ``title`` and the like only
 #: describe. ``unchecked_keywords`` lists what else a definition uses.
-COMBINED = ("allOf", "anyOf", "oneOf", "not", "if", "then", "else", "$ref")
+COMBINED = ("allOf", "anyOf", "oneOf", "not", "if", "then", "else", "$ref", "dependentSchemas")
 CHECKED = ("type", "enum", "const", "properties", "required", "additionalProperties", "items",
            "uniqueItems", "pattern", "patternProperties", "propertyNames", "prefixItems",
-           "contains", "minContains", "maxContains", "dependentRequired", *COMBINED, *_BOUNDS)
+           "contains", "minContains", "maxContains", "dependentRequired", "unevaluatedProperties",
+           "unevaluatedItems", *COMBINED, *_BOUNDS)
 #: Keywords that would change verdicts; definitions with one are refused.
-UNSUPPORTED = ("unevaluatedProperties", "unevaluatedItems", "dependentSchemas", "dependencies",
-               "additionalItems")
+UNSUPPORTED = ("dependencies", "additionalItems")
 DESCRIPTIVE = ("$id", "$schema", "$comment", "$defs", "definitions", "$anchor", "title",
                "description", "format", "default", "examples", "deprecated", "readOnly", "writeOnly")
 
@@ -113,19 +113,24 @@ def _branches(keyword: str) -> str:
     """The schemas of a list keyword, each a branch."""
     found = jsontree.elements("n.v", f"$.{keyword}")
     return f"""coalesce(transform({found}, (x, i) -> named_struct('branch', '{keyword}',
-        'rule', concat(n.path, '/~{keyword}/', i))), {_NO_BRANCHES})"""
+        'rule', concat(n.path, '/~{keyword}/', i), 'needs', {_ALWAYS})), {_NO_BRANCHES})"""
 
 
-_NO_BRANCHES = "cast(array() AS array<struct<branch:string,rule:string>>)"
+# ``needs`` names the member without which a branch does not apply.
+_ALWAYS = "cast(NULL AS string)"
+_NO_BRANCHES = "cast(array() AS array<struct<branch:string,rule:string,needs:string>>)"
 _SINGLE = ", ".join(f"'{k}'" for k in ("not", "if", "then", "else"))
 _REFERENCE = "try_variant_get(n.v, '$[\"$ref\"]', 'string')"
 # A definition that names none of the keywords has no branches to look for.
 _SAME = f"""CASE WHEN NOT _combined THEN {_NO_BRANCHES} ELSE concat(
     {", ".join(_branches(k) for k in ("allOf", "anyOf", "oneOf"))},
     transform(filter(array({_SINGLE}), k -> map_contains_key({jsontree.members('n.v')}, k)),
-        k -> named_struct('branch', k, 'rule', concat(n.path, '/~', k))),
+        k -> named_struct('branch', k, 'rule', concat(n.path, '/~', k), 'needs', {_ALWAYS})),
+    coalesce(transform(map_keys({jsontree.members('n.v', '$.dependentSchemas')}), k -> named_struct(
+        'branch', 'allOf', 'rule', concat(n.path, '/~dependentSchemas/', {jsontree.step('k')}),
+        'needs', k)), {_NO_BRANCHES}),
     transform(filter(array(try_element_at(_places, {_REFERENCE})), p -> p IS NOT NULL),
-        p -> named_struct('branch', 'allOf', 'rule', p))) END"""
+        p -> named_struct('branch', 'allOf', 'rule', p, 'needs', {_ALWAYS}))) END"""
 
 _RULES = f"""map_from_entries(transform(_nodes, n -> struct(n.path, named_struct(
     'types', {jsontree.types('n.v')},
@@ -142,6 +147,8 @@ _RULES = f"""map_from_entries(transform(_nodes, n -> struct(n.path, named_struct
     'patterns', transform({_PATTERN_NODES}, e -> named_struct('expression', {portable('e.key')},
         'rule', concat(n.path, '/~patternProperties/', {jsontree.step('e.key')}))),
     'prefix', coalesce(size({jsontree.elements('n.v', '$.prefixItems')}), 0),
+    'all_members', try_variant_get(n.v, '$.additionalProperties', 'variant') IS NOT NULL,
+    'all_items', try_variant_get(n.v, '$.items', 'variant') IS NOT NULL,
     'same', {_SAME},
     'further', _further,
     'lost', {_REFERENCE} IS NOT NULL AND try_element_at(_places, {_REFERENCE}) IS NULL,
@@ -155,7 +162,8 @@ _RULES = f"""map_from_entries(transform(_nodes, n -> struct(n.path, named_struct
 _NAMES = " OR ".join(f"contains(schema_definition, '\"{k}\"')" for k in COMBINED if k not in ("then", "else"))
 _FURTHER = " OR ".join(
     f"contains(schema_definition, '\"{k}\"')"
-    for k in ("patternProperties", "propertyNames", "prefixItems", "contains")
+    for k in ("patternProperties", "propertyNames", "prefixItems", "contains",
+              "unevaluatedProperties", "unevaluatedItems")
 )
 # The internal places of sub-schemas by what a reference calls them.
 _PLACES = """CASE WHEN _combined THEN map_from_entries(array_distinct(concat(
@@ -256,16 +264,57 @@ def _some(keyword: str) -> str:
     return f"filter(_branches, n -> n.owner = g.owner AND n.branch = {keyword})"
 
 
+_NO_IDS = "cast(array() AS array<struct<id:int>>)"
 _PASSING = f"(size({_some('g.keyword')}) - size({_failing('g.keyword')}))"
-_CHOSEN = f"""CASE WHEN size({_some("'if'")}) = 0 THEN {_NO_BRANCHES.replace('branch:string,rule:string', 'id:int')}
+_CHOSEN = f"""CASE WHEN size({_some("'if'")}) = 0 THEN {_NO_IDS}
     ELSE transform(filter(_branches, n -> n.owner = g.owner AND n.branch =
         CASE WHEN size({_failing("'if'")}) = 0 THEN 'then' ELSE 'else' END),
         n -> named_struct('id', n.id)) END"""
 _OWNER = "_values[g.owner]"
+_NO_PATHS = "cast(array() AS array<string>)"
+
+
+def _holds(branch: str) -> str:
+    return f"NOT exists(acc, w -> w.scope = {branch}.id)"
+
+
+_IFS = "filter(_branches, s -> s.owner = b.owner AND s.branch = 'if')"
+# Whether what a branch evaluates counts for the node it hangs on: that of ``allOf`` and
+# references always does, since the node fails with them.
+_COUNTS = f"""CASE WHEN b.id != b.scope THEN true
+    WHEN b.branch IN ('anyOf', 'oneOf', 'if') THEN {_holds('b')}
+    WHEN b.branch = 'then' THEN exists({_IFS}, s -> {_holds('s')})
+    WHEN b.branch = 'else' THEN exists({_IFS}, s -> NOT {_holds('s')})
+    ELSE false END"""
+# The members and items that the schema of the group's node and those combined in it,
+# as far as they count, have said something about.
+_EVALUATED = f"""flatten(transform(
+    filter(_values, d -> d.id = g.owner OR (array_contains(d.over, g.owner)
+        AND forall(filter(concat(d.over, array(d.id)), i -> i > g.owner),
+            i -> exists(array(_values[i]), b -> {_COUNTS})))),
+    d -> flatten(transform(array(rules_[d.rule]), r -> CASE
+        WHEN d.kind = 'object' THEN transform(
+            filter(map_keys({jsontree.members('d.v')}), k -> r.all_members
+                OR array_contains(r.declared, k) OR exists(r.patterns, p -> k rlike p.expression)
+                OR (d.id != g.owner AND map_contains_key(rules_, concat(d.rule, '/~unevaluatedProperties')))),
+            k -> concat(d.path, '/', {jsontree.step('k')}))
+        WHEN d.kind = 'array' THEN concat(
+            filter(transform({jsontree.elements('d.v')}, (x, i) -> CASE WHEN i < r.prefix OR r.all_items
+                OR (d.id != g.owner AND map_contains_key(rules_, concat(d.rule, '/~unevaluatedItems')))
+                THEN concat(d.path, '/', i) END), p -> p IS NOT NULL),
+            transform(filter(_branches, s -> s.owner = d.id AND s.branch = 'contains' AND {_holds('s')}),
+                s -> s.path))
+        ELSE {_NO_PATHS} END))))"""
+_LAST_STEP = "replace(replace(substring_index(c.path, '/', -1), '~1', '/'), '~0', '~')"
+_LEFT = f"""get(transform(array({_EVALUATED}), seen -> transform(
+    filter({_failing('g.keyword')}, c -> NOT array_contains(seen, c.path)),
+    c -> named_struct('scope', {_OWNER}.scope, 'path', {_OWNER}.path, 'check', g.keyword,
+        'detail', {_LAST_STEP}))), 0)"""
 _VERDICTS = f"""aggregate({_GROUPS}, _found, (acc, g) -> concat(acc, CASE
     WHEN g.keyword = 'if' THEN flatten(transform({_CHOSEN}, c -> transform(
         filter(acc, w -> w.scope = c.id),
         w -> named_struct('scope', {_OWNER}.scope, 'path', w.path, 'check', w.check, 'detail', w.detail))))
+    WHEN startswith(g.keyword, 'unevaluated') THEN {_LEFT}
     WHEN (g.keyword = 'anyOf' AND {_PASSING} = 0) OR (g.keyword = 'oneOf' AND {_PASSING} != 1)
         OR (g.keyword = 'not' AND {_PASSING} = 1)
         OR (g.keyword = 'contains' AND ({_PASSING} < rules_[{_OWNER}.rule].fewest
@@ -282,7 +331,8 @@ def with_violations(
 
     ``levels`` is not needed any more: every record is followed to its own depth.
     Of a broken ``anyOf``, ``oneOf``, ``not`` or ``contains`` the detail is the number of
-    branches (or items) that hold.
+    branches (or items) that hold. Of ``unevaluatedProperties`` and ``unevaluatedItems`` it
+    is the member or place that no other schema of the value speaks of.
     """
     df = jsontree.with_record_nodes(df, record, rules, "_values")
     ruled = f"""filter(
@@ -298,7 +348,7 @@ def with_violations(
 
 def unchecked_keywords(schemas: DataFrame, levels: int) -> DataFrame:
     """Add ``unchecked``: the sorted keywords of a definition that records are not
-    held against (such as ``unevaluatedProperties`` or ``dependentSchemas``)."""
+    held against (such as ``dependencies`` or ``additionalItems``)."""
     known = ", ".join(f"'{name}'" for name in (*CHECKED, *DESCRIPTIVE))
     df = jsontree.with_definition_nodes(
         schemas, "try_parse_json(schema_definition)", levels, "_nodes", others=True

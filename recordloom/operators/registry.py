@@ -77,7 +77,8 @@ _META_RULES = {
     },
     **{
         f"{name} must be a schema": f"NOT {_member_is(name, 'object', 'boolean')}"
-        for name in ("not", "if", "then", "else", "contains", "propertyNames")
+        for name in ("not", "if", "then", "else", "contains", "propertyNames", "unevaluatedItems",
+                     "unevaluatedProperties")
     },
     **{
         f"{name} must be a number": f"NOT {_member_is(name, 'integer', 'number')}"
@@ -95,6 +96,7 @@ _META_RULES = {
     ),
     "uniqueItems must be true or false": f"NOT {_member_is('uniqueItems', 'boolean')}",
     "patternProperties must be an object": f"NOT {_member_is('patternProperties', 'object')}",
+    "dependentSchemas must be an object": f"NOT {_member_is('dependentSchemas', 'object')}",
     "pattern must be a string": f"NOT {_member_is('pattern', 'string')}",
     "a pattern is not supported": (
         f"NOT coalesce({rules.plain_pattern(_PATTERN)}, true) OR exists("

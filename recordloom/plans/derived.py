@@ -123,7 +123,7 @@ _BOUNDED = (
     '"kind":{"type":"string","minLength":5,"maxLength":6},"tags":{"type":"array","minItems":2,'
     '"maxItems":3,"uniqueItems":true},"unit":{"const":"eur"},"blocked":false,"open":true},'
     '"additionalProperties":{"type":"string","maxLength":3},"pattern":"^x",'
-    '"allOf":[{"type":"object"}],"dependentSchemas":{},"required":["value"]}'
+    '"allOf":[{"type":"object"}],"dependencies":{},"required":["value"]}'
 )
 
 VIEWS["bounded_schemas"] = f"""
@@ -178,6 +178,36 @@ SELECT event_id, concat('event_', event_type) AS schema_name, '0123456789' AS sc
 FROM events
 """
 
+# What schemas combined at one value leave over: members for a kind of event, those that
+# another member brings along, items beyond the named and the found ones.
+_EVALUATED = (
+    '{"type":"object","properties":{"kind":true,"tags":{"anyOf":[{"prefixItems":[{"const":1},'
+    '{"const":2}]},{"prefixItems":[{"const":1}]}],"contains":{"const":9},"minContains":0,'
+    '"unevaluatedItems":{"type":"string"}}},'
+    '"if":{"properties":{"kind":{"const":"click"}}},"then":{"properties":{"place":true}},'
+    '"else":{"$ref":"#/$defs/amount"},"dependentSchemas":{"ref/no":{"patternProperties":'
+    '{"^ref":true}}},"unevaluatedProperties":false,'
+    '"$defs":{"amount":{"properties":{"amount":{"type":"integer"}}}}}'
+)
+
+VIEWS["evaluated_schemas"] = f"""
+SELECT DISTINCT concat('event_', event_type) AS schema_name, '0123456789' AS schema_version,
+  '{_EVALUATED}' AS schema_definition
+FROM events
+"""
+
+VIEWS["evaluated_records"] = """
+SELECT event_id, concat('event_', event_type) AS schema_name, '0123456789' AS schema_version,
+  event_type AS kind,
+  concat('{"kind":"', event_type, '"',
+    CASE WHEN event_id % 2 = 0 THEN ',"place":"x"' ELSE '' END,
+    CASE WHEN event_id % 3 = 0 THEN concat(',"amount":', user_id) ELSE '' END,
+    CASE event_id % 5 WHEN 0 THEN ',"ref/no":1,"refund":2' WHEN 1 THEN ',"refund":2' ELSE '' END,
+    ',"tags":[', CASE event_id % 7 WHEN 0 THEN '1,2,9,3' WHEN 1 THEN '1,3' WHEN 2 THEN '1,"a","b"'
+      WHEN 3 THEN '1,2,9' WHEN 4 THEN '1,2,3,4' ELSE '' END, ']}') AS content
+FROM events
+"""
+
 # Model responses around the answers, with token usage.
 VIEWS["responses"] = """
 SELECT doc_id, request_id, schema_name,
@@ -347,6 +377,8 @@ NEEDS = {
     "bounded_records": ["events"],
     "combined_schemas": ["events"],
     "combined_records": ["events"],
+    "evaluated_schemas": ["events"],
+    "evaluated_records": ["events"],
     "registrations": ["part"],
     "schema_log": ["part", "registrations"],
     "schema_keys": ["part", "registrations"],

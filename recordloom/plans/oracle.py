@@ -530,8 +530,21 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT event_id, '/tags/2', 'never' FROM combined_records WHERE event_id % 5 >= 3
         UNION ALL SELECT event_id, '/tags/3', 'never' FROM combined_records
           WHERE event_id % 5 = 4"""),
+    "e7_evaluated": _with("evaluated_records", "", """
+        SELECT event_id, '' AS path, 'unevaluatedProperties' AS "check", 'place' AS detail
+          FROM evaluated_records WHERE event_id % 2 = 0 AND kind <> 'click'
+        UNION ALL SELECT event_id, '', 'unevaluatedProperties', 'amount' FROM evaluated_records
+          WHERE event_id % 3 = 0 AND kind = 'click'
+        UNION ALL SELECT event_id, '', 'unevaluatedProperties', 'refund' FROM evaluated_records
+          WHERE event_id % 5 = 1
+        UNION ALL SELECT event_id, '/tags', 'unevaluatedItems', '3' FROM evaluated_records
+          WHERE event_id % 7 IN (0, 4)
+        UNION ALL SELECT event_id, '/tags', 'unevaluatedItems', '1' FROM evaluated_records
+          WHERE event_id % 7 = 1
+        UNION ALL SELECT event_id, '/tags', 'unevaluatedItems', '2' FROM evaluated_records
+          WHERE event_id % 7 = 4"""),
     "s2_unchecked": _with("bounded_schemas answer_schemas", "", """SELECT schema_name,
-        schema_version, 'dependentSchemas' AS unchecked FROM bounded_schemas
+        schema_version, 'dependencies' AS unchecked FROM bounded_schemas
         UNION ALL SELECT schema_name, schema_version, '' FROM answer_schemas"""),
     "j1_large_lookup": """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
         o_orderpriority FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""",

@@ -695,7 +695,7 @@ def e13_tool_args(spark, sf_dir):
     return rows.select("request_id", "tool_name", F.to_json(record).alias("record"))
 
 
-def _bounded(spark, sf_dir, *checks, of="bounded"):
+def _bounded(spark, sf_dir, *checks, of="bounded", detail=False):
     schemas = view(spark, sf_dir, f"{of}_schemas")
     levels = measured_levels(schemas)
     compiled = extraction.compile_schemas(schemas, levels, with_templates=False)
@@ -704,7 +704,8 @@ def _bounded(spark, sf_dir, *checks, of="bounded"):
     rows = rows.withColumn("_record", text.parse_object(F.col("content")))
     found = rules.with_violations(rows, "_record")
     found = one_row_each(found, "violations", "x", "event_id")
-    return found.filter(F.col("x.check").isin(*checks)).select("event_id", "x.path", "x.check")
+    shown = ["event_id", "x.path", "x.check", *(["x.detail"] if detail else [])]
+    return found.filter(F.col("x.check").isin(*checks)).select(*shown)
 
 
 @query
@@ -749,6 +750,14 @@ def e7_positions(spark, sf_dir):
     return _bounded(spark, sf_dir, "never", "contains", "const", "enum", of="combined")
 
 
+@query
+def e7_evaluated(spark, sf_dir):
+    """Members and items that no schema combined at their value speaks of."""
+    return _bounded(
+        spark, sf_dir, "unevaluatedProperties", "unevaluatedItems", of="evaluated", detail=True
+    )
+
+
 @query
 def s2_unchecked(spark, sf_dir):
     """Keywords of each definition that records are not held against."""

@@ -103,9 +103,55 @@ def broken(root, schema, value, path=""):
     if "if" in schema:
         branch = "else" if at(schema["if"]) else "then"
         out |= at(schema.get(branch, True))
+    if isinstance(value, dict):
+        for k, sub in schema.get("dependentSchemas", {}).items():
+            out |= at(sub) if k in value else set()
+    for keyword, kind in (("unevaluatedProperties", dict), ("unevaluatedItems", list)):
+        if keyword in schema and isinstance(value, kind):
+            seen = evaluated(root, {k: v for k, v in schema.items() if k != keyword}, value)
+            rest = value.items() if kind is dict else enumerate(value)
+            if any(k not in seen and at(schema[keyword], item) for k, item in rest):
+                out.add((path, keyword))
     return out
 
 
+def evaluated(root, schema, value):
+    """Names or places that a schema and those combined in it speak of, a failing
+    ``allOf`` or reference included, since the value fails with it."""
+    if not isinstance(schema, dict) or not isinstance(value, dict | list):
+        return set()
+
+    def below(sub):
+        return evaluated(root, sub, value)
+
+    seen = set()
+    if isinstance(value, dict):
+        by = schema.get("patternProperties", {})
+        seen |= {k for k in value if k in schema.get("properties", {}) or any(re.search(p, k) for p in by)}
+        if "additionalProperties" in schema or "unevaluatedProperties" in schema:
+            seen |= set(value)
+        for k, sub in schema.get("dependentSchemas", {}).items():
+            seen |= below(sub) if k in value else set()
+    else:
+        seen |= set(range(min(len(schema.get("prefixItems", [])), len(value))))
+        if "items" in schema or "unevaluatedItems" in schema:
+            seen |= set(range(len(value)))
+        if "contains" in schema:
+            seen |= {i for i, item in enumerate(value) if not broken(root, schema["contains"], item)}
+    for sub in schema.get("allOf", []):
+        seen |= below(sub)
+    if "$ref" in schema:
+        seen |= below(resolved(root, schema["$ref"]))
+    for sub in [*schema.get("anyOf", []), *schema.get("oneOf", [])]:
+        seen |= set() if broken(root, sub, value) else below(sub)
+    if "if" in schema:
+        if broken(root, schema["if"], value):
+            seen |= below(schema.get("else", True))
+        else:
+            seen |= below(schema["if"]) | below(schema.get("then", True))
+    return seen
+
+
 KEYS = ["a", "b", "c/d", "x1", "x2"]
 REFS = ["#", "#/$defs/leaf", "#/$defs/tree", "#marked", "#/$defs/c~1d", "#/properties/a"]
 
@@ -174,6 +220,7 @@ def circular(root, schema, met=()):
     met = (*met, id(schema))
     below = [*schema.get("allOf", []), *schema.get("anyOf", []), *schema.get("oneOf", [])]
     below += [schema[k] for k in ("not", "if", "then", "else") if k in schema]
+    below += schema.get("dependentSchemas", {}).values()
     below += [resolved(root, schema["$ref"])] if "$ref" in schema else []
     return any(circular(root, s, met) for s in below)
 
@@ -214,6 +261,60 @@ def test_random_combinations_match_the_plain_checker(spark):
     assert sum(map(bool, expected.values())) > 100 and sum(not x for x in expected.values()) > 50
 
 
+def with_leftovers(rng, schema):
+    """Some of the objects of a schema get keywords for what nothing else speaks of."""
+    if isinstance(schema, list):
+        return [with_leftovers(rng, s) for s in schema]
+    if not isinstance(schema, dict):
+        return schema
+    out = {k: with_leftovers(rng, v) if k not in ("enum", "required", "const") else v for k, v in schema.items()}
+    named = {"anyOf", "oneOf", "allOf", "if", "prefixItems", "properties", "dependentRequired", "minProperties"}
+    if out.keys() & named and not isinstance(schema.get("properties"), list) and rng.random() < 0.5:
+        out["unevaluatedProperties"] = rng.choice([False, False, {"type": "integer"}])
+        if rng.random() < 0.5:
+            out["dependentSchemas"] = {rng.choice(KEYS): {"properties": {k: True for k in rng.sample(KEYS, 2)}}}
+    if out.keys() & named and rng.random() < 0.5:
+        out["unevaluatedItems"] = rng.choice([False, {"type": "string"}])
+    return out
+
+
+def test_random_leftovers_match_the_plain_checker(spark):
+    rng = random.Random(5)
+    rows, expected = [], {}
+    while len(rows) < 500:
+        a = [random_schema(rng, 2) for _ in range(3)]
+        lists = {"type": "array", "anyOf": [{"prefixItems": [a[0]]}, {"contains": a[1]}, {"items": a[2]}]}
+        root = {
+            "properties": {"a": random_schema(rng, 3), "x1": lists},
+            "allOf": [random_schema(rng, 2), {"patternProperties": {"^c": True}}],
+            "$defs": {
+                "leaf": random_schema(rng, 1), "tree": random_schema(rng, 2), "c/d": random_schema(rng, 1),
+                "other": {"$anchor": "marked", "type": ["integer", "string"]},
+            },
+        }
+        root = with_leftovers(rng, root)
+        root.setdefault("unevaluatedProperties", {"type": ["integer", "array"]})
+        if anything_circular(root, root):
+            continue
+        value = {k: random_value(rng, 3) for k in rng.sample(KEYS, 3)} | {"x1": random_value(rng, 2)}
+        expected[len(rows)] = broken(root, root, value)
+        rows.append((len(rows), json.dumps(root), json.dumps(value)))
+    for row in judged(spark, rows).collect():
+        assert {(v.path, v.check) for v in row.violations} == expected[row.id], rows[row.id]
+    for keyword in ("unevaluatedProperties", "unevaluatedItems"):
+        assert sum(any(c == keyword for _, c in found) for found in expected.values()) > 40
+
+
+def test_leftovers_are_named(spark):
+    schema = {"properties": {"a": True}, "dependentSchemas": {"a": {"properties": {"b/c": {"type": "integer"}}}},
+              "unevaluatedProperties": False}
+    cases = [('{"a":1,"b/c":1}', []), ('{"a":1,"b/c":"x"}', [("/b~1c", "type", "string")]),
+             ('{"b/c":1,"~d":2}', [("", "unevaluatedProperties", "b/c"), ("", "unevaluatedProperties", "~d")])]
+    rows = [(i, json.dumps(schema), record) for i, (record, _) in enumerate(cases)]
+    found = {r.id: sorted((v.path, v.check, v.detail) for v in r.violations) for r in judged(spark, rows).collect()}
+    assert found == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_a_tree_schema_follows_a_deep_record(spark):
     tree = {
         "$defs": {"node": {
@@ -268,7 +369,8 @@ def test_patterns_that_would_differ_are_refused(spark, place):
 
 def test_definitions_records_cannot_be_held_against_are_refused(spark):
     rows = [
-        ('{"properties":{"a":{"unevaluatedItems":false}}}', "/a: unevaluatedItems is not supported"),
+        ('{"properties":{"a":{"dependencies":{}}}}', "/a: dependencies is not supported"),
+        ('{"properties":{"a":{"dependentSchemas":[]}}}', "/a: dependentSchemas must be an object"),
         ('{"allOf":[{"anyOf":[]}]}', "/~allOf/0: anyOf must be a list of schemas"),
         ('{"not":{"minimum":"1"}}', "/~not: minimum must be a number"),
         ('{"$defs":{"x":{"minItems":-1}}}', "/~$defs/x: minItems must be a count"),
