@@ -64,6 +64,7 @@ VISIBILITY_TIMEOUT_SECONDS = 300
 RETENTION_DAYS = 14
 MONTHLY_QUOTA = 10_000
 RATE_PER_SECOND = 10
+BURST_LIMIT = 2
 LIST_PAGE_SIZE = 50
 LIST_PAGE_SIZE_LIMIT = 100
 TABLE_PAGE_SIZE = 10

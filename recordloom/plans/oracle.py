@@ -683,6 +683,19 @@ ORACLE: dict[str, str] = {
     "t11_rate": _with("calls", "", f"""SELECT api_key,
         {stamp("date_trunc('hour', called_at)")} AS window_start, count(*) AS calls
         FROM calls GROUP BY 1, 2 HAVING count(*) > 1"""),
+    "t11_burst": _with("calls", "", f"""
+        , instants AS (SELECT api_key, called_at, epoch_us(called_at) AS at, count(*) AS calls,
+          row_number() OVER (PARTITION BY api_key ORDER BY called_at) AS r
+          FROM calls GROUP BY api_key, called_at),
+        bucket AS (SELECT *, least(2, calls) AS served,
+          86400000000 - least(2, calls) * 43200000000 AS tokens FROM instants WHERE r = 1
+          UNION ALL SELECT i.*,
+          least(least(86400000000, b.tokens + i.at - b.at) // 43200000000, i.calls),
+          least(86400000000, b.tokens + i.at - b.at)
+            - least(least(86400000000, b.tokens + i.at - b.at) // 43200000000, i.calls) * 43200000000
+          FROM bucket b JOIN instants i ON i.api_key = b.api_key AND i.r = b.r + 1)
+        SELECT api_key, {stamp("called_at")} AS called_at, calls,
+          CAST(calls - served AS BIGINT) AS throttled FROM bucket WHERE served < calls"""),
     "c1_nonblank": _with("typed_messages", "", r"""SELECT conv_id, turn, role, md5(text) AS digest
         FROM typed_messages WHERE role <> 'user' OR regexp_replace(text, '\s', '', 'g') <> ''"""),
     "c2_history": _with("", FOLD,

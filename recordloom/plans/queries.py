@@ -23,6 +23,7 @@ from recordloom.operators import (
     registry,
     states,
     threads,
+    throttling,
     views,
 )
 from recordloom.plans.derived import table, view
@@ -1031,6 +1032,15 @@ def t11_rate(spark, sf_dir):
     return rows.select("api_key", _stamp("window_start").alias("window_start"), "calls")
 
 
+@query
+def t11_burst(spark, sf_dir):
+    """One call in twelve hours, two at once; a block holds a week of calls."""
+    rows = throttling.burst_breaches(
+        view(spark, sf_dir, "calls"), rate=1, burst=2, seconds=43_200, block_seconds=604_800
+    )
+    return rows.select("api_key", _stamp("called_at").alias("called_at"), "calls", "throttled")
+
+
 # --- C: threads --------------------------------------------------------------------
 
 
