@@ -208,6 +208,23 @@ SELECT event_id, concat('event_', event_type) AS schema_name, '0123456789' AS sc
 FROM events
 """
 
+# Definitions that hold or break the published meta-schema, each in a way of its own.
+VIEWS["definitions"] = """
+SELECT p_partkey, concat('{"title":"', p_partkey, '","properties":{"part":',
+  CASE p_partkey % 9
+    WHEN 0 THEN concat('{"enum":[', p_size, ',null],"type":["integer","null"]}')
+    WHEN 1 THEN '{"type":"text"}'
+    WHEN 2 THEN '{"required":["a","a"]}'
+    WHEN 3 THEN concat('{"$defs":{"x/y":{"minLength":-', p_size, '}}}')
+    WHEN 4 THEN '{"allOf":[{"anyOf":[]}]}'
+    WHEN 5 THEN '{"dependentRequired":{"a":"b"}}'
+    WHEN 6 THEN '{"items":{"not":{"multipleOf":0}}}'
+    WHEN 7 THEN '{"examples":1,"deprecated":"no"}'
+    ELSE '{"if":true,"then":{"unevaluatedItems":[]}' END,
+  CASE WHEN p_partkey % 9 = 8 THEN '}' ELSE '' END, '}}') AS schema_definition
+FROM part
+"""
+
 # Model responses around the answers, with token usage.
 VIEWS["responses"] = """
 SELECT doc_id, request_id, schema_name,
@@ -379,6 +396,7 @@ NEEDS = {
     "combined_records": ["events"],
     "evaluated_schemas": ["events"],
     "evaluated_records": ["events"],
+    "definitions": ["part"],
     "registrations": ["part"],
     "schema_log": ["part", "registrations"],
     "schema_keys": ["part", "registrations"],

@@ -543,6 +543,13 @@ ORACLE: dict[str, str] = {
           WHERE event_id % 7 = 1
         UNION ALL SELECT event_id, '/tags', 'unevaluatedItems', '2' FROM evaluated_records
           WHERE event_id % 7 = 4"""),
+    "s2_meta": """WITH faults(kind, path, "check") AS (VALUES (1, '/type', 'anyOf'),
+        (2, '/required', 'uniqueItems'), (3, '/$defs/x~1y/minLength', 'minimum'),
+        (4, '/allOf/0/anyOf', 'minItems'), (5, '/dependentRequired/a', 'type'),
+        (6, '/items/not/multipleOf', 'exclusiveMinimum'), (7, '/examples', 'type'),
+        (7, '/deprecated', 'type'), (8, '/then/unevaluatedItems', 'type'))
+        SELECT p_partkey, concat('/properties/part', path) AS path, "check"
+        FROM part JOIN faults ON kind = p_partkey % 9 WHERE kind <> 3 OR p_size > 0""",
     "s2_unchecked": _with("bounded_schemas answer_schemas", "", """SELECT schema_name,
         schema_version, 'dependencies' AS unchecked FROM bounded_schemas
         UNION ALL SELECT schema_name, schema_version, '' FROM answer_schemas"""),

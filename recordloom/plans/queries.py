@@ -19,6 +19,7 @@ from recordloom.operators import (
     extraction,
     flow,
     intake,
+    metaschema,
     prompting,
     registry,
     states,
@@ -759,6 +760,14 @@ def e7_evaluated(spark, sf_dir):
     )
 
 
+@query
+def s2_meta(spark, sf_dir):
+    """Definitions as records of the published meta-schema."""
+    rows = documents.spread(view(spark, sf_dir, "definitions"), "p_partkey")
+    found = one_row_each(metaschema.meta_violations(rows), "violations", "x", "p_partkey")
+    return found.select("p_partkey", "x.path", "x.check")
+
+
 @query
 def s2_unchecked(spark, sf_dir):
     """Keywords of each definition that records are not held against."""

@@ -56,6 +56,8 @@ def broken(root, schema, value, path=""):
     if isinstance(value, int | float) and not isinstance(value, bool):
         if value < schema.get("minimum", value) or value > schema.get("maximum", value):
             out.add((path, "minimum" if value < schema.get("minimum", value) else "maximum"))
+        if "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]:
+            out.add((path, "exclusiveMinimum"))
         of = schema.get("multipleOf")
         if of and Fraction(str(value)) % Fraction(str(of)):
             out.add((path, "multipleOf"))
@@ -80,6 +82,10 @@ def broken(root, schema, value, path=""):
             if "propertyNames" in schema:
                 out |= at(schema["propertyNames"], k, where)
     if isinstance(value, list):
+        if len(value) < schema.get("minItems", 0):
+            out.add((path, "minItems"))
+        if schema.get("uniqueItems") and len({json.dumps(item) for item in value}) < len(value):
+            out.add((path, "uniqueItems"))
         first = schema.get("prefixItems", [])
         for i, item in enumerate(value):
             if i < len(first):
