@@ -18,6 +18,7 @@ from recordloom.functions import jsontree, rules, text
 from recordloom.functions.joins import lookup_join
 from recordloom.functions.ranking import number_rows
 from recordloom.functions.rows import first_rows, one_row_each
+from recordloom.operators import metaschema
 
 KEY = ("schema_name", "schema_version")
 MOST_NESTED = 500
@@ -153,13 +154,22 @@ def register(
     limit: int = model.SCHEMA_TOKEN_LIMIT,
     random_versions: bool = False,
     levels: int | None = None,
+    published: bool = False,
 ) -> DataFrame:
     """Judge submissions and give the good ones a version.
 
     Expects schema_name, schema_description, schema_definition, created_at.
-    Rejected rows carry error_name and error_message; no row fails the job.
+    Rejected rows carry error_name and error_message; no row fails the job. With
+    ``published`` a definition without other problems is held against the published
+    meta-schema, too, which takes ten times as long.
     """
     df = count_tokens(check_definitions(submissions, levels), counter)
+    if published:
+        judged = metaschema.meta_violations(df.withColumn("_text", F.when(
+            F.size("problems") == 0, F.col("schema_definition"))), "_text", MOST_NESTED)
+        broken = F.transform("violations", lambda v: F.concat(v["path"], F.lit(": breaks "), v["check"]))
+        problems = F.when(F.col("_text").isNotNull(), broken).otherwise(F.col("problems"))
+        df = judged.withColumn("problems", problems).drop("_text", "violations")
     lengths = F.array_compact(
         F.array(
             length_problem("schema_name", model.NAME_LENGTH),

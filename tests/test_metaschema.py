@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import random
 
-from recordloom.operators import metaschema
+from pyspark.sql import functions as F
+
+from recordloom import model
+from recordloom.operators import metaschema, registry
 from tests.test_keywords import broken, random_schema
 
 WRONG = [1, "x", None, [], [1], ["a", "a"], {}, {"a": 1}, -1, 0, 2.5, True, {"a": {"type": "text"}}, "a#b"]
@@ -48,3 +51,17 @@ def test_the_meta_schema_holds_for_itself_and_odd_texts_have_a_result(spark):
 def test_no_definitions(spark):
     df = spark.createDataFrame([], "schema_definition string, path string")
     assert metaschema.meta_violations(df).collect() == []
+
+
+def test_registration_holds_definitions_against_it_on_request(spark):
+    texts = ['{"examples":1}', '{"type":"text"}', '{"type":"object"}', None, "[]"]
+    rows = [(f"schema {i}", "A description of data.", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "schema_name string, schema_description string, schema_definition string")
+    df = df.withColumn("created_at", F.lit("2024-01-01"))
+    plain = {r.schema_name: r for r in registry.register(df).collect()}
+    strict = {r.schema_name: r for r in registry.register(df, published=True).collect()}
+    assert plain["schema 0"].error_name is None and strict["schema 0"].error_name == model.SCHEMA_ERROR
+    for i in range(1, 5):
+        assert strict[f"schema {i}"].error_name == plain[f"schema {i}"].error_name
+    assert plain.keys() == strict.keys() and strict["schema 2"].error_name is None
+    assert list(strict["schema 0"].asDict()) == list(plain["schema 0"].asDict())
