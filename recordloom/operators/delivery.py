@@ -23,9 +23,13 @@ def _moment(asof: datetime | Column) -> Column:
     return asof if isinstance(asof, Column) else F.lit(asof).cast("timestamp_ntz")
 
 
-def invocations(events: DataFrame, size: int = model.QUEUE_BATCH_SIZE) -> DataFrame:
-    """Number events in arrival order and cut them into groups of ``size``."""
-    numbered = number_rows(events, ("created_at", "request_id"))
+def invocations(
+    events: DataFrame,
+    size: int = model.QUEUE_BATCH_SIZE,
+    order: tuple[str, ...] = ("created_at", "request_id"),
+) -> DataFrame:
+    """Number events in ``order`` and cut them into groups of ``size``."""
+    numbered = number_rows(events, order)
     return numbered.withColumn(
         "invocation", F.floor((F.col("row_no") - 1) / size).cast("long")
     )

@@ -12,6 +12,14 @@ from recordloom.functions.rows import first_rows
 _CODES = len(model.STATUS_RANK)
 
 
+def status_rank(status: str = "status") -> Column:
+    """The place of a status among those of one moment; one outside the four is last."""
+    rank = F.lit(_CODES)
+    for name, value in model.STATUS_RANK.items():
+        rank = F.when(F.col(status) == name, value).otherwise(rank)
+    return rank
+
+
 def transition_code(status: str = "status", created_at: str = "created_at") -> Column:
     """Time and status of a transition as one integer that orders transitions.
 

@@ -7,9 +7,10 @@ from recordloom import model
 from recordloom.functions import text
 from recordloom.operators import prompting, registry
 from recordloom.plans.derived import duck
-from recordloom.plans.queries import ASOF, MEMORY
+from recordloom.plans.queries import ASOF, MEMORY, STOP_AT
 
 _ASOF = f"TIMESTAMP '{ASOF:%Y-%m-%d %H:%M:%S}'"
+_STOP_AT = f"TIMESTAMP '{STOP_AT:%Y-%m-%d %H:%M:%S}'"
 
 
 def stamp(column: str) -> str:
@@ -673,6 +674,25 @@ ORACLE: dict[str, str] = {
     "t5_dedup": _with("deliveries", "", f"""SELECT request_id, any_value(note) AS note,
         {stamp('min(created_at)')} AS created_at, count(*) AS deliveries
         FROM deliveries GROUP BY request_id"""),
+    "t3_stream": _with("deliveries", f"""named AS (SELECT
+        concat(request_id, '#', hour(created_at)) AS request_id, created_at,
+          CASE WHEN created_at < {_STOP_AT} THEN 0::BIGINT ELSE 1::BIGINT END AS batch_id
+          FROM deliveries),
+        numbered AS (SELECT request_id, batch_id, row_number() OVER (
+          PARTITION BY batch_id ORDER BY created_at, request_id) AS row_no FROM named)""",
+        "SELECT *, (row_no - 1) // 10 AS invocation FROM numbered"),
+    "t5_stream": _with("deliveries", "", "SELECT DISTINCT request_id, note FROM deliveries"),
+    "t7_stream": _with("states", """followed AS (SELECT *, lead(created_at) OVER (
+          PARTITION BY request_id ORDER BY created_at, CASE status WHEN 'QUEUED' THEN 0
+            WHEN 'RUNNING' THEN 1 WHEN 'FAILED' THEN 2 ELSE 3 END) AS later FROM states)""",
+        f"""SELECT request_id, {stamp('created_at')} AS running_since FROM followed
+        WHERE status = 'RUNNING'
+          AND (later IS NULL OR later > created_at + INTERVAL 300 SECOND)"""),
+    "t8_stream": _with("states written_results", LATEST, f"""SELECT l.request_id, f.failures,
+        {stamp('l.created_at')} AS failed_at
+        FROM latest l JOIN (SELECT request_id, count(*) AS failures FROM states
+          WHERE status = 'FAILED' GROUP BY request_id) f USING (request_id)
+        WHERE l.status = 'FAILED' AND f.failures >= 3"""),
     "t6_expired": _with("deliveries", "", f"""SELECT request_id,
         {stamp('created_at')} AS created_at FROM deliveries
         WHERE created_at < {_ASOF} - INTERVAL 14 DAY"""),

@@ -30,13 +30,16 @@ from recordloom.operators import (
 from recordloom.plans.derived import table, view
 from recordloom.session import materialise, new_folder
 from recordloom.sources import documents, queue, tables
-from recordloom.streaming import runner
+from recordloom.streaming import dead_letters, runner
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 PAGE_BREAK = "\n"
 ASOF = datetime(2024, 1, 30, 23, 58, 0)
+# Where a stream is stopped and started again, and a moment long after all rows.
+STOP_AT = datetime(2024, 1, 15)
+HEARTBEAT = datetime(2024, 3, 1)
 # When the queue is run: requests of the first half minute are expired by then.
 RUN_AT = datetime(2024, 1, 15, 0, 0, 30)
 MEMORY = 4
@@ -1011,6 +1014,82 @@ def t5_dedup(spark, sf_dir):
     )
 
 
+def _parts(rows: DataFrame) -> list[DataFrame]:
+    """What arrives before and after a stream is stopped."""
+    return [rows.filter(F.col("created_at") < STOP_AT), rows.filter(F.col("created_at") >= STOP_AT)]
+
+
+def _delivery_bodies(rows: DataFrame) -> DataFrame:
+    names = [n for n in model.QUEUE_EVENT.fieldNames() if n not in rows.columns]
+    kinds = {n: model.QUEUE_EVENT[n].dataType for n in names}
+    nulls = rows.withColumns({n: F.lit(None).cast(kinds[n]) for n in names})
+    body = F.struct(*model.QUEUE_EVENT.fieldNames())
+    return nulls.select(F.to_json(body, queue.TIME_FORMAT).alias("value"))
+
+
+def _to_rest(stream, offsets: str, target: str) -> None:
+    """Run a stream until it has read everything; another call goes on from there."""
+    writer = stream.writeStream.option("checkpointLocation", offsets).trigger(availableNow=True)
+    writer.format("parquet").start(target).awaitTermination()
+
+
+@query
+def t3_stream(spark, sf_dir):
+    """Two micro-batches of files of any size, in invocations of ten."""
+    events = view(spark, sf_dir, "deliveries").withColumn(
+        "request_id", F.concat_ws("#", "request_id", F.hour("created_at"))
+    )
+    folder, out, offsets = (new_folder(spark, n) for n in ("queue", "run", "offsets"))
+    for part in _parts(events.select("request_id", "created_at")):
+        queue.send(_delivery_bodies(part), folder)
+        arrived = queue.receive(spark, folder, files_per_trigger=1_000_000)
+        runner.run_invocations(arrived, out, offsets).awaitTermination()
+    rows = runner.read_invocations(spark, out)
+    return rows.select("request_id", "batch_id", "row_no", "invocation")
+
+
+@query
+def t5_stream(spark, sf_dir):
+    """Events of which some come again after the stream was stopped."""
+    folder, target, offsets = (new_folder(spark, n) for n in ("deliveries", "once", "offsets"))
+    deliveries = view(spark, sf_dir, "deliveries")
+    for part in _parts(deliveries):
+        part.write.mode("append").parquet(folder)
+        arrived = spark.readStream.schema(deliveries.schema).parquet(folder)
+        _to_rest(runner.first_of_each(arrived), offsets, target)
+    return spark.read.schema(deliveries.schema).parquet(target).select("request_id", "note")
+
+
+def _watched_states(spark, sf_dir, watch, label: str) -> DataFrame:
+    """What ``watch`` makes of the transitions as a stream that is stopped once, and of
+    a heartbeat long after them."""
+    folder, target, offsets = (new_folder(spark, n) for n in ("states", label, "offsets"))
+    log = view(spark, sf_dir, "states").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    beat = spark.range(1).select(
+        F.lit("heartbeat").alias("request_id"),
+        F.lit(model.COMPLETED).alias("status"),
+        F.lit(HEARTBEAT).cast("timestamp").alias("created_at"),
+    )
+    for part in [*_parts(log), beat]:
+        part.write.mode("append").parquet(folder)
+        found = watch(spark.readStream.schema(log.schema).parquet(folder))
+        _to_rest(found, offsets, target)
+    return spark.read.schema(found.schema).parquet(target)
+
+
+@query
+def t7_stream(spark, sf_dir):
+    rows = _watched_states(spark, sf_dir, runner.stuck_stream, "stuck")
+    return rows.select("request_id", _stamp("running_since").alias("running_since"))
+
+
+@query
+def t8_stream(spark, sf_dir):
+    letters = _watched_states(spark, sf_dir, dead_letters.dead_letter_stream, "letters")
+    rows = dead_letters.current_letters(letters)
+    return rows.select("request_id", "failures", _stamp("failed_at").alias("failed_at"))
+
+
 @query
 def t6_expired(spark, sf_dir):
     rows = delivery.expired(view(spark, sf_dir, "deliveries"), ASOF)

@@ -16,6 +16,12 @@ SETTINGS = {
     # A repeated key keeps its last value, as it does in the JSON reader that
     # produced the records.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Ids of two weeks and counts per request stay on local disk, not on the heap;
+    # a batch uploads what it changed.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -1,8 +1,8 @@
-"""Queue producer and consumer."""
+"""Queue producer and consumer."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from recordloom import model
 from recordloom.functions.joins import lookup_join
 from recordloom.functions.jsontree import measured_levels
-from recordloom.operators import extraction, intake, prompting, states
+from recordloom.functions.rows import first_rows
+from recordloom.operators import delivery, extraction, intake, prompting, states
 from recordloom.operators.registry import KEY
 from recordloom.session import materialise, scratch
 from recordloom.sources import queue, tables
@@ -206,52 +207,57 @@ def stuck_stream(
     lateness: str = "10 minutes",
 ) -> DataFrame:
     """T7 on a stream of state rows (request_id, status, created_at as a
-    timestamp): emits a request when its event-time timer runs out before it
-    leaves RUNNING. State is one timestamp per running request. ``lateness`` is
-    how long after newer rows a transition may still arrive and count; timers run
-    out that much later."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    order = model.STATUS_RANK
-
-    def watch(
-        key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (started,) = state.get
-            state.remove()
-            yield pd.DataFrame(
-                {"request_id": [key[0]], "running_since": [pd.Timestamp(started, unit="us")]}
-            )
-            return
-        newest = None
-        for frame in frames:
-            micros = frame["created_at"].astype("datetime64[us]").astype("int64")
-            rank = frame["status"].map(order).fillna(len(order)).astype("int64")
-            last = (micros * (len(order) + 1) + rank).idxmax()
-            seen = (int(micros[last]), int(rank[last]), frame["status"][last])
-            newest = seen if newest is None else max(newest, seen)
-        if newest is None:
-            return
-        if state.exists and newest[0] < state.get[0]:
-            newest = (state.get[0], order[model.RUNNING], model.RUNNING)
-        if newest[2] != model.RUNNING:
-            if state.exists:
-                state.remove()
-            return
-        state.update((newest[0],))
-        due = newest[0] // 1000 + seconds * 1000 + 1
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
+    timestamp): a request for every RUNNING row that nothing followed within
+    ``seconds``, whatever batches the rows come in.
+
+    Transitions of a request at most ``seconds`` apart are one session, of which the
+    newest status is kept; sessions are merged in each task before the shuffle, so a
+    request with very many transitions is a few rows there. A session ends when the
+    watermark has passed it: ``lateness`` is how long after newer rows a transition
+    may still arrive and count.
+    """
+    newest = F.max(F.struct(F.col("created_at").alias("at"), states.status_rank().alias("rank")))
     return (
         transitions.withWatermark("created_at", lateness)
-        .groupBy("request_id")
-        .applyInPandasWithState(
-            watch,
-            "request_id string, running_since timestamp",
-            "started bigint",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+        .groupBy("request_id", F.session_window("created_at", f"{seconds} seconds"))
+        .agg(newest.alias("_newest"))
+        .filter(F.col("_newest.rank") == model.STATUS_RANK[model.RUNNING])
+        .select("request_id", F.col("_newest.at").alias("running_since"))
     )
+
+
+def invocation_runner(
+    out: str, size: int = model.QUEUE_BATCH_SIZE
+) -> Callable[[DataFrame, int], None]:
+    """T3 on the stream: the events of a micro-batch in invocations of at most
+    ``size``, in order of time, id and body, however many a file holds.
+
+    A batch that is replayed has the files it had before, so its rows get the same
+    invocations; it is found again by its id (see ``read_invocations``). Bodies that
+    are no events come first.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("request_id", "created_at", "value")
+        with scratch(spark):
+            groups = delivery.invocations(rows, size, ("created_at", "request_id", "value"))
+            day = F.to_date(F.current_timestamp())
+            tables.append_batch(groups, f"{out}/invocations", batch_id, day)
+
+    return run
+
+
+def run_invocations(
+    events: DataFrame, out: str, checkpoint: str, size: int = model.QUEUE_BATCH_SIZE
+):
+    """Store the invocations of all that is in the queue."""
+    writer = events.writeStream.option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(invocation_runner(out, size)).trigger(availableNow=True).start()
+
+
+def read_invocations(spark: SparkSession, out: str) -> DataFrame:
+    """Events with ``batch_id`` and ``invocation``, each once: a batch that was
+    replayed on another day has its numbers there, too."""
+    rows = spark.read.parquet(f"{out}/invocations").drop("day")
+    return first_rows(rows, ["batch_id", "row_no"], [])
