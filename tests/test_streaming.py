@@ -2,14 +2,14 @@ from __future__ import annotations
 
 import glob
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from recordloom.operators import extraction, states
 from recordloom.session import shared_folder
 from recordloom.sources import documents, queue, tables
-from recordloom.streaming import runner
+from recordloom.streaming import dead_letters, runner
 
 NOW = datetime(2024, 1, 1, 13)
 KEY = ("contact", "v" * 10)
@@ -217,3 +217,113 @@ def test_table_sinks(spark, tmp_path):
     assert latest.first().result == '{"n":1}'
     tables.write_json(result, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).first().request_id == "a"
+
+
+def consume(spark, make, schema, source, offsets, target):
+    stream = make(spark.readStream.schema(schema).parquet(source))
+    writer = stream.writeStream.option("checkpointLocation", offsets).trigger(availableNow=True)
+    query = writer.format("parquet").start(target)
+    query.awaitTermination()
+    assert query.exception() is None
+    return query
+
+
+def arrive(spark, source, rows):
+    moments = [(i, s, None if at is None else START + at) for i, s, at in rows]
+    spark.createDataFrame(moments, STATES).write.mode("append").parquet(source)
+
+
+STATES = "request_id string, status string, created_at timestamp"
+START = datetime(2024, 1, 1)
+DAY = timedelta(days=1)
+SECOND = timedelta(seconds=1)
+
+
+def test_stuck_is_what_nothing_followed_in_time(spark, tmp_path):
+    """Whatever the batches: a follower at the last moment counts, one later does not."""
+    source, offsets, target = (str(tmp_path / n) for n in ("states", "offsets", "stuck"))
+    micro = timedelta(microseconds=1)
+    for rows in (
+        [
+            ("in time", "RUNNING", 0 * SECOND),
+            ("in time", "COMPLETED", 300 * SECOND),
+            ("late", "RUNNING", 0 * SECOND),
+            ("late", "COMPLETED", 300 * SECOND + micro),
+            ("twice", "RUNNING", 0 * SECOND),
+            ("twice", "RUNNING", 200 * SECOND),
+            ("tie", "RUNNING", 0 * SECOND),
+            ("tie", "FAILED", 0 * SECOND),
+            (None, "RUNNING", 0 * SECOND),
+            ("odd", "RUNNING", 0 * SECOND),
+            ("odd", "PAUSED", SECOND),
+            ("no time", "RUNNING", None),
+        ],
+        [("other", "COMPLETED", DAY)],
+    ):
+        arrive(spark, source, rows)
+        consume(spark, runner.stuck_stream, STATES, source, offsets, target)
+    found = {(r.request_id, r.running_since) for r in spark.read.parquet(target).collect()}
+    assert found == {
+        ("late", START), ("twice", START + 200 * SECOND), (None, START),
+    }
+
+
+def test_dead_letters_come_at_once_and_are_forgotten(spark, tmp_path):
+    source, offsets, target = (str(tmp_path / n) for n in ("states", "offsets", "letters"))
+
+    def step(rows):
+        arrive(spark, source, rows)
+        query = consume(
+            spark, dead_letters.dead_letter_stream, STATES, source, offsets, target
+        )
+        letters = dead_letters.current_letters(
+            spark.read.schema(dead_letters.LETTERS).parquet(target)
+        )
+        sizes = [p.stateOperators[0] for p in query.recentProgress]
+        return {r.request_id: (r.failures, r.failed_at) for r in letters.collect()}, sizes
+
+    failed = [("a", "FAILED", n * SECOND) for n in range(3)]
+    found, sizes = step(
+        [
+            *failed,
+            *[("b", "FAILED", n * SECOND) for n in range(3)],
+            ("b", "COMPLETED", 3 * SECOND),
+            ("c", "FAILED", SECOND),
+            ("c", "FAILED", SECOND),
+            (None, "FAILED", SECOND),
+            ("no time", "FAILED", None),
+        ]
+    )
+    assert found == {"a": (3, START + 2 * SECOND)}
+    assert any("rocksdbSstFileSize" in s.customMetrics for s in sizes)
+    found, _ = step([("c", "FAILED", 5 * SECOND), ("a", "RUNNING", 6 * SECOND)])
+    assert found == {"c": (3, START + 5 * SECOND)}
+    found, _ = step([("a", "FAILED", 4 * SECOND)])  # behind a newer transition
+    assert found == {"c": (3, START + 5 * SECOND)}
+    full = sizes[-1].numRowsTotal
+    _, sizes = step([("d", "QUEUED", 20 * DAY)])
+    assert full > sizes[-1].numRowsTotal > 0  # two weeks of silence
+    found, _ = step([("c", "RUNNING", 20 * DAY), ("a", "FAILED", 20 * DAY)])
+    assert found == {"c": (3, START + 5 * SECOND)}  # counted anew; its letter was given out
+
+
+def test_invocations_do_not_depend_on_files(spark, tmp_path):
+    folder, out, offsets = (str(tmp_path / n) for n in ("queue", "out", "offsets"))
+    event = """{"request_id":"r%d","created_at":"2024-01-01T12:00:%02d.000000"}"""
+
+    def send_bodies(bodies, files):
+        frame = spark.createDataFrame([(b,) for b in bodies], "value string")
+        queue.send(frame.repartition(files), folder)
+        arrived = queue.receive(spark, folder, files_per_trigger=1000)
+        runner.run_invocations(arrived, out, offsets).awaitTermination()
+
+    send_bodies([event % (n, n) for n in range(23)] + ["no event", "no event"], 7)
+    send_bodies([event % (3, 3), event % (50, 50)], 1)
+    rows = runner.read_invocations(spark, out).orderBy("batch_id", "row_no").collect()
+    assert [r.invocation for r in rows] == [*[0] * 10, *[1] * 10, *[2] * 5, 0, 0]
+    assert [r.request_id for r in rows] == [
+        None, None, *[f"r{n}" for n in range(23)], "r3", "r50",
+    ]
+    batch = queue.read_all(spark, folder).filter("request_id in ('r3', 'r50')")
+    runner.invocation_runner(out)(batch.dropDuplicates(["request_id"]), 1)  # a replay
+    assert runner.read_invocations(spark, out).count() == 27
