@@ -776,3 +776,13 @@ ORACLE: dict[str, str] = {
         WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
 }
 ORACLE = {name: sql.replace(") , outcome", "), outcome") for name, sql in ORACLE.items()}
+
+# What all versions of a schema declare of a field, from the rows of s9_fields.
+ORACLE["s12_registry"] = f"""SELECT schema_name, path, CASE kinds WHEN 'boolean' THEN 'boolean'
+    WHEN 'integer' THEN 'bigint' WHEN 'number' THEN 'decimal(38,9)'
+    WHEN 'integer,number' THEN 'decimal(38,9)' WHEN 'string' THEN 'string'
+    WHEN 'array' THEN 'array' WHEN 'object' THEN 'struct' ELSE 'variant' END AS kind
+  FROM (SELECT schema_name, path, string_agg(DISTINCT one, ',' ORDER BY one) AS kinds
+    FROM (SELECT schema_name, path,
+        unnest(string_split(coalesce(types, 'any'), ',')) AS one FROM ({ORACLE["s9_fields"]}))
+    WHERE one <> 'null' GROUP BY ALL)"""

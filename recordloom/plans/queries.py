@@ -21,6 +21,7 @@ from recordloom.operators import (
     intake,
     metaschema,
     prompting,
+    recordtypes,
     registry,
     states,
     threads,
@@ -402,6 +403,13 @@ def s12_typed_record(spark, sf_dir):
     )
 
 
+@query
+def s12_registry(spark, sf_dir):
+    """The kind of every field over all versions of a schema."""
+    rows = recordtypes.joined_fields(_schema_log(spark, sf_dir))
+    return rows.select("schema_name", "path", "kind")
+
+
 @query
 def s13_tool_spec(spark, sf_dir):
     specs = registry.tool_specs(_schema_log(spark, sf_dir))
