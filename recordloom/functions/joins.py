@@ -13,6 +13,7 @@ from recordloom.session import materialise
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+HOT_ROWS = 100_000
 
 
 def fits_broadcast(
@@ -45,9 +46,10 @@ def lookup_join(
 
     The right side is stored first, so that measuring it does not compute it
     twice. Measured to be small it is broadcast and the left side never moves.
-    Beyond that bound both sides are shuffled on (key, salt): a left key that owns
-    a third of the rows is spread over ``SALTS`` tasks by ``spread_by``, columns
-    outside the key, at the price of ``SALTS`` copies of each narrow right row.
+    Beyond that bound both sides are shuffled on (key, salt) and merged: Spark would
+    go by the size of the stored files and broadcast them after all. A left key that
+    owns very many rows is spread over ``SALTS`` tasks by ``spread_by``, columns outside
+    the key, and only the right rows of such keys are copied as often.
     Without ``spread_by`` the left side is expected to hold each key once, too.
     """
     on = list(on)
@@ -57,7 +59,23 @@ def lookup_join(
     if fits_broadcast(right, max_rows, max_bytes):
         return left.join(F.broadcast(right), on, how)
     if not spread_by:
-        return left.join(right, on, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+        return left.join(right.hint("merge"), on, how)
+    hot = _hot_keys(left, on)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))).otherwise(0)
+    last = F.when(F.col("_hot"), SALTS - 1).otherwise(0)
+    salted = _marked(left, hot, on).withColumn("_salt", salt.cast("int")).drop("_hot")
+    copies = _marked(right, hot, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    return salted.join(copies.drop("_hot").hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
+def _hot_keys(left: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys that own more than ``HOT_ROWS`` rows: at most one for so many rows."""
+    counts = left.groupBy(*on).agg(F.count("*").alias("_rows"))
+    hot = counts.filter(F.col("_rows") > HOT_ROWS)
+    return hot.select(*[F.col(c).alias(f"_hot_{c}") for c in on], F.lit(True).alias("_hot"))
+
+
+def _marked(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
+    same = [df[c].eqNullSafe(hot[f"_hot_{c}"]) for c in on]
+    marked = df.join(F.broadcast(hot), same, "left")
+    return marked.drop(*[f"_hot_{c}" for c in on])

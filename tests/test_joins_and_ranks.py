@@ -41,6 +41,35 @@ def test_hot_key_is_spread_by_the_salt(spark):
     assert joined.count() == 9_000
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_lookup_beyond_the_bound_is_never_broadcast(spark, how):
+    """Stored files are far smaller than the rows read from them."""
+    left = spark.range(2_000).withColumn("key", F.col("id") % 50)
+    right = spark.range(100).select(F.col("id").alias("key"), F.lit("x").alias("value"))
+    for spread_by in ([], ["id"]):
+        joined = joins.lookup_join(left, right, ["key"], how, spread_by=spread_by, max_rows=10)
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+
+
+def test_only_right_rows_of_hot_keys_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    hot = "CASE WHEN id < 3000 THEN NULL WHEN id < 6000 THEN 'hot' ELSE concat('k', id % 500) END"
+    left = spark.range(9_000).withColumn("key", F.expr(hot))
+    right = spark.sql("SELECT 'hot' AS key, 1L AS value UNION ALL SELECT concat('k', id), id FROM range(400)")
+    copied = []
+    explode = F.explode
+    monkeypatch.setattr(joins.F, "explode", lambda array: copied.append(array) or explode(array))
+    joined = joins.lookup_join(left, right, ["key"], "left", spread_by=["id"], max_rows=5)
+    plain = left.join(right, ["key"], "left").select(*joined.columns)
+    assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+    keys = joins._marked(right, joins._hot_keys(left, ["key"]), ["key"])
+    assert len(copied) == 1 and keys.select(explode(copied[0])).count() == 400 + joins.SALTS
+
+
 def test_number_rows_is_a_total_order(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(20) if i % 3 else 7, i) for i in range(3_000)]
