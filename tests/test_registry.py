@@ -211,3 +211,17 @@ def test_lint_of_a_schema_that_requires_what_it_does_not_declare(spark):
         ("/birthDay", "field is not snake case"),
         ("/birthDay", "field is not required"),
     }
+
+
+def test_definitions_beyond_the_bound_are_not_broadcast(spark, sf_dir, monkeypatch):
+    from recordloom.functions import joins
+    from recordloom.plans.derived import view
+
+    current = registry.current(view(spark, sf_dir, "schema_log"))
+    keys = view(spark, sf_dir, "schema_keys")
+    small = registry.get_schemas(current, keys)
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    large = registry.get_schemas(current, keys)
+    assert "strategy=merge" in large._jdf.queryExecution().optimizedPlan().toString()
+    shown = ["schema_name", "schema_version", "schema_definition", "error_name"]
+    assert sorted(map(str, large.select(*shown).collect())) == sorted(map(str, small.select(*shown).collect()))
