@@ -176,9 +176,10 @@ _WITH_OTHERS = f"""concat({_DECLARED},
 
 
 def _child(path: str, rule: str, v: str, scope: str = "n.scope", owner: str = "n.owner",
-           branch: str = "n.branch", via: str | None = None, over: str | None = None) -> str:
+           branch: str = "n.branch", via: str | None = None, over: str | None = None,
+           known_kind: str | None = None) -> str:
     """A node below ``n``; without a scope it begins one of its own."""
-    return f"""named_struct('id', cast(NULL AS int), 'path', {path}, 'rule', {rule}, 'kind', {kind(v)},
+    return f"""named_struct('id', cast(NULL AS int), 'path', {path}, 'rule', {rule}, 'kind', {known_kind or kind(v)},
         'v', {v}, 'scope', {scope}, 'owner', {owner}, 'branch', {branch},
         'via', {via or 'cast(array() AS array<string>)'},
         'over', {over or 'cast(array() AS array<int>)'})"""
@@ -187,24 +188,28 @@ def _child(path: str, rule: str, v: str, scope: str = "n.scope", owner: str = "n
 _NO_VALUES = f"cast(array() AS {_RECORD_NODES})"
 
 
-def _declared_values(rules: str) -> str:
-    """Members and elements of a node that a rule applies to, where a definition has no
-    further keywords: one rule a value, one scope for all."""
+def _member_values(scope: tuple[str, ...]) -> str:
+    """Members of an object that the rule ``r`` of their node has a rule for: which one
+    is known from the names it declares, so that other members cost nothing."""
     named = f"concat(n.rule, '/', {step('e.key')})"
-    items = f"concat(n.rule, '/{ITEM_STEP}')"
     other = f"concat(n.rule, '/{OTHER_STEP}')"
-    member = _child(
+    child = _child(
         f"concat(n.path, '/', {step('e.key')})",
-        f"CASE WHEN map_contains_key({rules}, {named}) THEN {named} ELSE {other} END",
-        "e.value", "0", "0", "''",
+        f"CASE WHEN array_contains(r.declared, e.key) THEN {named} ELSE {other} END",
+        "e.value", *scope,
     )
-    item = _child("concat(n.path, '/', i)", items, "x", "0", "0", "''")
-    return f"""CASE
-    WHEN n.kind = 'object' THEN filter(
-        transform(map_entries({members('n.v')}), e -> {member}), c -> map_contains_key({rules}, c.rule))
-    WHEN n.kind = 'array' AND map_contains_key({rules}, {items})
-        THEN transform({elements('n.v')}, (x, i) -> {item})
-    ELSE {_NO_VALUES} END"""
+    return f"""transform(filter(map_entries({members('n.v')}),
+        e -> r.other OR array_contains(r.declared, e.key)), e -> {child})"""
+
+
+def _declared_values(rules: str) -> str:
+    """Members and elements of a node that a rule applies to, where a definition has no
+    further keywords: one rule a value, one scope for all."""
+    item = _child("concat(n.path, '/', i)", f"concat(n.rule, '/{ITEM_STEP}')", "x", "0", "0", "''")
+    return f"""CASE WHEN n.kind IN ('object', 'array') THEN flatten(transform(array({rules}[n.rule]), r -> CASE
+    WHEN n.kind = 'object' AND (r.other OR size(r.declared) > 0) THEN {_member_values(("0", "0", "''"))}
+    WHEN n.kind = 'array' AND r.all_items THEN transform({elements('n.v')}, (x, i) -> {item})
+    ELSE {_NO_VALUES} END)) ELSE {_NO_VALUES} END"""
 
 
 def _grown(rules: str) -> str:
@@ -212,7 +217,6 @@ def _grown(rules: str) -> str:
     schemas combined in its rule; below anything else nothing can be wrong."""
     named = f"concat(n.rule, '/', {step('e.key')})"
     member = f"concat(n.path, '/', {step('e.key')})"
-    fits = "filter(r.patterns, p -> e.key rlike p.expression)"
     items = f"concat(n.rule, '/{ITEM_STEP}')"
     placed = f"CASE WHEN i < r.prefix THEN concat(n.rule, '/~prefixItems/', i) ELSE {items} END"
     contains = "concat(n.rule, '/~contains')"
@@ -225,37 +229,41 @@ def _grown(rules: str) -> str:
         "CASE WHEN b.branch = 'allOf' THEN n.scope END",
         "CASE WHEN b.branch = 'allOf' THEN n.owner ELSE n.id END",
         "CASE WHEN b.branch = 'allOf' THEN n.branch ELSE b.branch END",
-        'concat(n.via, array(n.rule))', 'concat(n.over, array(n.id))')})"""
-    return f"""flatten(transform(array({rules}[n.rule]), r -> concat(
-    CASE WHEN n.kind = 'object' THEN filter(
-        flatten(transform(map_entries({members('n.v')}), e -> CASE WHEN size(r.patterns) = 0
-            THEN array({_child(member, f"CASE WHEN map_contains_key({rules}, {named}) THEN {named} ELSE concat(n.rule, '/{OTHER_STEP}') END", 'e.value')})
-            ELSE transform(concat(
-                transform({fits}, p -> p.rule),
-                CASE WHEN map_contains_key({rules}, {named}) THEN array({named})
-                    WHEN size({fits}) = 0 THEN array(concat(n.rule, '/{OTHER_STEP}'))
+        'concat(n.via, array(n.rule))', 'concat(n.over, array(n.id))', 'n.kind')})"""
+    below = f"""CASE
+    WHEN n.kind = 'object' AND size(r.patterns) > 0 THEN flatten(transform(
+        map_entries({members('n.v')}), e -> flatten(transform(
+            array(filter(r.patterns, p -> e.key rlike p.expression)), fits -> transform(concat(
+                transform(fits, p -> p.rule),
+                CASE WHEN array_contains(r.declared, e.key) THEN array({named})
+                    WHEN size(fits) = 0 AND r.other THEN array(concat(n.rule, '/{OTHER_STEP}'))
                     ELSE cast(array() AS array<string>) END),
-                q -> {_child(member, 'q', 'e.value')}) END)),
-        c -> map_contains_key({rules}, c.rule))
-    WHEN n.kind = 'array' AND (r.prefix > 0 OR map_contains_key({rules}, {items}))
-        THEN filter(transform({elements('n.v')}, (x, i) -> {_child("concat(n.path, '/', i)", placed, 'x')}),
-            c -> map_contains_key({rules}, c.rule))
-    ELSE {_NO_VALUES} END,
-    CASE WHEN n.kind = 'array' AND map_contains_key({rules}, {contains})
+                q -> {_child(member, 'q', 'e.value')})))))
+    WHEN n.kind = 'object' AND (r.other OR size(r.declared) > 0) THEN {_member_values(())}
+    WHEN n.kind = 'array' AND (r.prefix > 0 OR r.all_items) THEN transform(
+        CASE WHEN r.all_items THEN {elements('n.v')} ELSE slice({elements('n.v')}, 1, r.prefix) END,
+        (x, i) -> {_child("concat(n.path, '/', i)", placed, 'x')})
+    ELSE {_NO_VALUES} END"""
+    counted = f"""CASE WHEN n.kind = 'array' AND map_contains_key({rules}, {contains})
         THEN transform({elements('n.v')}, (x, i) -> {_child(
             "concat(n.path, '/', i)", contains, 'x', 'cast(NULL AS int)', 'n.id', "'contains'")})
     WHEN n.kind = 'object' AND map_contains_key({rules}, {names})
         THEN transform(map_keys({members('n.v')}), k -> {_child(
             f"concat(n.path, '/', {step('k')})", names, 'cast(k AS variant)')})
-    ELSE {_NO_VALUES} END,
-    CASE WHEN n.kind = 'object' AND map_contains_key({rules}, {left_members})
+    ELSE {_NO_VALUES} END"""
+    left = f"""CASE WHEN n.kind = 'object' AND map_contains_key({rules}, {left_members})
         THEN transform(map_entries({members('n.v')}), e -> {_child(
             member, left_members, 'e.value', 'cast(NULL AS int)', 'n.id', "'unevaluatedProperties'")})
     WHEN n.kind = 'array' AND map_contains_key({rules}, {left_items})
         THEN transform({elements('n.v')}, (x, i) -> {_child(
             "concat(n.path, '/', i)", left_items, 'x', 'cast(NULL AS int)', 'n.id', "'unevaluatedItems'")})
-    ELSE {_NO_VALUES} END,
-    CASE WHEN size(r.same) > 0 THEN {same} ELSE {_NO_VALUES} END)))"""
+    ELSE {_NO_VALUES} END"""
+    return f"""flatten(transform(array({rules}[n.rule]), r -> CASE
+    WHEN size(r.same) > 0 THEN concat({below},
+        CASE WHEN r.extended THEN concat({counted}, {left}) ELSE {_NO_VALUES} END, {same})
+    WHEN n.kind NOT IN ('object', 'array') THEN {_NO_VALUES}
+    WHEN r.extended THEN concat({below}, {counted}, {left})
+    ELSE {below} END))"""
 
 
 def _loop(root: str, grow: str, rounds: str, numbered: bool = False) -> str:
@@ -266,9 +274,17 @@ def _loop(root: str, grow: str, rounds: str, numbered: bool = False) -> str:
         grown = f"""transform({grown}, (c, i) -> named_struct('id', size(acc.every) + i, 'path', c.path,
             'rule', c.rule, 'kind', c.kind, 'v', c.v, 'scope', coalesce(c.scope, size(acc.every) + i),
             'owner', c.owner, 'branch', c.branch, 'via', c.via, 'over', c.over))"""
-    return f"""aggregate(sequence(1, greatest(1, {rounds})), named_struct('now', {root}, 'every', {root}),
-        (acc, round) -> CASE WHEN size(acc.now) = 0 THEN acc ELSE get(transform(array({grown}),
-            new -> named_struct('now', new, 'every', concat(acc.every, new))), 0) END).every"""
+    # An aggregate copies its state every round, with all nodes found so far. So rounds come
+    # in blocks, each twice as long as the one before, and blocks after the last node are
+    # skipped whole: a row pays for about as many rounds as it is deep, not for its bound.
+    block = f"""aggregate(sequence(1, block.n), tree, (acc, round) -> CASE WHEN size(acc.now) = 0 THEN acc
+        ELSE get(transform(array({grown}),
+            new -> named_struct('now', new, 'every', concat(acc.every, new))), 0) END)"""
+    blocks = f"""flatten(transform(array(greatest(1, {rounds})), most -> transform(
+        sequence(0, length(bin(most)) - 1), i -> named_struct('n',
+            cast(least(shiftleft(1, i), most - shiftleft(1, i) + 1) AS int)))))"""
+    return f"""aggregate({blocks}, named_struct('now', {root}, 'every', {root}),
+        (tree, block) -> CASE WHEN size(tree.now) = 0 THEN tree ELSE {block} END).every"""
 
 
 def with_definition_nodes(
@@ -293,8 +309,10 @@ def with_record_nodes(df: DataFrame, v: str, rules: str, out: str) -> DataFrame:
         'v', {v}, 'scope', 0, 'owner', 0, 'branch', '', 'via', cast(array() AS array<string>),
         'over', cast(array() AS array<int>)))
         AS {_RECORD_NODES})"""
-    # A value is met by its own rule and, at most once each, by those combined in it.
-    rounds = f"""least(100000, ({nesting(f'to_json({v})')} + 1) * (size({rules}) + 1))"""
+    # A value is met by its own rule and, at most once each, by those combined in it; there
+    # are no more levels than opening brackets. Rounds that find nothing cost nothing.
+    opened = f"char_length(regexp_replace(to_json({v}), r'[^\\[{{]', ''))"
+    rounds = f"cast(least(1000000000L, ({opened} + 1L) * (size({rules}) + 1)) AS int)"
     return df.withColumn(out, F.expr(f"""CASE WHEN {rules}[''].further
         THEN {_loop(root, _grown(rules), rounds, numbered=True)}
         ELSE {_loop(root, _declared_values(rules), f"size({rules})")} END"""))

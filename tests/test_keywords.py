@@ -10,7 +10,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.functions import rules, text
+from recordloom.functions import jsontree, rules, text
 from recordloom.operators import registry
 from tests.test_validation import kinds
 
@@ -397,3 +397,26 @@ def test_one_deep_definition_costs_the_others_nothing(spark):
     assert len(plan) < 1.2 * len(same)  # the plan does not grow with the depth
     found = [r.problems for r in registry.check_definitions(df).collect()]
     assert found == [["/a: type must be a name or a list of distinct names"], []]
+
+
+def test_rules_ask_for_their_own_checks_only(spark):
+    schema = {"properties": {"a": {"type": "string", "maxLength": 3}, "b": {"minimum": 2}}, "items": True}
+    compiled = spark.createDataFrame([("s", json.dumps(schema))], "k string, schema_definition string")
+    found = rules.compile_rules(compiled, 1, ("k",)).first()["rules"]
+    names = [name for name, *_ in rules._CHECKS]
+    asked = {place: [names[c] for c in rule["checks"]] for place, rule in found.items()}
+    assert asked == {"": [], "/a": ["type", "maxLength"], "/b": ["minimum"], "/~i": []}
+
+
+def test_blocks_of_rounds_end_where_the_bound_says(spark):
+    grow = "array(named_struct('no', n.no + 1))"
+    for rounds in range(1, 20):
+        loop = jsontree._loop("array(named_struct('no', 0))", grow, str(rounds))
+        assert spark.sql(f"SELECT size({loop}) AS n").first()["n"] == rounds + 1
+
+
+def test_a_bound_far_beyond_the_last_node_is_not_worked_off(spark):
+    """A state of a thousand nodes that is copied in each of a million rounds never ends."""
+    wide = "transform(sequence(1, 1000), i -> named_struct('no', i))"
+    loop = jsontree._loop(wide, "filter(array(n), m -> false)", "1000000")
+    assert spark.sql(f"SELECT size({loop}) AS n FROM range(20)").agg({"n": "sum"}).first()[0] == 20_000
