@@ -418,14 +418,15 @@ NEEDS = {
 _SPARK_BASE64 = r"replace(base64(encode(\1, 'UTF-8')), concat(chr(13), chr(10)), '')"
 
 
-# Tables whose rows cost much work each, and the key that spreads them.
-_HEAVY = {"documents": "doc_id", "part": "p_partkey"}
+# Tables whose rows cost much work each, the key that spreads them, and how many a task
+# should have at most where rows are narrow.
+_HEAVY = {"documents": ("doc_id", None), "part": ("p_partkey", 20_000)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, _HEAVY[name]) if name in _HEAVY else rows
+    return spread(rows, *_HEAVY[name]) if name in _HEAVY else rows
 
 
 def _closure(names: tuple[str, ...]) -> list[str]:

@@ -9,13 +9,17 @@ from recordloom import model
 from recordloom.functions.text import base64_text
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
+def spread(scan: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """Use all cores on a table just read that came in fewer splits than there
-    are cores. A large table has more splits than that and is left alone."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
+    are cores. A large table has more splits than that and is left alone, unless
+    ``rows`` says how many a task should have at most: narrow rows that cost much
+    work come by the million in one split."""
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        wanted = max(wanted, -(-scan.count() // rows))
+    if scan.rdd.getNumPartitions() >= wanted:
         return scan
-    return scan.repartition(cores, key)
+    return scan.repartition(wanted, key)
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
