@@ -426,7 +426,10 @@ _HEAVY = {"documents": ("doc_id", None), "part": ("p_partkey", 20_000)}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, *_HEAVY[name]) if name in _HEAVY else rows
+    if name not in _HEAVY:
+        return rows
+    key, most = _HEAVY[name]
+    return spread(rows, key, rows=most)
 
 
 def _closure(names: tuple[str, ...]) -> list[str]:

@@ -9,17 +9,18 @@ from recordloom import model
 from recordloom.functions.text import base64_text
 
 
-def spread(scan: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+def spread(scan: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """Use all cores on a table just read that came in fewer splits than there
     are cores. A large table has more splits than that and is left alone, unless
-    ``rows`` says how many a task should have at most: narrow rows that cost much
-    work come by the million in one split."""
+    ``rows`` says how many a task should have at most: narrow rows come by the million
+    in one split, however many splits there are."""
     wanted = scan.sparkSession.sparkContext.defaultParallelism
-    if rows:
-        wanted = max(wanted, -(-scan.count() // rows))
+    count = scan.count() if rows else 0
+    if rows and count > rows:
+        return scan.repartition(max(wanted, -(-count // rows)), *keys)
     if scan.rdd.getNumPartitions() >= wanted:
         return scan
-    return scan.repartition(wanted, key)
+    return scan.repartition(wanted, *keys)
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
