@@ -15,6 +15,7 @@ fetch records in any order.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -22,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from recordloom.llm.crc32c import crc32c_all, masked
 from recordloom.llm.shared import column, small_batches, whole_text
@@ -38,10 +40,12 @@ from recordloom.session import materialise, new_folder
 
 HEAD = struct.Struct("<QI")
 ENTRY = np.dtype([("place", "<i8"), ("ids", "<i8"), ("doc_id", "<i8")])
-CACHE_WORDS = 500_000  # words of one of the two generations a worker remembers
+CACHE_WORDS = 200_000  # words of one of the two generations a worker remembers
 CLOSING_MARKS = (".", ",")
 LONG_WORD = 10_000  # characters of a word that is not worth remembering
-TEXTS_AT_ONCE = 500  # whose words are looked up together
+TEXTS_AT_ONCE = 500  # that are framed together
+BYTES_AT_ONCE = 4 << 20  # of texts whose words are looked up together
+WORDS_AT_ONCE = 64  # letters only, that go to the tokenizer as one text
 SEGMENT = 16 << 20  # bytes of a data file that are read at once
 NO_ID = -(1 << 63)  # stands for a null id in the index
 
@@ -58,6 +62,17 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 
 
+def texts_together(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in parts of BYTES_AT_ONCE, or of one text that is longer."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = upto[first - 1] if first else 0
+        last = max(int(np.searchsorted(upto, before + BYTES_AT_ONCE, side="right")), first + 1)
+        yield texts.slice(first, last - first)
+        first = last
+
+
 def core_and_mark(word: str) -> tuple[str, str]:
     """A word as (lower-case letters, one closing mark or nothing) where its ids
     are those of the two, one behind the other; else as (word, nothing).
@@ -79,6 +94,9 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.width = width
+        self.ends = _word_ends(self.tokenizer)
+        self.normalizer = self.tokenizer.normalizer
+        self.letters = self.ends.any() and _keeps_letters(json.loads(vocabulary).get("normalizer"))
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}  # the generation before
 
@@ -92,26 +110,63 @@ class WordCoder:
     def _learn(self, words: set[str]) -> None:
         """Have the tokenizer encode what cannot be put together from known ids."""
         missing = self._recalled(words)
-        split = {word: core_and_mark(word) for word in missing}
-        split = {word: parts for word, parts in split.items() if parts != (word, "")}
-        parts = set(chain.from_iterable(split.values()))
-        fresh = list(missing.difference(split) | self._recalled(parts))
-        known, width = self.known, self.width
-        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        lengths = [len(x) for x in found]
-        ids = np.fromiter(chain.from_iterable(x.ids for x in found), width, sum(lengths)).tobytes()
-        size = np.dtype(width).itemsize
-        ends = (np.cumsum([0, *lengths]) * size).tolist()
-        known.update((part, ids[a:b]) for part, a, b in zip(fresh, ends, ends[1:], strict=False))
-        known.update((word, known[core] + known[mark]) for word, (core, mark) in split.items())
+        split, fresh = [], []
+        for word in missing:
+            if word.isalpha() and word.islower():  # is its own core
+                fresh.append(word)
+            elif (parts := core_and_mark(word)) != (word, ""):
+                split.append((word, *parts))
+            else:
+                fresh.append(word)
+        fresh = set(fresh)
+        fresh |= self._recalled({part for _, *parts in split for part in parts})
+        letters = [x for x in fresh if x.isalpha() and x.lower() == x] if self.letters else []
+        fresh.difference_update(letters)
+        rest = [*fresh, *self._learn_letters(letters)]
+        self._remember(rest, *self._ids(rest))
+        known = self.known
+        for word, core, mark in split:
+            known[word] = known[core] + known[mark]
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and how many each has."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ids = chain.from_iterable(x.ids for x in found)
+        return np.fromiter(ids, self.width, int(lengths.sum())), lengths
+
+    def _remember(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        ends = (np.cumsum(lengths) * ids.itemsize).tolist()
+        data = ids.tobytes()
+        self.known.update((x, data[a:b]) for x, a, b in zip(words, [0, *ends], ends, strict=False))
+
+    def _learn_letters(self, words: list[str]) -> list[str]:
+        """Have the tokenizer encode words of lower-case letters, many as one text, and
+        give back those it cuts: the others end where an id ends a word. Texts in normal
+        form are not normalized once more."""
+        runs = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
+        texts = [" ".join(run) for run in runs]
+        if all(is_normalized("NFC", text) for text in texts):
+            self.tokenizer.normalizer = normalizers.Sequence([])
+        ids, lengths = self._ids(texts)
+        self.tokenizer.normalizer = self.normalizer
+        last = self.ends[ids]
+        upto = np.concatenate([[0], np.cumsum(last)])
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        whole = np.diff(upto[edges]) == np.fromiter(map(len, runs), np.int64, len(runs))
+        kept = np.repeat(whole, lengths)
+        stops = np.flatnonzero(last[kept]) + 1
+        same = [word for run, good in zip(runs, whole.tolist(), strict=True) if good for word in run]
+        self._remember(same, ids[kept], np.diff(stops, prepend=0))
+        return [word for run, good in zip(runs, whole.tolist(), strict=True) if not good for word in run]
 
     def encode(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
         """The ids of each text: those of the different words of many texts are laid
         out once and gathered by the places of the words."""
         if isinstance(texts, list):
             texts = pa.array(texts, pa.string())
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            cut = words_of(texts.slice(at, TEXTS_AT_ONCE))
+        for some in texts_together(texts):
+            cut = words_of(some)
             coded = cut.flatten().dictionary_encode()
             every = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             self._learn(set(every))
@@ -122,7 +177,9 @@ class WordCoder:
             places = coded.indices.to_numpy()
             counts = sizes[places]
             upto = np.concatenate([[0], np.cumsum(counts)])
-            gathered = ids[np.repeat(starts[places] - upto[:-1], counts) + np.arange(upto[-1])]
+            index = np.int32 if max(len(ids), upto[-1]) < 1 << 31 else np.int64
+            shift = (starts[places] - upto[:-1]).astype(index)
+            gathered = ids[np.repeat(shift, counts) + np.arange(upto[-1], dtype=index)]
             ends = upto[np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])]
             for first, last in zip(ends, ends[1:], strict=False):
                 yield gathered[first:last].tobytes()
@@ -132,6 +189,28 @@ class WordCoder:
                 self.older, self.known = {}, {"": b""}
 
 
+def _word_ends(tokenizer: Tokenizer) -> np.ndarray:
+    """Whether an id ends a word, for all ids; none does without such a suffix."""
+    suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+    names = tokenizer.get_vocab()
+    ends = np.zeros(max(names.values(), default=-1) + 1, bool)
+    if suffix:
+        ends[[i for name, i in names.items() if name.endswith(suffix)]] = True
+    return ends
+
+
+def _keeps_letters(normalizer: dict | None) -> bool:
+    """Whether a tokenizer file's normalizer leaves lower-case letters in normal form
+    and single spaces as they are: composition, white space and case alone."""
+    if normalizer is None:
+        return True
+    if normalizer["type"] == "Sequence":
+        return all(map(_keeps_letters, normalizer["normalizers"]))
+    if normalizer["type"] == "Replace":
+        return (normalizer["pattern"], normalizer["content"]) == ({"Regex": r"\s+"}, " ")
+    return normalizer["type"] in ("NFC", "Lowercase")
+
+
 @lru_cache(maxsize=2)
 def word_coder(vocabulary: str, width: str) -> WordCoder:
     """One coder per worker process, whose memory outlives a task."""
@@ -166,6 +245,19 @@ def unframed(data: bytes) -> list[bytes]:
     return payloads
 
 
+def _together(batches) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of as many batches as hold BYTES_AT_ONCE: the more texts, the fewer
+    different words to each."""
+    held, size = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            size += batch.column("_text").nbytes
+        if held and (batch is None or size >= BYTES_AT_ONCE):
+            yield tuple(pa.concat_arrays([x.column(c) for x in held]) for c in ("_id", "_text"))
+            held, size = [], 0
+
+
 def _writer(folder: str, vocabulary, end_id: int, width: str):
     def run(batches):
         files, path = opened(folder)
@@ -174,14 +266,14 @@ def _writer(folder: str, vocabulary, end_id: int, width: str):
         # A name of its own for every attempt: only the one whose row is kept counts.
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         data, index, place, total = None, [], 0, 0
-        for batch in batches:
-            if data is None and batch.num_rows:
+        for doc_ids, texts in _together(batches):
+            if data is None and len(texts):
                 files.create_dir(path, recursive=True)
                 data = files.open_output_stream(f"{path}/{name}.rec")
-            payloads = [x + last for x in coder.encode(batch.column("_text"))]
+            payloads = [x + last for x in coder.encode(texts)]
             for at in range(0, len(payloads), TEXTS_AT_ONCE):
                 some = payloads[at : at + TEXTS_AT_ONCE]
-                ids = batch.column("_id")[at : at + TEXTS_AT_ONCE].to_pylist()
+                ids = doc_ids[at : at + TEXTS_AT_ONCE].to_pylist()
                 for frame, payload, doc_id in zip(frames(some), some, ids, strict=True):
                     count = len(payload) // np.dtype(width).itemsize
                     index.append((place, count, NO_ID if doc_id is None else doc_id))

@@ -159,3 +159,18 @@ def test_files_follow_their_format_and_damage_is_found(spark, documents):
         records.unframed(bytes(broken))
     with pytest.raises(ValueError):
         records.unframed(data[:-1])
+
+
+def test_words_of_letters_go_to_the_tokenizer_together():
+    coder = records.WordCoder(vocabulary(), "<u4")
+    plain = Tokenizer.from_str(vocabulary())
+    plain.encode_special_tokens = True
+    odd = ["\u0130stanbul", "\u0958\u0959", "\u039f\u0394\u039f\u03a3", "\u1112\u1161\u11ab", "t\u0308x", "a</w>", "\u01c5", "\u00df."]
+    texts = [f"Word{'abcdefghij'[i % 10] * (i % 7 + 1)}q other {odd[i % len(odd)]} {chr(97 + i % 26) * (i % 90)}." for i in range(1_200)]
+    learnt, sent = [], []
+    learn, ids = coder._learn, coder._ids
+    coder._learn = lambda words: (learnt.append(len(words)), learn(words))
+    coder._ids = lambda some: (sent.append(len(some)), ids(some))[1]
+    found = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)]
+    assert found == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert len(learnt) == 1 and sum(sent) < learnt[0] / 5
