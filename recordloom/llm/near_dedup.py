@@ -57,6 +57,9 @@ MAX_IDS = 1_000_000
 #: buckets are.
 COMMON = 16
 MOST_COMMON = 20_000
+#: Members of a bucket from which it is dealt over SALTS tasks.
+HOT = 1_000
+SALTS = 8
 
 Order = tuple[np.ndarray, np.ndarray]  # common shingles, sorted, and their counts
 
@@ -358,14 +361,19 @@ _PAIR = "a bigint, b bigint"
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose sizes and registers allow the threshold."""
-    side = nodes.select("_id", "n", "registers")
-    left = side.toDF("a", "na", "ra")
-    right = side.toDF("b", "nb", "rb")
+    """Pairs whose sizes and registers allow the threshold. Sizes come first: registers
+    move for the pairs they leave only."""
+    sizes = nodes.select("_id", "n").distinct()
+    sized = materialise(
+        pairs.join(sizes.toDF("a", "na"), "a")
+        .join(sizes.toDF("b", "nb"), "b")
+        .filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")),
+        "sized-pairs",
+    )
+    side = nodes.join(_wanted_ids(sized), "_id", "left_semi").select("_id", "n", "registers")
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
+        sized.join(side.toDF("a", "na", "ra"), ["a", "na"])
+        .join(side.toDF("b", "nb", "rb"), ["b", "nb"])
         .select("a", "b", "na", "nb", "ra", "rb")
         .mapInArrow(_estimator(threshold), _PAIR)
     )
@@ -380,17 +388,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _bucket_join(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Join rows that have their bucket's ``band`` and ``size`` with the one row of each
+    bucket. Large buckets are dealt out by id, and only their rows are copied."""
+    large = F.col("size") > HOT
+    salt = F.when(large, F.pmod(F.xxhash64("_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    last = F.when(large, SALTS - 1).otherwise(0)
+    copies = buckets.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("size")
+    return members.withColumn("_salt", salt).join(copies, ["band", "_salt"]).drop("_salt")
+
+
+def _bucket_members(bands: DataFrame) -> DataFrame:
+    """The rows of ``bands`` (_id, band) that are not alone in their bucket, with its size."""
+    sizes = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = materialise(sizes, "bucket-sizes")
+    # At most one bucket for HOT rows.
+    large = sizes.filter(F.col("size") > HOT)
+    known = bands.join(F.broadcast(large), "band", "left").withColumn(
+        "size", F.coalesce("size", F.lit(0))
+    )
+    whole = sizes.withColumn("members", F.col("size"))
+    found = _bucket_join(known, whole)
+    return found.select("_id", "band", F.col("members").alias("size"))
+
+
 def _stars(members: DataFrame) -> DataFrame:
     """At most two pairs (a, b) of each member of a bucket with leaders it has."""
     popular = members.groupBy("_id").agg(F.sum("size").alias("popularity"))
     led = (
         members.join(popular, "_id")
         .groupBy("band")
-        .agg(F.max(F.struct("popularity", (-F.col("_id")).alias("id"))).alias("_first"))
-        .select("band", "_first.popularity", (-F.col("_first.id")).alias("leader"))
+        .agg(
+            F.max(F.struct("popularity", (-F.col("_id")).alias("id"))).alias("_first"),
+            F.max("size").alias("size"),
+        )
+        .select("band", "size", "_first.popularity", (-F.col("_first.id")).alias("leader"))
     )
     met = (
-        spread_join(members.select("band", "_id"), led, ["band"], ["_id"], "inner", salts=8)
+        _bucket_join(members, led)
         .filter("leader <> _id")
         .groupBy("_id", "leader")
         .agg(F.count("*").alias("shared"), F.max("popularity").alias("popularity"))
@@ -406,13 +441,16 @@ def _stars(members: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _shingle_sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(_id, shingles) of the documents in ``pairs``, stored once."""
+def _wanted_ids(pairs: DataFrame) -> DataFrame:
+    """The ids in ``pairs``, to be broadcast where they are few."""
     ids = pairs.select("a").union(pairs.select("b")).toDF("_id").filter("_id is not null")
     ids = materialise(ids.distinct(), "wanted-ids")
-    if ids.count() <= MAX_IDS:
-        ids = F.broadcast(ids)
-    texts = rows.join(ids, "_id", "left_semi")
+    return F.broadcast(ids) if ids.count() <= MAX_IDS else ids
+
+
+def _shingle_sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(_id, shingles) of the documents in ``pairs``, stored once."""
+    texts = rows.join(_wanted_ids(pairs), "_id", "left_semi")
     return materialise(texts.mapInArrow(_set_rows, "_id bigint, shingles array<bigint>"), "sets")
 
 
@@ -488,14 +526,7 @@ def near_groups(
     bands = nodes.select("_id", "n", "registers", "few").mapInArrow(
         _bander(order, threshold), "_id bigint, band bigint"
     )
-    sizes = (
-        bands.groupBy("band")
-        .agg(F.count("*").alias("size"))
-        .filter("size > 1")
-    )
-    members = materialise(
-        spread_join(bands, sizes, ["band"], ["_id"], "inner", salts=8), "bucket-members"
-    )
+    members = materialise(_bucket_members(bands), "bucket-members")
     stars = materialise(_stars(members), "stars")
     hopeful = materialise(_estimated(stars, nodes, threshold), "hopeful-pairs")
     sets = _shingle_sets(rows, hopeful)
@@ -505,14 +536,14 @@ def near_groups(
     placed = members.join(comps.toDF("_id", "comp"), "_id", "left").withColumn(
         "comp", F.coalesce("comp", "_id")
     )
-    placed = materialise(placed.select("band", "_id", "comp"), "bucket-members")
+    placed = materialise(placed.select("band", "size", "_id", "comp"), "bucket-members")
     mixed = (
-        placed.groupBy("band")
-        .agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("size"))
+        placed.groupBy("band", "size")
+        .agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count("*").alias("rows"))
         .filter("_low < _high")
-        .select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        .select("band", "size", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     )
-    spread = spread_join(placed, mixed, ["band"], ["_id"], "inner", salts=8).withColumn(
+    spread = _bucket_join(placed, mixed).withColumn(
         "block", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")
     )
     # Every member meets every block of its bucket once: side 0 within its own
@@ -569,8 +600,14 @@ def near_groups(
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    kept = near_groups(docs, threshold).filter("kept and doc_id is not null").select("doc_id")
-    kept = materialise(kept.distinct(), "kept-documents")
+    """The documents that stay, one of each group, with all their columns.
+
+    The ids that go are far fewer than those that stay; as long as they can be
+    broadcast, no text moves.
+    """
+    ids = near_groups(docs, threshold).filter("doc_id is not null").groupBy("doc_id")
+    gone = ids.agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
+    gone = materialise(gone, "dropped-documents")
     # Ids are unique on the right and nearly so on the left: an even shuffle.
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    gone = F.broadcast(gone) if gone.count() <= MAX_IDS else gone.hint("merge")
+    return docs.join(gone, "doc_id", "left_anti")

@@ -337,3 +337,32 @@ def test_mixture_of_edge_rows(edge_docs, edge_rows, no_docs):
     assert mixed.count() == sum(r._epochs for r in rows)
     nothing = mixing.epochs(no_docs, queries.domain(), queries.MIXTURE)
     assert nothing.count() == 0 and mixing.mixture(nothing).count() == 0
+
+
+def test_dropping_near_copies_moves_no_text(spark, documents):
+    """Not by the size of the stored ids: a larger table of them moved all texts."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        left = near_dedup.drop_near_copies(documents)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        found = sorted(r.doc_id for r in left.collect())
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    kept = near_dedup.near_groups(documents).filter("kept")
+    assert found == sorted(r.doc_id for r in kept.collect())
+
+
+def test_large_buckets_are_dealt_out(spark, monkeypatch):
+    rows = [(i, band) for band, size in ((7, 50), (8, 2), (9, 1)) for i in range(size)]
+    bands = spark.createDataFrame(rows, "_id bigint, band bigint")
+    want = sorted((i, band, {7: 50, 8: 2}[band]) for i, band in rows if band != 9)
+    for hot in (1, 10, 1_000):
+        monkeypatch.setattr(near_dedup, "HOT", hot)
+        members = near_dedup._bucket_members(bands)
+        assert sorted(map(tuple, members.collect())) == want
+        buckets = members.groupBy("band", "size").count().withColumnRenamed("count", "rows")
+        joined = near_dedup._bucket_join(members, buckets).select("_id", "band", "rows")
+        assert sorted(map(tuple, joined.collect())) == want
