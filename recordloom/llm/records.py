@@ -23,7 +23,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from unicodedata import is_normalized
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, normalizers
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from recordloom.llm.crc32c import crc32c_all, masked
 from recordloom.llm.shared import column, small_batches, whole_text
@@ -40,9 +40,12 @@ from recordloom.session import materialise, new_folder
 
 HEAD = struct.Struct("<QI")
 ENTRY = np.dtype([("place", "<i8"), ("ids", "<i8"), ("doc_id", "<i8")])
-CACHE_WORDS = 200_000  # words of one of the two generations a worker remembers
-CLOSING_MARKS = (".", ",")
-LONG_WORD = 10_000  # characters of a word that is not worth remembering
+CACHE_WORDS = 500_000  # that a worker remembers, words met long ago are forgotten
+CACHE_BYTES = 32 << 20  # of these words, whatever their number
+MARKS = punctuation  # of ASCII
+ALPHABETS = 0x0530  # Latin, Greek and Cyrillic letters are before it
+#: Pattern of vocabularies that take contractions, runs of letters, digits and runs of marks apart.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TEXTS_AT_ONCE = 500  # that are framed together
 BYTES_AT_ONCE = 4 << 20  # of texts whose words are looked up together
 WORDS_AT_ONCE = 64  # letters only, that go to the tokenizer as one text
@@ -73,21 +76,12 @@ def texts_together(texts: pa.Array) -> Iterator[pa.Array]:
         first = last
 
 
-def core_and_mark(word: str) -> tuple[str, str]:
-    """A word as (lower-case letters, one closing mark or nothing) where its ids
-    are those of the two, one behind the other; else as (word, nothing).
+class WordCoder:
+    """Ids of texts as bytes, remembering the ids of words met before, in arrays.
 
-    The vocabulary lower-cases, and separates letters from other characters.
+    Words are cut into letters and closing marks where the tokenizer does so, too: then
+    a word costs nothing in capitals or with another mark behind it.
     """
-    core, mark = (word[:-1], word[-1]) if word[-1:] in CLOSING_MARKS else (word, "")
-    lower = core.lower()  # of some letters with a mark that is none
-    if not (core.isalpha() and lower.isalpha()) or "\u03a3" in core:  # a final sigma is lower-cased by context
-        return word, ""
-    return lower, mark
-
-
-class WordCoder:
-    """Ids of texts as bytes, remembering the ids of words met before."""
 
     def __init__(self, vocabulary: str, width: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
@@ -95,38 +89,50 @@ class WordCoder:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.width = width
         self.ends = _word_ends(self.tokenizer)
-        self.normalizer = self.tokenizer.normalizer
-        self.letters = self.ends.any() and _keeps_letters(json.loads(vocabulary).get("normalizer"))
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}  # the generation before
-
-    def _recalled(self, words: set[str]) -> set[str]:
-        """Of ``words`` those in neither generation; the others are in the younger now."""
-        missing = words - self.known.keys()
-        again = missing & self.older.keys()
-        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        return missing - again
-
-    def _learn(self, words: set[str]) -> None:
-        """Have the tokenizer encode what cannot be put together from known ids."""
-        missing = self._recalled(words)
-        split, fresh = [], []
-        for word in missing:
-            if word.isalpha() and word.islower():  # is its own core
-                fresh.append(word)
-            elif (parts := core_and_mark(word)) != (word, ""):
-                split.append((word, *parts))
-            else:
-                fresh.append(word)
-        fresh = set(fresh)
-        fresh |= self._recalled({part for _, *parts in split for part in parts})
-        letters = [x for x in fresh if x.isalpha() and x.lower() == x] if self.letters else []
-        fresh.difference_update(letters)
-        rest = [*fresh, *self._learn_letters(letters)]
-        self._remember(rest, *self._ids(rest))
-        known = self.known
-        for word, core, mark in split:
-            known[word] = known[core] + known[mark]
+        self.normalizer, self.pre_tokenizer = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.letters = _plain_letters(self.tokenizer, json.loads(vocabulary))
+        self.block = 0
+        self.words = pa.array([""])  # remembered, with their ids one behind the other,
+        self.ids = np.zeros(0, width)
+        self.sizes = np.zeros(1, np.int64)  # how many ids each has
+        self.used = np.zeros(1, np.int64)  # and the last block each was met in
+
+    def _parts(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Different parts of words, and the places of each word's two: lower-case letters
+        and marks, or the word as it is and nothing."""
+        words = words.cast(pa.string())
+        core, mark = pc.utf8_rtrim(words, MARKS), pc.utf8_ltrim(words, self.letters)
+        both = pc.add(pc.binary_length(core), pc.binary_length(mark))
+        clean = pc.equal(both, pc.binary_length(words))  # letters up to the marks, nothing between
+        first = pc.if_else(clean, pc.utf8_lower(core), words)
+        coded = pa.concat_arrays([first, pc.if_else(clean, mark, "")]).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy().reshape(2, -1).T.ravel()
+
+    def _learn(self, words: pa.Array) -> None:
+        """Have the tokenizer encode new words, and remember them behind the others."""
+        every = words.to_numpy(zero_copy_only=False).tolist()
+        lettered = np.zeros(len(every), bool)
+        if self.letters:
+            lettered = pc.equal(pc.utf8_ltrim(words, self.letters), "").to_numpy(zero_copy_only=False)
+        together = np.flatnonzero(lettered)
+        some, counts, whole = self._letters([every[i] for i in together])
+        rest = np.concatenate([np.flatnonzero(~lettered), together[~whole]])
+        others, more = self._ids([every[i] for i in rest])
+        order = np.argsort(np.concatenate([together[whole], rest]))
+        ids, upto = _gathered(np.concatenate([some, others]), np.concatenate([counts, more]), order)
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate([self.ids, ids])
+        self.sizes = np.concatenate([self.sizes, np.diff(upto)])
+        self.used = np.concatenate([self.used, np.full(len(words), self.block)])
+
+    def _forget(self) -> None:
+        """Keep the words met last, up to half of what may be remembered."""
+        order = np.argsort(-self.used, kind="stable")[: CACHE_WORDS // 2]
+        lengths = pc.binary_length(self.words).to_numpy().astype(np.int64)
+        order = order[np.cumsum(lengths[order]) <= CACHE_BYTES // 2]
+        self.words = self.words.take(pa.array(order))
+        self.ids, upto = _gathered(self.ids, self.sizes, order)
+        self.sizes, self.used = np.diff(upto), self.used[order]
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each has."""
@@ -135,30 +141,31 @@ class WordCoder:
         ids = chain.from_iterable(x.ids for x in found)
         return np.fromiter(ids, self.width, int(lengths.sum())), lengths
 
-    def _remember(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        ends = (np.cumsum(lengths) * ids.itemsize).tolist()
-        data = ids.tobytes()
-        self.known.update((x, data[a:b]) for x, a, b in zip(words, [0, *ends], ends, strict=False))
-
-    def _learn_letters(self, words: list[str]) -> list[str]:
-        """Have the tokenizer encode words of lower-case letters, many as one text, and
-        give back those it cuts: the others end where an id ends a word. Texts in normal
-        form are not normalized once more."""
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Have the tokenizer encode words of lower-case letters, many as one text; give
+        back the ids of those it does not cut, how many each has, and which words these
+        are: they end where an id ends a word. Words of letters are in normal form, and
+        the vocabulary's pattern would cut them at spaces."""
         runs = [words[at : at + WORDS_AT_ONCE] for at in range(0, len(words), WORDS_AT_ONCE)]
-        texts = [" ".join(run) for run in runs]
-        if all(is_normalized("NFC", text) for text in texts):
-            self.tokenizer.normalizer = normalizers.Sequence([])
-        ids, lengths = self._ids(texts)
-        self.tokenizer.normalizer = self.normalizer
+        self.tokenizer.normalizer = normalizers.Sequence([])
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
+        try:
+            ids, lengths = self._ids([" ".join(run) for run in runs])
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.normalizer, self.pre_tokenizer
         last = self.ends[ids]
         upto = np.concatenate([[0], np.cumsum(last)])
         edges = np.concatenate([[0], np.cumsum(lengths)])
-        whole = np.diff(upto[edges]) == np.fromiter(map(len, runs), np.int64, len(runs))
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        whole = np.diff(upto[edges]) == sizes
         kept = np.repeat(whole, lengths)
         stops = np.flatnonzero(last[kept]) + 1
-        same = [word for run, good in zip(runs, whole.tolist(), strict=True) if good for word in run]
-        self._remember(same, ids[kept], np.diff(stops, prepend=0))
-        return [word for run, good in zip(runs, whole.tolist(), strict=True) if not good for word in run]
+        return ids[kept], np.diff(stops, prepend=0), np.repeat(whole, sizes)
 
     def encode(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
         """The ids of each text: those of the different words of many texts are laid
@@ -168,25 +175,32 @@ class WordCoder:
         for some in texts_together(texts):
             cut = words_of(some)
             coded = cut.flatten().dictionary_encode()
-            every = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-            self._learn(set(every))
-            each = list(map(self.known.__getitem__, every))
-            ids = np.frombuffer(b"".join(each), self.width)
-            sizes = np.fromiter(map(len, each), np.int64, len(each)) // np.dtype(self.width).itemsize
-            starts = np.cumsum(sizes) - sizes
-            places = coded.indices.to_numpy()
-            counts = sizes[places]
-            upto = np.concatenate([[0], np.cumsum(counts)])
-            index = np.int32 if max(len(ids), upto[-1]) < 1 << 31 else np.int64
-            shift = (starts[places] - upto[:-1]).astype(index)
-            gathered = ids[np.repeat(shift, counts) + np.arange(upto[-1], dtype=index)]
-            ends = upto[np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])]
+            parts, places = self._parts(coded.dictionary)
+            self.block += 1
+            found = pc.index_in(parts, value_set=self.words)
+            missing = found.is_null().to_numpy(zero_copy_only=False)
+            found = found.fill_null(0).to_numpy().astype(np.int64)
+            self.used[found] = self.block
+            if missing.any():
+                found[missing] = len(self.words) + np.arange(missing.sum())
+                self._learn(parts.filter(pa.array(missing)))
+            ids, upto = _gathered(self.ids, self.sizes, found[places])  # of the different words
+            ids, upto = _gathered(ids, np.diff(upto[::2]), coded.indices.to_numpy())
+            ends = upto[np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])].tolist()
             for first, last in zip(ends, ends[1:], strict=False):
-                yield gathered[first:last].tobytes()
-            if len(self.known) > CACHE_WORDS:
-                self.older, self.known = self.known, {"": b""}
-            if max(map(len, every), default=0) > LONG_WORD:
-                self.older, self.known = {}, {"": b""}
+                yield ids[first:last].tobytes()
+            if len(self.words) > CACHE_WORDS or self.words.nbytes > CACHE_BYTES:
+                self._forget()
+
+
+def _gathered(ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids at ``places``, one behind the other, of words that have ``sizes`` ids each,
+    and the bounds of the places in them."""
+    counts = sizes[places]
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    index = np.int32 if max(len(ids), upto[-1]) < 1 << 31 else np.int64
+    shift = ((np.cumsum(sizes) - sizes)[places] - upto[:-1]).astype(index)
+    return ids[np.repeat(shift, counts) + np.arange(upto[-1], dtype=index)], upto
 
 
 def _word_ends(tokenizer: Tokenizer) -> np.ndarray:
@@ -211,6 +225,46 @@ def _keeps_letters(normalizer: dict | None) -> bool:
     return normalizer["type"] in ("NFC", "Lowercase")
 
 
+def _cuts_at_letters(pre_tokenizer: dict | None) -> bool:
+    """Whether a tokenizer file takes runs of letters and runs of marks apart, and does
+    nothing else with them but to write their bytes as characters."""
+    match pre_tokenizer:
+        case {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+            ],
+        }:
+            return pattern == LETTER_RUNS
+    return False
+
+
+def _plain_letters(tokenizer: Tokenizer, file: dict) -> str:
+    """Letters whose words a tokenizer takes as they are in lower case: those that it
+    turns into one letter, the one Python and Arrow turn them into. None of a tokenizer
+    of another kind. No two letters before ALPHABETS compose."""
+    model = file["model"]
+    if not (
+        model["type"] == "BPE"
+        and model.get("end_of_word_suffix")
+        and _keeps_letters(file.get("normalizer"))
+        and _cuts_at_letters(file.get("pre_tokenizer"))
+        and all(token["special"] for token in file.get("added_tokens") or [])
+    ):
+        return ""
+    every = [c for c in map(chr, range(ALPHABETS)) if c.isalpha()]
+    lower = pc.utf8_lower(pa.array(every)).to_pylist()
+    turned = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+    return "".join(
+        c
+        for c, small in zip(every, lower, strict=True)
+        if turned(c) == c.lower() == small == turned(small)
+        and len(small) == 1
+        and len(tokenizer.pre_tokenizer.pre_tokenize_str(small + small)) == 1
+    )
+
+
 @lru_cache(maxsize=2)
 def word_coder(vocabulary: str, width: str) -> WordCoder:
     """One coder per worker process, whose memory outlives a task."""

@@ -174,3 +174,32 @@ def test_words_of_letters_go_to_the_tokenizer_together():
     found = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)]
     assert found == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
     assert len(learnt) == 1 and sum(sent) < learnt[0] / 5
+
+
+def test_capitals_and_marks_make_no_new_words():
+    coder = records.WordCoder(vocabulary(), "<u4")
+    plain = Tokenizer.from_str(vocabulary())
+    list(coder.encode(["alpha βήτα гамма étude !!! %%% '"]))
+    sent, ids = [], coder._ids
+    coder._ids = lambda some: (sent.extend(some), ids(some))[1]
+    texts = ["ALPHA!!! Βήτα%%% ГАММА' Étude!!!", "Alpha' %%% ÉTUDE"]
+    found = [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)]
+    assert found == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert sent == []
+
+
+def test_words_met_last_are_remembered(monkeypatch):
+    monkeypatch.setattr(records, "CACHE_WORDS", 200)
+    coder = records.WordCoder(vocabulary(), "<u4")
+    plain = Tokenizer.from_str(vocabulary())
+    sent, ids = [], coder._ids
+    coder._ids = lambda some: (sent.extend(" ".join(some).split()), ids(some))[1]
+    for block in range(20):
+        text = "always " + " ".join(f"{'abcdefghij'[block % 10] * (block + 1)}{'klmnopqrst'[i % 10] * (i + 1)}" for i in range(50))
+        (found,) = coder.encode([text])
+        assert np.frombuffer(found, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sent.count("always") == 1 and len(coder.words) <= 200
+    monkeypatch.setattr(records, "CACHE_BYTES", 1_000)
+    (found,) = coder.encode(["x" * 5_000 + " always"])
+    assert np.frombuffer(found, "<u4").tolist()[-1:] == plain.encode("always", add_special_tokens=False).ids[-1:]
+    assert coder.words.nbytes <= 1_000
