@@ -1,4 +1,4 @@
-"""Flatten JSON schema definitions and JSON records into arrays of nodes.
+"""Flatten JSON schema definitions into arrays of nodes.
 
 Places are JSON pointers (``/a/b``); the steps into array items and to members
 that are not named are written ``~i`` and ``~o`` for rules, which no property name
@@ -21,13 +21,6 @@ OTHER_STEP = "~o"  # to members a definition does not name
 _DEFINITION_NODES = (
     "array<struct<path:string,name:string,needed:boolean,depth:int,at:string,v:variant>>"
 )
-#: A value of a record that a rule applies to. ``scope`` is the number of the node its
-#: verdict belongs to: the root, or the branch of a combinator it lies in; ``owner``
-#: and ``branch`` name the node and keyword a branch hangs on. ``via`` has the rules met
-#: at the same value, so that references in a circle end, and ``over`` the numbers of the
-#: nodes they were met at.
-_RECORD_NODES = """array<struct<id:int,path:string,rule:string,kind:string,v:variant,
-    scope:int,owner:int,branch:string,via:array<string>,over:array<int>>>"""
 
 
 def kind(v: str) -> str:
@@ -175,105 +168,9 @@ _WITH_OTHERS = f"""concat({_DECLARED},
         ))), {_NO_NODES}))"""
 
 
-def _child(path: str, rule: str, v: str, scope: str = "n.scope", owner: str = "n.owner",
-           branch: str = "n.branch", via: str | None = None, over: str | None = None,
-           known_kind: str | None = None) -> str:
-    """A node below ``n``; without a scope it begins one of its own."""
-    return f"""named_struct('id', cast(NULL AS int), 'path', {path}, 'rule', {rule}, 'kind', {known_kind or kind(v)},
-        'v', {v}, 'scope', {scope}, 'owner', {owner}, 'branch', {branch},
-        'via', {via or 'cast(array() AS array<string>)'},
-        'over', {over or 'cast(array() AS array<int>)'})"""
-
-
-_NO_VALUES = f"cast(array() AS {_RECORD_NODES})"
-
-
-def _member_values(scope: tuple[str, ...]) -> str:
-    """Members of an object that the rule ``r`` of their node has a rule for: which one
-    is known from the names it declares, so that other members cost nothing."""
-    named = f"concat(n.rule, '/', {step('e.key')})"
-    other = f"concat(n.rule, '/{OTHER_STEP}')"
-    child = _child(
-        f"concat(n.path, '/', {step('e.key')})",
-        f"CASE WHEN array_contains(r.declared, e.key) THEN {named} ELSE {other} END",
-        "e.value", *scope,
-    )
-    return f"""transform(filter(map_entries({members('n.v')}),
-        e -> r.other OR array_contains(r.declared, e.key)), e -> {child})"""
-
-
-def _declared_values(rules: str) -> str:
-    """Members and elements of a node that a rule applies to, where a definition has no
-    further keywords: one rule a value, one scope for all."""
-    item = _child("concat(n.path, '/', i)", f"concat(n.rule, '/{ITEM_STEP}')", "x", "0", "0", "''")
-    return f"""CASE WHEN n.kind IN ('object', 'array') THEN flatten(transform(array({rules}[n.rule]), r -> CASE
-    WHEN n.kind = 'object' AND (r.other OR size(r.declared) > 0) THEN {_member_values(("0", "0", "''"))}
-    WHEN n.kind = 'array' AND r.all_items THEN transform({elements('n.v')}, (x, i) -> {item})
-    ELSE {_NO_VALUES} END)) ELSE {_NO_VALUES} END"""
-
-
-def _grown(rules: str) -> str:
-    """Values a rule applies to below a node, and the node's own value again for the
-    schemas combined in its rule; below anything else nothing can be wrong."""
-    named = f"concat(n.rule, '/', {step('e.key')})"
-    member = f"concat(n.path, '/', {step('e.key')})"
-    items = f"concat(n.rule, '/{ITEM_STEP}')"
-    placed = f"CASE WHEN i < r.prefix THEN concat(n.rule, '/~prefixItems/', i) ELSE {items} END"
-    contains = "concat(n.rule, '/~contains')"
-    names = "concat(n.rule, '/~propertyNames')"
-    left_members = "concat(n.rule, '/~unevaluatedProperties')"
-    left_items = "concat(n.rule, '/~unevaluatedItems')"
-    same = f"""transform(filter(r.same, b -> NOT array_contains(n.via, b.rule)
-        AND (b.needs IS NULL OR map_contains_key({members('n.v')}, b.needs))), b -> {_child(
-        'n.path', 'b.rule', 'n.v',
-        "CASE WHEN b.branch = 'allOf' THEN n.scope END",
-        "CASE WHEN b.branch = 'allOf' THEN n.owner ELSE n.id END",
-        "CASE WHEN b.branch = 'allOf' THEN n.branch ELSE b.branch END",
-        'concat(n.via, array(n.rule))', 'concat(n.over, array(n.id))', 'n.kind')})"""
-    below = f"""CASE
-    WHEN n.kind = 'object' AND size(r.patterns) > 0 THEN flatten(transform(
-        map_entries({members('n.v')}), e -> flatten(transform(
-            array(filter(r.patterns, p -> e.key rlike p.expression)), fits -> transform(concat(
-                transform(fits, p -> p.rule),
-                CASE WHEN array_contains(r.declared, e.key) THEN array({named})
-                    WHEN size(fits) = 0 AND r.other THEN array(concat(n.rule, '/{OTHER_STEP}'))
-                    ELSE cast(array() AS array<string>) END),
-                q -> {_child(member, 'q', 'e.value')})))))
-    WHEN n.kind = 'object' AND (r.other OR size(r.declared) > 0) THEN {_member_values(())}
-    WHEN n.kind = 'array' AND (r.prefix > 0 OR r.all_items) THEN transform(
-        CASE WHEN r.all_items THEN {elements('n.v')} ELSE slice({elements('n.v')}, 1, r.prefix) END,
-        (x, i) -> {_child("concat(n.path, '/', i)", placed, 'x')})
-    ELSE {_NO_VALUES} END"""
-    counted = f"""CASE WHEN n.kind = 'array' AND map_contains_key({rules}, {contains})
-        THEN transform({elements('n.v')}, (x, i) -> {_child(
-            "concat(n.path, '/', i)", contains, 'x', 'cast(NULL AS int)', 'n.id', "'contains'")})
-    WHEN n.kind = 'object' AND map_contains_key({rules}, {names})
-        THEN transform(map_keys({members('n.v')}), k -> {_child(
-            f"concat(n.path, '/', {step('k')})", names, 'cast(k AS variant)')})
-    ELSE {_NO_VALUES} END"""
-    left = f"""CASE WHEN n.kind = 'object' AND map_contains_key({rules}, {left_members})
-        THEN transform(map_entries({members('n.v')}), e -> {_child(
-            member, left_members, 'e.value', 'cast(NULL AS int)', 'n.id', "'unevaluatedProperties'")})
-    WHEN n.kind = 'array' AND map_contains_key({rules}, {left_items})
-        THEN transform({elements('n.v')}, (x, i) -> {_child(
-            "concat(n.path, '/', i)", left_items, 'x', 'cast(NULL AS int)', 'n.id', "'unevaluatedItems'")})
-    ELSE {_NO_VALUES} END"""
-    return f"""flatten(transform(array({rules}[n.rule]), r -> CASE
-    WHEN size(r.same) > 0 THEN concat({below},
-        CASE WHEN r.extended THEN concat({counted}, {left}) ELSE {_NO_VALUES} END, {same})
-    WHEN n.kind NOT IN ('object', 'array') THEN {_NO_VALUES}
-    WHEN r.extended THEN concat({below}, {counted}, {left})
-    ELSE {below} END))"""
-
-
-def _loop(root: str, grow: str, rounds: str, numbered: bool = False) -> str:
+def _loop(root: str, grow: str, rounds: str) -> str:
     """Breadth-first expansion of ``root`` by ``grow``, at most ``rounds`` levels down."""
     grown = f"flatten(transform(acc.now, n -> {grow}))"
-    if numbered:
-        # A node's number is its place among all; a branch is a scope of its own.
-        grown = f"""transform({grown}, (c, i) -> named_struct('id', size(acc.every) + i, 'path', c.path,
-            'rule', c.rule, 'kind', c.kind, 'v', c.v, 'scope', coalesce(c.scope, size(acc.every) + i),
-            'owner', c.owner, 'branch', c.branch, 'via', c.via, 'over', c.over))"""
     # An aggregate copies its state every round, with all nodes found so far. So rounds come
     # in blocks, each twice as long as the one before, and blocks after the last node are
     # skipped whole: a row pays for about as many rounds as it is deep, not for its bound.
@@ -299,20 +196,3 @@ def with_definition_nodes(
         'at', '', 'v', {v})) AS {_DEFINITION_NODES})"""
     rounds = nesting(f"to_json({v})") if levels is None or others else str(levels)
     return df.withColumn(out, F.expr(_loop(root, _WITH_OTHERS if others else _DECLARED, rounds)))
-
-
-def with_record_nodes(df: DataFrame, v: str, rules: str, out: str) -> DataFrame:
-    """Add every value of the record ``v`` that the map ``rules`` has a rule for, the
-    root first. A record is followed as deep as it goes, through references that
-    come back to their own schema, too."""
-    root = f"""cast(array(named_struct('id', 0, 'path', '', 'rule', '', 'kind', {kind(v)},
-        'v', {v}, 'scope', 0, 'owner', 0, 'branch', '', 'via', cast(array() AS array<string>),
-        'over', cast(array() AS array<int>)))
-        AS {_RECORD_NODES})"""
-    # A value is met by its own rule and, at most once each, by those combined in it; there
-    # are no more levels than opening brackets. Rounds that find nothing cost nothing.
-    opened = f"char_length(regexp_replace(to_json({v}), r'[^\\[{{]', ''))"
-    rounds = f"cast(least(1000000000L, ({opened} + 1L) * (size({rules}) + 1)) AS int)"
-    return df.withColumn(out, F.expr(f"""CASE WHEN {rules}[''].further
-        THEN {_loop(root, _grown(rules), rounds, numbered=True)}
-        ELSE {_loop(root, _declared_values(rules), f"size({rules})")} END"""))
