@@ -98,12 +98,18 @@ def field_levels(definition: str) -> str:
 def measured_levels(schemas: DataFrame, definition: str = "schema_definition") -> int:
     """Depth needed for every definition of a registry: one number, one pass.
 
-    Validation then unrolls exactly that many levels, so no nested rule is cut.
+    Templates then unroll exactly that many levels, so no nested field is cut. The rows
+    are counted, too: without it Spark leaves out a ``DISTINCT`` below the maximum and
+    measures a definition once for each row it was taken from.
     """
-    deepest = schemas.agg(F.expr(f"max({field_levels(definition)})")).first()[0]
+    deepest, _ = _measured(schemas, definition).first()
     return max(int(deepest or 0), 1)
 
 
+def _measured(schemas: DataFrame, definition: str) -> DataFrame:
+    return schemas.agg(F.expr(f"max({field_levels(definition)})"), F.count("*"))
+
+
 _DECLARED = f"""concat(
     coalesce(transform(map_entries({members('n.v', '$.properties')}), e -> named_struct(
         'path', concat(n.path, '/', {step('e.key')}),

@@ -189,11 +189,16 @@ def _bound(name: str, kind: str) -> str:
         'exact', cast({_as(f"r.{name}", "decimal(38,9)")} AS string)) END"""
 
 
-_TOLD = ("types", "options", "constant", "required", "declared", "pattern", "patterns", "prefix",
-         "all_members", "all_items", "other", "extended", "same", "further", "fewest", "most", "dependent")
+# What is false, empty or zero is left out: the text travels with every row.
 _PROGRAM = f"""to_json(transform_values(rules, (at, r) -> named_struct(
-    {", ".join(f"'{name}', r.{name}" for name in _TOLD)},
-    'checks', transform(r.checks, c -> array({", ".join(f"'{name}'" for name, _ in _CHECKS)})[c]),
+    {", ".join(f"'{k}', r.{k}" for k in ("types", "options", "constant", "required", "pattern",
+                                          "fewest", "most", "dependent"))},
+    {", ".join(f"'{k}', CASE WHEN size(r.{k}) > 0 THEN r.{k} END" for k in ("declared", "patterns", "same"))},
+    {", ".join(f"'{k}', CASE WHEN r.{k} THEN true END" for k in ("all_members", "all_items", "other",
+                                                                "extended", "further"))},
+    'prefix', CASE WHEN r.prefix > 0 THEN r.prefix END,
+    'checks', CASE WHEN size(r.checks) > 0 THEN transform(r.checks,
+        c -> array({", ".join(f"'{name}'" for name, _ in _CHECKS)})[c]) END,
     {", ".join(f"'{name}', {_bound(name, kind)}" for name, kind in _BOUNDS.items())})))"""
 
 
