@@ -1,7 +1,8 @@
 """Turn a registry into per-schema rules, and judge records against them.
 
 A schema row carries its rules as one map column. After a single key lookup
-each record meets its rules inside its own row, so validation adds no shuffle,
+each record meets its rules inside its own row, so validation adds no shuffle (it runs
+in Python workers, see ``judge``),
 and a schema that owns a third of all records costs nothing extra.
 """
 

@@ -1,7 +1,7 @@
 """Extraction: rule templates, custom extractors, judging, retries, results.
 
 The path of a request is: prepared request -> answer (one text) -> judged
-answer -> result row. Only a custom extractor leaves the JVM.
+answer -> result row. A custom extractor and judging run in Python workers.
 """
 
 from __future__ import annotations
