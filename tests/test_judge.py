@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import subprocess
+import sys
 import time
 
 import pytest
@@ -153,3 +156,22 @@ def test_leftovers_of_a_deep_record_are_not_asked_twice_at_each_level(spark):
         record = {"v": 1, "next": record, "odd": 1}
     found = found_in_time(spark, json.dumps(tree), record)
     assert found == [("", "anyOf", "0"), ("", "unevaluatedProperties", "next"), ("", "unevaluatedProperties", "odd")]
+
+
+def test_workers_need_not_have_the_package(spark):
+    """The function is pickled without a reference to this package."""
+    from pyspark import cloudpickle
+
+    column = []
+    wrapped = judge.F.arrow_udf
+    try:
+        judge.F.arrow_udf = lambda kind: lambda f: column.append(f) or wrapped(kind)(f)
+        judge.judged(F.lit(None), F.lit(None), rules.VIOLATIONS)
+    finally:
+        judge.F.arrow_udf = wrapped
+    code = "import sys, pickle; f = pickle.load(sys.stdin.buffer); import pyarrow as pa; " \
+        "v = pa.StructArray.from_arrays([pa.array([b'\\x0c\\x01']), pa.array([b'\\x01\\x00\\x00'])], ['value', 'metadata']); " \
+        "p = pa.array(['{\"\":{\"types\":[\"string\"],\"checks\":[\"type\"]}}']); print(f(v, p).to_pylist())"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(column[0]), capture_output=True,
+                          cwd="/", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.stdout.decode().strip() == "[[{'path': '', 'check': 'type', 'detail': 'integer'}]]", done.stderr
